@@ -10,17 +10,18 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 _CUT = re.compile(r"(?<=\S) ")
 #: Characters on which Python's and the library's idea of white space differ.
 _ODD = re.compile("[\x1c-\x1f\x85᠎]")
 #: The split pattern of byte-level tokenizers (a fixed value of the vocabulary files).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts that a worker remembers, and the longest that it does.
-REMEMBER, LONGEST = 700_000, 48
+REMEMBER, LONGEST = 800_000, 48
+#: The array type of unsigned 32-bit numbers.
+U32 = "I"
 
 
 def _byte_names() -> list[str]:
@@ -47,35 +48,44 @@ class Encoder:
         self.parts = made["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and made["model"]["type"] == "BPE"
         self.find = regex.compile(_PATTERN).findall
         self.names = dict(enumerate(_byte_names()))
+        self.space = self.names[32]
+        #: Ids of parts that followed a space, and of other words.
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(U32, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
+    def _ids(self, word: str) -> bytes:
+        """Of one word of the split pattern, white space in front included."""
+        if word.isascii() and word.isprintable():
+            named = word.replace(" ", self.space)
+        else:
             named = word.encode().decode("latin1").translate(self.names)
-            ids = np.array([t.id for t in self.tok.model.tokenize(named)], "<u4").tobytes()
-            if len(word) <= LONGEST:
-                if len(self.words) >= REMEMBER:
-                    self.words.clear()
-                self.words[word] = ids
+        return array(U32, [t.id for t in self.tok.model.tokenize(named)]).tobytes()
+
+    def _remember(self, known: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            if len(known) >= REMEMBER:
+                known.clear()
+            known[key] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        known, key = (self.known, word[1:]) if word[0] == " " and len(word) > 1 and not word[1].isspace() else (self.words, word)
+        ids = known.get(key)
+        return self._remember(known, key, self._ids(word)) if ids is None else ids
+
     def _part(self, part: str) -> bytes:
         if _ODD.search(part):
             return self._whole(part)
         return b"".join([self._word(w) for w in self.find(part)])
 
     def _new(self, part: str) -> bytes:
-        """Of a part that followed a space."""
-        ids = self._part(f" {part}")
-        if len(part) <= LONGEST:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
+        """Of a part that followed a space and isn't known."""
+        if part.isalpha():
+            return self._remember(self.known, part, self._ids(f" {part}"))
+        return self._remember(self.known, part, self._part(f" {part}"))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -83,16 +93,22 @@ class Encoder:
         if not self.parts:
             return self._whole(text)
         parts = text.split(" ")
-        get = self.known.get
-        got = [get(p) for p in parts]
-        got[0] = self._part(parts[0])
-        if None in got:
-            # An empty part, or one that ends in white space, is no safe cut.
-            if any(g is None and (not p or p[-1].isspace()) for p, g in zip(parts, got, strict=True)) or not parts[0] or parts[0][-1].isspace():
-                parts = _CUT.split(text)
-                return self._part(parts[0]) + b"".join([self._part(f" {p}") for p in parts[1:]])
-            got = [g if g is not None else self._new(p) for p, g in zip(parts, got, strict=True)]
-        elif not parts[0] or parts[0][-1].isspace():
+        first = parts[0]
+        got = list(map(self.known.get, parts))
+        safe = bool(first) and not first[-1].isspace()
+        if safe:
+            got[0] = self._part(first)
+            if None in got:
+                new = self._new
+                for k, g in enumerate(got):
+                    if g is None:
+                        p = parts[k]
+                        # An empty part, or one that ends in white space, is no safe cut.
+                        if not p or p[-1].isspace():
+                            safe = False
+                            break
+                        got[k] = new(p)
+        if not safe:
             parts = _CUT.split(text)
             got = [self._part(parts[0]), *[self._part(f" {p}") for p in parts[1:]]]
         return b"".join(got)
