@@ -42,11 +42,54 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.quality import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.licenses import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.embeddings import near_embeddings
+
+    return near_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.paragraphs import repeated_spans
+
+    return repeated_spans(_read(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.decontam import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.htmltext import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op5_licenses": op5_licenses,
     "op6_sharding": op6_sharding,
+    "op7_embeddings": op7_embeddings,
+    "op8_paragraphs": op8_paragraphs,
+    "op9_decontamination": op9_decontamination,
+    "op10_html": op10_html,
 }
 
+#: None of these is SQL that DuckDB could run in time on whole tables; tests/llm holds each against a brute-force version.
 ORACLE: dict[str, str] = {}
