@@ -1,10 +1,6 @@
 """Driver queries: one for each operator, each with its SQL where SQL can say it."""
 
-from __future__ import annotations
+from vellumark.queries import content, relational  # noqa: F401
+from vellumark.queries.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
