@@ -53,7 +53,7 @@ query("job_sources", "SELECT j.id, j.name, count(s.id) AS source_count, coalesce
 query("job_runs_recent", "SELECT b.id, j.name, b.status FROM {job_runs} b JOIN {jobs} j ON b.job_id = j.id ORDER BY b.created_at DESC, b.id LIMIT 30")(lambda t: t("job_runs").join(t("jobs").select(F.col("id").alias("job_id"), "name"), "job_id").orderBy(*K.newest("created_at")).limit(30).select("id", "name", "status"))
 query("version_run_outer", "SELECT x.id, x.article_id, r.version FROM {versions} x LEFT JOIN {runs} r ON x.extraction_run_id = r.id")(lambda t: t("versions").join(t("runs").select(F.col("id").alias("extraction_run_id"), "version"), "extraction_run_id", "left").select("id", "article_id", "version"))
 query("version_count_join", "SELECT a.source_id, x.article_id, count(*) AS version_count FROM {versions} x JOIN {articles} a ON x.article_id = a.id GROUP BY 1, 2")(lambda t: H.version_counts(t("versions"), t("articles")))
-_BASE = "SELECT source_id, run_id, n, x."at" FROM (SELECT c.source_id, c.created_run_id AS run_id, c.n, coalesce(r.completed_at, r.started_at) AS "at", row_number() OVER (PARTITION BY c.source_id ORDER BY r.started_at, c.created_run_id) AS k FROM (SELECT source_id, created_run_id, count(*) AS n FROM {articles} WHERE created_run_id IS NOT NULL GROUP BY 1, 2) c JOIN {runs} r ON c.created_run_id = r.id) x WHERE k = 1"
+_BASE = "SELECT source_id, run_id, n, x.\"at\" FROM (SELECT c.source_id, c.created_run_id AS run_id, c.n, coalesce(r.completed_at, r.started_at) AS \"at\", row_number() OVER (PARTITION BY c.source_id ORDER BY r.started_at, c.created_run_id) AS k FROM (SELECT source_id, created_run_id, count(*) AS n FROM {articles} WHERE created_run_id IS NOT NULL GROUP BY 1, 2) c JOIN {runs} r ON c.created_run_id = r.id) x WHERE k = 1"
 query("baseline_join", _BASE)(lambda t: H.baseline_run(t("articles"), t("runs")).select("source_id", "run_id", "n", "at"))
 query("vendor_in_subquery", "SELECT s.id FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE p.vendor_id = 'v17'")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v17").select("id"))
 query("relink_scalar_subquery", "SELECT a.id, x.linked FROM {articles} a LEFT JOIN (SELECT source_id, url, id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY sort_order, id) AS k FROM {toc} WHERE url IS NOT NULL) q WHERE k = 1) x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: H.relink(t("articles"), t("toc")).select("id", "linked"))
