@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table
 from vellumark.llm.tokens import texts
 
 #: Words of a segment, segments of a block, words of the items that one broadcast holds.
@@ -178,6 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col:
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start_word"])
+            give_back()
 
         one = narrow.mapInArrow(run, FOUND)
         found = one if found is None else found.unionAll(one)

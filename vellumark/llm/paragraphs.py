@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table
 from vellumark.llm.tokens import texts
 
 #: Words looked at on either side of a cut; words of a shingle; bands and MinHash values in each: 1 - (1 - 0.8^2)^4 = 0.98 of pairs at the threshold meet.
@@ -101,6 +101,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype("i4")
                 shingles = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[k + text]), pa.array(at.astype("i4")), pa.array(n.astype("i4")), pa.array(c), shingles], ["doc_id", "at", "n", "c", "shingles"])
+    give_back()
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

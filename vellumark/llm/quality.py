@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import id_and_text
+from vellumark.llm.scratch import give_back, id_and_text, small_batches
 from vellumark.llm.tokens import texts
 
 #: Labelled rows that the model is fitted on (the first by hash of their id), latent dimensions, voters, and the score from which label 1 is predicted.
 SAMPLE, LATENT, NEIGHBOURS, CUT = 4096, 48, 15, 0.3
 #: Bins of shape trigrams (a power of two), of content trigrams, and of each statistic; bytes looked at together.
-BINS, STEPS, SLICE = 2048, 12, 1 << 21
+BINS, STEPS, SLICE = 1024, 12, 1 << 21
 
 
 def _classes() -> np.ndarray:
@@ -56,7 +56,7 @@ _FIBONACCI = np.uint32(2654435761)
 
 
 def _bins(codes: np.ndarray) -> np.ndarray:
-    return np.bincount((codes * _FIBONACCI) >> np.uint32(21), minlength=BINS)[:BINS]
+    return np.bincount((codes * _FIBONACCI) >> np.uint32(22), minlength=BINS)
 
 
 def _step(x: float) -> int:
@@ -89,7 +89,8 @@ def terms(text: str | None) -> np.ndarray:
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF; each kind of terms has unit length, then its weight."""
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts)
+    x *= idf
     for part, weight in ((slice(0, BINS), 1.0), (slice(BINS, 2 * BINS), 0.3), (slice(2 * BINS, None), 0.7)):
         length = np.linalg.norm(x[:, part], axis=1, keepdims=True)
         x[:, part] *= weight / np.maximum(length, 1e-9)
@@ -139,7 +140,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
         counts = np.stack([np.frombuffer(c, "<f4") for c in group["counts"]])
-        return pd.DataFrame({"model": [pickle.dumps(fit(counts, group["y"].to_numpy()))]})
+        labels = group["y"].to_numpy()
+        group.drop(columns="counts", inplace=True)
+        made = pickle.dumps(fit(counts, labels))
+        del counts
+        give_back()
+        return pd.DataFrame({"model": [made]})
 
     counts = rows.select("t.text", "doc_id", F.col("y").cast("double").alias("y")).mapInArrow(counted, "doc_id long, y double, counts binary")
     made = counts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fitted, "model binary").collect()
@@ -162,6 +168,7 @@ def score_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", also:
                 s = vote(m, np.stack([terms(t) for t in some])) if m else np.full(len(some), 0.5)
                 part = batch.slice(k, 128)
                 yield pa.RecordBatch.from_arrays([*part.columns[:1], pa.array(s), *part.columns[2:]], ["doc_id", "score", *batch.schema.names[2:]])
+        give_back()
 
     scored = rows.mapInArrow(run, "doc_id long, score double" + also)
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= CUT).cast("int")}).select("doc_id", "held_out", "score", "predicted", *scored.columns[2:])
@@ -170,6 +177,7 @@ def score_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", also:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns; one pass scores and filters them."""
     names, schema = docs.columns, docs.schema
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(id_and_text(docs, "doc_id", "text"), labels))
     at = names.index("text")
 
@@ -179,5 +187,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for k, some in texts(batch, at, 128):
                 s = vote(m, np.stack([terms(t) for t in some])) if m else np.full(len(some), 0.5)
                 yield batch.slice(k, 128).filter(pa.array(s >= CUT))
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table
 from vellumark.llm.tokens import texts
 
 #: Shingles hashed at once; fingerprints of one key that one chunk takes.
@@ -54,6 +54,7 @@ def _fingerprints(shingle: int):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for _, some in texts(batch) for t in some], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        give_back()
 
     return run
 
@@ -150,5 +151,10 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4) -> DataFrame:
     """The row with the smallest id of each component; its columns stay. Rows that repeat that id leave one too."""
     found = simhash_components(docs, shingle, distance, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = table(kept, "kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept"))
+    single = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    # Only ids that several rows share need their rows compared.
+    several = kept.where("__rows > 1")
+    return single.unionAll(docs.join(several, same, "left_semi").dropDuplicates([id_col])) if several.take(1) else single
