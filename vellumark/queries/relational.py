@@ -20,9 +20,9 @@ query("scan_projected", "SELECT id, title, estimated_tokens, content_size_bytes,
 query("list_articles", "SELECT id, title, source_id FROM {articles} WHERE lower(title) LIKE '%th_r%' ORDER BY sort_order NULLS LAST, id LIMIT 50 OFFSET 5")(lambda t: K.page(K.list_articles(t("articles"), q="th_r"), K.up("sort_order", "id"), 5, 50).select("id", "title", "source_id"))
 query("list_articles_total", "SELECT count(*) AS total FROM {articles} WHERE source_id = 's3'")(lambda t: K.total(K.list_articles(t("articles"), source_id="s3")))
 query("list_vendors", "SELECT id, name, website FROM {vendors} ORDER BY name, id LIMIT 20")(lambda t: K.page(t("vendors"), K.up("name", "id"), 0, 20))
-query("list_products", "SELECT id, vendor_id, name, version FROM {products} WHERE vendor_id = 'v15'")(lambda t: K.list_products(t("products"), "v15").select("id", "vendor_id", "name", "version"))
+query("list_products", "SELECT id, vendor_id, name, version FROM {products} WHERE vendor_id = 'v18'")(lambda t: K.list_products(t("products"), "v18").select("id", "vendor_id", "name", "version"))
 query("list_jobs", "SELECT id, name, enabled, frequency FROM {jobs}")(lambda t: t("jobs").orderBy(*K.up("name", "id")).select("id", "name", "enabled", "frequency"))
-query("list_sources", "SELECT id, name, product_id FROM {sources} WHERE product_id IN (SELECT id FROM {products} WHERE vendor_id = 'v15')")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v15").select("id", "name", "product_id"))
+query("list_sources", "SELECT id, name, product_id FROM {sources} WHERE product_id IN (SELECT id FROM {products} WHERE vendor_id = 'v18')")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v18").select("id", "name", "product_id"))
 query("point_lookup", "SELECT id, source_id, status FROM {runs} WHERE id = 'r7'")(lambda t: K.lookup(t("runs"), id="r7").select("id", "source_id", "status"))
 query("point_lookup_two_keys", "SELECT id, article_id FROM {versions} WHERE id = 'x7' AND article_id = 'a7'")(lambda t: K.lookup(t("versions"), id="x7", article_id="a7").select("id", "article_id"))
 query("runs_filtered", "SELECT id, source_id, started_at FROM {runs} WHERE status = 'failed' ORDER BY started_at DESC NULLS FIRST, id LIMIT 500")(lambda t: K.page(K.filtered(t("runs"), status="failed"), K.newest("started_at"), 0, 500, 500).select("id", "source_id", "started_at"))
@@ -55,7 +55,7 @@ query("version_run_outer", "SELECT x.id, x.article_id, r.version FROM {versions}
 query("version_count_join", "SELECT a.source_id, x.article_id, count(*) AS version_count FROM {versions} x JOIN {articles} a ON x.article_id = a.id GROUP BY 1, 2")(lambda t: H.version_counts(t("versions"), t("articles")))
 _BASE = "SELECT source_id, run_id, n, x.\"at\" FROM (SELECT c.source_id, c.created_run_id AS run_id, c.n, coalesce(r.completed_at, r.started_at) AS \"at\", row_number() OVER (PARTITION BY c.source_id ORDER BY r.started_at, c.created_run_id) AS k FROM (SELECT source_id, created_run_id, count(*) AS n FROM {articles} WHERE created_run_id IS NOT NULL GROUP BY 1, 2) c JOIN {runs} r ON c.created_run_id = r.id) x WHERE k = 1"
 query("baseline_join", _BASE)(lambda t: H.baseline_run(t("articles"), t("runs")).select("source_id", "run_id", "n", "at"))
-query("vendor_in_subquery", "SELECT s.id FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE p.vendor_id = 'v17'")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v17").select("id"))
+query("vendor_in_subquery", "SELECT s.id FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE p.vendor_id = 'v18'")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v18").select("id"))
 query("relink_scalar_subquery", "SELECT a.id, x.linked FROM {articles} a LEFT JOIN (SELECT source_id, url, id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY sort_order, id) AS k FROM {toc} WHERE url IS NOT NULL) q WHERE k = 1) x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: H.relink(t("articles"), t("toc")).select("id", "linked"))
 query("asof_next_version", "SELECT x.id, x.article_id, x.extracted_at, (SELECT min(y.id) FROM {versions} y WHERE y.article_id = x.article_id AND y.extracted_at = m.t) AS next_id FROM {versions} x LEFT JOIN (SELECT a.id, min(b.extracted_at) AS t FROM {versions} a JOIN {versions} b ON a.article_id = b.article_id AND b.extracted_at > a.extracted_at GROUP BY a.id) m ON x.id = m.id")(lambda t: H.next_version(t("versions")))
 query("asof_run_backfill", "SELECT a.id, a.source_id, x.run_id FROM {articles} a LEFT JOIN (SELECT id, run_id FROM (SELECT a.id, r.id AS run_id, row_number() OVER (PARTITION BY a.id ORDER BY r.started_at DESC, r.id DESC) AS k FROM {articles} a JOIN {runs} r ON a.source_id = r.source_id AND r.started_at <= a.created_at) q WHERE k = 1) x ON a.id = x.id")(lambda t: H.run_as_of(t("articles"), t("runs")))
@@ -64,7 +64,7 @@ query("url_to_entry", "SELECT a.id, t.id AS toc_id FROM {articles} a JOIN {toc}
 query("url_to_entry_unmatched", "SELECT id FROM {articles} WHERE source_url NOT IN (SELECT url FROM {toc} WHERE url IS NOT NULL)")(lambda t: t("articles").join(t("toc").select(F.col("url").alias("source_url")), "source_url", "left_anti").select("id"))
 query("orphan_media", "SELECT DISTINCT article_id FROM {images} WHERE article_id NOT IN (SELECT id FROM {articles} WHERE removed_at IS NULL)")(lambda t: J.orphans(t("images").select("article_id").distinct(), t("articles").where("removed_at is null").select(F.col("id").alias("article_id")), "article_id"))
 query("bulk_assign_check", "SELECT id FROM (VALUES ('s1'), ('s2'), ('nope')) w(id) WHERE id NOT IN (SELECT id FROM {sources})")(lambda t: K.missing_ids(t("sources"), t("sources").sparkSession.createDataFrame([("s1",), ("s2",), ("nope",), ("s1",)], "id string")))
-query("cascade_delete", "SELECT id, product_id FROM {sources} WHERE product_id NOT IN (SELECT id FROM {products} WHERE vendor_id = 'v15')")(lambda t: K.cascade(t("products").where("vendor_id = 'v15'"), t("sources"), "product_id").select("id", "product_id"))
+query("cascade_delete", "SELECT id, product_id FROM {sources} WHERE product_id NOT IN (SELECT id FROM {products} WHERE vendor_id = 'v18')")(lambda t: K.cascade(t("products").where("vendor_id = 'v18'"), t("sources"), "product_id").select("id", "product_id"))
 query("cascade_set_null", "SELECT id, CASE WHEN job_id = 'j1' THEN NULL ELSE job_id END AS job_id FROM {sources}")(lambda t: K.set_null(t("jobs").where("id = 'j1'"), t("sources"), "job_id").select("id", "job_id"))
 query("match_key_join", "SELECT coalesce(a.id, 'none') AS article, coalesce(x.id, 'none') AS entry FROM {articles} a FULL OUTER JOIN {toc} x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: t("articles").alias("a").join(t("toc").alias("x"), (F.col("a.source_id") == F.col("x.source_id")) & (F.col("a.source_url") == F.col("x.url")), "full_outer").select(F.coalesce("a.id", F.lit("none")).alias("article"), F.coalesce("x.id", F.lit("none")).alias("entry")))
 query("eager_loads", "SELECT a.id, count(i.id) AS images, coalesce(string_agg(i.id, ',' ORDER BY i.sort_order, i.id), '') AS image_ids FROM {articles} a LEFT JOIN {images} i ON i.article_id = a.id GROUP BY a.id")(lambda t: t("articles").select("id").join(t("images").groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("images"), F.array_sort(F.collect_list(F.struct("sort_order", F.col("id").alias("image")))).alias("xs")), "id", "left").select("id", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce(F.array_join("xs.image", ","), F.lit("")).alias("image_ids")))
@@ -129,9 +129,9 @@ def _detail(t):
 
 
 # The domain queries.
-_EVENTS = f"base AS ({_BASE}), ev AS (SELECT a.source_id, a.id AS article_id, 'added' AS event, a.created_at AS at, a.created_run_id AS run_id, false AS has_diff FROM {{articles}} a JOIN base b ON a.source_id = b.source_id WHERE a.created_run_id IS NOT NULL AND a.created_run_id <> b.run_id UNION ALL SELECT a.source_id, x.article_id, 'changed', x.extracted_at, x.extraction_run_id, x.diff_text IS NOT NULL FROM {{versions}} x JOIN {{articles}} a ON x.article_id = a.id UNION ALL SELECT source_id, id, 'removed', removed_at, removal_run_id, false FROM {{articles}} WHERE removed_at IS NOT NULL UNION ALL SELECT source_id, NULL, 'initial', at, run_id, false FROM base)"
+_EVENTS = f"base AS ({_BASE}), ev AS (SELECT a.source_id, a.id AS article_id, 'added' AS event, a.created_at AS \"at\", a.created_run_id AS run_id, false AS has_diff FROM {{articles}} a JOIN base b ON a.source_id = b.source_id WHERE a.created_run_id IS NOT NULL AND a.created_run_id <> b.run_id UNION ALL SELECT a.source_id, x.article_id, 'changed', x.extracted_at, x.extraction_run_id, x.diff_text IS NOT NULL FROM {{versions}} x JOIN {{articles}} a ON x.article_id = a.id UNION ALL SELECT source_id, id, 'removed', removed_at, removal_run_id, false FROM {{articles}} WHERE removed_at IS NOT NULL UNION ALL SELECT source_id, NULL, 'initial', base.\"at\", run_id, false FROM base)"
 query("changelog", f"WITH {_EVENTS} SELECT ev.*, r.version FROM ev LEFT JOIN {{runs}} r ON ev.run_id = r.id")(lambda t: H.changelog(t("articles"), t("versions"), t("runs")).select("source_id", "article_id", "event", "at", "run_id", "has_diff", "version"))
-query("changelog_page", f"WITH {_EVENTS} SELECT event, at, run_id, article_id FROM ev WHERE source_id = 's5' ORDER BY at DESC, article_id LIMIT 50")(lambda t: H.changelog(t("articles").where("source_id = 's5'"), t("versions"), t("runs")).select("event", "at", "run_id", "article_id").orderBy(F.desc("at"), "article_id").limit(50))
+query("changelog_page", f"WITH {_EVENTS} SELECT event, ev.\"at\", run_id, article_id FROM ev WHERE source_id = 's5' ORDER BY ev.\"at\" DESC, article_id LIMIT 50")(lambda t: H.changelog(t("articles").where("source_id = 's5'"), t("versions"), t("runs")).select("event", "at", "run_id", "article_id").orderBy(F.desc("at"), "article_id").limit(50))
 query("events_count", f"WITH {_EVENTS} SELECT source_id, count(*) AS total FROM ev GROUP BY source_id")(lambda t: H.changelog(t("articles"), t("versions"), t("runs")).groupBy("source_id").agg(F.count(F.lit(1)).alias("total")))
 query("browse", "SELECT a.id, a.source_id, CASE WHEN a.toc_entry_id IS NULL THEN 'removed' WHEN a.created_at >= l.started_at THEN 'new' WHEN EXISTS (SELECT 1 FROM {versions} x WHERE x.article_id = a.id AND x.extraction_run_id = l.id) THEN 'updated' ELSE 'unchanged' END AS status, (SELECT count(*) FROM {versions} x WHERE x.article_id = a.id) AS version_count FROM {articles} a LEFT JOIN (SELECT source_id, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS k FROM {runs} WHERE status = 'completed') q WHERE k = 1) l ON a.source_id = l.source_id")(lambda t: H.browse_status(t("articles"), t("versions"), t("runs")).select("id", "source_id", "status", "version_count"))
 query("reconcile_removals", f"SELECT a.id, x.linked AS toc_entry_id, CASE WHEN x.linked IS NOT NULL THEN NULL WHEN a.removed_at IS NULL THEN TIMESTAMP '{ASOF}' ELSE a.removed_at END AS removed_at, CASE WHEN x.linked IS NOT NULL THEN NULL WHEN a.removed_at IS NULL THEN 'r1' ELSE a.removal_run_id END AS removal_run_id FROM {{articles}} a LEFT JOIN (SELECT source_id, url, id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY sort_order, id) AS k FROM {{toc}} WHERE url IS NOT NULL) q WHERE k = 1) x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: H.reconcile_removals(t("articles"), t("toc"), "r1", ASOF).select("id", "toc_entry_id", "removed_at", "removal_run_id"))
