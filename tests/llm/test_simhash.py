@@ -61,3 +61,20 @@ def test_keep_one(spark):
     rows = [(3, "a b c d e f", "p"), (1, "a b c d e f", "q"), (1, "a b c d e f", "q"), (9, "something else entirely here now", "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted((r.doc_id, r.fp) for r in simhash.keep_one(docs).collect()) == [(1, "q"), (9, "r")]
+
+
+def test_near_copies(spark):
+    """Texts that share at least 0.8 of their five-word shingles go, others stay."""
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = words(300)
+        copy = list(base)
+        copy[int(rng.integers(20, 280))] = "changed"
+        copy[int(rng.integers(20, 280))] = "other"
+        texts += [" ".join(base), " ".join(copy), " ".join(words(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert all(got[k] == k for k in got if k % 3 != 1) and sum(got[k] == k - 1 for k in got if k % 3 == 1) >= 38
+    assert simhash.near_components(docs.where("false")).collect() == []
