@@ -33,15 +33,22 @@ def names(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the store, lazily, or a raw one of the folder."""
+def frame(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table of the store, lazily, or a raw one of the folder. ``known`` saves reading a file's schema twice."""
+    known = {} if known is None else known
+    if name not in known:
+        known[name] = _frame(spark, sf_dir, name, known)
+    return known[name]
+
+
+def _frame(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame]) -> DataFrame:
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = TABLES[name]
     # Braces that aren't names are JSON.
     sql = re.sub(r"\{(?!\w+\})", "{{", sql)
     sql = re.sub(r"(?<!\w)\}", "}}", sql) if "{{" in sql else sql
-    return spark.sql(sql, **{t: frame(spark, sf_dir, t) for t in names(TABLES[name])})
+    return spark.sql(sql, **{t: frame(spark, sf_dir, t, known) for t in names(TABLES[name])})
 
 
 def oracle(sql: str) -> str:

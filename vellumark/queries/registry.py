@@ -17,7 +17,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     """The function gets tables by name: the store's, or the folder's."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda table: frame(spark, sf_dir, table))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            known: dict[str, DataFrame] = {}
+            return f(lambda table: frame(spark, sf_dir, table, known))
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = oracle(sql)
         return f
