@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from vellumark.functions import bodies as B
 from vellumark.functions import columns as C
 from vellumark.functions import pdf as P
 from vellumark.functions.dom import html_to_markdown, scope_content, strip_selectors
@@ -159,3 +160,33 @@ def _import_rows(t):
 query("csv_import", "SELECT CAST(n + 2 AS INT) AS row_no, CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE n % 3 = 0")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).select("row_no", "result"))
 query("import_totals", "SELECT result, count(*) AS n FROM (SELECT CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE n % 3 = 0) x GROUP BY result")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).groupBy("result").agg(F.count(F.lit(1)).alias("n")))
 query("dir_size", "SELECT article_id, sum(file_size_bytes) AS bytes FROM {images} GROUP BY article_id")(lambda t: t("images").groupBy("article_id").agg(F.sum("file_size_bytes").alias("bytes")))
+
+
+# Platform bodies, dates and schedules.
+
+query("sphinx_body")(lambda t: t("pages").select("page_id", B.text_udf(B.sphinx_body, str)(F.replace("html", F.lit("<article>"), F.lit("<article role=main>")), "url").alias("body")))
+query("flare_body")(lambda t: t("pages").select("page_id", B.text_udf(B.flare_body, str)(F.replace("html", F.lit("<article>"), F.lit("<article data-mc-content-body>")), "url").alias("body")))
+query("normalise_next_steps")(lambda t: t("pages").select("page_id", B.text_udf(B.normalise_next_steps)("html").alias("body")))
+query("json_body_unwrap", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' || user_id END AS body FROM {events}")(lambda t: t("events").select("event_id", B.json_body_column(F.expr("CASE WHEN event_id % 2 = 0 THEN to_json(named_struct('article', named_struct('body', event_type))) ELSE to_json(named_struct('topic_html', string(user_id))) END")).alias("body")))
+query("last_updated", "SELECT event_id, ts AS last_updated FROM {events}")(lambda t: t("events").select("event_id", B.last_updated_column(F.concat(F.lit("<p><time class=x datetime='"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("'>"))).cast("timestamp_ntz").alias("last_updated")))
+query("schedule_validation", "SELECT event_id, CASE WHEN event_id % 30 > 23 THEN 'time_of_day' ELSE '' END || CASE WHEN event_id % 9 > 6 THEN CASE WHEN event_id % 30 > 23 THEN ',' ELSE '' END || 'day_of_week' ELSE '' END AS errors FROM {events}")(lambda t: t("events").select("event_id", F.array_join(B.schedule_errors(F.lit("weekly"), F.format_string("%02d:30", F.col("event_id") % 30), F.col("event_id") % 9, F.lit(1)), ",").alias("errors")))
+query("url_map", "SELECT DISTINCT url FROM {pages}")(lambda t: R.sitemap_urls(t("pages").select(F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc></url></urlset>")).alias("body"))).distinct())
+query("json_api_paginate", "SELECT CAST(event_id % 10 AS BIGINT) AS page_no, event_id AS id FROM {events}")(lambda t: R.pages_of_api(t("events").groupBy((F.col("event_id") % 10).alias("page_no")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_id").alias("id"))).alias("results"))).alias("body")), "results array<struct<id:bigint>>", "results").select("page_no", "id"))
+query("webhook_ingest", "SELECT a.id, CASE WHEN x.id IS NULL THEN NULL ELSE x.id END AS toc_entry_id FROM {articles} a LEFT JOIN (SELECT source_id, url, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY sort_order, id) AS k FROM {toc} WHERE url IS NOT NULL) q WHERE k = 1) x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: _webhook(t))
+query("data_uri_images")(lambda t: t("pages").select("page_id", B.text_udf(lambda h: P.data_images(h)[0])(F.concat(F.lit("![a](data:image/png;base64,aGk=)"), "html")).alias("markdown")))
+query("resume_checkpoint", "SELECT a.id FROM {articles} a WHERE a.n % 4 <> 0")(lambda t: _resume(t))
+
+
+def _webhook(t):
+    from vellumark.streaming.ingest import webhook_pages
+
+    data = F.array(F.struct(F.col("source_url").alias("url"), "title", F.col("content_markdown").alias("markdown"), F.lit(None).cast("string").alias("change_status")))
+    events = t("articles").select("id", F.col("created_at").alias("ts"), "source_id", F.lit("r1").alias("run_id"), F.lit("batch_scrape.page").alias("type"), data.alias("data"))
+    return webhook_pages(events, t("toc")).select("id", "toc_entry_id")
+
+
+def _resume(t):
+    from vellumark.streaming.ingest import pending
+
+    wanted = t("articles").select("id", "n", F.col("source_url").alias("url"))
+    return pending(wanted, wanted.where("n % 4 = 0")).select("id")
