@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellumark.operators import merge, profiles
 from vellumark.operators import toc as TC
 from vellumark.operators.jobs import run_control
-from vellumark.operators.search import build_index, topic_search, unified, version_diffs
+from vellumark.operators.search import build_index, index_of, topic_search, unified, version_diffs
 from vellumark.sources import readers, sinks
 from vellumark.streaming import ingest
 
@@ -67,8 +67,11 @@ def test_run_control(spark):
 
 def test_search(spark):
     rows = [("s", "1", "Install", "run pip install now"), ("s", "2", "pip", "nothing"), ("s", "3", "Backups", "how to backup a backup"), ("s", "4", "x", "one backup among many other words that go on and on"), ("s", "5", "Guide", "installing with pip")]
-    index = build_index(spark.createDataFrame(rows, "source_id string, id string, title string, content_markdown string"))
+    articles = spark.createDataFrame(rows, "source_id string, id string, title string, content_markdown string")
+    index = build_index(articles)
     ids = lambda q: [r.id for r in topic_search(index, q).orderBy(F.desc("rank")).collect()]
+    for q in ("pip install", "backups", "the", "zzz"):
+        assert sorted(topic_search(index_of(articles, q), q).collect()) == sorted(topic_search(index, q).collect())
     assert set(ids("pip install")) == {"1", "5"} and ids("backups") == ["3", "4"] and ids("the") == [] and ids("zzz") == []
 
 

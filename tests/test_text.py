@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vellumark.functions import columns as C
@@ -95,6 +97,11 @@ def test_stemming():
     assert lexemes("The Backups, and the backup!") == ["backup", "backup"]
 
 
+@given(st.text(alphabet="aeioustrnlingdyb", min_size=1, max_size=12))
+def test_stemming_keeps_the_first_letters(word):
+    assert len(stem(word)) < 2 or stem(word)[:2] == word[:2]
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 

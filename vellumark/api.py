@@ -98,7 +98,7 @@ class Engine:
         return search.version_diffs(self.table("versions").where(F.col("article_id") == article_id), self.table("articles"), against)
 
     def topic(self, source_id: str, q: str) -> DataFrame:
-        return search.topic_search(search.build_index(self.table("articles").where(F.col("source_id") == source_id)), q)
+        return search.topic_search(search.index_of(self.table("articles").where(F.col("source_id") == source_id), q), q)
 
     # Runs and jobs.
     def trigger(self, source_ids: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 # Common English stop words.
 STOP = frozenset("a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split())
@@ -75,3 +76,26 @@ def stem(w: str) -> str:
 
 def lexemes(text: str | None) -> list[str]:
     return [stem(w) for w in _WORD.findall((text or "").lower()) if w not in STOP]
+
+
+def counts(text: str | None) -> tuple[dict[str, int], int]:
+    """How often each lexeme occurs, and all occurrences; each distinct word is stemmed once."""
+    out: dict[str, int] = {}
+    total = 0
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        if w not in STOP:
+            s = stem(w)
+            out[s] = out.get(s, 0) + n
+            total += n
+    return out, total
+
+
+def counts_of(text: str | None, wanted: list[str]) -> tuple[dict[str, int], int]:
+    """The same for some lexemes only. Stemming keeps a word's first two letters, so only words that begin alike are stemmed."""
+    heads = tuple({w[:2] for w in wanted})
+    out: dict[str, int] = {}
+    words = [w for w in _WORD.findall((text or "").lower()) if w not in STOP]
+    for w in words:
+        if w.startswith(heads) and (s := stem(w)) in wanted:
+            out[s] = out.get(s, 0) + 1
+    return out, len(words)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from vellumark.functions.stem import lexemes
+from vellumark.functions.stem import counts, counts_of, lexemes
 
 INDEX = "source_id string, id string, term string, tf int, n_terms int"
 
@@ -23,8 +22,23 @@ def build_index(articles: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples():
-                terms = lexemes(f"{r.title or ''} {r.content_markdown or ''}")
-                rows += [(r.source_id, r.id, t, n, len(terms)) for t, n in Counter(terms).items()]
+                terms, total = counts(f"{r.title or ''} {r.content_markdown or ''}")
+                rows += [(r.source_id, r.id, t, n, total) for t, n in terms.items()]
+            yield pd.DataFrame(rows, columns=["source_id", "id", "term", "tf", "n_terms"])
+
+    return articles.select("source_id", "id", "title", "content_markdown").mapInPandas(run, INDEX)
+
+
+def index_of(articles: DataFrame, q: str) -> DataFrame:
+    """The index's rows of the query's terms only, for a search without a stored index."""
+    wanted = sorted(set(lexemes(q)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                terms, total = counts_of(f"{r.title or ''} {r.content_markdown or ''}", wanted)
+                rows += [(r.source_id, r.id, t, n, total) for t, n in terms.items()]
             yield pd.DataFrame(rows, columns=["source_id", "id", "term", "tf", "n_terms"])
 
     return articles.select("source_id", "id", "title", "content_markdown").mapInPandas(run, INDEX)

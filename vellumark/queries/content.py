@@ -99,7 +99,7 @@ query("pdf_split")(lambda t: t("pages").select("page_id", F.inline(_segments(_ma
 query("segment_score")(lambda t: t("pages").select("page_id", F.inline(_segments(_markdown("html")))).select("page_id", "title", F.array_join("flags", ",").alias("flags")))
 
 # Search.
-query("topic_search", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(lambda t: S.topic_search(S.build_index(t("articles")), "The thst").select("source_id", "id"))
+query("topic_search", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(lambda t: S.topic_search(S.index_of(t("articles"), "The thst"), "The thst").select("source_id", "id"))
 query("search_index")(lambda t: S.build_index(t("articles")))
 
 
