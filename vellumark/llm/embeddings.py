@@ -3,7 +3,7 @@
 Equal vectors become one first, with their count. The distinct ones are dealt over shards of about ``SHARD`` by hash; each shard builds its
 graph in one task and writes it to a table. Then every vector queries every shard, a block of queries and a shard to a task. A query whose
 beam comes back full of links is repeated with twice the beam. Each task also audits itself: a hashed part of its queries is compared with all of the
-shard, and while the graph found less than ``RECALL`` of their links, the beam doubles for all; a beam that would hold the whole shard becomes a blocked exact scan.
+shard, and while the graph found less than ``RECALL`` of their links, the beam doubles for all. Queries for which ``WIDEST`` isn't enough get a blocked exact scan of the shard.
 Finds near or over the threshold are verified by cosine in double precision.
 
 No pairs are emitted: a task gives each query's link count and a spanning forest of what it linked; counts are summed and forests joined
@@ -27,6 +27,8 @@ from vellumark.llm.scratch import table
 
 #: Vectors of a shard and queries of a task; first beam, the least part of the audited links that must be found, and queries audited in a task.
 SHARD, QUERIES, BEAM, RECALL, AUDIT = 16_384, 4096, 48, 0.99, 64
+#: Beyond this beam the queries left are compared with the whole shard in blocks, which is exact and takes less time.
+WIDEST = 384
 #: Queries searched together, so that their marks of what they have seen stay small.
 ROWS = 256
 
@@ -54,7 +56,7 @@ def linked(graph: Graph, q: np.ndarray, audit: np.ndarray, least: float) -> tupl
     true = np.sort(audit[i] * n + j)
     todo, found = np.arange(len(q)), np.zeros(0, "i8")
     while True:
-        if beam >= n // 2:  # as good as all of it
+        if beam > WIDEST or beam >= n // 2:
             i, j = _scan(q[todo], x, least)
             return np.divmod(np.unique(np.concatenate([found, todo[i] * n + j])), n)
         rows = max(16, ROWS * BEAM // beam)
