@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table
 from vellumark.llm.tokens import encoder, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,6 +72,7 @@ def _pieces(path: str, end_id: int, capacity: int):
                     ids = memoryview(enc.encode(text or "") + end)
                     rows += [(doc_ids[k + j], p, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for p, (a, n) in enumerate(cut(len(ids) // 4, capacity))]
             yield _columns(rows, [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import give_back, id_and_text, small_batches
+from vellumark.llm.scratch import give_back, id_and_text, small_batches, turn_to_other_work
 from vellumark.llm.tokens import texts
 
 #: Labelled rows that the model is fitted on (the first by hash of their id), latent dimensions, voters, and the score from which label 1 is predicted.
@@ -132,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("t"), F.first("y").alias("y"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         for batch in batches:
             for k, some in texts(batch, 0, 64):
                 counts = [terms(t).astype("<f4").tobytes() for t in some]
@@ -162,6 +163,7 @@ def score_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", also:
     model = rows.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         m = model.value
         for batch in batches:
             for k, some in texts(batch, 1, 128):
@@ -182,6 +184,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         m = model.value
         for batch in batches:
             for k, some in texts(batch, at, 128):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -65,6 +66,14 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def turn_to_other_work() -> None:
+    """A Python worker that packed or encoded before gives up its token ids."""
+    tokens = sys.modules.get("vellumark.llm.tokens")
+    if tokens and tokens.encoder.cache_info().currsize:
+        tokens.encoder.cache_clear()
+        give_back()
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, so extra columns can't clash with its own."""
     small_batches(docs.sparkSession)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import give_back, id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table, turn_to_other_work
 from vellumark.llm.tokens import texts
 
 #: Shingles hashed at once; fingerprints of one key that one chunk takes.
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for _, some in texts(batch) for t in some], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
@@ -200,6 +201,7 @@ def block_positions() -> np.ndarray:
 
 def _wide(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         for batch in batches:
             fps = np.array([wide_fingerprint(t, shingle) for _, some in texts(batch) for t in some], "u8").reshape(-1, WORDS).view("i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, w])) for w in range(WORDS)]], ["doc_id", *_WIDE])
