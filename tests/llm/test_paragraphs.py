@@ -107,3 +107,41 @@ def test_bands_reach_their_recall():
 def test_cut_spans(text, spans):
     gone = {k for at, n in spans for k in range(at, at + n)}
     assert P.cut_spans(text, spans).split() == [w for k, w in enumerate(text.split()) if k not in gone] or any(a + 1 in gone and a not in gone for a in range(10))
+
+
+def edited(rng, passage, changes):
+    """A copy with ``changes`` words replaced, left out or put in, a third of its length apart."""
+    out = list(passage)
+    for k in range(changes, 0, -1):
+        at, kind = len(passage) * k // (changes + 1) + int(rng.integers(-3, 4)), int(rng.integers(3))
+        out[at : at + (kind != 2)] = [] if kind == 1 else ["edited"]
+    return out
+
+
+def test_whole_passages_and_edited_copies(spark):
+    """Equal and edited passages of 50 to 100 words are found from their first word to their last."""
+    rng, texts, want = np.random.default_rng(3), [], []
+    for n, changes in [(21, 0), (35, 0), (55, 0), (100, 0), (50, 1), (60, 1), (70, 1), (100, 2)] * 8:
+        passage = words(rng, n)
+        for copy in (passage, edited(rng, passage, changes)):
+            head = words(rng, int(rng.integers(0, 60)))
+            want.append((len(texts), len(head), len(copy), len(texts) % 2 == 0))
+            texts.append(" ".join(head + copy + words(rng, int(rng.integers(0, 60)))))
+    got = {}
+    for r in P.repeated_spans(frame(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.at, r.n_words, r.keeps))
+    for doc, at, n, keeps in want:
+        (span,) = got[doc]
+        # A word or two of the context can be equal by chance.
+        assert abs(span[0] - at) <= 2 and abs(span[0] + span[1] - at - n) <= 2 and span[2] == keeps
+
+
+def test_no_far_copies_and_long_matches(spark):
+    """Every fifth word differs: nothing; a match far beyond what is read first is followed to its end."""
+    rng = np.random.default_rng(4)
+    passage, long = words(rng, 60), words(rng, 3000)
+    other = [w if k % 5 else "z" for k, w in enumerate(passage)]
+    changed = [w if k % 2000 else "z" for k, w in enumerate(long)]
+    texts = [" ".join(passage), " ".join(other), " ".join(long), " ".join(changed), "w " * 3000, "w " * 2000]
+    got = {(r.doc_id, r.keeps): (r.at, r.n_words) for r in P.repeated_spans(frame(spark, texts)).collect()}
+    assert got == {(2, True): (1, 2999), (3, False): (1, 2999), (4, True): (0, 3000), (5, False): (0, 2000)} or got == {(2, True): (1, 2999), (3, False): (1, 2999), (4, True): (0, 2000), (5, False): (0, 2000)}

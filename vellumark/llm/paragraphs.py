@@ -1,14 +1,17 @@
-"""Repeated passages across documents by MinHash banding of paragraphs.
+"""Repeated passages across documents: MinHash of every window of words, then word-by-word alignment and exact Jaccard.
 
-Passages can start anywhere in a line, so paragraphs are cut by content: a word begins one if the hash of it and the next word is the least within
-``REACH`` words on either side. A passage that two texts share then holds the same paragraphs in both, wherever it stands. Each distinct paragraph gets
-MinHash bands over its five-word shingles; paragraphs that collide in a band are joined, their exact Jaccard coefficient is verified, and
-similar ones form classes by connected components. A class that occurs in several documents is repeated. Neighbouring repeated paragraphs join to
-spans; a span of at least ``LEAST_WORDS`` words counts. Each class keeps its first occurrence (smallest document, then place) and loses the others.
+Passages can start anywhere in a line, so every window of ``LEAST_WORDS`` words is a paragraph; its band is one MinHash value, the least hash of its
+shingles of ``SEED`` words. Neighbouring windows mostly have the same one, so a few places of a text are written, and an equal run of ``LEAST_WORDS``
+words always shares one of them (a seed). Near copies of 50 words and more with a Jaccard coefficient of 0.8 always hold such a run: n five-word
+shingles at 0.8 allow n / 45 changed words. Each seed is compared with its first occurrence (smallest document, then place): the match is
+extended word by word to both sides, gaps of up to ``GAP`` words are bridged, and bridged spans need an exact Jaccard coefficient of
+``LEAST_JACCARD`` of their aligned shingles, else they fall apart at gaps. Spans of ``LEAST_WORDS`` words then count. The first occurrence stays.
 
-No pairs are emitted: equal paragraphs are one row, colliding ones yield a spanning forest, and keys with many members are dealt out in chunks.
+No pairs of occurrences are emitted, only each one with the first. A seed's first occurrence is the only one it is compared with.
 Null and empty texts hold nothing; texts are read whole; a passage repeated within one document only is left alone. Rows that share an id are one
 document here, and rows without an id take no part. An empty table gives no rows; extra columns are not read.
+
+``paragraphs``, ``band_keys`` and ``similar`` are MinHash banding of content-cut paragraphs and the exact Jaccard forest.
 """
 
 from __future__ import annotations
@@ -18,10 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
 from vellumark.llm.scratch import give_back, id_and_text, table
 from vellumark.llm.tokens import texts
@@ -192,48 +194,229 @@ def _verify(least: float):
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, at, n, class, first_doc`` of each paragraph (in words) whose class occurs in several documents."""
-    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    found = table(rows.mapInArrow(_paragraphs, PARAGRAPHS), "paragraphs")
-    bands = found.select("c", "shingles").mapInArrow(_bands, "key long, c long")
-    colliding = table(bands.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_colliding, "key long, c long"), "colliding")
-    sets = found.select("c", "shingles").join(colliding.select("c").distinct(), "c").dropDuplicates(["c"])
-    hot = colliding.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
-    # Each task gets two chunks of a key at most.
-    dealt = colliding.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("c", F.lit(3)), F.col("chunks")).cast("int"))
-    dealt = dealt.select("key", "c", F.explode(F.expr("transform(sequence(0, chunks - 1), o -> struct(least(o, mine) as i, greatest(o, mine) as j))")).alias("p"))
-    dealt = dealt.join(sets, "c").select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "c", "shingles")
-    links = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_verify(LEAST_JACCARD), "a long, b long")
-    joined = connected_components(links)
-    spread = found.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    # Paragraphs of one document only matter if another is similar.
-    classes = spread.join(joined, F.col("c") == F.col("node"), "left").where("first_doc < last_doc or node is not null").select("c", F.coalesce("component", "c").alias("class"), "first_doc", "last_doc")
-    classes = table(classes, "classes")
-    several = classes.groupBy("class").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")).where("first_doc < last_doc").select("class", "first_doc")
-    marked = classes.select("c", "class").join(several, "class")
-    return found.select("doc_id", "at", "n", "c").join(marked, "c").select("doc_id", "at", "n", "class", "first_doc")
+#: Words of a seed, words that a gap may have on either side, equal words that must follow a gap, words read beyond the outermost seeds at first.
+SEED, GAP, AFTER, MARGIN = 12, 4, 5, 40
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 2**64)
+
+
+def seeds(some: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all seeds of the texts: which text, first word, key."""
+    words = [(t or "").lower().split() for t in some]
+    lengths = np.array([len(w) for w in words], "i8")
+    n, wide = int(lengths.sum()), LEAST_WORDS - SEED + 1
+    if n < LEAST_WORDS:
+        return (*[np.zeros(0, "i8")] * 2, np.zeros(0, "i8"))
+    h = word_hashes([w for ws in words for w in ws])
+    text = np.repeat(np.arange(len(some)), lengths)
+    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    # Polynomial of SEED words from running sums, modulo 2^64.
+    power, inverse = (np.append(np.ones(1, "u8"), np.full(n - 1, m, "u8")).cumprod(dtype="u8") for m in (_POWER, _INVERSE))
+    total = np.concatenate([np.zeros(1, "u8"), np.cumsum(h * power, dtype="u8")])
+    gram = _mix(_mix((total[SEED:] - total[:-SEED]) * inverse[: n - SEED + 1]))
+    least = np.min(np.lib.stride_tricks.sliding_window_view(gram, wide), axis=1)
+    window = lengths[text] - place >= LEAST_WORDS
+    chosen = np.zeros(len(gram), bool)
+    for d in range(wide):
+        chosen[d : d + len(least)] |= window[: len(least)] & (gram[d : d + len(least)] == least)
+    at = np.flatnonzero(chosen)
+    return text[at], place[at], gram[at].view("i8")
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_ids = batch.column(0).to_numpy()
+        for k, some in texts(batch, 1, 200):
+            text, at, key = seeds(some)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_ids[k + text]), pa.array(at.astype("i4"))], ["key", "doc_id", "at"])
+    give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, lo, hi, text) to rows (pair, from, words, whole): hashes of the words from lo to hi, and whether the text goes on on either side."""
+    for batch in batches:
+        pair, lo, hi = (batch.column(k).to_numpy() for k in range(3))
+        for k, some in texts(batch, 3, 200):
+            out, last, words = [], None, []
+            for r, t in enumerate(some, k):
+                if t != last:
+                    last, words = t, (t or "").lower().split()
+                a = max(0, int(lo[r]))
+                out.append((pair[r], a, word_hashes(words[a : hi[r]]).astype("<u4").tobytes(), a == 0, hi[r] >= len(words)))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], ["pair", "start", "words", "head", "tail"])
+    give_back()
+
+
+def equal_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that two arrays begin with alike."""
+    n, done, step = min(len(a), len(b)), 0, 64
+    while done < n:
+        differ = a[done : done + step][: n - done] != b[done : done + step][: n - done]
+        if differ.any():
+            return done + int(differ.argmax())
+        done, step = min(n, done + step), step * 4
+    return n
+
+
+def follow(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Equal runs (place in a, place in b, words) from the start of both on, over gaps of up to GAP words on either side."""
+    runs, i, j = [], 0, 0
+    gaps = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (g[0] + g[1], abs(g[0] - g[1])))
+    while True:
+        n = equal_run(a[i:], b[j:])
+        runs.append((i, j, n))
+        i, j = i + n, j + n
+        for x, y in gaps:
+            if i + x + AFTER <= len(a) and j + y + AFTER <= len(b) and (a[i + x : i + x + AFTER] == b[j + y : j + y + AFTER]).all():
+                i, j = i + x, j + y
+                break
+        else:
+            return runs
+
+
+def bridged(runs: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
+    """Ordered equal runs to spans (place and words in a, place and words in b) whose aligned shingles have a Jaccard coefficient of ``least``."""
+    out, todo = [], [runs]
+    while todo:
+        part = todo.pop()
+        if not part:
+            continue
+        at, to, n = (np.array(x) for x in zip(*part, strict=True))
+        same = np.concatenate([[0], np.cumsum(np.maximum(n - SHINGLE + 1, 0))])
+        best = (-1, 0, 0)
+        for k in range(len(part)):
+            shared = same[k + 1 :] - same[k]
+            mine, other = at[k:] + n[k:] - at[k], to[k:] + n[k:] - to[k]
+            fine = shared >= least * (np.maximum(mine - SHINGLE + 1, 1) + np.maximum(other - SHINGLE + 1, 1) - shared) - 1e-9
+            fine[0] = True  # equal words
+            e = int(np.flatnonzero(fine)[-1])
+            best = max(best, (int(mine[e]), -k, k + e))
+        k, e = -best[1], best[2]
+        out.append((int(at[k]), int(at[e] + n[e] - at[k]), int(to[k]), int(to[e] + n[e] - to[k])))
+        todo += [part[:k], part[e + 1 :]]
+    return out
+
+
+def aligned(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int, int]]:
+    """Spans around the seeds ``at`` (places in a and b), and the first and last words reached in a and b."""
+    spans, reached, done = [], [len(a), 0, len(b), 0], set()
+    seen: dict[int, list[tuple[int, int]]] = {}
+    for i, j in sorted(set(at)):
+        # A seed inside an equal run on its diagonal is done.
+        if any(x <= i and i + SEED <= y for x, y in seen.get(j - i, ())) or not (a[i : i + SEED] == b[j : j + SEED]).all():
+            continue
+        right = [(i + x, j + y, n) for x, y, n in follow(a[i:], b[j:])]
+        left = [(i - x - n, j - y - n, n) for x, y, n in follow(a[:i][::-1], b[:j][::-1])]
+        x, y, n = left[0]
+        right[0] = (x, y, n + right[0][2])
+        runs = sorted(left[1:]) + right
+        for x, y, n in runs:
+            seen.setdefault(y - x, []).append((x, x + n))
+        reached = [min(reached[0], runs[0][0]), max(reached[1], runs[-1][0] + runs[-1][2]), min(reached[2], runs[0][1]), max(reached[3], runs[-1][1] + runs[-1][2])]
+        spans += [s for s in bridged(runs, LEAST_JACCARD) if s not in done]
+        done.update(spans)
+    return spans, tuple(reached)
+
+
+def _align(least_words: int):
+    """Rows (doc_id, first_doc, pair, at, to, both slices) to spans (doc_id, at, n, first_doc, keeps); where a match reaches the end of a slice but not of its text, the pair with n = -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                a, b = np.frombuffer(r["words"], "<u4"), np.frombuffer(r["words2"], "<u4")
+                x, y = r["start"], r["start2"]
+                at = [(i - x, j - y) for i, j in zip(r["at"], r["to"], strict=True) if 0 <= i - x <= len(a) - SEED and 0 <= j - y <= len(b) - SEED]
+                spans, (a0, a1, b0, b1) = aligned(a, b, at)
+                room = GAP + AFTER
+                if spans and ((a0 < room and not r["head"]) or (b0 < room and not r["head2"]) or (a1 > len(a) - room and not r["tail"]) or (b1 > len(b) - room and not r["tail2"])):
+                    out.append((r["pair"], 0, -1, 0, False))
+                    continue
+                for i, n, j, m in spans:
+                    if n >= least_words:
+                        out.append((r["doc_id"], x + i, n, r["first_doc"], False))
+                        out.append((r["first_doc"], y + j, m, r["first_doc"], True))
+            if out:
+                cols = zip(*sorted(set(out)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "at", "n", "first_doc", "keeps"])
+
+    return run
+
+
+def _joined(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Spans (from, to, first document) with those that overlap as one."""
+    out: list[list[int]] = []
+    for a, b, f in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1], out[-1][2] = max(out[-1][1], b), min(out[-1][2], f)
+        else:
+            out.append([a, b, f])
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, at, n, first_doc, keeps) ordered by document to spans that don't overlap; what goes doesn't stay."""
+    for cols, bounds in sorted_runs(batches, 1):
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            doc = int(cols[0][lo])
+            rows = [(int(a), int(a + n), int(f), bool(k)) for a, n, f, k in zip(*(c[lo:hi] for c in cols[1:]), strict=True)]
+            goes = _joined([r[:3] for r in rows if not r[3]])
+            out += [(doc, a, b - a, f, False) for a, b, f in goes]
+            k = 0
+            for a, b, f in _joined([r[:3] for r in rows if r[3]]):
+                while k < len(goes) and goes[k][1] <= a:
+                    k += 1
+                for x, y, _ in goes[k:]:
+                    if x >= b:
+                        break
+                    if x > a:
+                        out.append((doc, a, x - a, f, True))
+                    a = max(a, y)
+                if a < b:
+                    out.append((doc, a, b - a, f, True))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "at", "n_words", "first_doc", "keeps"])
+
+
+SPANS = "doc_id long, at int, n int, first_doc long, keeps boolean"
+SLICES = "pair long, start int, words binary, head boolean, tail boolean"
+
+
+def matched_pairs(rows: DataFrame) -> DataFrame:
+    """``pair, doc_id, first_doc, at, to``: the seeds that a document shares with the first one that holds them."""
+    found = table(rows.mapInArrow(_seeds, "key long, doc_id long, at int"), "seeds")
+    met = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("key", "first_doc")
+    hits = table(found.join(met, "key"), "hits")
+    first = hits.where("doc_id = first_doc").groupBy("key").agg(F.min("at").alias("to"))
+    pairs = hits.where("doc_id > first_doc").join(first, "key").groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("at", "to")).alias("s"))
+    return table(pairs.select(F.monotonically_increasing_id().alias("pair"), "doc_id", "first_doc", F.col("s.at").alias("at"), F.col("s.to").alias("to")), "pairs")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, at, n_words, first_doc, keeps``: the repeated spans of every document; ``keeps`` marks those that stay.
 
-    A span ends where the document or place that its paragraphs first occur in no longer fits on, so each
-    span is one passage of ``first_doc``.
+    Spans of a document don't overlap; ``first_doc`` is the smallest of the documents that the words of one were met in first.
     """
-    marks = repeated_paragraphs(docs, id_col, text_col)
-    order = Window.partitionBy("doc_id").orderBy("at")
-    # A document's paragraphs are in one window; a text is one row anyway.
-    new = F.coalesce((F.lag(F.col("at") + F.col("n")).over(order) != F.col("at")).cast("int"), F.lit(1))
-    spans = marks.withColumn("new", new).withColumn("span", F.sum("new").over(order))
-    spans = spans.withColumn("own", (F.col("first_doc") == F.col("doc_id")).cast("int"))
-    whole = spans.groupBy("doc_id", "span").agg(F.sum("n").alias("words")).where(F.col("words") >= least_words).select("doc_id", "span")
-    kept = spans.join(whole, ["doc_id", "span"])
-    # Within a span, runs that stay and runs that go.
-    order = Window.partitionBy("doc_id").orderBy("at")
-    turn = F.coalesce(((F.lag("span").over(order) != F.col("span")) | (F.lag("own").over(order) != F.col("own"))).cast("int"), F.lit(1))
-    runs = kept.withColumn("turn", turn).withColumn("run", F.sum("turn").over(order))
-    return runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n_words"), F.min("first_doc").alias("first_doc"), (F.max("own") == 1).alias("keeps")).select("doc_id", "at", "n_words", "first_doc", "keeps")
+    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    pairs, margin, parts = matched_pairs(rows), MARGIN, []
+    while True:
+        # Each pair gets the words around its seeds; where a match goes on beyond them, more in the next round.
+        cut = [pairs.select("pair", (F.array_min(w) - margin).cast("long").alias("lo"), (F.array_max(w) + SEED + margin).cast("long").alias("hi"), F.col(d).alias("doc_id")).join(rows, "doc_id").select("pair", "lo", "hi", "text").mapInArrow(_slices, SLICES) for w, d in (("at", "doc_id"), ("to", "first_doc"))]
+        other = cut[1].select("pair", *[F.col(c).alias(f"{c}2") for c in ("start", "words", "head", "tail")])
+        spans = table(pairs.join(cut[0], "pair").join(other, "pair").mapInArrow(_align(least_words), SPANS), "spans")
+        parts.append(spans.where("n > 0"))
+        more = spans.where("n < 0").select(F.col("doc_id").alias("pair")).distinct()
+        if not more.take(1):
+            break
+        pairs, margin = table(pairs.join(more, "pair"), "pairs"), margin * 8
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionAll(part)
+    return every.distinct().repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_merge, "doc_id long, at int, n_words int, first_doc long, keeps boolean")
 
 
 _SPACED = re.compile(r"\S+")
@@ -260,7 +443,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` (columns of ``documents``) with repeated passages cut but for their first occurrence; texts left without a word go."""
+    """``docs`` (columns of ``documents``) with repeated passages cut but for their first occurrence; texts left without a word stay as empty rows."""
     spans = repeated_spans(docs, least_words=least_words).where("not keeps")
     lists = table(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n_words"))).alias("__spans")).withColumnRenamed("doc_id", "__id"), "spans")
     names = docs.columns
@@ -280,7 +463,6 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     n = names.index("n_chars")
                     old = part.column(n).to_pylist()
                     cols[n] = pa.array([len(t) if sp and t is not None else o for t, sp, o in zip(new, spans[k : k + 500], old, strict=True)], part.column(n).type)
-                keep = pa.array([not sp or bool((t or "").strip()) for t, sp in zip(new, spans[k : k + 500], strict=True)])
-                yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return joined.mapInArrow(run, schema)
