@@ -127,3 +127,13 @@ def test_block_pages(spark):
 def test_next_run_keeps_local_time(spark):
     at = lambda after: str(one(spark, C.next_run(F.lit("daily"), F.lit("02:30"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit("America/New_York"), F.lit(after).cast("timestamp"))))
     assert at("2024-03-09 12:00:00") == "2024-03-10 07:30:00" and at("2024-07-01 06:30:00") == "2024-07-02 06:30:00" and at("2024-01-01 00:00:00") == "2024-01-01 07:30:00"
+
+
+def test_gitbook_crawl_has_no_bound():
+    from vellumark.operators.profiles import PROFILES
+
+    build = next(p for p in PROFILES if p.name == "gitbook").build
+    page = lambda k: f'<div data-gb-table-of-contents><ul><li><a href="/p{k}">P{k}</a><ul><li><a href="/p{k + 1}">P{k + 1}</a></li></ul></li></ul></div>'
+    fetch = lambda url: page(int(url.rsplit("/p", 1)[1])) if int(url.rsplit("/p", 1)[1]) < 2100 else ""
+    urls = {e.url for e in build("https://x.test/p0", fetch)}
+    assert {f"https://x.test/p{k}" for k in range(2101)} <= urls

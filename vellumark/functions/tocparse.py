@@ -207,11 +207,11 @@ def _sorted(rows: list[dict], order: tuple[str, ...]) -> list[dict]:
     return sorted(rows, key=lambda r: (r.get(order[0]) or 0, r.get(order[1]) or ""))
 
 
-def crawl_tree(seeds: list[tuple[str, str]], children: Callable[[str], list[tuple[str, str]]], most: int) -> list[Entry]:
-    """Breadth first from (title, url) seeds to find each page's children, then depth first in order; each URL once, cycles cut."""
+def crawl_tree(seeds: list[tuple[str, str]], children: Callable[[str], list[tuple[str, str]]], most: int | None) -> list[Entry]:
+    """Breadth first from (title, url) seeds to find each page's children, then depth first in order; each URL once, cycles cut. At most ``most`` pages are expanded (None: all)."""
     kids: dict[str, list[tuple[str, str]]] = {}
     queue, known = [u for _, u in seeds], {u for _, u in seeds}
-    while queue and len(kids) < most:
+    while queue and (most is None or len(kids) < most):
         url = queue.pop(0)
         kids[url] = children(url)
         new = [u for _, u in kids[url] if u not in known]

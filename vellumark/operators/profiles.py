@@ -62,7 +62,7 @@ def _nodes(selector: str, level: str, base: int = 0) -> Build:
     return build
 
 
-def _crawl(seed: str, child: str, most: int) -> Build:
+def _crawl(seed: str, child: str, most: int | None) -> Build:
     def build(url: str, fetch: T.Fetch) -> list[T.Entry]:
         def links(at: str, selector: str) -> list[tuple[str, str]]:
             found = [(T._title(e), urljoin(at, e.attrs["href"]).split("#")[0]) for e in select(parse(fetch(at)), selector) if e.attrs.get("href")]
@@ -103,7 +103,7 @@ PROFILES = [
     Profile("collapsible_sidebar", [["host$:docs.cohesity.com", 'data-slot="sidebar-inner"&data-slot="collapsible-trigger"']], "rendered", ["article"], [], _bar("div[data-slot='sidebar-inner']")),
     Profile("docusaurus", [["theme-doc-sidebar-menu"], ["theme-doc-sidebar-item-"]], include=[".theme-doc-markdown"], build=_bar(".theme-doc-sidebar-menu")),
     Profile("mkdocs", [["md-nav__list"], ["md-content"]], include=["article.md-content__inner"], exclude=[".md-feedback", ".md-source-file", ".md-content__button"], build=_bar(".md-nav--primary .md-nav__list")),
-    Profile("gitbook", [["data-gb-table-of-contents"]], "rendered", build=_crawl("[data-gb-table-of-contents] a", "[data-gb-table-of-contents] li li a", 2000)),
+    Profile("gitbook", [["data-gb-table-of-contents"]], "rendered", build=_crawl("[data-gb-table-of-contents] a", "[data-gb-table-of-contents] li li a", None)),
     Profile("flare_webhelp", [MADCAP, ['<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar("ul.tree")),
     Profile("flare_html5", [MADCAP, ["sidenav"], ['-<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar(".sidenav")),
     Profile("intercom", [["collection-link"]], "rendered", build=_hub(category="a.collection-link", article="a[data-testid='article-link']", category_title="h2", article_title="span")),
