@@ -260,16 +260,22 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+_GAPS = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (g[0] + g[1], abs(g[0] - g[1])))
+
+
 def follow(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """Equal runs (place in a, place in b, words) from the start of both on, over gaps of up to GAP words on either side."""
-    runs, i, j = [], 0, 0
-    gaps = sorted(((x, y) for x in range(GAP + 1) for y in range(GAP + 1) if x or y), key=lambda g: (g[0] + g[1], abs(g[0] - g[1])))
+    runs, i, j, reach = [], 0, 0, GAP + AFTER
     while True:
         n = equal_run(a[i:], b[j:])
         runs.append((i, j, n))
         i, j = i + n, j + n
-        for x, y in gaps:
-            if i + x + AFTER <= len(a) and j + y + AFTER <= len(b) and (a[i + x : i + x + AFTER] == b[j + y : j + y + AFTER]).all():
+        # As bytes, short stretches compare fast.
+        width = 4 * AFTER
+        mine, other = a[i : i + reach].astype("<u4").tobytes(), b[j : j + reach].astype("<u4").tobytes()
+        for x, y in _GAPS:
+            part = mine[4 * x : 4 * x + width]
+            if len(part) == width and part == other[4 * y : 4 * y + width]:
                 i, j = i + x, j + y
                 break
         else:
@@ -278,6 +284,9 @@ def follow(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
 
 def bridged(runs: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
     """Ordered equal runs to spans (place and words in a, place and words in b) whose aligned shingles have a Jaccard coefficient of ``least``."""
+    if len(runs) == 1:
+        ((at, to, n),) = runs
+        return [(at, n, to, n)]
     out, todo = [], [runs]
     while todo:
         part = todo.pop()
