@@ -36,3 +36,12 @@ def test_stages_one_by_one(spark, sf):
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_near_duplicates_are_those_of_brute_force_jaccard(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {k: (t or "").encode("utf-8", "surrogatepass").lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    near = brute.components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(near.values())

@@ -78,3 +78,21 @@ def test_near_copies(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
     assert all(got[k] == k for k in got if k % 3 != 1) and sum(got[k] == k - 1 for k in got if k % 3 == 1) >= 38
     assert simhash.near_components(docs.where("false")).collect() == []
+
+
+def test_near_components_against_brute_force_jaccard(spark):
+    """Pairs planted on both sides of a Jaccard coefficient of 0.8: exactly those at 0.8 and above are linked."""
+    rng, texts = np.random.default_rng(9), []
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    for k in range(240):
+        base = [word() for _ in range(204)]
+        copy = list(base)
+        # Each changed word far from others takes five of 200 shingles: 4 leave 0.82, 5 to 7 leave 0.78 to 0.70.
+        for at in rng.choice(20, 4 + (k % 2) * (1 + k // 2 % 3), replace=False):
+            copy[5 + 10 * at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [set(zip(*[t.split()[d:] for d in range(5)], strict=False)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    want = {k: k - 1 if k % 2 and len(sets[k] & sets[k - 1]) >= 0.8 * len(sets[k] | sets[k - 1]) else k for k in range(len(texts))}
+    assert got == want and sum(want[k] != k for k in want) == 120
