@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vellumark.llm import paragraphs as P
 
@@ -65,10 +67,21 @@ def test_edges(spark):
     assert {r.doc_id for r in kept} == {1, 2, 3, 4, None, 5, 6, 7} and [r.text for r in kept if r.doc_id == 4] == [long, long]
 
 
-def test_hot_keys_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(P, "GROUP", 5)
-    passage, texts = planted(9, copies=30)
-    assert {r.doc_id for r in P.repeated_spans(frame(spark, texts)).collect()} == set(range(30))
+def test_passage_in_every_text(spark):
+    """Batches link their texts to their own first, and those to the first of all; nothing but the first stays."""
+    passage, texts = planted(9, copies=40)
+    docs = frame(spark, texts).repartition(8)
+    for rows in ("7", "1000"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = P.passage_components(P.repeated_spans(docs)).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        gone = {}
+        for r in got:
+            gone[r.doc_id] = gone.get(r.doc_id, 0) + (0 if r.keeps else r.n_words)
+        assert set(gone) == set(range(40)) and gone[0] == 0 and all(gone[k] >= 55 for k in range(1, 40)) and {r.component_id for r in got} == {0}
 
 
 @settings(max_examples=50, deadline=None)
@@ -92,15 +105,56 @@ def test_forest_connects_similar_sets(sets):
                 assert root(a) == root(b)
 
 
-def test_bands_reach_their_recall():
-    rng = np.random.default_rng(0)
-    met = 0
-    for _ in range(400):
-        base = rng.integers(0, 2**32, 18, dtype="u8").astype("u4")
-        a, b = np.append(base, rng.integers(0, 2**32, 2)).astype("u4"), np.append(base, rng.integers(0, 2**32, 2)).astype("u4")  # 18 of 22
-        keys = P.band_keys(np.concatenate([a, b]), np.array([0, 20, 40]))
-        met += (keys[0] == keys[1]).any()
-    assert met >= 0.95 * 400
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="aBé \n\t\x0b\u00a0", max_size=12), max_size=6), st.integers(0, 3))
+def test_words_are_runs_of_bytes(texts, skip):
+    column = pa.array(texts, pa.string()).slice(min(skip, len(texts)))
+    low, text, starts, ends = P.word_bounds(column)
+    want = [(k, w) for k, t in enumerate(texts[min(skip, len(texts)) :]) for w in t.encode().lower().split()]
+    assert [(int(k), bytes(low[a:b])) for k, a, b in zip(text, starts, ends)] == want
+    h = P.word_hashes(low, starts, ends)
+    assert len(set(h.tolist())) == len({w for _, w in want})
+
+
+def test_recall_at_the_threshold(spark):
+    """Passages of 30 to 100 words, copies edited down to a Jaccard coefficient just over 0.8: at least 0.95 are found, whole."""
+    rng, texts, want = np.random.default_rng(5), [], []
+
+    def jaccard(a, b):
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    while len(want) < 300:
+        passage = words(rng, int(rng.integers(30, 101)))
+        copy = list(passage)
+        for _ in range(3):
+            after, at, kind = list(copy), int(rng.integers(len(copy))), int(rng.integers(3))
+            after[at : at + (kind != 2)] = [] if kind == 1 else ["edited"]
+            copy = after if jaccard(passage, after) >= 0.8 else copy
+        want.append((len(texts) + 1, len(copy), passage != copy))
+        texts += [" ".join([*words(rng, 30), *passage, *words(rng, 30)]), " ".join([*words(rng, 20), *copy, *words(rng, 40)])]
+    got = {r.doc_id: r.n_words for r in P.repeated_spans(frame(spark, texts)).where("not keeps").groupBy("doc_id").agg(F.sum("n_words").alias("n_words")).collect()}
+    found = [got.get(d, 0) >= 0.9 * n for d, n, _ in want]
+    assert sum(e for _, _, e in want) > 150 and np.mean(found) >= 0.95
+
+
+def test_texts_that_share_an_id(spark):
+    """Each text of an id loses its own spans."""
+    rng = np.random.default_rng(6)
+    one, two = words(rng, 60), words(rng, 70)
+    rows = [(1, one), (2, two), (3, [*words(rng, 30), *one]), (3, [*two, *words(rng, 30)]), (3, None), (4, words(rng, 40))]
+    docs = spark.createDataFrame([(k, w and " ".join(w), "x") for k, w in rows], "doc_id long, text string, spans string")
+    kept = sorted((r.doc_id, len((r.text or "").split())) for r in P.drop_repeats(docs).collect())
+    assert kept == [(1, 60), (2, 70), (3, 0), (3, 30), (3, 30), (4, 40)]
+    assert {(r.doc_id, r.first_doc) for r in P.repeated_spans(docs).where("not keeps").collect()} == {(3, 1), (3, 2)}
+
+
+def test_components_of_removals(spark):
+    rng = np.random.default_rng(8)
+    one, two, three = words(rng, 40), words(rng, 40), words(rng, 40)
+    texts = [" ".join(t) for t in (one, one + two, two, three, words(rng, 40), three)]
+    got = {r.doc_id: r.component_id for r in P.passage_components(P.repeated_spans(frame(spark, texts))).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 5: 3}
 
 
 @given(st.text(alphabet="ab \n", max_size=40), st.lists(st.tuples(st.integers(0, 8), st.integers(1, 4)), max_size=3))

@@ -3,15 +3,16 @@
 Passages can start anywhere in a line, so every window of ``LEAST_WORDS`` words is a paragraph; its band is one MinHash value, the least hash of its
 shingles of ``SEED`` words. Neighbouring windows mostly have the same one, so a few places of a text are written, and an equal run of ``LEAST_WORDS``
 words always shares one of them (a seed). Near copies of 50 words and more with a Jaccard coefficient of 0.8 always hold such a run: n five-word
-shingles at 0.8 allow n / 45 changed words. Each seed is compared with its first occurrence (smallest document, then place): the match is
-extended word by word to both sides, gaps of up to ``GAP`` words are bridged, and bridged spans need an exact Jaccard coefficient of
-``LEAST_JACCARD`` of their aligned shingles, else they fall apart at gaps. Spans of ``LEAST_WORDS`` words then count. The first occurrence stays.
-
-No pairs of occurrences are emitted, only each one with the first. A seed's first occurrence is the only one it is compared with.
-Null and empty texts hold nothing; texts are read whole; a passage repeated within one document only is left alone. Rows that share an id are one
-document here, and rows without an id take no part. An empty table gives no rows; extra columns are not read.
-
-``paragraphs``, ``band_keys`` and ``similar`` are MinHash banding of content-cut paragraphs and the exact Jaccard forest.
+shingles at 0.8 allow n / 45 changed words. Each seed is compared with an earlier occurrence: inside a batch of texts with the batch's first (smallest
+document, then place), and the batches' firsts, one row a key and batch, with the first of all. So a passage that very many texts share is met by as
+many rows as there are batches, and its occurrences form a tree whose root stays. A match is extended word by word to both sides, gaps of up to
+``GAP`` words are bridged, and bridged spans need an exact Jaccard coefficient of ``LEAST_JACCARD`` of their aligned shingles, else they fall apart at
+gaps. Spans of ``LEAST_WORDS`` words then count. ``passage_components`` clusters documents by the removals that connect them.
+
+No pairs of occurrences are emitted, only each one with an earlier one. Words are runs of bytes other than ASCII white space, compared with A-Z in lower case.
+Null and empty texts hold nothing; texts are read whole; a passage repeated within one document only is left alone. Rows that share id and text are
+one document; other texts of an id are documents of their own, later than all ids. Rows without an id take no part. An empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,25 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import give_back, id_and_text, table
-from vellumark.llm.tokens import texts
-
-#: Words looked at on either side of a cut; words of a shingle; bands and MinHash values in each: 1 - (1 - 0.8^2)^4 = 0.98 of pairs at the threshold meet.
-REACH, SHINGLE, BANDS, ROWS = 5, 5, 4, 2
-#: Least Jaccard coefficient, and words that the repeated paragraphs of a span must have together.
-LEAST_JACCARD, LEAST_WORDS = 0.8, 20
-#: Colliding paragraphs of one key that one chunk takes.
-GROUP = 1024
-
-PARAGRAPHS = "doc_id long, at int, n int, c long, shingles binary"
-_RNG = np.random.default_rng(20)
-_MUL = _RNG.integers(1, 2**32, BANDS * ROWS, dtype="u8") | np.uint64(1)
-_ADD = _RNG.integers(0, 2**32, BANDS * ROWS, dtype="u8")
+from vellumark.llm.scratch import drop, give_back, id_and_text, table, turn_to_other_work
+
+#: Words of a shingle; least Jaccard coefficient, and words of a span.
+SHINGLE, LEAST_JACCARD, LEAST_WORDS = 5, 0.8, 20
+#: Words of a seed, words that a gap may have on either side, equal words that must follow a gap, words read beyond the outermost seeds at first.
+SEED, GAP, AFTER, MARGIN = 12, 4, 5, 400
+#: Bytes of text that are hashed together, and words that seeds are chosen of together.
+BYTES, AT_ONCE = 1 << 20, 1 << 20
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 2**64)
+_POWERS: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,206 +48,130 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), "u8", len(words))
-
-
-def cuts(h: np.ndarray, place: np.ndarray, rest: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Marks the words where a paragraph begins. ``place``: words before it in its text; ``rest``: after it."""
-    local = _mix(h.copy())
-    local[:-1] += h[1:] * np.uint64(3)
-    local = _mix(local)
-    # Near the ends of a text there is no full neighbourhood to compare with.
-    least = (place >= reach) & (rest >= reach)
-    for d in range(1, min(reach, len(h) - 1) + 1):
-        least[d:] &= local[d:] < local[:-d]
-        least[:-d] &= local[:-d] <= local[d:]
-    return least | (place == 0)
-
-
-def paragraphs(some: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all paragraphs of the texts: which text, first word, number of words, hash of the content, number of shingles; and all shingle hashes."""
-    words = [(t or "").lower().split() for t in some]
-    lengths = np.array([len(w) for w in words], "i8")
-    h = word_hashes([w for ws in words for w in ws])
-    if not len(h):
-        return (*[np.zeros(0, "i8")] * 5, np.zeros(0, "u4"))
-    text = np.repeat(np.arange(len(some)), lengths)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    start = np.flatnonzero(cuts(h, place, lengths[text] - 1 - place))
-    size = np.diff(np.append(start, len(h)))
-    # Shingles of up to five words that stay inside their paragraph; a shorter paragraph is one shingle.
-    of = np.repeat(np.arange(len(start)), size)
-    inner = np.arange(len(h)) - start[of]
-    left = size[of] - inner
-    roll = np.zeros(len(h), "u8")
-    for d in range(SHINGLE):
-        shifted = np.zeros(len(h), "u8")
-        shifted[: max(0, len(h) - d)] = h[d:]
-        roll = _mix(roll + np.where(left > d, shifted, np.uint64(0)) + np.uint64(d))
-    own = (left >= SHINGLE) | (inner == 0)
-    # Content: the words in order.
-    odd = inner.astype("u8") * np.uint64(2) + np.uint64(1)
-    content = _mix(np.add.reduceat(_mix(h + odd) * odd, start) + size.astype("u8"))
-    return text[start], place[start], size, content.view("i8"), np.bincount(of[own], minlength=len(start)), (roll[own] >> np.uint64(32)).astype("<u4")
-
-
-def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc_ids = batch.column(0).to_numpy()
-        for k, some in texts(batch, 1, 200):
-            text, at, n, c, counts, flat = paragraphs(some)
-            if len(at):
-                ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype("i4")
-                shingles = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[k + text]), pa.array(at.astype("i4")), pa.array(n.astype("i4")), pa.array(c), shingles], ["doc_id", "at", "n", "c", "shingles"])
-    give_back()
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64; kept up to the usual length."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        made = [np.concatenate([np.ones(1, "u8"), np.full(max(n, BYTES + 4096) - 1, m, "u8")]).cumprod(dtype="u8") for m in (_POWER, _INVERSE)]
+        if n > 2 * BYTES:
+            return made
+        _POWERS[:] = made
+    return _POWERS
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a binary column, and where each row's begin, with the end."""
-    offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset : column.offset + len(column) + 1]
+def word_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts without nulls: its bytes, A-Z in lower case; of each word the text, the first byte, and the end."""
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], "i8" if wide else "i4")[column.offset : column.offset + len(column) + 1].astype("i8")
     data = np.frombuffer(column.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
-    return np.frombuffer(data.tobytes(), "<u4"), (offsets - offsets[0]) // 4
-
-
-def band_keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows, bands) 64-bit keys of rows of shingle hashes."""
-    x = flat.astype("u8")
-    keys = np.zeros((len(bounds) - 1, BANDS), "u8")
-    for b in range(BANDS):
-        key = np.full(len(bounds) - 1, b, "u8")
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            values = (_mix(x * _MUL[r] + _ADD[r]) >> np.uint64(16)).astype("u8")
-            key = _mix(key * np.uint64(31) + np.minimum.reduceat(values, bounds[:-1]))
-        keys[:, b] = key
-    return keys.view("i8")
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    offsets -= offsets[0]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    space = (data == 32) | ((data - np.uint8(9)) < 5)
+    starts, ends = ~space, ~space
+    starts[1:] &= space[:-1] | edge[1:-1]
+    ends[:-1] &= space[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    low = data + ((data - np.uint8(65)) < 26) * np.uint8(32)
+    return low, np.searchsorted(offsets, starts, side="right") - 1, starts, ends
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words: polynomials of their bytes from running sums, mixed."""
+    out, at = np.empty(len(starts), "u8"), 0
+    while at < len(starts):
+        first = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + BYTES, side="right")))
+        part = low[first : ends[to - 1]]
+        power, inverse = _powers(len(part))
+        total = np.zeros(len(part) + 1, "u8")
+        np.cumsum((part.astype("u8") + np.uint64(1)) * power[: len(part)], out=total[1:])
+        a = starts[at:to] - first
+        out[at:to] = (total[ends[at:to] - first] - total[a]) * inverse[a]
+        at = to
+    return _mix(_mix(out))
+
+
+def seeds(h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the seeds among words with hashes ``h``, and their keys; ``left``: words from each to the end of its text."""
+    wide, at, keys = LEAST_WORDS - SEED + 1, [np.zeros(0, "i8")], [np.zeros(0, "u8")]
+    for k in range(0, len(h) - LEAST_WORDS + 1, AT_ONCE):
+        part = h[k : k + AT_ONCE + LEAST_WORDS - 1]
+        power, inverse = _powers(len(part))
+        total = np.concatenate([np.zeros(1, "u8"), np.cumsum(part * power[: len(part)], dtype="u8")])
+        gram = _mix(_mix((total[SEED:] - total[:-SEED]) * inverse[: len(part) - SEED + 1]))
+        n = len(gram) - wide + 1
+        least = gram[:n].copy()
+        for d in range(1, wide):
+            np.minimum(least, gram[d : d + n], out=least)
+        # Of equal ones in a window the first.
+        chosen, open_ = np.zeros(len(gram), bool), left[k : k + n] >= LEAST_WORDS
+        for d in range(wide):
+            hit = open_ & (gram[d : d + n] == least)
+            chosen[d : d + n] |= hit
+            open_ &= ~hit
+        found = np.flatnonzero(chosen)
+        at.append(found + k)
+        keys.append(gram[found])
+    at, keys = np.concatenate(at), np.concatenate(keys)
+    at, once = np.unique(at, return_index=True)
+    return at, keys[once]
+
+
+#: What is written of the texts: seeds (key, doc, at), hits inside a batch (doc, at, first, to), and hashes of all words of a document.
+FOUND = "kind int, key long, doc long, at int, first long, to int, words binary"
+
+
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    kinds = {"kind": pa.int32(), "key": pa.int64(), "doc": pa.int64(), "at": pa.int32(), "first": pa.int64(), "to": pa.int32(), "words": pa.binary()}
+    columns["kind"] = np.full(n, kind, "i4")
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to_other_work()
     for batch in batches:
-        if batch.num_rows:
-            # Equal paragraphs of a batch go on once.
-            c, once = np.unique(batch.column(0).to_numpy(), return_index=True)
-            keys = band_keys(*_flat(batch.column(1).take(pa.array(once))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(c, BANDS))], ["key", "c"])
-
-
-def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, c) in that order the distinct ones whose key has several."""
-    for (key, c), _ in sorted_runs(batches, 1):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-        key, c = key[new], c[new]
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[keep])], ["key", "c"])
-
-
-def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the sets with a Jaccard coefficient of at least ``least``."""
-    sizes = np.array([len(s) for s in sets])
-    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(inverse, kind="stable")
-    first = np.searchsorted(inverse[order], np.arange(len(ids) + 1))
-    starts = np.cumsum(sizes) - sizes
-    links, open_, alive = [], [], np.ones(len(sets), bool)
-    for seed in range(len(sets)):
-        if not alive[seed]:
-            continue
-        alive[seed] = False
-        open_ = [seed]
-        while open_:
-            a = open_.pop()
-            shared = np.zeros(len(sets), "i8")
-            for t in inverse[starts[a] : starts[a] + sizes[a]]:
-                shared[owner[order[first[t] : first[t + 1]]]] += 1
-            near = np.flatnonzero(alive & (shared >= least * (sizes + sizes[a] - shared) - 1e-9) & (shared > 0))
-            alive[near] = False
-            links += [(a, int(b)) for b in near]
-            open_ += near.tolist()
-    return links
-
-
-def _verify(least: float):
-    """Rows (key, i, j, c, shingles) ordered by the first three to links between contents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, bounds in sorted_runs(batches, 3):
-            n = len(cols[0])
-            bounds = bounds if bounds[-1] == n else np.append(bounds, n)
-            a, b = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1:
-                    c = cols[3][lo:hi]
-                    for x, y in similar([np.unique(np.frombuffer(s, "<u4")) for s in cols[4][lo:hi]], least):
-                        if c[x] != c[y]:
-                            a.append(int(c[x]))
-                            b.append(int(c[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-#: Words of a seed, words that a gap may have on either side, equal words that must follow a gap, words read beyond the outermost seeds at first.
-SEED, GAP, AFTER, MARGIN = 12, 4, 5, 40
-_POWER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_POWER, -1, 2**64)
-
-
-def seeds(some: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all seeds of the texts: which text, first word, key."""
-    words = [(t or "").lower().split() for t in some]
-    lengths = np.array([len(w) for w in words], "i8")
-    n, wide = int(lengths.sum()), LEAST_WORDS - SEED + 1
-    if n < LEAST_WORDS:
-        return (*[np.zeros(0, "i8")] * 2, np.zeros(0, "i8"))
-    h = word_hashes([w for ws in words for w in ws])
-    text = np.repeat(np.arange(len(some)), lengths)
-    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    # Polynomial of SEED words from running sums, modulo 2^64.
-    power, inverse = (np.append(np.ones(1, "u8"), np.full(n - 1, m, "u8")).cumprod(dtype="u8") for m in (_POWER, _INVERSE))
-    total = np.concatenate([np.zeros(1, "u8"), np.cumsum(h * power, dtype="u8")])
-    gram = _mix(_mix((total[SEED:] - total[:-SEED]) * inverse[: n - SEED + 1]))
-    least = np.min(np.lib.stride_tricks.sliding_window_view(gram, wide), axis=1)
-    window = lengths[text] - place >= LEAST_WORDS
-    chosen = np.zeros(len(gram), bool)
-    for d in range(wide):
-        chosen[d : d + len(least)] |= window[: len(least)] & (gram[d : d + len(least)] == least)
-    at = np.flatnonzero(chosen)
-    return text[at], place[at], gram[at].view("i8")
-
-
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc_ids = batch.column(0).to_numpy()
-        for k, some in texts(batch, 1, 200):
-            text, at, key = seeds(some)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc_ids[k + text]), pa.array(at.astype("i4"))], ["key", "doc_id", "at"])
+        docs, sizes = batch.column(0).to_numpy(), np.diff(np.frombuffer(batch.column(1).buffers()[1], "i8" if pa.types.is_large_string(batch.column(1).type) else "i4")[batch.column(1).offset :][: batch.num_rows + 1].astype("i8"))
+        # A few megabytes of text at a time.
+        group = np.cumsum(sizes) // (8 * BYTES)
+        for lo in np.flatnonzero(np.diff(group, prepend=-1)).tolist():
+            hi = int(np.searchsorted(group, group[lo], side="right"))
+            low, text, starts, ends = word_bounds(batch.column(1).slice(lo, hi - lo))
+            h = word_hashes(low, starts, ends)
+            del low, starts, ends
+            begin = np.searchsorted(text, np.arange(hi - lo + 1))
+            place = np.arange(len(h)) - begin[text]
+            at, key = seeds(h, begin[text + 1] - begin[text] - place)
+            doc, at = docs[lo + text[at]], place[at].astype("i4")
+            for k in range(hi - lo):
+                if begin[k + 1] - begin[k] >= LEAST_WORDS:
+                    yield _rows(2, 1, doc=docs[lo + k : lo + k + 1], words=[(h[begin[k] : begin[k + 1]] >> np.uint64(32)).astype("<u4").tobytes()])
+            if len(key):
+                order = np.lexsort((at, doc, key))
+                new = np.append(True, key[order][1:] != key[order][:-1])
+                first = np.empty(len(key), "i8")
+                first[order] = order[new][np.cumsum(new) - 1]
+                # Of each key of the batch the first occurrence goes on, in the order of the texts.
+                own = np.sort(order[new])
+                yield _rows(0, len(own), key=key[own].view("i8"), doc=doc[own], at=at[own])
+                hit = np.flatnonzero(doc > doc[first])
+                yield _rows(1, len(hit), doc=doc[hit], at=at[hit], first=doc[first[hit]], to=at[first[hit]])
     give_back()
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pair, lo, hi, text) to rows (pair, from, words, whole): hashes of the words from lo to hi, and whether the text goes on on either side."""
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc, at) in that order to hits (doc, at, first, to); of a key only its first row is held."""
+    held = None
     for batch in batches:
-        pair, lo, hi = (batch.column(k).to_numpy() for k in range(3))
-        for k, some in texts(batch, 3, 200):
-            out, last, words = [], None, []
-            for r, t in enumerate(some, k):
-                if t != last:
-                    last, words = t, (t or "").lower().split()
-                a = max(0, int(lo[r]))
-                out.append((pair[r], a, word_hashes(words[a : hi[r]]).astype("<u4").tobytes(), a == 0, hi[r] >= len(words)))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], ["pair", "start", "words", "head", "tail"])
-    give_back()
+        if not batch.num_rows:
+            continue
+        key, doc, at = (c.to_numpy() for c in batch.columns)
+        if held is not None:
+            key, doc, at = (np.append(np.array([x], c.dtype), c) for x, c in zip(held, (key, doc, at), strict=True))
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        hit = doc > doc[first]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[hit], at[hit], doc[first][hit], at[first][hit])], ["doc", "at", "first", "to"])
+        held = (key[-1], doc[first[-1]], at[first[-1]])
 
 
 def equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -272,7 +197,7 @@ def follow(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         i, j = i + n, j + n
         # As bytes, short stretches compare fast.
         width = 4 * AFTER
-        mine, other = a[i : i + reach].astype("<u4").tobytes(), b[j : j + reach].astype("<u4").tobytes()
+        mine, other = a[i : i + reach].tobytes(), b[j : j + reach].tobytes()
         for x, y in _GAPS:
             part = mine[4 * x : 4 * x + width]
             if len(part) == width and part == other[4 * y : 4 * y + width]:
@@ -302,19 +227,23 @@ def bridged(runs: list[tuple[int, int, int]], least: float) -> list[tuple[int, i
             fine[0] = True  # equal words
             e = int(np.flatnonzero(fine)[-1])
             best = max(best, (int(mine[e]), -k, k + e))
+            if e == len(part) - 1 - k:
+                break  # later starts end no later
         k, e = -best[1], best[2]
         out.append((int(at[k]), int(at[e] + n[e] - at[k]), int(to[k]), int(to[e] + n[e] - to[k])))
         todo += [part[:k], part[e + 1 :]]
     return out
 
 
-def aligned(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int, int]]:
-    """Spans around the seeds ``at`` (places in a and b), and the first and last words reached in a and b."""
-    spans, reached, done = [], [len(a), 0, len(b), 0], set()
+def aligned(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]], least_words: int = LEAST_WORDS) -> tuple[list[tuple[int, int, int, int]], tuple[int, int, int, int]]:
+    """Spans around the seeds ``at`` (places in a and b), and the first and last words reached in a and b.
+
+    Seeds inside a span that is long enough are done: their words are known to repeat, whatever other place they point to.
+    """
+    spans, reached, covered = [], [len(a), 0, len(b), 0], np.zeros(len(a), bool)
     seen: dict[int, list[tuple[int, int]]] = {}
     for i, j in sorted(set(at)):
-        # A seed inside an equal run on its diagonal is done.
-        if any(x <= i and i + SEED <= y for x, y in seen.get(j - i, ())) or not (a[i : i + SEED] == b[j : j + SEED]).all():
+        if covered[i] and covered[i + SEED - 1] and covered[i : i + SEED].all() or any(x <= i and i + SEED <= y for x, y in seen.get(j - i, ())) or not (a[i : i + SEED] == b[j : j + SEED]).all():
             continue
         right = [(i + x, j + y, n) for x, y, n in follow(a[i:], b[j:])]
         left = [(i - x - n, j - y - n, n) for x, y, n in follow(a[:i][::-1], b[:j][::-1])]
@@ -324,33 +253,42 @@ def aligned(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]]) -> tuple[li
         for x, y, n in runs:
             seen.setdefault(y - x, []).append((x, x + n))
         reached = [min(reached[0], runs[0][0]), max(reached[1], runs[-1][0] + runs[-1][2]), min(reached[2], runs[0][1]), max(reached[3], runs[-1][1] + runs[-1][2])]
-        spans += [s for s in bridged(runs, LEAST_JACCARD) if s not in done]
-        done.update(spans)
-    return spans, tuple(reached)
+        for s in bridged(runs, LEAST_JACCARD):
+            spans.append(s)
+            if s[1] >= least_words:
+                covered[s[0] : s[0] + s[1]] = True
+    return list(dict.fromkeys(spans)), tuple(reached)
+
+
+SPANS = "doc long, at int, n int, first long, keeps boolean"
 
 
 def _align(least_words: int):
-    """Rows (doc_id, first_doc, pair, at, to, both slices) to spans (doc_id, at, n, first_doc, keeps); where a match reaches the end of a slice but not of its text, the pair with n = -1."""
+    """Rows (pair, seeds, and of both sides the document, place of the slice, its words, and those of the whole text) to spans (doc, at, n, first, keeps); where a match reaches the end of a slice but not of its text, the pair with n = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                a, b = np.frombuffer(r["words"], "<u4"), np.frombuffer(r["words2"], "<u4")
-                x, y = r["start"], r["start2"]
-                at = [(i - x, j - y) for i, j in zip(r["at"], r["to"], strict=True) if 0 <= i - x <= len(a) - SEED and 0 <= j - y <= len(b) - SEED]
-                spans, (a0, a1, b0, b1) = aligned(a, b, at)
-                room = GAP + AFTER
-                if spans and ((a0 < room and not r["head"]) or (b0 < room and not r["head2"]) or (a1 > len(a) - room and not r["tail"]) or (b1 > len(b) - room and not r["tail2"])):
-                    out.append((r["pair"], 0, -1, 0, False))
-                    continue
-                for i, n, j, m in spans:
-                    if n >= least_words:
-                        out.append((r["doc_id"], x + i, n, r["first_doc"], False))
-                        out.append((r["first_doc"], y + j, m, r["first_doc"], True))
+            for k in range(0, batch.num_rows, 100):
+                for r in batch.slice(k, 100).to_pylist():
+                    mine, other = r["mine"], r["other"]
+                    a, b, x, y = np.frombuffer(mine["words"], "<u4"), np.frombuffer(other["words"], "<u4"), mine["start"], other["start"]
+                    at = [(s["at"] - x, s["to"] - y) for s in r["seeds"]]
+                    at = [(i, j) for i, j in at if 0 <= i <= len(a) - SEED and 0 <= j <= len(b) - SEED]
+                    spans, (a0, a1, b0, b1) = aligned(a, b, at, least_words)
+                    room = GAP + AFTER
+                    if spans and ((a0 < room and x) or (b0 < room and y) or (a1 > len(a) - room and x + len(a) < mine["all"]) or (b1 > len(b) - room and y + len(b) < other["all"])):
+                        out.append((r["pair"], 0, -1, 0, False))
+                        continue
+                    for i, n, j, m in spans:
+                        if n >= least_words:
+                            out.append((mine["doc"], x + i, n, other["doc"], False))
+                            out.append((other["doc"], y + j, m, other["doc"], True))
             if out:
                 cols = zip(*sorted(set(out)), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "at", "n", "first_doc", "keeps"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc", "at", "n", "first", "keeps"])
+        give_back()
 
     return run
 
@@ -367,10 +305,12 @@ def _joined(spans: list[tuple[int, int, int]]) -> list[list[int]]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, at, n, first_doc, keeps) ordered by document to spans that don't overlap; what goes doesn't stay."""
+    """Rows (doc, at, n, first, keeps) ordered by document to spans that don't overlap; what goes doesn't stay."""
     for cols, bounds in sorted_runs(batches, 1):
         out = []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(cols[0]))[: len(bounds)], strict=True):
+            if lo == hi:
+                continue
             doc = int(cols[0][lo])
             rows = [(int(a), int(a + n), int(f), bool(k)) for a, n, f, k in zip(*(c[lo:hi] for c in cols[1:]), strict=True)]
             goes = _joined([r[:3] for r in rows if not r[3]])
@@ -388,47 +328,87 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if a < b:
                     out.append((doc, a, b - a, f, True))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "at", "n_words", "first_doc", "keeps"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], ["doc", "at", "n_words", "first", "keeps"])
 
 
-SPANS = "doc_id long, at int, n int, first_doc long, keeps boolean"
-SLICES = "pair long, start int, words binary, head boolean, tail boolean"
+def matched_pairs(found: DataFrame) -> DataFrame:
+    """``pair, doc, first, seeds``: the seeds (at, to) that a document shares with an earlier one, of rows of ``FOUND``."""
+    keyed = found.where("kind = 0").select("key", "doc", "at")
+    far = keyed.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(_firsts, "doc long, at int, first long, to int")
+    hits = far.unionAll(found.where("kind = 1").select("doc", "at", "first", "to"))
+    pairs = hits.groupBy("doc", "first").agg(F.collect_list(F.struct("at", "to")).alias("seeds"))
+    return table(pairs.select(F.monotonically_increasing_id().alias("pair"), "doc", "first", "seeds"), "pairs")
 
 
-def matched_pairs(rows: DataFrame) -> DataFrame:
-    """``pair, doc_id, first_doc, at, to``: the seeds that a document shares with the first one that holds them."""
-    found = table(rows.mapInArrow(_seeds, "key long, doc_id long, at int"), "seeds")
-    met = found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("key", "first_doc")
-    hits = table(found.join(met, "key"), "hits")
-    first = hits.where("doc_id = first_doc").groupBy("key").agg(F.min("at").alias("to"))
-    pairs = hits.where("doc_id > first_doc").join(first, "key").groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("at", "to")).alias("s"))
-    return table(pairs.select(F.monotonically_increasing_id().alias("pair"), "doc_id", "first_doc", F.col("s.at").alias("at"), F.col("s.to").alias("to")), "pairs")
+def _slices(pairs: DataFrame, words: DataFrame, margin: int) -> DataFrame:
+    """Pairs with the words of both sides from ``margin`` before the first seed to as many after the last; each text's words are dealt out once."""
 
+    def wanted(side: int, doc: str, at: str) -> DataFrame:
+        lo = F.greatest(F.lit(0), F.array_min(f"seeds.{at}") - margin)
+        return pairs.select(F.col(doc).alias("doc"), "pair", F.lit(side).alias("side"), lo.alias("start"), (F.array_max(f"seeds.{at}") + SEED + margin).alias("end"))
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, at, n_words, first_doc, keeps``: the repeated spans of every document; ``keeps`` marks those that stay.
+    wants = wanted(0, "doc", "at").unionAll(wanted(1, "first", "to"))
+    cut = wants.join(words, "doc").select("pair", "side", F.struct("doc", "start", F.expr("substring(words, start * 4 + 1, (end - start) * 4)").alias("words"), (F.octet_length("words") / 4).cast("int").alias("all")).alias("s"))
+    both = cut.where("side = 0").select("pair", F.col("s").alias("mine")).join(cut.where("side = 1").select("pair", F.col("s").alias("other")), "pair")
+    return both.join(pairs.select("pair", "seeds"), "pair")
 
-    Spans of a document don't overlap; ``first_doc`` is the smallest of the documents that the words of one were met in first.
-    """
-    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    pairs, margin, parts = matched_pairs(rows), MARGIN, []
+
+def _spans(rows: DataFrame, least_words: int) -> DataFrame:
+    """``doc, at, n_words, first, keeps`` of rows (doc, text) with an id each."""
+    found = table(rows.mapInArrow(_found, FOUND), "found")
+    pairs, margin, parts = matched_pairs(found), MARGIN, []
+    words = found.where("kind = 2").select("doc", "words")
+    words = words.dropDuplicates(["doc"])  # rows that share id and text
     while True:
-        # Each pair gets the words around its seeds; where a match goes on beyond them, more in the next round.
-        cut = [pairs.select("pair", (F.array_min(w) - margin).cast("long").alias("lo"), (F.array_max(w) + SEED + margin).cast("long").alias("hi"), F.col(d).alias("doc_id")).join(rows, "doc_id").select("pair", "lo", "hi", "text").mapInArrow(_slices, SLICES) for w, d in (("at", "doc_id"), ("to", "first_doc"))]
-        other = cut[1].select("pair", *[F.col(c).alias(f"{c}2") for c in ("start", "words", "head", "tail")])
-        spans = table(pairs.join(cut[0], "pair").join(other, "pair").mapInArrow(_align(least_words), SPANS), "spans")
+        # Where a match goes on beyond the slices, longer ones in the next round.
+        spans = table(_slices(pairs, words, margin).mapInArrow(_align(least_words), SPANS), "spans")
         parts.append(spans.where("n > 0"))
-        more = spans.where("n < 0").select(F.col("doc_id").alias("pair")).distinct()
+        more = spans.where("n < 0").select(F.col("doc").alias("pair")).distinct()
         if not more.take(1):
             break
-        pairs, margin = table(pairs.join(more, "pair"), "pairs"), margin * 8
+        pairs, margin = table(pairs.join(more, "pair"), "pairs"), margin * 16
+    drop(found)
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    return every.distinct().repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_merge, "doc_id long, at int, n_words int, first_doc long, keeps boolean")
+    return every.distinct().repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge, "doc long, at int, n_words int, first long, keeps boolean")
 
 
-_SPACED = re.compile(r"\S+")
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (doc, text), and, where an id has several texts, a table (doc, doc_id, h) of all but the one with the least hash, numbered beyond the ids."""
+    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    several = rows.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("doc_id").alias("top"))
+    odd = table(several.where("low < high").select("doc_id", "low"), "shared-ids")
+    if not odd.take(1):
+        return rows.select(F.col("doc_id").alias("doc"), "text"), None
+    top = several.agg(F.max("top")).first()[0]
+    others = rows.select("doc_id", F.xxhash64("text").alias("h")).join(odd, "doc_id").where("h > low").select("doc_id", "h").distinct()
+    others = table(others.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("doc"), "doc_id", "h"), "shared-ids")
+    named = rows.withColumn("h", F.xxhash64("text")).join(others, ["doc_id", "h"], "left")
+    return named.select(F.coalesce("doc", "doc_id").alias("doc"), "text"), others
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, at, n_words, first_doc, keeps``: the repeated spans of every document; ``keeps`` marks those that stay.
+
+    Spans of a document don't overlap; ``first_doc`` is the smallest of the earlier documents that the words of one were compared with.
+    """
+    rows, others = _documents(docs, id_col, text_col)
+    spans = _spans(rows, least_words)
+    if others is not None:
+        mine, first = (others.select(F.col("doc").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in ("doc", "first"))
+        spans = spans.join(mine, "doc", "left").join(first, "first", "left").select(F.coalesce("doc_id", "doc").alias("doc"), "at", "n_words", F.coalesce("first_id", "first").alias("first"), "keeps")
+    return spans.select(F.col("doc").alias("doc_id"), "at", "n_words", F.col("first").alias("first_doc"), "keeps")
+
+
+def passage_components(spans: DataFrame) -> DataFrame:
+    """Rows of ``repeated_spans`` with ``component_id``: the smallest document that removals connect theirs to."""
+    spans = table(spans, "spans")
+    linked = connected_components(spans.where("not keeps").select(F.col("doc_id").alias("a"), F.col("first_doc").alias("b")))
+    return spans.join(linked, F.col("doc_id") == F.col("node"), "left").select(*spans.columns, F.coalesce("component", "doc_id").alias("component_id"))
+
+
+_SPACED = re.compile(r"[^\x09-\x0d\x20]+")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -452,26 +432,67 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` (columns of ``documents``) with repeated passages cut but for their first occurrence; texts left without a word stay as empty rows."""
-    spans = repeated_spans(docs, least_words=least_words).where("not keeps")
-    lists = table(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n_words"))).alias("__spans")).withColumnRenamed("doc_id", "__id"), "spans")
-    names = docs.columns
-    joined = docs.join(lists, F.col("doc_id") == F.col("__id"), "left").select(*names, "__spans")
+    """``docs`` (columns of ``documents``) with repeated passages cut but for their first occurrence.
+
+    Texts left without a word stay as empty rows; null texts, and rows without an id, stay as they are. Each text of a shared id loses its own spans. ``n_chars`` follows
+    the text where it is cut. An empty table gives no rows; other columns, whatever their names, are carried along.
+    """
+    names, schema = docs.columns, docs.schema
     at = names.index("text")
-    schema = docs.schema
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows, others = _documents(docs, "doc_id", "text")
+    spans = _spans(rows, least_words).where("not keeps")
+    lists = table(spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "n_words"))).alias("spans")), "spans")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), whole)
+    if others is not None:
+        found = others.select(F.col("doc").alias("other"), F.col("doc_id").alias("doc"), "h")
+        keyed = keyed.withColumn("h", F.xxhash64("row.text")).join(found, ["doc", "h"], "left").select(F.coalesce("other", "doc").alias("doc"), "row")
+    joined = keyed.join(lists, "doc", "left").select(F.col("row.*"), F.col("spans").alias("spans of the text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to_other_work()
         for batch in batches:
-            spans = batch.column(len(names)).to_pylist()
-            for k, some in texts(batch, at, 500):
-                new = [cut_spans(t, [(s["at"], s["n_words"]) for s in sp]) if sp and t else t for t, sp in zip(some, spans[k : k + 500], strict=True)]
-                part = batch.slice(k, 500)
-                cols = list(part.columns[: len(names)])
-                cols[at] = pa.array(new, part.column(at).type)
+            spans = batch.column(len(names))
+            cut = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            cols = list(batch.columns[: len(names)])
+            if len(cut):
+                new = {}
+                for k in cut.tolist():
+                    if (t := cols[at][k].as_py()) is not None:
+                        new[k] = cut_spans(t, [(s["at"], s["n_words"]) for s in spans[k].as_py()])
+                chosen = np.zeros(batch.num_rows, bool)
+                chosen[list(new)] = True
+                cols[at] = pc.replace_with_mask(cols[at], pa.array(chosen), pa.array(list(new.values()), cols[at].type))
                 if "n_chars" in names:
                     n = names.index("n_chars")
-                    old = part.column(n).to_pylist()
-                    cols[n] = pa.array([len(t) if sp and t is not None else o for t, sp, o in zip(new, spans[k : k + 500], old, strict=True)], part.column(n).type)
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    cols[n] = pc.replace_with_mask(cols[n], pa.array(chosen), pa.array([len(t) for t in new.values()], cols[n].type))
+            yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     return joined.mapInArrow(run, schema)
+
+
+def similar(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the sets with a Jaccard coefficient of at least ``least``."""
+    sizes = np.array([len(s) for s in sets])
+    ids, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(inverse, kind="stable")
+    first = np.searchsorted(inverse[order], np.arange(len(ids) + 1))
+    starts = np.cumsum(sizes) - sizes
+    links, open_, alive = [], [], np.ones(len(sets), bool)
+    for seed in range(len(sets)):
+        if not alive[seed]:
+            continue
+        alive[seed] = False
+        open_ = [seed]
+        while open_:
+            a = open_.pop()
+            shared = np.zeros(len(sets), "i8")
+            for t in inverse[starts[a] : starts[a] + sizes[a]]:
+                shared[owner[order[first[t] : first[t + 1]]]] += 1
+            near = np.flatnonzero(alive & (shared >= least * (sizes + sizes[a] - shared) - 1e-9) & (shared > 0))
+            alive[near] = False
+            links += [(a, int(b)) for b in near]
+            open_ += near.tolist()
+    return links

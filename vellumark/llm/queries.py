@@ -61,9 +61,9 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellumark.llm.paragraphs import repeated_spans
+    from vellumark.llm.paragraphs import passage_components, repeated_spans
 
-    return repeated_spans(_read(spark, sf_dir, "documents"))
+    return passage_components(repeated_spans(_read(spark, sf_dir, "documents")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
