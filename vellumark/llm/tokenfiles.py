@@ -40,9 +40,9 @@ def _encode(path: str, end_id: int):
 
         def out(ids: list, rows: list[bytes]) -> pa.RecordBatch:
             nonlocal start
-            sizes = np.array([len(r) // 4 for r in rows], "i8")
+            sizes = np.array([len(r) // 4 + 1 for r in rows], "i8")
             ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(b"".join(rows), "<u4").astype("i4"))
+            flat = pa.array(np.frombuffer(end.join([*rows, b""]), "<i4"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), flat)
             made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(rows), shard, "i4")), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
             start += int(ends[-1])
@@ -52,9 +52,9 @@ def _encode(path: str, end_id: int):
             doc_ids, kept, rows, held = batch.column(0).to_pylist(), [], [], 0
             for k, some in texts(batch):
                 for j, text in enumerate(some):
-                    rows.append(enc.encode(text or "") + end)
+                    rows.append(enc.encode(text or ""))
                     kept.append(doc_ids[k + j])
-                    held += len(rows[-1])
+                    held += len(rows[-1]) + 4
                     if held >= HOLD:
                         yield out(kept, rows)
                         kept, rows, held = [], [], 0

@@ -20,6 +20,8 @@ _ODD = re.compile("[\x1c-\x1f\x85᠎]")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts that a worker remembers, and the longest that it does.
 REMEMBER, LONGEST = 650_000, 48
+#: Punctuation that the pattern takes by itself after a word; an apostrophe may start a contraction.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The array type of unsigned 32-bit numbers.
 U32 = "I"
 
@@ -47,10 +49,12 @@ class Encoder:
         # Others than plain byte-level tokenizers encode whole texts.
         self.parts = made["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and made["model"]["type"] == "BPE"
         self.find = regex.compile(_PATTERN).findall
+        self.model = self.tok.model
         self.names = dict(enumerate(_byte_names()))
         self.space = self.names[32]
-        #: Ids of parts that followed a space, and of other words.
+        #: Ids of parts that followed a space (those met lately, and those before them), and of other words.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -62,15 +66,22 @@ class Encoder:
             named = word.replace(" ", self.space)
         else:
             named = word.encode().decode("latin1").translate(self.names)
-        return array(U32, [t.id for t in self.tok.model.tokenize(named)]).tobytes()
+        return array(U32, [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _remember(self, known: dict[str, bytes], key: str, ids: bytes) -> bytes:
         if len(key) <= LONGEST:
-            if len(known) >= REMEMBER:
+            if 2 * len(known) >= REMEMBER:
+                if known is self.known:
+                    self.before = dict(known)
                 known.clear()
             known[key] = ids
         return ids
 
+    def _spaced(self, part: str) -> bytes:
+        """Of a part that is one word of the pattern with the space in front, and isn't among those met lately."""
+        ids = self.before.get(part)
+        return self._remember(self.known, part, self._ids(f" {part}") if ids is None else ids)
+
     def _word(self, word: str) -> bytes:
         known, key = (self.known, word[1:]) if word[0] == " " and len(word) > 1 and not word[1].isspace() else (self.words, word)
         ids = known.get(key)
@@ -81,11 +92,42 @@ class Encoder:
             return self._whole(part)
         return b"".join([self._word(w) for w in self.find(part)])
 
+    def _plain(self, piece: str, spaced: bool) -> bytes | None:
+        """Of letters or digits with punctuation after them, a space in front or not; None for anything else."""
+        core = piece.rstrip(_TAIL)
+        if not core.isalpha() and not (core.isdigit() and core.isascii()):
+            return None
+        ids = (self.known if spaced else self.words).get(core)
+        if ids is None:
+            ids = self._spaced(core) if spaced else self._remember(self.words, core, self._ids(core))
+        if len(core) == len(piece):
+            return ids
+        tail = piece[len(core) :]
+        more = self.words.get(tail)
+        return ids + (self._remember(self.words, tail, self._ids(tail)) if more is None else more)
+
     def _new(self, part: str) -> bytes:
-        """Of a part that followed a space and isn't known."""
+        """Of a part that followed a space and isn't among those met lately."""
         if part.isalpha():
-            return self._remember(self.known, part, self._ids(f" {part}"))
-        return self._remember(self.known, part, self._part(f" {part}"))
+            return self._spaced(part)
+        if "\n" in part:
+            # Between two words a line break is a word of its own.
+            first, *others = part.split("\n")
+            got = [self._plain(first, True)]
+            for piece in others:
+                if got[-1] is None:
+                    break
+                got += [self._word("\n"), self._plain(piece, False)]
+            ids = None if got[-1] is None else b"".join(got)
+        else:
+            ids = self._plain(part, True)
+        if ids is None:
+            ids = self.before.get(part)
+            return self._remember(self.known, part, self._part(f" {part}") if ids is None else ids)
+        # Made of remembered ones: kept only while there is plenty of room.
+        if 4 * len(self.known) < REMEMBER and len(part) <= LONGEST:
+            self.known[part] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
