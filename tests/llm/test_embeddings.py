@@ -24,12 +24,12 @@ def test_several_shards(spark, monkeypatch):
     x[13] = x[12] * 2
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     monkeypatch.setattr(embeddings, "SHARD", 200)
-    monkeypatch.setattr(embeddings, "QUERIES", 250)
+    monkeypatch.setattr(embeddings, "WIDE", 100)
     got = {r.vec_id: r for r in embeddings.near_embeddings(df).collect()}
     links, comps = plain(dict(enumerate(x)))
     assert len(got) == 600
     found, all_ = sum(r.n_links for r in got.values()), sum(links.values())
-    assert 0.99 <= found / all_ <= 1
+    assert 0.99 <= found / all_ <= 1 and all(r.n_links <= links[k] for k, r in got.items())
     assert sum(got[k].component_id == comps[k] for k in got) >= 595
     assert all(r.kept == (r.component_id == k) for k, r in got.items())
 
@@ -45,10 +45,54 @@ def test_edges(spark):
     assert embeddings.near_embeddings(df.where("false")).collect() == []
 
 
+def unit(x):
+    x = np.asarray(x, "f8")
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_recall_of_the_graph():
-    x = clustered(np.random.default_rng(2), 3000)
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
-    graph = Graph(x, np.arange(len(x)))
-    i, j = embeddings.linked(graph, x, np.arange(0, 3000, 50), np.float32(0.9))
-    want = np.argwhere(x @ x.T >= 0.9)
-    assert len({*zip(i.tolist(), j.tolist(), strict=True)} & {tuple(w) for w in want.tolist()}) >= 0.98 * len(want)
+    """Own vectors and those of another shard; wide ones are named, the others' links found."""
+    x, y = unit(clustered(np.random.default_rng(2), 3000)), unit(clustered(np.random.default_rng(2), 1500))
+    graph = Graph(x.astype("f4"), np.arange(len(x)))
+    for q, own in ((x, True), (y, False)):
+        found, wide = embeddings.linked(graph, q.astype("f4"), np.float32(0.9), own)
+        near = q @ x.T >= 0.9
+        if own:
+            np.fill_diagonal(near, False)
+        near[wide] = False
+        want = np.flatnonzero(near)
+        assert len(want) > 1000 and np.isin(want, found).mean() >= 0.98
+    assert set(range(600)) <= set(embeddings.linked(graph, x.astype("f4"), np.float32(0.9), True)[1].tolist())
+
+
+def test_links_count_at_both_ends(monkeypatch):
+    """Sums of links are twice the distinct pairs, found by narrow beams or not, in blocks or not, and copies count."""
+    rng = np.random.default_rng(3)
+    x = unit(clustered(rng, 900))
+    for wide, recall in ((1000, 0.0), (1000, 0.99), (48, 0.99)):
+        monkeypatch.setattr(embeddings, "WIDE", wide)
+        monkeypatch.setattr(embeddings, "RECALL", recall)
+        monkeypatch.setattr(embeddings, "OWN_BEAM", 4)
+        parts = [x[:500], x[500:]]
+        graphs = [Graph(p.astype("f4"), np.arange(len(p))) for p in parts]
+        ones, total = np.ones(900, "i8"), np.zeros(900, "i8")
+        links, label = embeddings.compare(parts[0], parts[1], ones, 0.9, graphs)
+        total += links
+        assert links[:500].sum() == links[500:].sum()
+        for k, part in enumerate(parts):
+            mine, _ = embeddings.compare(part, None, ones[: len(part)], 0.9, graphs[k : k + 1])
+            assert mine.sum() % 2 == 0
+            total[k * 500 : k * 500 + len(part)] += mine
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        assert (total <= near.sum(axis=1)).all() and (recall == 0 or total.sum() >= 0.99 * near.sum())
+    counts = rng.integers(1, 4, 500)
+    links, _ = embeddings.compare(parts[0], None, counts, 0.9, graphs[:1])
+    assert links.sum() >= 0.99 * (near[:500, :500] @ counts).sum() and (links <= near[:500, :500] @ counts).all()
+
+
+def test_audit_leaves_out_the_query_itself():
+    """Without the graph's help a query that finds nothing but itself doesn't make recall look good."""
+    x = unit(clustered(np.random.default_rng(4), 400)).astype("f4")
+    own = np.arange(400) * 400 + np.arange(400)
+    assert embeddings._recall(x, x, own, np.arange(400), np.float32(0.9), True) == 0.0

@@ -1,12 +1,16 @@
 """Embedding near-duplicates over one HNSW graph for each shard.
 
-Equal vectors become one first, with their count. The distinct ones are dealt over shards of about ``SHARD`` by hash; each shard builds its
-graph in one task and writes it to a table. Then every vector queries every shard, a block of queries and a shard to a task. A query whose
-beam comes back full of links is repeated with twice the beam. Each task also audits itself: a hashed part of its queries is compared with all of the
-shard, and while the graph found less than ``RECALL`` of their links, the beam doubles for all. Queries for which ``WIDEST`` isn't enough get a blocked exact scan of the shard.
-Finds near or over the threshold are verified by cosine in double precision.
+Equal vectors become one first, with their count. The distinct ones are dealt over shards by hash; each shard builds its graph in one task and writes
+it to a table. Then every vector queries every shard: a task takes two shards, searches each one's vectors in the other's graph (or one shard, its vectors in its
+own graph, each starting at its own node), and unites what was found from both ends, so a link counts for both its vectors. A query whose beam comes back full of
+links is repeated with twice the beam. Each search audits itself: some queries that found links and some that found none are compared with all of the shard, and
+while the graph has found less than ``RECALL`` of the links that they stand for, the beam doubles for all; beams end at the whole shard. Finds near
+or over the threshold are verified by cosine in double precision.
 
-No pairs are emitted: a task gives each query's link count and a spanning forest of what it linked; counts are summed and forests joined
+A vector with ``WIDE`` or more links in a shard needs each of them counted; it is compared with that shard's vectors in blocks, and no pairs of it are held. So a
+task holds two shards and at most ``WIDE`` finds for each of their vectors.
+
+No pairs are emitted: a task gives each vector's link count and a spanning forest of what it linked; counts are summed and forests joined
 by connected components. Vectors that are null, empty, zero or hold a null or non-finite number link with nothing but keep their row.
 Vectors of different lengths don't link. Shared ids: their vectors count as different vectors of one id. An empty table gives no rows; extra columns are not read.
 """
@@ -23,14 +27,16 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
 from vellumark.llm.hnsw import Graph
-from vellumark.llm.scratch import table
+from vellumark.llm.scratch import drop, table
 
-#: Vectors of a shard and queries of a task; first beam, the least part of the audited links that must be found, and queries audited in a task.
-SHARD, QUERIES, BEAM, RECALL, AUDIT = 16_384, 4096, 48, 0.99, 64
-#: Beyond this beam the queries left are compared with the whole shard in blocks, which is exact and takes less time.
-WIDEST = 384
-#: Queries searched together, so that their marks of what they have seen stay small.
-ROWS = 256
+#: Vectors of a shard, and numbers in it (fewer long vectors fit).
+SHARD, NUMBERS = 65_536, 1 << 23
+#: First beam of a query from another shard and of one from the shard itself, the least part of the audited links that must be found, and queries audited of either kind.
+BEAM, OWN_BEAM, RECALL, AUDIT = 48, 24, 0.99, 256
+#: Widest beam; a vector that fills it with links is compared with the shard in blocks.
+WIDE = 384
+#: Queries searched together, so that their marks of what they have seen stay small; cosines of a block.
+ROWS, COSINES = 256, 1 << 22
 
 
 def _unit(arrays) -> np.ndarray:
@@ -39,51 +45,78 @@ def _unit(arrays) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _scan(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) positions of all cosines of at least ``least``, block by block."""
-    a, b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-    for k in range(0, len(q), 512):
-        i, j = np.nonzero(q[k : k + 512] @ x.T >= least)
-        a.append(i + k)
-        b.append(j)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def linked(graph: Graph, q: np.ndarray, audit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) positions that the graph finds; ``audit``: positions of the queries to check against all."""
-    beam, x, n = BEAM, graph.x, len(graph.x)
-    i, j = _scan(q[audit], x, least)
-    true = np.sort(audit[i] * n + j)
-    todo, found = np.arange(len(q)), np.zeros(0, "i8")
+def _scan(q: np.ndarray, x: np.ndarray, least: float, alone: np.ndarray | None) -> np.ndarray:
+    """Of some queries all (query, vector) keys with a cosine of at least ``least``; ``alone``: each query's own vector, left out."""
+    keys, step = [np.zeros(0, "i8")], max(1, COSINES // len(x))
+    for k in range(0, len(q), step):
+        near = q[k : k + step] @ x.T >= least
+        if alone is not None:
+            near[np.arange(len(near)), alone[k : k + step]] = False
+        i, j = np.nonzero(near)
+        keys.append((i + k) * len(x) + j)
+    return np.concatenate(keys)
+
+
+def _recall(q: np.ndarray, x: np.ndarray, found: np.ndarray, todo: np.ndarray, least: float, own: bool) -> float:
+    """Estimated part of the links of the queries ``todo`` that ``found`` (ordered keys) holds: from an audit of some with finds and some without."""
+    n = len(x)
+    has = np.zeros(len(q), bool)
+    has[found // n] = True
+    hits = links = 0.0
+    for part in (todo[has[todo]], todo[~has[todo]]):
+        if len(part):
+            some = part[np.argsort((part.astype("u8") + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[:AUDIT]]
+            key = _scan(q[some], x, least, some if own else None)
+            true = some[key // n] * n + key % n
+            weight = len(part) / len(some)
+            hits += weight * np.isin(true, found).sum()
+            links += weight * len(true)
+    return hits / links if links else 1.0
+
+
+def linked(graph: Graph, q: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered keys (query * n + vector) that the graph finds for all but the wide queries, and those; ``own``: the queries are the graph's vectors in order."""
+    x, n = graph.x, len(graph.x)
+    beam = OWN_BEAM if own else BEAM
+    todo, found, wide = np.arange(len(q)), np.zeros(0, "i8"), np.zeros(len(q), bool)
     while True:
-        if beam > WIDEST or beam >= n // 2:
-            i, j = _scan(q[todo], x, least)
-            return np.divmod(np.unique(np.concatenate([found, todo[i] * n + j])), n)
-        rows = max(16, ROWS * BEAM // beam)
-        full = []
+        rows, full, keys = max(16, ROWS * BEAM // beam), [todo[:0]], [found]
         for k in range(0, len(todo), rows):
             part = todo[k : k + rows]
-            ids, sims = graph.search(q[part], beam)
-            i, c = np.nonzero(sims >= least)
-            found = np.append(found, part[i] * n + ids[i, c])
-            full.append(part[sims[:, -1] >= least])
-        found = np.unique(found)
-        todo, beam = np.concatenate(full), 2 * beam
-        if len(todo):
+            ids, sims = graph.around(part, beam) if own else graph.search(q[part], beam)
+            hit = sims >= least
+            if own:
+                hit &= ids != part[:, None]
+            i, c = np.nonzero(hit)
+            keys.append(part[i] * n + ids[i, c])
+            if beam < n:
+                full.append(part[sims[:, -1] >= least])
+        found, full, searched = np.unique(np.concatenate(keys)), np.concatenate(full), beam
+        beam *= 2
+        if len(full) and beam <= WIDE:
+            todo = full
             continue
-        if len(true) == 0 or np.isin(true, found).mean() >= RECALL:
-            return np.divmod(found, n)
-        todo = np.arange(len(q))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest position reachable, for n nodes with links a-b, over whole arrays."""
-    label = np.arange(n)
+        wide[full] = True
+        found, todo = found[~wide[found // n]], np.flatnonzero(~wide)
+        if _recall(q, x, found, todo, least, own) >= RECALL:
+            break
+        if searched >= n:
+            # All that can be reached has been seen; what can't is compared.
+            wide[todo] = True
+            found = found[:0]
+            break
+    return found, np.flatnonzero(wide)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Smallest position reachable, where ``label`` has it so far, with links a-b added; over whole arrays."""
     while True:
         low = np.minimum(label[a], label[b])
         after = label.copy()
         np.minimum.at(after, label[a], low)
         np.minimum.at(after, label[b], low)
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
         after = after[after]
         if (after == label).all():
             return label
@@ -98,28 +131,66 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [blob]})
 
 
-def _ask(threshold: float):
-    def run(key, graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": [], "b": [], "n": []}
-        if len(graphs) and len(queries):
-            x, reps, counts, top, layers = pickle.loads(graphs["graph"].iloc[0])
-            graph = Graph.from_bytes(x.astype("f4"), top, layers)
-            queries = queries.sort_values("rep")
-            mine, q = queries["rep"].to_numpy(), _unit(queries["embedding"])
-            audit = np.argsort((mine.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))[:AUDIT]
-            i, j = linked(graph, q.astype("f4"), audit, np.float32(threshold - 1e-5))
-            if len(i):
-                keep = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 65536]], x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)])
-                i, j = i[keep], j[keep]
-                other = mine[i] != reps[j]
-                i, j = i[other], j[other]
-                nodes, at = np.unique(np.concatenate([mine[i], reps[j]]), return_inverse=True)
-                label = _forest(at[: len(i)], at[len(i) :], len(nodes))
-                links = np.bincount(i, weights=counts[j], minlength=len(mine)).astype("i8")
-                some = links > 0
-                star = label != np.arange(len(nodes))
-                out = {"a": [mine[some], nodes[star]], "b": [np.full(some.sum(), -1), nodes[label[star]]], "n": [links[some], np.zeros(star.sum(), "i8")]}
-        return pd.DataFrame({k: np.concatenate([np.zeros(0, "i8"), *v]) for k, v in out.items()})
+def compare(x: np.ndarray, y: np.ndarray | None, counts: np.ndarray, threshold: float, graphs: list[Graph]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the vectors of x and, after them, of y: links between the two (within x if y is None), and the smallest position that they lead to.
+
+    ``counts``: how many rows each vector stands for.
+    """
+    own, first = y is None, len(x)
+    y = x if own else y
+    n = first if own else first + len(y)
+    shift = 0 if own else first
+    links, label, least = np.zeros(n, "i8"), np.arange(n), np.float32(threshold - 1e-5)
+    found, wide_x = linked(graphs[-1], graphs[0].x, least, own)
+    a, b = np.divmod(found, len(y))
+    wide_y = wide_x
+    if not own:
+        back, wide_y = linked(graphs[0], graphs[1].x, least)
+        j, i = np.divmod(back, first)
+        a, b = np.concatenate([a, i]), np.concatenate([b, j])
+    spread_x, spread_y = np.zeros(first, bool), np.zeros(len(y), bool)
+    spread_x[wide_x], spread_y[wide_y] = True, True
+    # Pairs of vectors that aren't wide, from both ends, once.
+    keep = ~spread_x[a] & ~spread_y[b]
+    a, b = a[keep], b[keep]
+    key = np.unique(np.minimum(a, b) * len(y) + np.maximum(a, b) if own else a * len(y) + b)
+    a, b = np.divmod(key, len(y))
+    sure = [np.einsum("ij,ij->i", x[a[k : k + 65536]], y[b[k : k + 65536]]) >= threshold for k in range(0, len(a), 65536)]
+    if sure:
+        sure = np.concatenate(sure)
+        a, b = a[sure], b[sure] + shift
+        links += np.bincount(a, counts[b], n).astype("i8") + np.bincount(b, counts[a], n).astype("i8")
+        label = _forest(a, b, label)
+
+    def block(rows: np.ndarray, mine: np.ndarray, other: np.ndarray, at: int, to: int, counted: np.ndarray) -> None:
+        """Wide vectors' links to all of the other side; of that, those marked as ``counted`` see to their own."""
+        nonlocal label
+        for k in range(0, len(rows), step := max(1, COSINES // len(other))):
+            part = rows[k : k + step]
+            near = mine[part] @ other.T >= threshold
+            if own:
+                near[np.arange(len(part)), part] = False
+            links[at + part] += near @ counts[to : to + len(other)]
+            links[to : to + len(other)] += np.where(counted, 0, counts[at + part] @ near).astype("i8")
+            i, j = np.nonzero(near)
+            label = _forest(at + part[i], to + j, label)
+
+    block(wide_x, x, y, 0, shift, spread_y)
+    if not own:
+        block(wide_y, y, x, shift, 0, spread_x)
+    return links, label
+
+
+def _pair(threshold: float):
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("shard")
+        sides = [pickle.loads(g) for g in pair["graph"]]
+        graphs = [Graph.from_bytes(x.astype("f4"), top, layers) for x, _, _, top, layers in sides]
+        x, y = sides[0][0], sides[1][0] if len(sides) > 1 else None
+        reps, counts = (np.concatenate([s[k] for s in sides]) for k in (1, 2))
+        links, label = compare(x, y, counts, threshold, graphs)
+        some, star = links > 0, label != np.arange(len(label))
+        return pd.DataFrame({"a": np.concatenate([reps[some], reps[star]]), "b": np.concatenate([np.full(some.sum(), -1), reps[label[star]]]), "n": np.concatenate([links[some], np.zeros(star.sum(), "i8")])})
 
     return run
 
@@ -132,17 +203,16 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = table(rows.withColumn("fine", fine), "vectors")
     reps = rows.where("fine").groupBy(F.transform("embedding", lambda v: v + 0.0).alias("embedding")).agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
     reps = table(reps.select("embedding", "low", "n", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("rep")), "reps")
-    sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each vector length
-    shards = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, max(1, math.ceil(n / SHARD)))]), F.col("dim")) if sizes else F.lit(1)
-    blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, max(1, math.ceil(n / QUERIES)))]), F.col("dim")) if sizes else F.lit(1)
-    placed = reps.withColumns({"shards": shards, "blocks": blocks, "shard": F.pmod(F.xxhash64("rep", F.lit(1)), shards).cast("int")})
-    graphs = table(placed.select("dim", "shard", "rep", "n", "embedding").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, graph binary"), "graphs")
-    width = placed.groupBy("dim").agg(F.first("blocks").alias("blocks"))
-    graphs = graphs.join(F.broadcast(width), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "shard", "block", "graph")
-    queries = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    queries = queries.select("dim", F.col("to").alias("shard"), "block", "rep", "embedding")
-    on = ("dim", "shard", "block")
-    found = table(graphs.groupBy(*on).cogroup(queries.groupBy(*on)).applyInPandas(_ask(threshold), "a long, b long, n long"), "found")
+    sizes = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each vector length
+    shards = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["dim"], max(1, math.ceil(r["n"] / max(256, min(SHARD, NUMBERS // r["dim"])))))]), F.col("dim")) if sizes else F.lit(1)
+    placed = reps.withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shards")).cast("int"))
+    graphs = table(placed.select("dim", "shards", "shard", "rep", "n", "embedding").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, graph binary"), "graphs")
+    # Each pair of shards, and each shard by itself, is a group of two graphs or one.
+    width = placed.groupBy("dim").agg(F.first("shards").alias("shards"))
+    dealt = graphs.join(F.broadcast(width), "dim").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.select("dim", F.least("shard", "other").alias("i"), F.greatest("shard", "other").alias("j"), "shard", "graph")
+    found = table(dealt.groupBy("dim", "i", "j").applyInPandas(_pair(threshold), "a long, b long, n long"), "found")
+    drop(graphs)
     links = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     joined = connected_components(found.where("b >= 0").select("a", "b"))
     named = reps.join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("embedding", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))

@@ -141,6 +141,10 @@ class Graph:
             entry = layer.search(self.x, q, entry, 4)[0]
         return self.layers[-1].search(self.x, q, entry, min(beam, len(self.x)))
 
+    def around(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``search`` for vectors of the graph itself: each starts at its own node."""
+        return self.layers[-1].search(self.x, self.x[points], points[:, None].astype("i4"), min(beam, len(self.x)))
+
     def to_bytes(self) -> list[bytes]:
         return [layer.near.tobytes() for layer in self.layers]
 
