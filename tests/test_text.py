@@ -67,7 +67,7 @@ def test_toc_readers():
     bar = tocparse.sidebar("<nav><ul><li><a href=a>A</a><ul><li><a href=b>B</a></ul><li><a href='c'>C</a></ul></nav>", "http://h/d/", "nav")
     assert [(e.title, e.url, e.level, e.is_article, e.parent_url) for e in bar] == [("A", "http://h/d/a", 0, False, None), ("B", "http://h/d/b", 1, True, "http://h/d/a"), ("C", "http://h/d/c", 0, True, None)]
     pages = {"http://h/": "<a class=c href=/1>One</a><a class=c href=/1>again</a>", "http://h/1": "<a class=t href=/2>Two</a><a class=t href=/1>self</a>"}
-    hub = tocparse.hub_spoke(pages.get, "http://h/", "a.c", "a.t")
+    hub = tocparse.tiers(pages.get, "http://h/", [("a.c", None), ("a.t", None)])
     assert [(e.title, e.level, e.is_article) for e in hub] == [("One", 0, False), ("Two", 1, True)]
     tree = tocparse.json_tree({"contents": [{"title": " A ", "href": "a.html#x", "contents": [{"title": "off", "href": "http://other/"}]}]}, "http://h/d/", "contents", ("title",), "href", "contents", {"h"})
     assert [(e.title, e.url, e.level, e.is_article) for e in tree] == [("A", "http://h/d/a.html", 0, False), ("off", None, 1, False)]
@@ -80,6 +80,18 @@ def test_toc_readers():
     assert [(e.url, e.parent_url) for e in tocparse.stacked([("a", "a", 0), ("s", None, 1), ("b", "b", 2)], "http://h/")] == [("http://h/a", None), (None, "http://h/a"), ("http://h/b", "http://h/a")]
 
 
+def test_sidebar_labels_and_wrapped_lists():
+    page = "<div id=n><ul><li><span>Label</span><div><ul><li><a href=a><b>A</b> <i>x</i></a><nav><ul><li><a href=b>B</a></li></ul></nav></li></ul></div></li><li><a>no link</a></li></ul><ul><li><a href=z>Z</a></ul></div>"
+    assert [(e.title, e.url, e.level, e.is_article, e.parent_url) for e in tocparse.sidebar(page, "http://h/", "#n")] == [("Ax", "http://h/a", 0, False, None), ("B", "http://h/b", 1, True, "http://h/a")]
+    assert tocparse.sidebar(page, "http://h/", "#none") == [] and tocparse.sidebar(None, "http://h/", "ul") == []
+
+
+def test_three_tiers():
+    pages = {"http://h/": "<a class=c href=c1><h2>One</h2><p>about</p></a><a class=c href=c2>Two</a>", "http://h/c1": "<a class=s href=s1>S</a><a class=s>none</a>", "http://h/s1": "<a class=t href=t1>T</a><a class=t href=c2>early</a>", "http://h/c2": "<a class=s href=s2>lost</a>"}
+    got = tocparse.tiers(pages.get, "http://h/", [("a.c", "h2"), ("a.s", None), ("a.t", None)])
+    assert [(e.title, e.level, e.is_article, e.parent_url) for e in got] == [("One", 0, False, None), ("S", 1, False, "http://h/c1"), ("T", 2, True, "http://h/s1"), ("early", 2, True, "http://h/s1")]
+
+
 def test_pdf():
     md = "lost\n# One\na\n## Two!\n| x | y |\n| --- | --- |\n| 1 | 2 |\n# Three\nc"
     cut = pdf.split(md, outline=[(1, "one", 0), (2, "two", 1), (1, "nothing", 2), (1, "Three", 4)])

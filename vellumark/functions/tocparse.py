@@ -29,57 +29,68 @@ def _title(e: Element, selector: str | None = None) -> str:
     return "".join(s.strip() for s in [(part or e).text("\0")] for s in s.split("\0"))
 
 
-def _lists(li: Element) -> Element | None:
-    return next((c for c in li.elements() if c.tag == "ul"), None) or next((c for c in li.walk() if c.tag == "ul"), None)
+def _events(top: Element) -> Iterable[tuple[bool, Element]]:
+    """(begins, element) as the elements inside ``top`` begin and end."""
+    todo: list[tuple[bool, Element]] = [(True, e) for e in reversed(top.elements())]
+    while todo:
+        begins, e = todo.pop()
+        yield begins, e
+        if begins:
+            todo.append((False, e))
+            todo += [(True, c) for c in reversed(e.elements())]
 
 
 def sidebar(html: str | None, root_url: str, nav: str) -> list[Entry]:
-    """Nested lists under ``nav``: an item with a list inside is a section; a label without a link adds no level."""
-    box = first(parse(html), nav)
-    if box is None:
-        return []
-    top = box if box.tag == "ul" else next((e for e in box.walk() if e.tag == "ul"), None)
-    out: list[Entry] = []
+    """Nested lists under ``nav``, in one pass over its tags.
 
-    def down(ul: Element, level: int, parent: str | None) -> None:
-        for li in (c for c in ul.elements() if c.tag == "li"):
-            link, inner = next((e for e in li.walk() if e.tag == "a"), None), _lists(li)
-            if link is None or not link.attrs.get("href"):
-                if inner is not None:
-                    down(inner, level, parent)
-                continue
-            url = urljoin(root_url, link.attrs["href"])
-            out.append(Entry(_title(link), url, level, inner is None, parent))
-            if inner is not None:
-                down(inner, level + 1, url)
-
-    if top is not None:
-        down(top, 0, None)
+    An open item is on a stack with its entry, which its first link makes; a list that begins inside turns the entry into a section. Items
+    without a link before their list stay without an entry, so they add no level.
+    """
+    found = first(parse(html), nav)
+    lists = [] if found is None else [found, *found.walk()]
+    out: list[Entry] = []
+    items: list[list] = []  # of each open item: its entry, and whether its list has begun
+    for begins, e in _events(next((x for x in lists if x.tag == "ul"), Element("ul", {}, None))):
+        if e.tag == "li":
+            if begins:
+                items.append([None, False])
+            else:
+                items.pop()
+        elif begins and items and e.tag == "ul":
+            items[-1][1] = True
+            if items[-1][0]:
+                items[-1][0].is_article = False
+        elif begins and items and e.tag == "a" and e.attrs.get("href") and items[-1] == [None, False]:
+            above = [i[0] for i in items if i[0]]
+            items[-1][0] = Entry(_title(e), urljoin(root_url, e.attrs["href"]), len(above), True, above[-1].url if above else None)
+            out.append(items[-1][0])
     return out
 
 
-def hub_spoke(fetch: Fetch, root_url: str, category: str, article: str, section: str | None = None, category_title: str | None = None, article_title: str | None = None) -> list[Entry]:
-    """Root page to category pages, maybe to section pages, to articles; each URL once."""
+def tiers(fetch: Fetch, root_url: str, steps: list[tuple[str, str | None]]) -> list[Entry]:
+    """Pages that lead to pages: ``steps`` has, from the root's page on, what is a link of that tier and where its title stands.
+
+    Links are followed as they come, each URL once; those of the last tier are articles.
+    """
+
+    def links(url: str, tier: int) -> Iterable[tuple[str, str]]:
+        chosen, title = steps[tier]
+        return iter([(_title(e, title), urljoin(url, e.attrs["href"])) for e in select(parse(fetch(url)), chosen) if e.attrs.get("href")])
+
     out: list[Entry] = []
-    seen: set[str] = set()
-
-    def links(page: Element, base: str, selector: str) -> Iterable[tuple[Element, str]]:
-        for e in select(page, selector):
-            if e.attrs.get("href"):
-                url = urljoin(base, e.attrs["href"])
-                if url not in seen:
-                    seen.add(url)
-                    yield e, url
-
-    for c, c_url in links(parse(fetch(root_url)), root_url, category):
-        out.append(Entry(_title(c, category_title), c_url, 0, False))
-        page = parse(fetch(c_url))
-        if section is None:
-            out += [Entry(_title(a, article_title), url, 1, True, c_url) for a, url in links(page, c_url, article)]
-            continue
-        for s, s_url in links(page, c_url, section):
-            out.append(Entry(_title(s), s_url, 1, False, c_url))
-            out += [Entry(_title(a, article_title), url, 2, True, s_url) for a, url in links(parse(fetch(s_url)), s_url, article)]
+    pages: list[tuple[str | None, Iterable]] = [(None, links(root_url, 0))]
+    met: set[str] = set()
+    while pages:
+        above, rest = pages[-1]
+        title, url = next(rest, (None, None))
+        if url is None:
+            pages.pop()
+        elif url not in met:
+            met.add(url)
+            tier = len(pages) - 1
+            out.append(Entry(title, url, tier, tier + 1 == len(steps), above))
+            if tier + 1 < len(steps):
+                pages.append((url, links(url, tier + 1)))
     return out
 
 

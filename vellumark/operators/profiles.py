@@ -73,8 +73,8 @@ def _crawl(seed: str, child: str, most: int | None) -> Build:
     return build
 
 
-def _hub(**kw: str) -> Build:
-    return lambda url, fetch: T.hub_spoke(fetch, url, **kw)
+def _hub(*steps: tuple[str, str | None]) -> Build:
+    return lambda url, fetch: T.tiers(fetch, url, list(steps))
 
 
 def _generic(url: str, fetch: T.Fetch) -> list[T.Entry]:
@@ -106,8 +106,8 @@ PROFILES = [
     Profile("gitbook", [["data-gb-table-of-contents"]], "rendered", build=_crawl("[data-gb-table-of-contents] a", "[data-gb-table-of-contents] li li a", None)),
     Profile("flare_webhelp", [MADCAP, ['<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar("ul.tree")),
     Profile("flare_html5", [MADCAP, ["sidenav"], ['-<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar(".sidenav")),
-    Profile("intercom", [["collection-link"]], "rendered", build=_hub(category="a.collection-link", article="a[data-testid='article-link']", category_title="h2", article_title="span")),
-    Profile("freshdesk", [["cdn.freshdesk.com"]], "rendered", exclude=[".article-votes", ".vote-options", ".related-articles"], build=_hub(category="a[href*='/support/solutions/']", section="a[href*='/support/solutions/folders/']", article="a[href*='/support/solutions/articles/']")),
+    Profile("intercom", [["collection-link"]], "rendered", build=_hub(("a.collection-link", "h2"), ("a[data-testid='article-link']", "span"))),
+    Profile("freshdesk", [["cdn.freshdesk.com"]], "rendered", exclude=[".article-votes", ".vote-options", ".related-articles"], build=_hub(("a[href*='/support/solutions/']", None), ("a[href*='/support/solutions/folders/']", None), ("a[href*='/support/solutions/articles/']", None))),
     Profile("confluence", [["low:com-atlassian-confluence", "low:/wiki/spaces/"]], include=[".wiki-content"], build=_api("pages.json")),
     Profile("salesforce", [["slds-"], ["articleView"]], "browser", [".slds-text-longform"], build=_nodes("[role=treeitem]", "aria-level", 1)),
     Profile("warmup_listgroup", [["host$:dell.com"], ["path:/support/manuals/"]], "browser", ["#divTopicContent"], build=_bar("#toc-main-parent-ul")),
@@ -137,7 +137,7 @@ def derived(spec: dict) -> Profile:
     if kind == "sidebar":
         build = _bar(spec.get("nav_selector") or "nav")
     elif kind == "hubspoke":
-        build = _hub(category=spec.get("category_link_selector") or "a", article=spec.get("article_link_selector") or "a")
+        build = _hub((spec.get("category_link_selector") or "a", None), (spec.get("article_link_selector") or "a", None))
     else:
         build = _generic
     return Profile("llm", [], "rendered", [spec["content_selector"]] if spec.get("content_selector") else [], build=build, auto=False)
