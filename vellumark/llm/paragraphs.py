@@ -340,33 +340,38 @@ def matched_pairs(found: DataFrame) -> DataFrame:
     return table(pairs.select(F.monotonically_increasing_id().alias("pair"), "doc", "first", "seeds"), "pairs")
 
 
+#: Documents whose words a later round needs, up to which their ids are broadcast (some megabytes); beyond, they are joined.
+FEW = 100_000
+
+
 def _slices(pairs: DataFrame, words: DataFrame, margin: int) -> DataFrame:
-    """Pairs with the words of both sides from ``margin`` before the first seed to as many after the last; each text's words are dealt out once."""
+    """Pairs with the words of both sides from ``margin`` before the first seed to as many after the last; both joins read one exchange of the words."""
 
-    def wanted(side: int, doc: str, at: str) -> DataFrame:
+    def side(df: DataFrame, doc: str, at: str, name: str) -> DataFrame:
         lo = F.greatest(F.lit(0), F.array_min(f"seeds.{at}") - margin)
-        return pairs.select(F.col(doc).alias("doc"), "pair", F.lit(side).alias("side"), lo.alias("start"), (F.array_max(f"seeds.{at}") + SEED + margin).alias("end"))
+        cut = df.withColumns({"start": lo, "end": F.array_max(f"seeds.{at}") + SEED + margin}).join(words.withColumnRenamed("doc", "of"), F.col(doc) == F.col("of"))
+        slice_ = F.struct(F.col(doc).alias("doc"), "start", F.expr("substring(words, start * 4 + 1, (end - start) * 4)").alias("words"), (F.octet_length("words") / 4).cast("int").alias("all"))
+        return cut.select(*df.columns, slice_.alias(name))
 
-    wants = wanted(0, "doc", "at").unionAll(wanted(1, "first", "to"))
-    cut = wants.join(words, "doc").select("pair", "side", F.struct("doc", "start", F.expr("substring(words, start * 4 + 1, (end - start) * 4)").alias("words"), (F.octet_length("words") / 4).cast("int").alias("all")).alias("s"))
-    both = cut.where("side = 0").select("pair", F.col("s").alias("mine")).join(cut.where("side = 1").select("pair", F.col("s").alias("other")), "pair")
-    return both.join(pairs.select("pair", "seeds"), "pair")
+    return side(side(pairs, "doc", "at", "mine"), "first", "to", "other").select("pair", "seeds", "mine", "other")
 
 
-def _spans(rows: DataFrame, least_words: int) -> DataFrame:
-    """``doc, at, n_words, first, keeps`` of rows (doc, text) with an id each."""
+def _spans(rows: DataFrame, least_words: int, repeated: bool) -> DataFrame:
+    """``doc, at, n_words, first, keeps`` of rows (doc, text) with an id each; ``repeated``: some rows are there more than once."""
     found = table(rows.mapInArrow(_found, FOUND), "found")
     pairs, margin, parts = matched_pairs(found), MARGIN, []
     words = found.where("kind = 2").select("doc", "words")
-    words = words.dropDuplicates(["doc"])  # rows that share id and text
+    words = words.dropDuplicates(["doc"]) if repeated else words
     while True:
-        # Where a match goes on beyond the slices, longer ones in the next round.
         spans = table(_slices(pairs, words, margin).mapInArrow(_align(least_words), SPANS), "spans")
         parts.append(spans.where("n > 0"))
         more = spans.where("n < 0").select(F.col("doc").alias("pair")).distinct()
         if not more.take(1):
             break
+        # Where a match goes on beyond the slices, longer ones in the next round, which reads the words of those documents only.
         pairs, margin = table(pairs.join(more, "pair"), "pairs"), margin * 16
+        needed = table(pairs.select("doc").unionAll(pairs.select("first")).distinct(), "needed")
+        words = table(words.join(F.broadcast(needed) if needed.count() <= FEW else needed, "doc", "left_semi"), "words")
     drop(found)
     every = parts[0]
     for part in parts[1:]:
@@ -374,18 +379,19 @@ def _spans(rows: DataFrame, least_words: int) -> DataFrame:
     return every.distinct().repartition("doc").sortWithinPartitions("doc").mapInArrow(_merge, "doc long, at int, n_words int, first long, keeps boolean")
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (doc, text), and, where an id has several texts, a table (doc, doc_id, h) of all but the one with the least hash, numbered beyond the ids."""
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Rows (doc, text); where an id has several texts, a table (doc, doc_id, h) of all but the one with the least hash, numbered beyond the ids; whether rows share an id."""
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    several = rows.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("doc_id").alias("top"))
-    odd = table(several.where("low < high").select("doc_id", "low"), "shared-ids")
+    several = rows.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = table(several.where("n > 1").select("doc_id", "low", "high"), "shared-ids")
+    odd = shared.where("low < high").select("doc_id", "low")
     if not odd.take(1):
-        return rows.select(F.col("doc_id").alias("doc"), "text"), None
-    top = several.agg(F.max("top")).first()[0]
+        return rows.select(F.col("doc_id").alias("doc"), "text"), None, bool(shared.take(1))
+    top = rows.agg(F.max("doc_id")).first()[0]
     others = rows.select("doc_id", F.xxhash64("text").alias("h")).join(odd, "doc_id").where("h > low").select("doc_id", "h").distinct()
     others = table(others.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("doc"), "doc_id", "h"), "shared-ids")
     named = rows.withColumn("h", F.xxhash64("text")).join(others, ["doc_id", "h"], "left")
-    return named.select(F.coalesce("doc", "doc_id").alias("doc"), "text"), others
+    return named.select(F.coalesce("doc", "doc_id").alias("doc"), "text"), others, True
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -393,8 +399,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Spans of a document don't overlap; ``first_doc`` is the smallest of the earlier documents that the words of one were compared with.
     """
-    rows, others = _documents(docs, id_col, text_col)
-    spans = _spans(rows, least_words)
+    rows, others, repeated = _documents(docs, id_col, text_col)
+    spans = _spans(rows, least_words, repeated)
     if others is not None:
         mine, first = (others.select(F.col("doc").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in ("doc", "first"))
         spans = spans.join(mine, "doc", "left").join(first, "first", "left").select(F.coalesce("doc_id", "doc").alias("doc"), "at", "n_words", F.coalesce("first_id", "first").alias("first"), "keeps")
@@ -440,8 +446,8 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    rows, others = _documents(docs, "doc_id", "text")
-    spans = _spans(rows, least_words).where("not keeps")
+    rows, others, repeated = _documents(docs, "doc_id", "text")
+    spans = _spans(rows, least_words, repeated).where("not keeps")
     lists = table(spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "n_words"))).alias("spans")), "spans")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), whole)
     if others is not None:
