@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 
 import pytest
@@ -36,6 +37,7 @@ def test_splits():
 
 PAGES = "run_id string, source_id string, url string, topic_key string, markdown string, title string, toc_entry_id string, sort_order int, change_status string"
 STORE = "id string, source_id string, created_run_id string, toc_entry_id string, title string, source_url string, topic_key string, content_markdown string, content_hash string, estimated_tokens long, content_size_bytes int, sort_order int, created_at timestamp_ntz, extracted_at timestamp_ntz"
+VERSIONS = "id string, article_id string, extraction_run_id string, content_markdown string, content_hash string, diff_text string, extracted_at timestamp_ntz, source_id string"
 
 
 def page(url, text, status=None, run="r1", order=0):
@@ -50,15 +52,67 @@ def test_merge_runs(spark):
     store = spark.createDataFrame(merge.merged_articles(empty, d1, "2024-01-01").collect(), STORE)
     second = spark.createDataFrame([page("a", "# A\n", None, "r2"), page("b", "# B2\n", None, "r2"), page("e", "# E\n", "changed", "r2"), page("f", "# F\n", None, "r2"), page("f", "# F again\n", None, "r2", 1)], PAGES)
     d2 = merge.decide(second, store)
-    assert {r.url: r.outcome for r in d2.collect()} == {"a": "unchanged", "b": "updated", "e": "updated", "f": "new"}
+    # Two pages of a key are merged in turn: the second supersedes the first.
+    assert sorted((r.url, r.turn, r.outcome) for r in d2.collect()) == [("a", 1, "unchanged"), ("b", 1, "updated"), ("e", 1, "updated"), ("f", 1, "new"), ("f", 2, "updated")]
     c = merge.counters(d2).first()
-    assert (c.n_new, c.n_updated, c.n_unchanged) == (1, 2, 1)
-    assert sorted(r.content_markdown for r in merge.new_versions(d2, "2024-01-02").collect()) == ["# B\n", "# E\n"]
+    assert (c.n_new, c.n_updated, c.n_unchanged) == (1, 3, 1)
+    assert sorted(r.content_markdown for r in merge.new_versions(d2, "2024-01-02").collect()) == ["# B\n", "# E\n", "# F\n"]
     after = {r.source_url: r for r in merge.merged_articles(store, d2, "2024-01-02").collect()}
     assert after["b"].content_markdown == "# B2\n" and after["b"].created_run_id == "r1" and after["f"].created_run_id == "r2"
+    assert after["f"].content_markdown == "# F again\n"
     assert str(after["a"].created_at) == "2024-01-01 00:00:00" and str(after["a"].extracted_at) == "2024-01-02 00:00:00"
 
 
+def test_pages_of_a_key_in_turn(spark):
+    """Blank and blocked pages before and between don't hide good ones; a verdict of no change counts once there is something to be the same as."""
+    k = lambda text, order, status=None: page("k", text, status, "r2", order)
+    stored = merge.merged_articles(spark.createDataFrame([], STORE), merge.decide(spark.createDataFrame([page("k", "# old\n")], PAGES), spark.createDataFrame([], STORE)), "2024-01-01")
+    stored = spark.createDataFrame(stored.collect(), STORE)
+    cases = [
+        ([k("", 0), k("# new\n", 1)], ["empty", "updated"], "# new\n", ["# old\n"]),
+        ([k("Access denied", 0), k("# old\n", 1), k("", 2)], ["blocked", "unchanged", "empty"], "# old\n", []),
+        ([k("# b\n", 0), k("# b\n", 1), k("# c\n", 2), k("# x\n", 3, "same")], ["updated", "unchanged", "updated", "unchanged"], "# c\n", ["# b\n", "# old\n"]),
+        ([k("# b\n", 0), k("# old\n", 1)], ["updated", "updated"], "# old\n", ["# b\n", "# old\n"]),
+    ]
+    for pages, outcomes, body, versions in cases:
+        d = merge.decide(spark.createDataFrame(pages, PAGES), stored)
+        assert [r.outcome for r in d.orderBy("sort_order").collect()] == outcomes
+        assert [r.content_markdown for r in merge.merged_articles(stored, d, "2024-01-02").collect()] == [body]
+        made = merge.new_versions(d, "2024-01-02").collect()
+        assert sorted(r.content_markdown for r in made) == versions and len({r.id for r in made}) == len(made)
+    first = merge.decide(spark.createDataFrame([k("# a\n", 0, "same"), k("# b\n", 1, "same")], PAGES), spark.createDataFrame([], STORE))
+    assert [r.outcome for r in first.orderBy("turn").collect()] == ["new", "unchanged"]
+
+
+def test_images_of_merged_pages(spark):
+    html = "<p><IMG src='a.png' alt='A b'><img src=a.png><img src='data:x'><img src='/Skins/x.png'><img alt=\"q\" src=\"https://c/d.png\"></p>"
+    d = merge.decide(spark.createDataFrame([(*page("http://h/p/", "# x\n"), html, "@@ diff")], PAGES + ", html string, diff_text string"), spark.createDataFrame([], STORE))
+    assert [(r.original_url, r.alt_text, r.sort_order) for r in merge.article_images(d).orderBy("sort_order").collect()] == [("http://h/p/a.png", "A b", 0), ("https://c/d.png", "q", 4)]
+    assert merge.new_versions(d, "2024-01-01").columns[5] == "diff_text"
+
+
+def chain(spark, n, more=()):
+    return spark.createDataFrame([(f"t{k}", f"t{k - 1}" if k else None, f"title {k}") for k in range(n)] + list(more), "id string, parent_id string, title string")
+
+
+def test_trees_of_any_depth(spark):
+    toc = chain(spark, 40)
+    assert {r.root for r in TC.roots(toc).collect()} == {"t0"}
+    up = TC.ancestors(toc)
+    assert up.count() == 40 * 41 // 2 and up.agg(F.max("distance")).first()[0] == 39
+    assert TC.descendants(toc, toc.where("id = 't3'").select("id")).count() == 37
+    assert TC.filter_tree(toc, "title 39").where("expanded").count() == 39 and TC.visible(toc, toc.where("id = 't5'").select("id")).count() == 6
+
+
+def test_trees_with_cycles_and_strays(spark):
+    more = [("a", "c", "x"), ("b", "a", "x"), ("c", "b", "x"), ("d", "c", "x"), ("e", "gone", "x"), ("f", "f", "x")]
+    toc = chain(spark, 3, more)
+    assert {r.id: r.root for r in TC.roots(toc).collect()} == {"t0": "t0", "t1": "t0", "t2": "t0", "a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
+    assert {(r.ancestor, r.distance) for r in TC.ancestors(toc).where("id = 'd'").collect()} == {("d", 0), ("c", 1), ("b", 2), ("a", 3)}
+    empty = toc.where("false")
+    assert TC.roots(empty).collect() == [] and TC.ancestors(empty).collect() == []
+
+
 def test_run_control(spark):
     for status, action, want in [("pending", "cancel", ("cancelled", None, 200)), ("running", "cancel", ("running", "cancel", 200)), ("completed", "cancel", ("completed", None, 409)), ("running", "pause", ("running", "pause", 200)), ("paused", "resume", ("pending", None, 200)), ("failed", "resume", ("failed", None, 409))]:
         r = spark.range(1).select(run_control(F.lit(status), action).alias("c")).select("c.*").first()
@@ -139,31 +193,42 @@ def test_webhook_stream_merges_once(spark, tmp_path):
     inbox.mkdir()
     event = lambda n, url, text, kind="batch_scrape.page": {"type": kind, "id": n, "ts": "2024-01-01T00:00:00Z", "source_id": "s", "run_id": "r", "data": [{"url": url, "title": url, "markdown": text}]}
     (inbox / "1.json").write_text("\n".join(json.dumps(e) for e in [event("1", "u1", "# one\n"), event("1", "u1", "# one\n"), event("2", "u2", "# two\n"), event("3", "u3", "x", "batch_scrape.completed")]))
-    store, versions = sinks.Store(spark, str(tmp_path / "a")), sinks.Store(spark, str(tmp_path / "v"))
-    store.replace(spark.createDataFrame([], STORE))
-    versions.replace(spark.createDataFrame([], "id string, article_id string, extraction_run_id string, content_markdown string, content_hash string, extracted_at timestamp_ntz"))
+    store, versions = sinks.Parts(spark, str(tmp_path / "a"), STORE), sinks.Parts(spark, str(tmp_path / "v"), VERSIONS)
+    other = spark.createDataFrame([("x", "other", *[None] * 12)], STORE)
+    store.replace_parts(other)
+    untouched = [(p.name, p.stat().st_mtime_ns) for p in (tmp_path / "a" / "source_id=other").iterdir()]
     toc = spark.createDataFrame([("t1", "s", "u1", "One", 5)], "id string, source_id string, url string, title string, sort_order int")
 
     def go():
-        pages = ingest.webhook_pages(ingest.once(ingest.read_events(spark, str(inbox))), toc).drop("id", "ts")
+        pages = ingest.webhook_pages(ingest.once(ingest.read_events(spark, str(inbox))), toc).drop("id")
         ingest.merge_stream(pages, store, versions, str(tmp_path / "cp"), lambda: "2024-01-01").awaitTermination()
 
+    mine = lambda: store.read().where("source_id = 's'").collect()
     go()
-    assert {(r.source_url, r.title, r.toc_entry_id) for r in store.read().collect()} == {("u1", "One", "t1"), ("u2", "u2", None)}
+    assert {(r.source_url, r.title, r.toc_entry_id) for r in mine()} == {("u1", "One", "t1"), ("u2", "u2", None)}
     (inbox / "2.json").write_text("\n".join(json.dumps(e) for e in [event("4", "u1", "# one\n"), event("5", "u2", "# changed\n")]))
+    # A crash between the two writes: the versions are there, the store isn't, and the batch runs again.
+    replace, store.replace_parts = store.replace_parts, lambda df: 1 / 0
+    with pytest.raises(Exception, match="division"):
+        go()
+    store.replace_parts = replace
+    assert [r.content_markdown for r in versions.read().collect()] == ["# two\n"] and "# changed\n" not in {r.content_markdown for r in mine()}
     go()
-    assert {r.content_markdown for r in store.read().collect()} == {"# one\n", "# changed\n"}
+    assert {r.content_markdown for r in mine()} == {"# one\n", "# changed\n"}
     assert [r.content_markdown for r in versions.read().collect()] == ["# two\n"]
+    assert untouched == [(p.name, p.stat().st_mtime_ns) for p in (tmp_path / "a" / "source_id=other").iterdir()]
 
 
 def test_heartbeats_time_out(spark, tmp_path):
-    inbox = tmp_path / "hb"
-    inbox.mkdir()
-    rows = lambda *r: "\n".join(json.dumps({"run_id": a, "ts": b}) for a, b in r)
-    (inbox / "1.json").write_text(rows(("r1", "2024-01-01T00:00:00Z"), ("r2", "2024-01-01T00:00:00Z")))
-    (inbox / "2.json").write_text(rows(("r2", "2024-01-01T01:00:00Z")))
-    (inbox / "3.json").write_text(rows(("r2", "2024-01-01T01:00:01Z")))
-    beats = spark.readStream.schema("run_id string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(inbox))
-    q = ingest.heartbeats(beats).writeStream.format("memory").queryName("hb").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination()
-    assert "r1" in {r.run_id for r in spark.sql("SELECT * FROM hb").collect()}
+    """Files in any order of reading: beats within the lateness all count."""
+    for k, order in enumerate(((1, 2, 3), (2, 1, 3))):
+        inbox = tmp_path / f"hb{k}"
+        inbox.mkdir()
+        rows = {1: [("r1", "00:00:00"), ("r2", "00:00:00")], 2: [("r2", "00:30:00")], 3: [("r2", "02:30:00"), ("r3", "02:30:00")], 4: [("r2", "02:30:01")]}
+        for n, f in enumerate((*order, 4)):
+            (inbox / f"{f}.json").write_text("\n".join(json.dumps({"run_id": a, "ts": f"2024-01-01T{b}Z"}) for a, b in rows[f]))
+            os.utime(inbox / f"{f}.json", (1_700_000_000 + 10 * n,) * 2)
+        beats = spark.readStream.schema("run_id string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(inbox))
+        q = ingest.heartbeats(beats).writeStream.format("memory").queryName(f"hb{k}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"cp{k}")).start()
+        q.awaitTermination()
+        assert [(r.run_id, r.last_ms) for r in spark.sql(f"SELECT * FROM hb{k}").collect()] == [("r1", 1_704_067_200_000)]

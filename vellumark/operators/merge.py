@@ -1,39 +1,50 @@
 """The incremental merge of scraped pages into the article store.
 
-One left join on (source, key) decides every page's outcome; new articles, superseded versions and run counters
-are three projections of the decisions, each written as a whole new table or appended.
+One left join on (source, key) and one window over each key's pages decide every page's outcome, as if pages were merged in turn; new articles,
+superseded versions, images and run counters are projections of the decisions. Ids are hashes of what they name, so a batch that
+runs again makes the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vellumark.functions import columns as C
 from vellumark.functions.sanitize import sanitize
 from vellumark.operators.catalog import moment
 
 
+def _ident(*parts: str) -> Column:
+    return F.left(F.sha2(F.concat_ws("\u0001", *parts), 256), F.lit(32))
+
+
 def decide(scraped: DataFrame, articles: DataFrame) -> DataFrame:
     """``scraped`` (run_id, source_id, url, topic_key?, markdown, title, toc_entry_id, sort_order, change_status?) with ``outcome``.
 
-    Blank, then blocked; said to be the same and stored; equal hash (no verdict, or new); stored otherwise: updated; else new.
-    Of several pages with a key the first (sort order, url) is merged, as repeats of a push come unchanged.
+    Blank and blocked pages are counted and change nothing. The others of a key come in turn (``ts`` if there is one, then sort order and URL): said to be
+    the same and stored: unchanged; equal hash (no verdict, or new): unchanged; stored otherwise: updated; else new. What is stored is what the store
+    had until a page of the same key writes; ``old_markdown`` and ``old_hash`` are what a page supersedes, ``turn`` its place.
     """
-    key = F.coalesce("topic_key", "url")
     blank = F.coalesce(F.regexp_replace("markdown", r"(?U)\s", "") == "", F.lit(True))
-    w = Window.partitionBy("source_id", "key").orderBy("sort_order", "url")
-    new = scraped.withColumn("key", key).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    new = new.withColumns({"clean": sanitize("markdown"), "blank": blank, "blocked": C.is_block_page(F.col("markdown"))}).withColumn("hash", C.content_hash("clean"))
-    old = articles.select("source_id", F.coalesce("topic_key", "source_url").alias("key"), F.col("id").alias("article_id"), F.col("content_hash").alias("old_hash"), F.col("content_markdown").alias("old_markdown"))
-    out = new.join(old, ["source_id", "key"], "left")
-    stored, said = F.col("article_id").isNotNull(), F.coalesce("change_status", F.lit("new"))
-    outcome = (
-        F.when(F.col("blank"), "empty").when(F.col("blocked"), "blocked").when((said == "same") & stored, "unchanged")
-        .when(stored & said.isin("new") & F.coalesce(F.col("old_hash") == F.col("hash"), F.lit(False)), "unchanged").when(stored, "updated").otherwise("new")
-    )
-    ident = F.coalesce("article_id", F.left(F.sha2(F.concat_ws("\u0001", "source_id", "key"), 256), F.lit(32)))
-    return out.withColumns({"outcome": outcome, "article_id": ident})
+    new = scraped.withColumns({"key": F.coalesce("topic_key", "url"), "clean": sanitize("markdown")})
+    new = new.withColumns({"bad": F.when(blank, "empty").when(C.is_block_page(F.col("markdown")), "blocked"), "hash": C.content_hash("clean"), "said": F.coalesce("change_status", F.lit("new"))})
+    old = articles.select("source_id", F.coalesce("topic_key", "source_url").alias("key"), F.col("id").alias("stored_id"), F.col("content_hash").alias("stored_hash"), F.col("content_markdown").alias("stored_markdown"))
+    # Bad pages take no turn.
+    turns = Window.partitionBy("source_id", "key", F.col("bad").isNull()).orderBy(*[c for c in ("ts", "sort_order", "url", "hash") if c in new.columns])
+    out = new.join(old, ["source_id", "key"], "left").withColumn("turn", F.row_number().over(turns))
+    exists = F.col("stored_id").isNotNull() | (F.col("turn") > 1)
+    out = out.withColumn("writes", ~(exists & (F.col("said") == "same")))
+    before = turns.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("writes"), F.struct("clean", "hash")), ignorenulls=True).over(before)
+    out = out.withColumn("last", last).withColumns({"old_markdown": F.coalesce("last.clean", "stored_markdown"), "old_hash": F.coalesce("last.hash", "stored_hash")})
+    equal = (F.col("said") == "new") & F.coalesce(F.col("old_hash") == F.col("hash"), F.lit(False))
+    outcome = F.coalesce("bad", F.when(exists & ((F.col("said") == "same") | equal), "unchanged").when(exists, "updated").otherwise("new"))
+    return out.withColumns({"outcome": outcome, "article_id": F.coalesce("stored_id", _ident("source_id", "key"))}).drop("bad", "said", "writes", "last", "stored_id", "stored_hash", "stored_markdown")
 
 
 def counters(decided: DataFrame) -> DataFrame:
@@ -42,25 +53,45 @@ def counters(decided: DataFrame) -> DataFrame:
 
 
 def new_versions(decided: DataFrame, now: str) -> DataFrame:
-    """The bodies that updated pages supersede."""
+    """The bodies that updated pages supersede, with the crawler's diff where the pages carry one."""
     d = decided.where("outcome = 'updated'")
-    ident = F.left(F.sha2(F.concat_ws("\u0001", "article_id", "run_id"), 256), F.lit(32))
-    return d.select(ident.alias("id"), "article_id", F.col("run_id").alias("extraction_run_id"), F.col("old_markdown").alias("content_markdown"), F.col("old_hash").alias("content_hash"), moment(now).alias("extracted_at"))
+    diff = F.col("diff_text") if "diff_text" in decided.columns else F.lit(None).cast("string")
+    turn = F.col("turn").cast("string")
+    return d.withColumn("t", turn).select(_ident("article_id", "run_id", "old_hash", "t").alias("id"), "article_id", F.col("run_id").alias("extraction_run_id"), F.col("old_markdown").alias("content_markdown"), F.col("old_hash").alias("content_hash"), diff.alias("diff_text"), moment(now).alias("extracted_at"))
+
+
+@F.pandas_udf(StringType())
+def _absolute(base: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([urljoin(b or "", r or "") for b, r in zip(base, ref, strict=True)], dtype="object")
+
+
+def article_images(decided: DataFrame) -> DataFrame:
+    """Images of the pages (column ``html``) that wrote an article last: http(s) ones that aren't furniture, each once; they replace the article's rows."""
+    from vellumark.operators.jobs import image_filter
+
+    wrote = decided.where("outcome in ('new', 'updated')").groupBy("article_id").agg(F.max_by(F.struct("url", "html"), "turn").alias("p"))
+    tags = wrote.select("article_id", "p.url", F.posexplode(F.regexp_extract_all("p.html", F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))).alias("sort_order", "tag"))
+    attribute = lambda a: F.regexp_extract("tag", rf"(?is)\s{a}\s*=\s*[\"']?([^\"'\s>]*)", 1)
+    alt = F.concat(*[F.regexp_extract("tag", rf"(?is)\salt\s*=\s*{q}([^{q}]*){q}", 1) for q in "\"'"])
+    rows = tags.withColumn("src", attribute("src")).where("src != ''").select("article_id", _absolute("url", "src").alias("original_url"), alt.alias("alt_text"), "sort_order")
+    return image_filter(rows.withColumn("id", _ident("article_id", "original_url"))).select("id", "article_id", "original_url", "alt_text", "sort_order")
 
 
 def merged_articles(articles: DataFrame, decided: DataFrame, now: str) -> DataFrame:
-    """The store after the run: rows not met stay; unchanged ones get fresh links; updated and new ones their content."""
-    d = decided.where("outcome in ('new', 'updated', 'unchanged')").select(
-        F.col("article_id").alias("__id"), "outcome", F.col("source_id").alias("__source"), F.col("url").alias("__url"), F.col("key").alias("__key"), F.col("title").alias("__title"),
-        F.col("toc_entry_id").alias("__toc"), F.col("sort_order").alias("__order"), F.col("clean").alias("__clean"), F.col("hash").alias("__hash"), F.col("run_id").alias("__run"),
+    """The store after the run: rows not met stay; met ones get the links of their last page, and the content of the last that wrote."""
+    wrote = F.col("outcome").isin("new", "updated")
+    per = decided.where("outcome in ('new', 'updated', 'unchanged')").groupBy(F.col("article_id").alias("__id")).agg(
+        F.max_by(F.struct("source_id", "url", "key", "title", "toc_entry_id", "sort_order"), "turn").alias("m"),
+        F.max_by(F.struct("clean", "hash"), F.when(wrote, F.col("turn"))).alias("w"),
+        F.max(F.when(F.col("outcome") == "new", F.col("run_id"))).alias("__created"),
     )
-    out = articles.join(d, F.col("id") == F.col("__id"), "full_outer")
-    met, wrote, fresh = F.col("__id").isNotNull(), F.col("outcome").isin("new", "updated"), F.col("outcome") == "new"
+    out = articles.join(per, F.col("id") == F.col("__id"), "full_outer")
+    met, content, fresh = F.col("__id").isNotNull(), F.col("w").isNotNull(), F.col("__created").isNotNull()
     take = lambda cond, new, old: F.when(cond, new).otherwise(F.col(old)).alias(old)
     return out.select(
-        F.coalesce("id", "__id").alias("id"), F.coalesce("source_id", "__source").alias("source_id"), take(fresh, F.col("__run"), "created_run_id"), take(met, F.col("__toc"), "toc_entry_id"),
-        take(met, F.col("__title"), "title"), take(met, F.col("__url"), "source_url"), take(wrote, F.col("__key"), "topic_key"), take(wrote, F.col("__clean"), "content_markdown"), take(wrote, F.col("__hash"), "content_hash"),
-        take(wrote, C.estimated_tokens("__clean"), "estimated_tokens"), take(wrote, C.size_bytes("__clean"), "content_size_bytes"), take(met, F.col("__order"), "sort_order"),
+        F.coalesce("id", "__id").alias("id"), F.coalesce("source_id", "m.source_id").alias("source_id"), take(fresh, F.col("__created"), "created_run_id"), take(met, F.col("m.toc_entry_id"), "toc_entry_id"),
+        take(met, F.col("m.title"), "title"), take(met, F.col("m.url"), "source_url"), take(met, F.col("m.key"), "topic_key"), take(content, F.col("w.clean"), "content_markdown"), take(content, F.col("w.hash"), "content_hash"),
+        take(content, C.estimated_tokens("w.clean"), "estimated_tokens"), take(content, C.size_bytes("w.clean"), "content_size_bytes"), take(met, F.col("m.sort_order"), "sort_order"),
         take(fresh, moment(now), "created_at"), take(met, moment(now), "extracted_at"),
     )
 

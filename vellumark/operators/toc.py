@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumark.plans.checkpoints import cut
+
 
 def dedupe(toc: DataFrame, key: str = "source_id", order: str = "pos") -> DataFrame:
     """First occurrence of each non-empty URL in order; entries without one stay; ``sort_order`` from 0."""
@@ -44,27 +46,38 @@ def resolve_parents(toc: DataFrame, key: str = "source_id", order: str = "sort_o
     return toc.groupBy(key).applyInPandas(walk, schema)
 
 
-def ancestors(toc: DataFrame, depth: int = 12) -> DataFrame:
-    """(id, ancestor, distance) with each entry at distance 0: joins that double the reach, so log2(depth) rounds.
+def ancestors(toc: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) with each entry at distance 0: joins that double the reach, until no entry has an ancestor so far up.
 
-    Entries are joined by id, never collected; cycles end as ``depth`` does, and each pair counts once with its least distance.
+    Entries are joined by id, never collected; each pair counts once with its least distance, so cycles end.
     """
-    reach = toc.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    step = toc.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
-    known, far = toc.select(F.col("id").alias("up")), 1
-    step = step.join(known, "up", "left_semi").select("id", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
-    reach = reach.unionByName(step)
-    while far < depth:
+    up = toc.select("id", "parent_id").where("parent_id is not null")
+    up = up.join(toc.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
+    own = toc.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    reach, far = cut(own.unionByName(up)), 1
+    while (reach.agg(F.max("distance")).first()[0] or 0) >= far:
+        # Everything up to ``far`` is known; what is twice as far is one join away.
         a = reach.select("id", F.col("ancestor").alias("mid"), F.col("distance").alias("d1"))
         b = reach.select(F.col("id").alias("mid"), "ancestor", F.col("distance").alias("d2"))
-        reach = a.join(b, "mid").select("id", "ancestor", (F.col("d1") + F.col("d2")).alias("distance")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        reach = cut(a.join(b, "mid").select("id", "ancestor", (F.col("d1") + F.col("d2")).alias("distance")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
         far *= 2
     return reach
 
 
 def roots(toc: DataFrame) -> DataFrame:
-    """(id, root): the topmost ancestor, itself if it has none."""
-    return ancestors(toc).groupBy("id").agg(F.max_by("ancestor", "distance").alias("root"))
+    """(id, root): the topmost ancestor, itself if it has none; one row an entry, whose pointer doubles its reach each round.
+
+    An entry that ends in a cycle has the smallest id that it leads to.
+    """
+    known = toc.select(F.col("id").alias("parent_id"))
+    jump = toc.select("id", "parent_id").join(known.withColumn("there", F.lit(True)), "parent_id", "left").select("id", F.when(F.col("there"), F.col("parent_id")).alias("up"))
+    jump = cut(jump.select("id", F.coalesce("up", "id").alias("to"), F.col("up").isNull().alias("top"), F.least("id", F.coalesce("up", "id")).alias("low")))
+    left, far, entries = 1, 1, jump.count()
+    while left and far <= 2 * entries:
+        b = jump.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("top").alias("next_top"), F.col("low").alias("next_low"))
+        jump = cut(jump.join(b, "to").select("id", F.col("next").alias("to"), F.col("next_top").alias("top"), F.least("low", "next_low").alias("low")))
+        left, far = jump.where("not top").count(), far * 2
+    return jump.select("id", F.when(F.col("top"), F.col("to")).otherwise(F.col("low")).alias("root"))
 
 
 def descendants(toc: DataFrame, ids: DataFrame) -> DataFrame:
@@ -170,15 +183,23 @@ def greedy_split(articles: DataFrame, split_by: str | None, limit: float | None
 
 
 def budget_take(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:
-    """In order, takes a row if its cost fits in what is left of the budget, else passes over it."""
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("int").alias("c"))))
-    fold = F.aggregate(
-        "xs",
-        F.struct(F.lit(budget).alias("left"), F.array().cast("array<boolean>").alias("taken")),
-        lambda s, x: F.struct((s["left"] - F.when(x["c"] <= s["left"], x["c"]).otherwise(0)).alias("left"), F.concat(s["taken"], F.array(x["c"] <= s["left"])).alias("taken")),
-    )
-    return rows.groupBy(key).agg(ordered.alias("xs")).select(key, F.inline(F.arrays_zip(F.col("xs.o").alias("o"), fold["taken"].alias("taken")))).select(key, F.col("o").alias(order), "taken")
+    """In order, takes a row if its cost fits in what is left of the budget, else passes over it.
+
+    Sequential, so one task walks a key's numbers; keys are spread.
+    """
+    narrow = rows.select(key, order, F.col(cost).cast("long").alias("c"))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        left, taken = budget, []
+        for c in group["c"].tolist():
+            fits = c <= left
+            left -= c if fits else 0
+            taken.append(fits)
+        return pd.DataFrame({key: group[key], order: group[order], "taken": taken})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return narrow.groupBy(key).applyInPandas(walk, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, taken boolean")
 
 
 def generic_parents(urls: DataFrame, key: str = "source_id") -> DataFrame:

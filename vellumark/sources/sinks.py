@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumark.functions import columns as C
+from vellumark.plans.checkpoints import cut
 
 
 def file_name(source: Column, group: Column, groups: Column, kind: str = "md") -> Column:
@@ -24,7 +25,7 @@ def manifest(planned: DataFrame) -> DataFrame:
 
 
 def documents(planned: DataFrame, now: str) -> DataFrame:
-    """(source_id, group_no, body): header, contents and sections. A file's size is bounded by the split's limit."""
+    """(source_id, group_no, body): header, contents and sections. A file's size is bounded by the split's limit; a plan without a split has a file a source."""
     section = C.article_section(F.col("title"), F.col("source_url"), F.col("last_updated_at"), F.col("extracted_at"), F.col("content_markdown"))
     rows = planned.groupBy("source_id", "source_name", "group_no").agg(F.array_sort(F.collect_list(F.struct("ord", "title", section.alias("section")))).alias("xs"))
     contents = F.array_join(F.transform("xs", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), x["title"], F.lit("](#"), C.anchor_slug(x["title"]), F.lit(")"))), "\n")
@@ -72,3 +73,26 @@ class Store:
     def replace(self, df: DataFrame) -> None:
         last = self._versions()
         df.write.parquet(f"{self.path}/v{(last[-1] + 1 if last else 0):06d}")
+
+
+class Parts:
+    """A table in folders by ``key`` (a string column): a write replaces the touched folders only, or adds rows that aren't there yet."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "source_id") -> None:
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+
+    def read(self) -> DataFrame:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], self.schema)
+        columns = self.spark.createDataFrame([], self.schema).columns
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*columns)
+
+    def replace_parts(self, df: DataFrame) -> None:
+        """``df`` has all rows of the sources that it mentions."""
+        df.repartition(self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.key).parquet(self.path)
+
+    def append_new(self, df: DataFrame, ident: list[str]) -> None:
+        """Rows whose ``ident`` the touched sources don't have; what is added is settled before it is written."""
+        known = self.read().join(F.broadcast(df.select(self.key).distinct()), self.key, "left_semi")
+        cut(df.dropDuplicates(ident).join(known.select(*ident), ident, "left_anti")).repartition(self.key).write.mode("append").partitionBy(self.key).parquet(self.path)

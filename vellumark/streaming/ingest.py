@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumark.operators import merge
-from vellumark.sources.sinks import Store
+from vellumark.plans.checkpoints import cut
+from vellumark.sources.sinks import Parts
 
 EVENT = "type string, id string, ts timestamp, source_id string, run_id string, data array<struct<url:string,title:string,markdown:string,change_status:string>>"
 
@@ -32,14 +33,18 @@ def read_events(spark: SparkSession, path: str, files_at_once: int = 100) -> Dat
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_at_once).json(path)
 
 
-def merge_stream(pages: DataFrame, store: Store, versions: Store, checkpoint: str, now: Callable[[], str]):
-    """A query that merges each micro-batch into the store. A batch that runs again finds its pages unchanged."""
+def merge_stream(pages: DataFrame, store: Parts, versions: Parts, checkpoint: str, now: Callable[[], str]):
+    """A query that merges each micro-batch into the store, which is partitioned by source: only touched sources are rewritten.
+
+    A batch that runs again, after a crash between the two writes too, finds its versions there and leaves them out, and its pages unchanged.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         at, articles = now(), store.read()
-        decided = merge.decide(df, articles).persist()
-        versions.replace(versions.read().unionByName(merge.new_versions(decided, at)))
-        store.replace(merge.merged_articles(articles, decided, at).select(*articles.columns))
+        touched = cut(articles.join(F.broadcast(df.select("source_id").distinct()), "source_id", "left_semi"))
+        decided = merge.decide(df, touched).persist()
+        versions.append_new(merge.new_versions(decided, at).join(decided.select("article_id", "source_id").distinct(), "article_id"), ["id"])
+        store.replace_parts(merge.merged_articles(touched, decided, at).select(*articles.columns))
         decided.unpersist()
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -55,8 +60,12 @@ def ticks(spark: SparkSession, seconds: int, action: Callable[[DataFrame, int],
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def heartbeats(beats: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
-    """(run_id, ts) beats to runs as they go stale: one row when none came for the timeout, in event time."""
+def heartbeats(beats: DataFrame, timeout_ms: int = 300_000, late: str = "1 hour") -> DataFrame:
+    """(run_id, ts) beats to runs as they go stale: one row when none came for the timeout, in event time.
+
+    Beats may come ``late``, in any order; one that is later still is dropped by the watermark. So a run shows up as stale once event time is past its last
+    beat by the timeout and the lateness.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,5 +80,5 @@ def heartbeats(beats: DataFrame, timeout_ms: int = 300_000) -> DataFrame:
         state.update((last,))
         state.setTimeoutTimestamp(max(last + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
-    rows = beats.withWatermark("ts", "0 seconds").withColumn("ms", F.unix_millis("ts"))
+    rows = beats.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
     return rows.groupBy("run_id").applyInPandasWithState(track, "run_id string, last_ms long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
