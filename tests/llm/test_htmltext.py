@@ -33,6 +33,36 @@ def test_templates(wrap):
     assert page.extract(page.best().path) == TEXT
 
 
+PARTS = [
+    ("<h2 id='search'>Search</h2>", "Search"), ("<h2 id='related-work'>Related work</h2>", "Related work"), ("<p class='notice'>Mind this.</p>", "Mind this."), ("<div class='entry-header'><h1>Name</h1></div>", "Name"),
+    ("<div class='post-header'><h1>Name</h1></div>", "Name"), ("<header><h1>Name</h1></header>", "Name"), ("<div class='alert'>Take care.</div>", "Take care."), ("<div id='search'><p>How to search.</p></div>", "How to search."),
+    ("<section id='related-work'><p>Others did.</p></section>", "Others did."), ("<ul class='tools'><li>Saw</ul>", "Saw"), ("<div role=alert>Hot.</div>", "Hot."), ("<div class=header-section>Part</div>", "Part"),
+    ("<div class=ad>Buy</div>", ""), ("<div class='ad-slot'>Buy</div>", ""), ("<div id='comments'><p>Nice.</p></div>", ""), ("<ul class='social-links'><li>Post</ul>", ""), ("<aside>More</aside>", ""), ("<footer>Foot</footer>", ""),
+    ("<div class='newsletter-box'>Mail</div>", ""), ("<article class='comment'><p>Reader.</p></article>", ""), ("<div class=adorable>Cat</div>", "Cat"), ("<span class='ad'>in line</span>", "in line"),
+]
+
+
+@pytest.mark.parametrize(("part", "text"), PARTS)
+def test_parts_of_an_article(part, text):
+    """Inside an article only what can't be a part of it goes."""
+    page = Page(f"<body><div class=header>Top</div><article>{part}{MAIN}</article></body>")
+    assert page.extract(page.best().path) == f"{text}\n\n{TEXT}".strip()
+
+
+@pytest.mark.parametrize("name", ["header", "site-header", "SiteFooter", "notice", "cookie-notice", "sidebar-2", "top-nav", "search-form", "skip-links", "widget-area", "related", "alert"])
+def test_parts_outside_the_article(name):
+    page = Page(f"<body><div class='{name}'>Gone, with a good many words to it.</div><div class=page><h1 class='{name}'>Stays</h1>{MAIN}</div></body>")
+    assert page.extract(page.best().path) == f"Stays\n\n{TEXT}"
+
+
+def test_parts_far_down_are_left_out_too():
+    """Whatever the depth, what isn't the article goes, and what follows it stays."""
+    for n in (100, 511, 512, 513, 600, 3000):
+        deep = "<div>" * n + "<nav><ul><li>Menu</ul></nav><p>Text here.</p><script>x</script><div class=ad>Buy<div>more</div></div><table><tr><td class=menu>M<td>Cell</table>" + "</div>" * n
+        page = Page(f"<article>{deep}<p>End.</p></article>")
+        assert page.extract(page.best().path) == "Text here.\n\nCell\n\nEnd."
+
+
 def test_consensus_beats_a_long_sidebar(spark):
     short, long = "<p>Short text.</p>", "<p>Word after word after word, all the way on.</p>" * 5
     pages = [(k, f"http://h.example/{k}", f"<body><div class=x{k}>{long if k else short}</div><div class=extra>{'' if k else long}</div></body>", 1) for k in range(6)]

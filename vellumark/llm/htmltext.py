@@ -4,8 +4,9 @@ First pass: every page is parsed, its containers are scored by the text of their
 path of its best one (tags and classes from the root, numbers made alike). Votes are summed by host and path in Spark, and each host's
 path with the most votes wins. Second pass: the page's containers on its host's winning path give the text; a page without one uses its own best.
 
-Text leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers and hidden parts (by tag, role,
-class or id). Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null html is empty and
+Text leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers and hidden parts: by tag and role, and
+containers (never headings or paragraphs) whose class or id is, as a whole, a name of such a part. Inside an article, its own header and names that articles use too
+(notice, search, related work) stay. Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null html is empty and
 gives an empty text; a null or odd url belongs to the host ''. Pages are read whole; repeated rows give a row each; an empty table gives no rows; extra columns are not read.
 """
 
@@ -26,7 +27,7 @@ from vellumark.llm.tokens import texts
 
 #: Bytes of the table of winning paths up to which it is broadcast; hosts and paths counted in a task before they are handed on.
 BROADCAST, HELD = 16 << 20, 20_000
-#: Elements nested deeper than this stand beside each other, as in browsers.
+#: Elements nested deeper than this have no node of their own: their text belongs to the one above, and they are kept on a plain stack.
 DEEPEST = 512
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -37,10 +38,14 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _CONTAINER = frozenset("article body center div main section table tbody td tr".split())
 _OUT = frozenset("script style noscript template iframe object embed svg canvas head title nav footer aside form button select option textarea input label noembed noframes menu dialog audio video map".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words of class and id names of parts that aren't the article.
+#: Words that class and id names of parts that aren't the article consist of, those that mean it inside an article too, and words that say nothing beside them.
 _OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies cookie cookies consent gdpr notice notices alert footer foot header masthead topbar menu menus nav navbar navigation sidebar side rail share sharing social related recommended recommendations promo promotion sponsor sponsored subscribe subscription newsletter signup popup modal overlay widget widgets pagination pager toolbar tools login search skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies cookie cookies consent gdpr notice notices alert foot footer header masthead topbar menu menus nav navbar navigation sidebar rail share sharing social related recommended recommendations promo promos promotion sponsor sponsored subscribe subscription newsletter signup popup modal overlay widget widgets pagination pager toolbar search login skip".split()
 )
+_OUT_INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox adsense breadcrumb breadcrumbs comment comments commentlist respond disqus replies cookie cookies consent gdpr menu menus nav navbar navigation sidebar sharing social promo promos sponsored newsletter popup pagination pager".split())
+_EMPTY_NAMES = frozenset("site global slot box wrap wrapper container holder block area section bar top bottom left right side primary secondary inner outer list links items group panel unit buttons form thread body main page".split())
+#: Tags that a class or an id can put outside the article.
+_NAMED = frozenset("article center dd details div dl dt figure li ol section span table tbody td tr ul".split()) - {"span", "li", "dt", "dd"}
 _GOOD_NAMES = frozenset("article content entry post body main story text page".split())
 _CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 #: What an end tag or an implied end doesn't reach beyond.
@@ -50,11 +55,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "up", "path", "out", "good", "links", "chars", "score", "depth")
+    __slots__ = ("tag", "up", "path", "out", "good", "inside", "links", "chars", "score", "depth")
 
     def __init__(self, tag: str, up: Node | None, attributes: str) -> None:
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         self.out = (up.out if up else False) or tag in _OUT
+        #: Whether it is an article, or a part of one.
+        self.inside = bool(up and up.inside) or tag in ("article", "main")
         self.good, self.chars, self.links, self.score = tag in ("article", "main"), 0, 0, 0.0
         step = tag
         if attributes and not attributes.isspace() and tag != "a":
@@ -64,31 +71,26 @@ class Node:
             classes = at.get("class", "").split()
             named = [_NAME.findall(_CAMEL.sub(" ", c).lower()) for c in [*classes, at.get("id", "")]]
             words = {w for n in named for w in n}
+            role = at.get("role", "").lower()
             if tag not in ("body", "html"):
-                whole = tag in ("article", "main") or bool(words & {"article", "content"})
-                bad = words & _OUT_NAMES
-                # "post-header-content" and the like: the last word of each name says what it is.
-                bad = {n[-1] for n in named if n} & _OUT_NAMES if bad and whole else bad
+                inside = bool(up and up.inside)
+                bad = _OUT_INSIDE if inside else _OUT_NAMES
                 style = at.get("style", "").replace(" ", "").lower()
-                self.out = self.out or bool(bad) or at.get("role", "").lower() in _OUT_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+                self.out = self.out or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+                self.out = self.out or (role in _OUT_ROLES and not (inside and role in ("alert", "complementary", "search", "banner")))
+                if tag in _NAMED and words & bad:
+                    self.out = self.out or any(n and all(w in bad or w in _EMPTY_NAMES or w.isdigit() for w in n) and not bad.isdisjoint(n) for n in named)
+            self.inside = self.inside or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
             self.good = self.good or bool(words & _GOOD_NAMES) or at.get("role", "").lower() in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
             if classes:
                 step += "." + ".".join(sorted(re.sub(r"\d+", "#", c.lower()) for c in classes))
-        if tag == "header" and not (up and up.within_article()):
+        if tag == "header" and not (up and up.inside):
             self.out = True
         above = up.path if up else ""
         if len(above) > 1000:
             above = f"~{zlib.crc32(above.encode()):x}"
         self.path = f"{above}>{step}" if above else step
 
-    def within_article(self) -> bool:
-        node = self
-        while node:
-            if node.tag in ("article", "main"):
-                return True
-            node = node.up
-        return False
-
 
 class Page:
     """Blocks of text, each with the node it stands in."""
@@ -98,12 +100,15 @@ class Page:
         self.nodes: list[Node] = []
         self.blocks: list[tuple[Node, str]] = []
         self._node, self._run, self._linked = self.root, [], 0
+        #: Open elements below the deepest node: tag, and whether it is what puts its text outside the article.
+        self._deep: list[tuple[str, bool]] = []
+        self._deep_out = 0
         self._parse(source)
 
     def _text(self, raw: str) -> None:
         if raw:
             node = self._node
-            if not node.out:
+            if not node.out and not self._deep_out:
                 text = entities.unescape(raw)
                 self._run.append(text)
                 while node:
@@ -141,6 +146,11 @@ class Page:
                 self._end_block()
         self._node = to.up or self.root
 
+    def _leave_deep(self, count: int) -> None:
+        for _, out in self._deep[len(self._deep) - count :]:
+            self._deep_out -= out
+        del self._deep[len(self._deep) - count :]
+
     def _up(self, tags: frozenset, stop: frozenset) -> Node | None:
         node = self._node
         while node.up:
@@ -161,19 +171,30 @@ class Page:
             if not tag:
                 continue
             tag = tag.lower()
+            if end and self._deep:
+                at_deep = next((k for k, (t, _) in enumerate(reversed(self._deep), 1) if t == tag), 0)
+                if at_deep:
+                    if tag in _BLOCK:
+                        self._end_block()
+                    self._leave_deep(at_deep)
+                    continue
             if end:
                 found = self._up(frozenset([tag]), _SCOPE.get(tag, frozenset()) - {tag})
                 if found:
                     self._close(found)
+                    self._leave_deep(len(self._deep))
                 elif tag in _BLOCK:
                     self._end_block()
                 continue
             if tag in _BLOCK:
                 self._end_block()
-                p = self._up(frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
+                p = None if self._deep else self._up(frozenset(["p"]), frozenset(["table", "td", "th", "button", "object"]))
                 if p:
                     self._node = p.up or self.root
-            if tag in _CLOSES:
+            if self._deep:
+                while self._deep and self._deep[-1][0] in _CLOSES.get(tag, ()):
+                    self._leave_deep(1)
+            elif tag in _CLOSES:
                 old = self._up(_CLOSES[tag], _SCOPE[tag] if tag in _SCOPE else frozenset())
                 while old:
                     self._close(old)
@@ -194,6 +215,8 @@ class Page:
             if attributes.endswith("/") and tag not in _BLOCK and tag != "a":
                 continue
             if node.depth > DEEPEST:
+                self._deep.append((tag, node.out and not self._node.out))
+                self._deep_out += self._deep[-1][1]
                 continue
             self._node = node
             if tag in _CONTAINER:
@@ -202,7 +225,10 @@ class Page:
         self._end_block()
 
     def best(self) -> Node | None:
-        """The container whose own blocks and, for half, inner containers' blocks hold most unlinked text."""
+        """An article or main element with half the text, or else the container whose own blocks and, for part, inner containers' blocks hold most unlinked text."""
+        told = max((n for n in self.nodes if n.tag in ("article", "main") and not n.out), key=lambda n: n.chars, default=None)
+        if told and told.chars and 2 * told.chars >= sum(len(t) for _, t in self.blocks):
+            return told
         for node in self.nodes:
             node.score = 0.0
         for block, text in self.blocks:
