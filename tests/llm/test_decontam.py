@@ -27,6 +27,33 @@ def test_bounds_lose_nothing(spark, sf):
             assert set(zip(win.tolist(), seg.tolist(), strict=True)) == brute(index, d.text, least)
 
 
+def test_pivots_and_parts_lose_nothing(monkeypatch):
+    """Common and rare words, many segments that tie, windows in parts of a few entries: the same as exhaustive scoring."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    pick = lambda n: " ".join(words[min(299, int(k))] for k in rng.exponential(30, n))
+    items = [(k, pick(int(rng.integers(1, 200)))) for k in range(60)]
+    items += [(100, items[3][1]), (101, items[3][1])]
+    index = D.Index(items)
+    for text in [pick(900), f"{pick(50)} {items[3][1]} {pick(300)} {items[7][1]}", " ".join(words)]:
+        own = D.normal(text)
+        pairs = sorted({(w, index.ids[x]) for k, x in enumerate(own) if x in index.ids for w in {k // D.SEGMENT, max(0, k // D.SEGMENT - 1)}})
+        for least in (0.1, 0.4, 0.8):
+            for parts in (50, 2_000_000):
+                monkeypatch.setattr(D, "PARTS", parts)
+                win, seg, score = index.search(np.array([p[0] for p in pairs], "i8"), np.array([p[1] for p in pairs], "i8"), least)
+                assert sorted(zip(win.tolist(), seg.tolist(), strict=True)) == sorted(brute(index, text, least)) and (score >= least - 1e-6).all()
+
+
+def test_slices_score_like_the_whole(spark, monkeypatch):
+    """Document frequencies are those of all items, however many slices there are."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted((r.doc_id, r.item_id, round(r.score, 9), r.start_word) for r in D.find_leaks(docs, items).collect())
+    monkeypatch.setattr(D, "SLICE", 700)
+    assert sorted((r.doc_id, r.item_id, round(r.score, 9), r.start_word) for r in D.find_leaks(docs, items).collect()) == whole
+
+
 def test_finds_exactly_the_leaks(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")

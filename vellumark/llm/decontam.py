@@ -1,14 +1,19 @@
-"""Benchmark decontamination by a BM25 index of the test items with block-max bounds.
+"""Benchmark decontamination by a BM25 index of the test items with block-max WAND.
 
 Test items are cut into segments of at most ``SEGMENT`` words; each is a document of the index. A term's score in a segment is its BM25 part
-divided by the segment's score for itself, so a full copy scores 1 and one threshold fits all. Segments are ordered in blocks of ``BLOCK``, and the index
-keeps each term's best score in each block. Every passage of every training text (windows of twice ``SEGMENT`` words, half overlapping, so that
-each run of a segment's length lies in one) is a query: the sum of its terms' block maxima bounds all scores in a block, blocks under the threshold are skipped, and
-segments of the others are scored in full. That is the pruning of block-max WAND, done for many passages at once with arrays; all at or over the
-threshold are retrieved. A find counts if the item's question and its answer (its last sentence, or its last third) both overlap with the passages that found it.
-
-The index is broadcast in slices of at most about ``SLICE`` words; each slice is one pass over the texts. Null and empty texts or items match nothing; texts are
-read whole. One row for each text and item: shared ids and repeated rows are merged. Empty tables give no rows; extra columns are not read.
+divided by the segment's score for itself, so a full copy scores 1 and one threshold fits all. Segments are ordered in blocks of ``BLOCK``; the index
+keeps each term's best score of all and in each block. Every passage of every training text (windows of twice ``SEGMENT`` words, half overlapping, so that
+each run of a segment's length lies in one) is a query, and all segments at or over the threshold are retrieved. As in WAND, a passage's terms are put in the
+order of their best scores; the term at which the sum of those so far reaches the threshold is the pivot, and a segment without a term from the pivot on can't reach it.
+So only those terms' blocks are met; the sum of all terms' block maxima then bounds a block's scores, and only blocks whose bound reaches the threshold are scored. Many
+passages go through each step together, in parts of at most ``PARTS`` entries.
+
+A find counts if the item's question and its answer (its last sentence, or its last third) both overlap with the passages that found it.
+
+Document frequencies, their number and mean length are those of all items. The index is built on the driver and broadcast a slice of about ``SLICE`` words of whole items
+at a time; each slice is one pass over the texts, done before the next is broadcast. Null and empty texts or items match nothing; texts are read whole. One row
+for each text and item: shared ids and repeated rows are merged (best score, earliest passage); passages and items that tie are all retrieved. Empty tables give no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import give_back, id_and_text, table
+from vellumark.llm.scratch import give_back, id_and_text, table, turn_to_other_work
 from vellumark.llm.tokens import texts
 
 #: Words of a segment, segments of a block, words of the items that one broadcast holds.
 SEGMENT, BLOCK, SLICE = 64, 8, 2_000_000
 #: BM25's constants, the least score, and the least overlap of question (five-word shingles) and answer (word pairs).
 K1, B, LEAST, QUESTION, ANSWER = 1.2, 0.75, 0.6, 0.8, 0.5
-#: Words looked at together.
-AT_ONCE = 200_000
+#: Words looked at together, and entries of the index.
+AT_ONCE, PARTS = 200_000, 2_000_000
 
 _WORD = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start_word long"
@@ -64,67 +69,96 @@ def overlap(part: list[str], n: int, words: list[str]) -> float:
     return len(own & grams(words, size)) / len(own) if len(words) >= size else 0.0
 
 
+def segments(text: str | None) -> list[list[str]]:
+    words = normal(text)
+    size = math.ceil(len(words) / max(1, math.ceil(len(words) / SEGMENT)))
+    return [words[a : a + size] for a in range(0, len(words), size or 1)]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    """``df``: segments of all items that hold each word; ``n`` and ``mean``: their number and mean length (those of ``items`` if not given)."""
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int] | None = None, n: int = 0, mean: float = 0.0) -> None:
         self.items = items
-        segments: list[tuple[int, list[str]]] = []
-        for k, (_, text) in enumerate(items):
-            words = normal(text)
-            pieces = max(1, math.ceil(len(words) / SEGMENT))
-            size = math.ceil(len(words) / pieces) if words else 0
-            segments += [(k, words[a : a + size]) for a in range(0, len(words), size or 1)]
-        self.item_of = np.array([k for k, _ in segments], "i8")
-        self.n, self.blocks = len(segments), max(1, math.ceil(len(segments) / BLOCK))
-        counts = [Counter(w) for _, w in segments]
-        df = Counter(t for c in counts for t in c)
-        self.ids = {t: k for k, t in enumerate(df)}
-        idf = {t: math.log(1 + (self.n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
-        mean = sum(len(w) for _, w in segments) / max(1, self.n)
+        cut = [(k, s) for k, (_, text) in enumerate(items) for s in segments(text)]
+        counts = [Counter(s) for _, s in cut]
+        if df is None:
+            df, n, mean = Counter(t for c in counts for t in c), len(cut), sum(len(s) for _, s in cut) / max(1, len(cut))
+        self.item_of = np.array([k for k, _ in cut], "i8")
+        self.n, self.blocks = len(cut), max(1, math.ceil(len(cut) / BLOCK))
+        self.ids = {t: k for k, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.ids]
-        for s, (c, (_, words)) in enumerate(zip(counts, segments, strict=True)):
-            part = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in c.items()}
+        for s, (c, (_, words)) in enumerate(zip(counts, cut, strict=True)):
+            part = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in c.items()}
             whole = sum(part.values())
             for t, p in part.items():
                 postings[self.ids[t]].append((s, p / whole))
-        self.first = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype("i8")
+        first = self.first = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype("i8")
         self.segment = np.array([s for p in postings for s, _ in p], "i8")
         self.part = np.array([x for p in postings for _, x in p], "f8")
-        # Each term's blocks with its best score in them.
-        term = np.repeat(np.arange(len(postings)), np.diff(self.first))
-        key, at = np.unique(term * self.blocks + self.segment // BLOCK, return_inverse=True)
-        self.block_max = np.zeros(len(key))
-        np.maximum.at(self.block_max, at, self.part)
-        self.block = key % self.blocks
-        self.block_first = np.searchsorted(key // self.blocks, np.arange(len(postings) + 1))
+        self.best = np.maximum.reduceat(self.part, first[:-1]) if len(self.part) else np.zeros(0)
+        # Each term's blocks, their best scores, and where their postings begin.
+        term = np.repeat(np.arange(len(postings)), np.diff(first))
+        self.key, begin = np.unique(term * self.blocks + self.segment // BLOCK, return_index=True)
+        self.block_max = np.maximum.reduceat(self.part, begin) if len(self.part) else np.zeros(0)
+        self.begin = np.append(begin, len(self.part))
+        self.block_first = np.searchsorted(self.key, np.arange(len(postings) + 1) * self.blocks)
 
     @staticmethod
-    def _expand(first: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each term all its entries: whose they are, and where."""
-        n = first[terms + 1] - first[terms]
-        own = np.repeat(np.arange(len(terms)), n)
-        return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[terms][own]
+    def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of each range: whose they are, and which."""
+        n = hi - lo
+        own = np.repeat(np.arange(len(lo)), n)
+        return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + lo[own]
+
+    @staticmethod
+    def _parts(sizes: np.ndarray) -> list[slice]:
+        """Neighbours together up to ``PARTS`` entries."""
+        group = np.cumsum(sizes) // PARTS
+        bounds = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        return [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def search(self, windows: np.ndarray, terms: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, segment, score) of all scores of at least ``least``; windows and terms: distinct pairs, ordered."""
-        none = np.zeros(0, "i8")
-        if not len(windows):
-            return none, none, np.zeros(0)
-        at = windows - windows[0]
-        own, where = self._expand(self.block_first, terms)
-        bound = np.bincount(at[own] * self.blocks + self.block[where], weights=self.block_max[where], minlength=(at[-1] + 1) * self.blocks)
-        live = bound >= least - 1e-9
-        if not live.any():
-            return none, none, np.zeros(0)
-        # Only windows with a live block; of their postings only those in live blocks.
-        keep = live.reshape(-1, self.blocks).any(axis=1)[at]
-        at, terms = at[keep], terms[keep]
-        own, where = self._expand(self.first, terms)
-        ok = live[at[own] * self.blocks + self.segment[where] // BLOCK]
-        own, where = own[ok], where[ok]
-        key, inverse = np.unique(at[own] * self.n + self.segment[where], return_inverse=True)
-        score = np.bincount(inverse, weights=self.part[where])
-        hit = score >= least - 1e-9
-        return key[hit] // self.n + windows[0], key[hit] % self.n, score[hit]
+        """(window, segment, score) of all scores of at least ``least``; windows and terms: distinct pairs, ordered by window."""
+        hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
+        least -= 1e-9
+        # Windows whose terms can't reach the threshold wherever they stand are done.
+        names, at = np.unique(windows, return_inverse=True)
+        keep = (np.bincount(at, self.best[terms], len(names)) >= least)[at]
+        windows, terms = windows[keep], terms[keep]
+        if len(windows):
+            order = np.lexsort((self.best[terms], windows))
+            windows, terms = windows[order], terms[order]
+            names, first, count = np.unique(windows, return_index=True, return_counts=True)
+            sums = np.cumsum(self.best[terms])
+            sums -= np.repeat(sums[first] - self.best[terms[first]], count)
+            # From the pivot on: one of these terms must be in a segment that reaches the threshold.
+            own = sums >= least
+            sizes = np.add.reduceat(np.where(own, self.block_first[terms + 1] - self.block_first[terms], 0), first)
+            for part in self._parts(sizes):
+                lo, hi = first[part][0], (first[part] + count[part])[-1]
+                who, where = self._expand(self.block_first[terms[lo:hi][own[lo:hi]]], self.block_first[terms[lo:hi][own[lo:hi]] + 1])
+                met = np.unique(np.repeat(np.arange(len(first[part])), count[part])[own[lo:hi]][who] * self.blocks + self.key[where] % self.blocks)
+                w, block = np.divmod(met, self.blocks)
+                start, size = first[part][w], count[part][w]
+                for some in self._parts(size):
+                    hits.append(self._score(names[part][w[some]], block[some], start[some], size[some], terms, least))
+        return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
+
+    def _score(self, window: np.ndarray, block: np.ndarray, start: np.ndarray, size: np.ndarray, terms: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+        """Scores of at least ``least`` in (window, block) pairs whose windows have the terms from ``start`` on: by block maxima first, then by segment."""
+        pair, at = self._expand(start, start + size)
+        key = terms[at] * self.blocks + block[pair]
+        entry = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        there = self.key[entry] == key
+        pair, entry = pair[there], entry[there]
+        live = np.bincount(pair, self.block_max[entry], len(window)) >= least
+        pair, entry = pair[live[pair]], entry[live[pair]]
+        own, where = self._expand(self.begin[entry], self.begin[entry + 1])
+        found, inverse = np.unique(pair[own] * BLOCK + self.segment[where] % BLOCK, return_inverse=True)
+        score = np.bincount(inverse, self.part[where], len(found))
+        found, score = found[score >= least], score[score >= least]
+        return window[found // BLOCK], block[found // BLOCK] * BLOCK + found % BLOCK, score
 
     def find(self, text: str | None, least: float = LEAST) -> list[tuple]:
         """(item_id, score, question_overlap, answer_overlap, start_word) of each verified item."""
@@ -159,19 +193,32 @@ class Index:
         return sorted(found)
 
 
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(int(i), s) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in segments(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.string()))], ["slice", "words"])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, score, question_overlap, answer_overlap, start_word``: which texts hold which items."""
     spark = docs.sparkSession
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item is not null and item_id is not null")
-    # Sizes first: a slice holds about SLICE words (six bytes each), whatever the table's size.
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item is not null and item_id is not null").distinct()
+    # Sizes first: a slice holds about SLICE words (six bytes each) of whole items, whatever the table's size.
     slices = max(1, math.ceil((rows.agg(F.sum(F.octet_length("item"))).first()[0] or 0) / (6 * SLICE)))
-    narrow = id_and_text(docs, id_col, text_col)
-    found = None
+    rows = table(rows.withColumn("slice", F.pmod(F.xxhash64("item_id", "item"), F.lit(slices))), "items")
+    cut = table(rows.select("slice", "item").mapInArrow(_segments, "slice long, words array<string>"), "segments")
+    n, mean = cut.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    held = cut.select("slice", F.explode(F.array_distinct("words")).alias("word"))
+    often = table(held.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    narrow, found = id_and_text(docs, id_col, text_col), None
     for s in range(slices):
-        part = sorted((r["item_id"], r["item"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(slices)) == s).collect())
-        shared = spark.sparkContext.broadcast(part)
+        part = sorted((r["item_id"], r["item"]) for r in rows.where(F.col("slice") == s).collect())
+        df = {r["word"]: r["df"] for r in often.join(held.where(F.col("slice") == s).select("word").distinct(), "word").collect()}
+        shared = spark.sparkContext.broadcast(Index(part, df, n, mean or 1.0))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            turn_to_other_work()
+            index = shared.value
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 out = [(doc_ids[k + j], *f) for k, some in texts(batch) for j, t in enumerate(some) for f in index.find(t, least)]
@@ -181,11 +228,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col:
             give_back()
 
         one = narrow.mapInArrow(run, FOUND)
+        if slices > 1:
+            one = table(one, "leaks")
+            shared.destroy()
         found = one if found is None else found.unionAll(one)
     return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"), F.min("start_word").alias("start_word"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id has no leak, with their columns; rows without an id stay."""
+    """The rows whose id has no leak, with their columns; rows without an id stay, and so do null and empty texts. Rows that share an id go together."""
     leaked = table(find_leaks(docs, items, id_col=id_col, text_col=text_col).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
     return docs.join(leaked, F.col(id_col).cast("long") == F.col("__leaked"), "left_anti")
