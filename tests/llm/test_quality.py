@@ -61,3 +61,23 @@ def test_slices_make_no_difference(monkeypatch):
     whole = quality.terms(text)
     monkeypatch.setattr(quality, "SLICE", 17)
     assert (quality.terms(text) == whole).all()
+
+
+def test_vote_is_the_plain_one():
+    """Cosines one by one, the nearest by sorting; ties at the last place all vote, whatever the block."""
+    rng = np.random.default_rng(3)
+    known = [" ".join(rng.choice(["alpha", "beta!", "Gamma", "12", "delta,"], int(rng.integers(1, 60)))) for _ in range(40)]
+    known += known[:20]
+    labels = rng.integers(0, 2, len(known)).astype("f8")
+    model = quality.fit(np.stack([quality.terms(t) for t in known]), labels, latent=12)
+    texts = [*known[:15], None, "", "new words here", "12 12 Gamma!"]
+    counts = np.stack([quality.terms(t) for t in texts])
+    got = quality.vote(model, counts, 5)
+    for c, score in zip(counts, got, strict=True):
+        v = quality._weigh(c[None].copy(), model["idf"])[0].astype("f8") @ model["basis"].astype("f8")
+        v /= max(np.sqrt(sum(x * x for x in v)), 1e-9)
+        cosines = [round(float(sum(a * float(b) for a, b in zip(v, w, strict=True))), quality.DIGITS) for w in model["vectors"]]
+        last = sorted(cosines, reverse=True)[4]
+        votes = [(max(x, 1e-3) ** 8, y) for x, y in zip(cosines, labels, strict=True) if x >= last]
+        assert abs(score - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-6
+    assert (np.concatenate([quality.vote(model, counts[k : k + 1], 5) for k in range(len(counts))]) == got).all()

@@ -6,7 +6,7 @@ into short vectors. The labelled vectors go to every worker (``SAMPLE`` rows of
 document gets its exact cosine with all of them, in blocks, and its ``NEIGHBOURS`` nearest vote for their labels, weighted by similarity.
 
 Only labelled rows outside the held-out fold (crc32 of the id as text, mod 5, not 0) are learnt from; labels, language, source and id are never
-inputs of a score. Null texts count as empty, and empty texts get a score too. Null labels are not learnt from; of several labels of one
+inputs of a score. Neighbours whose cosines tie with the last voter's vote as well. Null texts count as empty, and empty texts get a score too. Null labels are not learnt from; of several labels of one
 id the lowest holds. With no labels at all every score is 0.5. Repeated rows are scored row by row; an empty table gives no rows; extra columns are not read.
 """
 
@@ -28,6 +28,8 @@ from vellumark.llm.tokens import texts
 SAMPLE, LATENT, NEIGHBOURS, CUT = 4096, 48, 15, 0.3
 #: Bins of shape trigrams (a power of two), of content trigrams, and of each statistic; bytes looked at together.
 BINS, STEPS, SLICE = 1024, 12, 1 << 21
+#: Decimals of a cosine.
+DIGITS = 9
 
 
 def _classes() -> np.ndarray:
@@ -113,12 +115,15 @@ def fit(counts: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> dict:
 
 
 def vote(model: dict, counts: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Scores of a block of documents: exact cosines with all labelled vectors, then the vote of the nearest."""
-    close = _unit(_weigh(counts, model["idf"]) @ model["basis"]) @ model["vectors"].T
+    """Scores of a block of documents: exact cosines with all labelled vectors, then the vote of the nearest; all that tie with the last of them vote too."""
+    latent = _weigh(counts, model["idf"]).astype("f8") @ model["basis"].astype("f8")
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    # Rounded in double precision, so that equal cosines are equal however many documents are in the block.
+    close = np.round(latent @ model["vectors"].astype("f8").T, DIGITS)
     k = min(k, close.shape[1])
-    near = np.argpartition(-close, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(close, near, 1), 1e-3) ** 8
-    return np.clip((weight * model["labels"][near]).sum(axis=1) / weight.sum(axis=1), 0, 1).astype("f8")
+    last = np.partition(close, -k, axis=1)[:, -k, None]
+    weight = np.where(close >= last, np.maximum(close, 1e-3) ** 8, 0.0)
+    return np.clip((weight @ model["labels"].astype("f8")) / weight.sum(axis=1), 0, 1)
 
 
 def held_out(col) -> F.Column:
@@ -177,7 +182,10 @@ def score_rows(rows: DataFrame, labels: DataFrame, label: str = "quality", also:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns; one pass scores and filters them."""
+    """The rows of ``docs`` that are not rejected, with their columns, whatever their names; one pass scores and filters them.
+
+    Null and empty texts are scored like others, rows without an id and repeated rows row by row. An empty table gives no rows.
+    """
     names, schema = docs.columns, docs.schema
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(id_and_text(docs, "doc_id", "text"), labels))
