@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from vellumark.llm import packing, tokenfiles
@@ -69,6 +70,57 @@ def test_selective_read(spark, sf, tmp_path):
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_file_format_and_skipped_pages(spark, tmp_path):
+    """Ids are dictionary-encoded, row groups and pages bounded, pages indexed; a read of a few documents skips the other pages, one of the metadata all ids."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(1)
+    words = [f"word{k}" for k in range(500)]
+    rows = [(k, " ".join(rng.choice(words, 400)), "x") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        tokenfiles.write_token_ids(docs, str(tmp_path), tokenizer_path())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = sorted((tmp_path / "tokens").glob("part-*.parquet"))
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        names = [meta.schema.column(c).path for c in range(meta.num_columns)]
+        ids = names.index(next(n for n in names if n.startswith("ids")))
+        for g in range(meta.num_row_groups):
+            column = meta.row_group(g).column(ids)
+            assert column.has_dictionary_page and {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(column.encodings) and column.total_uncompressed_size <= 1.5 * tokenfiles.ROW_GROUP
+            assert column.has_offset_index and meta.row_group(g).column(names.index("doc_id")).has_column_index
+            # Ids take about nine bits each, not thirty-two.
+            assert column.total_uncompressed_size < 2.5 * column.num_values
+    tokens = spark.read.parquet(f"{tmp_path}/tokens")
+
+    def scanned(df):
+        """Rows that come out of the scan of the token files, before any filter, and the result's."""
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value(), len(rows)
+
+    out, wanted = scanned(tokens.where("doc_id between 3000 and 3009").select("doc_id", "ids"))
+    # Whole pages of at most 2,000 rows and of the ids' size: most of the others are skipped.
+    assert wanted == 10 and out <= 2000
+    assert scanned(tokens.select("doc_id", "n_tokens")) == (6000, 6000)
+
+
+def test_long_texts(spark, tmp_path):
+    long = "many words of one long text, é! " * 60_000
+    docs = spark.createDataFrame([(2, long, "x"), (1, "short", "x")], "doc_id long, text string, ids string")
+    ids = plain(long)
+    a, b = sorted(tokenfiles.token_file_digest(docs, tokenizer_path(), path=str(tmp_path / "a")).collect())
+    assert (a.doc_id, a.start, b.doc_id, b.start, b.n_tokens, b.ids_crc32) == (1, 0, 2, a.n_tokens, len(ids) + 1, brute.crc_ids([*ids, 0]))
+    rows = packing.pack_documents(docs, tokenizer_path()).collect()
+    whole(rows)
+    pieces = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 2)
+    assert [(s, n) for _, s, n in pieces] == packing.cut(len(ids) + 1, 1024) and [p for p, _, _ in pieces] == list(range(len(pieces)))
+
+
 def whole(rows, capacity=1024):
     """Sequences are gapless, within capacity, and hold each piece once."""
     at = defaultdict(list)
@@ -108,6 +160,14 @@ def test_packing_in_many_rounds(spark, monkeypatch):
     assert len(at) <= len(packing.best_fit(sizes, 1024)) * 1.02
 
 
+def test_tree_goes_on_until_partitions_have_met(spark):
+    """Pieces that fit only pieces of other partitions find them, however many partitions there are."""
+    rows = [(k, 0, 0, 700 if k % 2 else 324, 0) for k in range(64)]
+    pieces = spark.createDataFrame(sorted(rows, key=lambda r: r[3]), packing.PIECES).coalesce(1).repartitionByRange(16, "length")
+    out = packing.pack_pieces(pieces).collect()
+    assert len(whole(out)) == 32 and all(sum(n for _, n in spans) == 1024 for spans in whole(out).values())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit(sizes):

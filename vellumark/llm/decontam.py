@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import give_back, id_and_text, table, turn_to_other_work
+from vellumark.llm.scratch import give_back, id_and_text, packed, table, turn_to_other_work
 from vellumark.llm.tokens import texts
 
 #: Words of a segment, segments of a block, words of the items that one broadcast holds.
@@ -237,5 +237,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id has no leak, with their columns; rows without an id stay, and so do null and empty texts. Rows that share an id go together."""
-    leaked = table(find_leaks(docs, items, id_col=id_col, text_col=text_col).where("doc_id is not null").select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(leaked, F.col(id_col).cast("long") == F.col("__leaked"), "left_anti")
+    leaked = table(find_leaks(docs, items, id_col=id_col, text_col=text_col).where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "leaked")
+    return packed(docs, id_col).join(leaked, "id", "left_anti").select("row.*")

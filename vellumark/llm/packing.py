@@ -1,8 +1,8 @@
 """Best-fit packing of documents into token sequences by hierarchical residual packing.
 
-Every partition packs its own pieces best-fit decreasing and emits bins that are nearly full.
+Every partition packs its own pieces best-fit decreasing and emits bins that are nearly full: too full for the smallest piece of all.
 The underfull ones travel on as items, members inside, to a round over fewer partitions, and so
-on up the tree until one partition is left or a round no longer saves bins. A bin's members are at
+on up the tree until one partition is left or, where there are too many bins for that, a round changes nothing. A bin's members are at
 most ``capacity`` many, and a partition of a later round holds at most ``ROUND_ROWS`` bins, so no
 task grows with the corpus.
 
@@ -29,8 +29,8 @@ from vellumark.llm.tokens import encoder, texts
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
 BINS = f"sequence_id long, fill int, done boolean, members array<{_MEMBER}>"
-#: Items that one best-fit call takes; bins of a later round in one partition; partitions merged into one; free tokens of a bin that is as good as full.
-AT_ONCE, ROUND_ROWS, FAN_IN, SLACK = 100_000, 200_000, 8, 2
+#: Items that one best-fit call takes; bins of a later round in one partition; partitions merged into one.
+AT_ONCE, ROUND_ROWS, FAN_IN = 100_000, 200_000, 8
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -93,11 +93,11 @@ def _bins(level: int, bins: list[tuple[int, list[tuple]]], first: int, task: int
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fill), pa.array(fill >= full), members], ["sequence_id", "fill", "done", "members"])
 
 
-def _pack(level: int, capacity: int):
+def _pack(level: int, capacity: int, slack: int):
     """Best-fit over a partition, ``AT_ONCE`` items at a time; underfull bins stay to meet the next items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, full, n = TaskContext.get().partitionId(), capacity - SLACK, 0
+        task, full, n = TaskContext.get().partitionId(), capacity - slack, 0
         held: list[tuple[int, list[tuple]]] = []
 
         def fit(last: bool) -> Iterator[pa.RecordBatch]:
@@ -130,22 +130,21 @@ def _pack(level: int, capacity: int):
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Rows of ``PIECES`` to the same rows with ``sequence_id`` and ``offset``."""
-    spark = pieces.sparkSession
-    bins = table(pieces.mapInArrow(_pack(0, capacity), BINS), "bins")
+    # A bin with less room than the smallest piece needs is as good as full, whatever comes.
+    slack = min(capacity, (pieces.agg(F.min("length")).first()[0] or 1)) - 1
+    bins = table(pieces.mapInArrow(_pack(0, capacity, slack), BINS), "bins")
     parts, level, rounds = bins.rdd.getNumPartitions(), 0, []
-    while True:
-        rest = bins.where("not done")
-        left = rest.count()
-        if left == 0 or (level and parts == 1):
-            rounds.append(bins)
-            break
+    left = bins.where("not done").count()
+    while left and not (level and parts == 1):
         rounds.append(bins.where("done"))
-        level += 1
+        before, level = (left, parts), level + 1
         parts = max(math.ceil(left / ROUND_ROWS), 1 if parts <= FAN_IN else math.ceil(parts / FAN_IN))
-        bins = table(rest.select("fill", "members").repartition(parts).mapInArrow(_pack(level, capacity), BINS), "bins")
-        if parts > 1 and bins.count() > 0.999 * left:
-            rounds.append(bins)
+        bins = table(bins.where("not done").select("fill", "members").repartition(parts).mapInArrow(_pack(level, capacity, slack), BINS), "bins")
+        left = bins.where("not done").count()
+        # Once partitions are as few as their size allows, rounds go on while they fill bins.
+        if before == (left, parts):
             break
+    rounds.append(bins)
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionAll(r)

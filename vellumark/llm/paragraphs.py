@@ -4,8 +4,8 @@ Passages can start anywhere in a line, so every window of ``LEAST_WORDS`` words
 shingles of ``SEED`` words. Neighbouring windows mostly have the same one, so a few places of a text are written, and an equal run of ``LEAST_WORDS``
 words always shares one of them (a seed). Near copies of 50 words and more with a Jaccard coefficient of 0.8 always hold such a run: n five-word
 shingles at 0.8 allow n / 45 changed words. Each seed is compared with an earlier occurrence: inside a batch of texts with the batch's first (smallest
-document, then place), and the batches' firsts, one row a key and batch, with the first of all. So a passage that very many texts share is met by as
-many rows as there are batches, and its occurrences form a tree whose root stays. A match is extended word by word to both sides, gaps of up to
+document, then place), and the batches' first documents with the first of all. So a passage that very many texts share is met by as
+many documents as there are batches, and its occurrences form a tree whose root stays. A match is extended word by word to both sides, gaps of up to
 ``GAP`` words are bridged, and bridged spans need an exact Jaccard coefficient of ``LEAST_JACCARD`` of their aligned shingles, else they fall apart at
 gaps. Spans of ``LEAST_WORDS`` words then count. ``passage_components`` clusters documents by the removals that connect them.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import drop, give_back, id_and_text, table, turn_to_other_work
+from vellumark.llm.scratch import drop, give_back, id_and_text, packed, table, turn_to_other_work
 
 #: Words of a shingle; least Jaccard coefficient, and words of a span.
 SHINGLE, LEAST_JACCARD, LEAST_WORDS = 5, 0.8, 20
@@ -150,8 +150,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.append(True, key[order][1:] != key[order][:-1])
                 first = np.empty(len(key), "i8")
                 first[order] = order[new][np.cumsum(new) - 1]
-                # Of each key of the batch the first occurrence goes on, in the order of the texts.
-                own = np.sort(order[new])
+                # Of each key of the batch the first document goes on with all its places, in the order of the texts.
+                own = np.flatnonzero(doc == doc[first])
                 yield _rows(0, len(own), key=key[own].view("i8"), doc=doc[own], at=at[own])
                 hit = np.flatnonzero(doc > doc[first])
                 yield _rows(1, len(hit), doc=doc[hit], at=at[hit], first=doc[first[hit]], to=at[first[hit]])
@@ -445,11 +445,10 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """
     names, schema = docs.columns, docs.schema
     at = names.index("text")
-    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     rows, others, repeated = _documents(docs, "doc_id", "text")
     spans = _spans(rows, least_words, repeated).where("not keeps")
     lists = table(spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "n_words"))).alias("spans")), "spans")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), whole)
+    keyed = packed(docs, "doc_id").withColumnRenamed("id", "doc")
     if others is not None:
         found = others.select(F.col("doc").alias("other"), F.col("doc_id").alias("doc"), "h")
         keyed = keyed.withColumn("h", F.xxhash64("row.text")).join(found, ["doc", "h"], "left").select(F.coalesce("other", "doc").alias("doc"), "row")

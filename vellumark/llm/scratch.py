@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here cuts the lineage and outlives lost executors. The folder is
-``spark.checkpoint.dir``; where the session names none (tests), one is made and set.
+``spark.checkpoint.dir``; where a local session names none (tests), one is made and set.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellumark-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -78,3 +80,8 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, so extra columns can't clash with its own."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def packed(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, row): whole rows as structs beside their id, so that no column of theirs clashes with what is joined."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from vellumark.llm.components import connected_components
 from vellumark.llm.paragraphs import similar
 from vellumark.llm.runs import sorted_runs
-from vellumark.llm.scratch import give_back, id_and_text, table, turn_to_other_work
+from vellumark.llm.scratch import give_back, id_and_text, packed, table, turn_to_other_work
 from vellumark.llm.tokens import texts
 
 #: Shingles hashed at once; fingerprints of one key that one chunk takes.
 SLICE, GROUP = 200_000, 2048
+#: Chance partners that cost less to compare than more blocks' keys to deal out.
+CHANCE = 1
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -70,9 +72,9 @@ def block_masks(blocks: int, distance: int) -> list[int]:
 
 
 def blocks_for(n: int, distance: int) -> int:
-    """The fewest blocks that leave about one chance partner a fingerprint; the result is the same for any."""
+    """The fewest blocks that leave ``CHANCE`` chance partners a fingerprint at most; the result is the same for any."""
     for blocks in range(distance + 1, 13):
-        if math.comb(blocks, distance) * n / 2.0 ** (64 * (blocks - distance) / blocks) <= 1:
+        if math.comb(blocks, distance) * n / 2.0 ** (64 * (blocks - distance) / blocks) <= CHANCE:
             break
     return blocks
 
@@ -252,21 +254,20 @@ def set_bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(shingle: int, bands: bool):
-    """Rows (doc_id, text) to (doc_id, c, bands) or (c, shingles); ``c``: hash of the set."""
+    """Rows (doc_id, text, h) to (doc_id, h, c, fingerprint, bands), or rows (doc_id, text) to (c, shingles); ``c``: hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         turn_to_other_work()
         for batch in batches:
-            ids = batch.column(0)
             for k, some in texts(batch, 1, 200):
                 sets = [shingle_set(t, shingle) for t in some]
                 c = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], "u8").view("i8"))
                 if bands:
                     fps = np.array([wide_fingerprint(t, shingle) for t in some], "u8").reshape(-1, WORDS).view("i8")
                     words = [pa.array(np.ascontiguousarray(fps[:, w])) for w in range(WORDS)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(k, len(sets)), c, *words, pa.array([set_bands(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "c", *_WIDE, "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), c, *words, pa.array([set_bands(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "h", "c", *_WIDE, "bands"])
                 else:
                     yield pa.RecordBatch.from_arrays([c, pa.array([x.tobytes() for x in sets], pa.binary())], ["c", "shingles"])
         give_back()
@@ -286,13 +287,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of rows with an id: texts linked where their shingles have an exact Jaccard coefficient of ``LEAST_JACCARD``.
-
-    Candidates share a block and ``1 - SHARE`` of the bits of their fingerprints, or a MinHash band; all texts that candidates connect are compared.
-    """
-    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    schema = "doc_id long, c long, " + ", ".join(f"{w} long" for w in _WIDE) + ", bands array<long>"
+def _near(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, h, g, component_id``: a row for each row with an id; ``h``: hash of its text, ``g``: a number of its group."""
+    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    schema = "doc_id long, h long, c long, " + ", ".join(f"{w} long" for w in _WIDE) + ", bands array<long>"
     prints = table(rows.mapInArrow(_sets(shingle, True), schema), "prints")
     once = prints.groupBy("c").agg(F.min("doc_id").alias("low"), F.min(F.struct(*_WIDE, "bands")).alias("p"))
     fps = table(once.select(F.monotonically_increasing_id().alias("rep"), "c", "low", "p.*"), "fps")
@@ -312,20 +310,34 @@ def near_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     found = connected_components(dealt.mapInArrow(_verified, "a long, b long"))
     named = fps.join(found, F.col("rep") == F.col("node"), "left").select("c", "low", F.coalesce("component", "rep").alias("g"))
     lows = named.groupBy("g").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "c").join(named.join(lows, "g").select("c", "component_id"), "c").select("doc_id", "component_id")
+    return prints.select("doc_id", "h", "c").join(named.join(lows, "g").select("c", "g", "component_id"), "c").select("doc_id", "h", "g", "component_id")
+
+
+def near_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of rows with an id: texts linked where their shingles have an exact Jaccard coefficient of ``LEAST_JACCARD``.
+
+    Candidates share a block and ``1 - SHARE`` of the bits of their fingerprints, or a MinHash band; all texts that candidates connect are compared. Null texts
+    count as empty; texts without a word are alike. An empty table gives no rows; extra columns are not read.
+    """
+    return _near(docs, shingle, id_col, text_col).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The row with the smallest id of each group of near copies; its columns stay.
+    """The row with the smallest id of each group of near copies; its columns stay, whatever their names.
 
-    Of rows that repeat that id one stays; rows without an id stay.
+    Different texts of one id are documents of their own: each group keeps one (of several of the smallest id the one with the least hash). Of rows that repeat id
+    and text one stays; rows without an id stay. Null texts are empty ones, and empty ones copies of each other. An empty table gives no rows.
     """
-    found = near_components(docs, shingle, id_col, text_col).where("doc_id is not null")
-    per = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("__stay"))
-    # Most ids stay once; the others are the smaller side to join.
-    odd = table(per.where("__stay != 1"), "odd")
-    same = F.col(id_col).cast("long") == F.col("__id")
-    if not odd.where("__stay > 1").take(1):
-        return docs.join(odd, same, "left_anti")
-    # Only ids that several rows share need their rows compared.
-    return docs.join(odd, same, "left_anti").unionAll(docs.join(odd.where("__stay > 1"), same, "left_semi").dropDuplicates([id_col]))
+    found = table(_near(docs, shingle, id_col, text_col), "near")
+    stays = F.col("doc_id") == F.col("component_id")
+    per = found.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(stays).alias("s"))
+    # Most ids have one row, which stays; the others are the smaller side to join.
+    odd = table(per.where("n > 1 or s = 0"), "odd")
+    whole = packed(docs, id_col)
+    rest = whole.join(odd, "id", "left_anti").select("row")
+    if odd.where("n > 1 and s > 0").take(1):
+        # Rows of an id that several share are told apart by their texts.
+        chosen = found.where(stays).join(odd.where("n > 1").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id", "g").agg(F.min("h").alias("h"))
+        shared = whole.withColumn("h", F.xxhash64(F.col("row")[text_col])).join(chosen.select(F.col("doc_id").alias("id"), "h"), ["id", "h"], "left_semi")
+        rest = rest.unionAll(shared.dropDuplicates(["id", "h"]).select("row"))
+    return rest.select("row.*")
