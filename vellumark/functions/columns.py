@@ -69,8 +69,13 @@ def anchor_slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(kept, F.lit(" "), F.lit("-")), "-{2,}", "-"), "^-+|-+$", "")
 
 
+# Labels that the rule would not give.
+LABELS = {"lazy_tree": "Lazy Tree Nav", "mkdocs": "MkDocs", "gitbook": "GitBook", "flare_webhelp": "Flare WebHelp", "flare_html5": "Flare HTML5", "warmup_listgroup": "Warm-up + List Group", "generic": "Generic (sitemap)", "llm": "LLM fallback"}
+
+
 def humanise_label(name: Column) -> Column:
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    own = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return F.coalesce(F.element_at(own, name), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
 def strip_zero_width(text: Column) -> Column:

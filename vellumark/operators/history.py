@@ -9,9 +9,10 @@ from vellumark.operators.catalog import moment
 
 
 def latest_run_per_source(runs: DataFrame) -> DataFrame:
-    """One run a source: pending ones last, then the newest start, then the id."""
-    order = Window.partitionBy("source_id").orderBy((F.col("status") == "pending").cast("int"), F.col("started_at").desc_nulls_first(), "id")
-    return runs.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """One run a source: pending ones last, then the newest start, then the id; ``min_by`` keeps a row a source on the map side."""
+    newest = F.coalesce(-F.unix_micros(F.col("started_at").cast("timestamp")), F.lit(-(2**63)))
+    key = F.struct((F.col("status") == "pending").alias("p"), newest.alias("t"), "id")
+    return runs.groupBy("source_id").agg(F.min_by(F.struct(*[c for c in runs.columns if c != "source_id"]), key).alias("r")).select("source_id", "r.*").select(*runs.columns)
 
 
 def latest_completed_run(runs: DataFrame, with_pdf: bool = False) -> DataFrame:
@@ -52,12 +53,14 @@ def version_counts(versions: DataFrame, articles: DataFrame) -> DataFrame:
 def browse_status(articles: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
     """Linked articles as new, updated or unchanged since their source's latest completed run; the unlinked as removed."""
     last = latest_completed_run(runs).select("source_id", F.col("id").alias("last_run"), F.col("started_at").alias("last_start"))
-    per = versions.groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("version_count"), F.collect_set("extraction_run_id").alias("run_ids"))
-    out = articles.join(last, "source_id", "left").join(per, "id", "left")
+    per = versions.groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("version_count"))
+    # Versions of the latest runs only: one row for an article at most.
+    fresh = versions.join(last.select(F.col("last_run").alias("extraction_run_id")), "extraction_run_id", "left_semi").select(F.col("article_id").alias("id"), F.col("extraction_run_id").alias("last_run")).distinct().withColumn("updated", F.lit(True))
+    out = articles.join(last, "source_id", "left").join(per, "id", "left").join(fresh, ["id", "last_run"], "left")
     status = (
         F.when(F.col("toc_entry_id").isNull(), "removed")
         .when(F.col("created_at") >= F.col("last_start"), "new")
-        .when(F.array_contains("run_ids", F.col("last_run")), "updated")
+        .when(F.col("updated"), "updated")
         .otherwise("unchanged")
     )
     return out.select("id", "source_id", "toc_entry_id", status.alias("status"), F.coalesce("version_count", F.lit(0)).alias("version_count"))
@@ -72,11 +75,16 @@ def next_version(versions: DataFrame) -> DataFrame:
 
 
 def run_as_of(articles: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each article the latest run of its source with ``started_at <= created_at``: one sort of both, no range join."""
+    """For each article the latest run of its source with ``started_at <= created_at``: one sort of both, no range join.
+
+    An article older than all runs gets the earliest run of its source that created one.
+    """
     a = articles.select("source_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("run"))
     r = runs.select("source_id", F.col("started_at").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), F.col("id").alias("run"))
     order = Window.partitionBy("source_id").orderBy("at", "kind", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(r).withColumn("run_id", F.last("run", ignorenulls=True).over(order)).where("kind = 1").select("id", "source_id", "run_id")
+    found = a.unionByName(r).withColumn("run_id", F.last("run", ignorenulls=True).over(order)).where("kind = 1")
+    first = baseline_run(articles, runs).select("source_id", F.col("run_id").alias("__first"))
+    return found.join(first, "source_id", "left").select("id", "source_id", F.coalesce("run_id", "__first").alias("run_id"))
 
 
 def relink(articles: DataFrame, toc: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ query("derive_topic_key", f"SELECT doc_id, 'https://docs.example.com/v/' || chr(
 query("detect_version_token", f"SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'https://docs.example.com/v/' || chr(123) || 'version' || chr(125) || '/' || source || '/' || {V} || '-' || doc_id WHEN contains('/' || source || '-' || doc_id, '2.1') THEN '' END AS template FROM {{documents}}")(lambda t: _docs(t, C.detect_version_token(F.expr(URL), F.lit("2.1")).alias("template")))
 query("pdf_topic_key", "SELECT doc_id, trim(regexp_replace(lower(lang || ' ' || source), '[^a-z0-9]+', '-', 'g'), '-') || '/' || 'part-' || doc_id AS topic_key FROM {documents}")(lambda t: _docs(t, C.pdf_topic_key(F.array(F.concat_ws(" ", "lang", "source"), F.lit(" -- "), F.concat(F.lit("Part: "), F.col("doc_id").cast("string")))).alias("topic_key")))
 query("anchor_slug", "SELECT doc_id, trim(regexp_replace(replace(regexp_replace(lower(trim(substr(text, 1, 60))), '[^\\p{L}\\p{N} _-]', '', 'g'), ' ', '-'), '-{2,}', '-', 'g'), '-') AS slug FROM {documents}".replace("{L}", "L").replace("\\p{N}", "\\pN").replace("{2,}", "+"))(lambda t: _docs(t, C.anchor_slug(F.substring("text", 1, 60)).alias("slug")))
-query("humanise_label", "SELECT doc_id, 'Lazy Tree ' || upper(substr(lang, 1, 1)) || substr(lang, 2) AS label FROM {documents}")(lambda t: _docs(t, C.humanise_label(F.concat(F.lit("lazy_tree_"), "lang")).alias("label")))
+_PLATFORM = "CASE lang WHEN 'en' THEN 'lazy_tree' WHEN 'de' THEN 'mkdocs' ELSE 'grouped_nav_' || lang END"
+query("humanise_label", "SELECT doc_id, CASE lang WHEN 'en' THEN 'Lazy Tree Nav' WHEN 'de' THEN 'MkDocs' ELSE 'Grouped Nav ' || upper(substr(lang, 1, 1)) || substr(lang, 2) END AS label FROM {documents}")(lambda t: _docs(t, C.humanise_label(F.expr(_PLATFORM)).alias("label")))
 query("strip_zero_width", "SELECT doc_id, text AS clean FROM {documents}")(lambda t: _docs(t, C.strip_zero_width(F.concat(F.lit("​"), "text", F.lit("﻿"))).alias("clean")))
 query("log_append", "SELECT doc_id, right(coalesce(text, '') || 'end', 200000) AS log FROM {documents}")(lambda t: _docs(t, C.log_append(F.col("text"), F.lit("end")).alias("log")))
 query("error_truncation", "SELECT doc_id, left(text, 4096) AS error FROM {documents}")(lambda t: _docs(t, F.left("text", F.lit(C.ERROR_CHARS)).alias("error")))
@@ -51,7 +52,9 @@ query("fmt_duration", "SELECT doc_id, CASE WHEN n >= 3600 THEN (n // 3600) || 'h
 query("build_cron", "SELECT id, CASE frequency WHEN 'hourly' THEN '15 * * * *' WHEN 'daily' THEN '30 2 * * *' WHEN 'weekly' THEN '30 2 * * 4' ELSE '30 2 ' || coalesce(day_of_month, 1) || ' * *' END AS cron FROM {jobs}")(lambda t: t("jobs").select("id", C.build_cron(F.col("frequency"), F.col("time_of_day"), F.col("day_of_week"), F.col("day_of_month")).alias("cron")))
 query("compute_next_run", "SELECT id, CASE id WHEN 'j0' THEN '1998-08-02 00:15:00' WHEN 'j1' THEN '1998-08-02 06:30:00' WHEN 'j2' THEN '1998-08-06 02:30:00' WHEN 'j3' THEN '1998-09-01 02:30:00' ELSE '1998-08-15 02:30:00' END AS next_run FROM {jobs}")(lambda t: t("jobs").select("id", C.next_run(F.col("frequency"), F.col("time_of_day"), F.col("day_of_week"), F.col("day_of_month"), F.col("timezone"), F.lit(NOW).cast("timestamp")).cast("string").alias("next_run")))
 query("generic_level", "SELECT id, CASE WHEN url IS NULL THEN 0 ELSE 2 END AS level FROM {toc}")(lambda t: t("toc").select("id", C.url_level(F.col("url"), F.lit("https://docs.example.com/index.html")).alias("level")))
-query("generic_parents")(lambda t: TC.generic_parents(t("toc").where("url is not null").select("source_id", "id", "url")).select("id", "parent_url"))
+_FOLDER = "SELECT source_id, id, CASE WHEN floor(n / 50) % 5 = 0 THEN regexp_replace(url, '/[^/]*$', CASE WHEN floor(n / 250) % 2 = 0 THEN '/' ELSE '' END) ELSE url END AS url FROM {toc} WHERE url IS NOT NULL"
+_FOLDERS = f"WITH u AS (SELECT *, regexp_replace(regexp_replace(url, '/$', ''), '[^/]*$', '') AS up FROM ({_FOLDER}) x)"
+query("generic_parents", f"{_FOLDERS} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM u v WHERE v.source_id = u.source_id AND v.url = u.up) THEN up WHEN EXISTS (SELECT 1 FROM u v WHERE v.source_id = u.source_id AND v.url = regexp_replace(u.up, '/$', '')) THEN regexp_replace(up, '/$', '') END AS parent_url FROM u")(lambda t: TC.generic_parents(t("toc").where("url is not null").select("source_id", "id", F.expr("CASE WHEN floor(n / 50) % 5 = 0 THEN regexp_replace(url, '/[^/]*$', CASE WHEN floor(n / 250) % 2 = 0 THEN '/' ELSE '' END) ELSE url END").alias("url"))).select("id", "parent_url"))
 query("image_ref_rewrite", "SELECT doc_id, 'see ![x](/m/' || doc_id || '.png) and ![y](/m/b.png)' AS md FROM {documents}")(lambda t: _docs(t, C.rewrite_images(F.concat(F.lit("see ![x](https://h/i/"), F.col("doc_id").cast("string"), F.lit(".png) and ![y](../b.png)")), F.array(F.struct(F.concat(F.lit("https://h/i/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("full"), F.lit("i/x.png").alias("raw"), F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("served")), F.struct(F.lit("https://h/b.png").alias("full"), F.lit("../b.png").alias("raw"), F.lit("/m/b.png").alias("served")))).alias("md")))
 query("substring_filter", "SELECT doc_id FROM {documents} WHERE contains(lower(text), 'tion')")(lambda t: _docs(t, "text").where(F.contains(F.lower("text"), F.lit("tion"))).select("doc_id"))
 
@@ -129,15 +132,6 @@ query("merged_articles", f"SELECT 'https://docs.example.com/' || d.source || '/'
 query("resanitize")(lambda t: M.resanitize(t("articles")).select("id", "content_hash", "estimated_tokens"))
 query("enable_versioning", "SELECT s.id, p.version FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE contains(s.base_url, p.version)")(lambda t: M.enable_versioning(t("sources"), t("products")).select("id", "version"))
 query("bump_version", "SELECT s.id, p.version AS previous_version, '9.9' AS version, left(s.base_url, instr(s.base_url, p.version) - 1) || '9.9' || substr(s.base_url, instr(s.base_url, p.version) + length(p.version)) AS base_url FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE contains(s.base_url, p.version)")(lambda t: M.bump_version(M.enable_versioning(t("sources"), t("products")), t("products"), "9.9").select("id", "previous_version", "version", "base_url"))
-query("rekey_articles")(lambda t: M.rekey(t("articles").select("id", "source_id", "source_url"), M.enable_versioning(t("sources"), t("products"))).select("id", "topic_key"))
-query("pdf_fast_path", "SELECT r.id FROM {runs} r WHERE r.pdf_hash IS NOT NULL AND r.pdf_hash = (SELECT pdf_hash FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) AS k FROM {runs} WHERE status = 'completed' AND pdf_hash IS NOT NULL) q WHERE k = 1 AND q.source_id = r.source_id)")(lambda t: _pdf_fast(t))
-
-
-def _pdf_fast(t):
-    from vellumark.operators.history import latest_completed_run
-
-    last = latest_completed_run(t("runs"), with_pdf=True).select("source_id", "pdf_hash")
-    return t("runs").join(last, ["source_id", "pdf_hash"], "left_semi").select("id")
 
 
 # Export.
@@ -153,12 +147,12 @@ query("group_stats", "SELECT source_id, count(*) AS n, sum(estimated_tokens) AS
 
 # Import.
 def _import_rows(t):
-    rows = t("sources").where("n % 3 = 0").join(t("products").select(F.col("id").alias("product_id"), F.upper("name").alias("product"), "vendor_id"), "product_id").join(t("vendors").select(F.col("id").alias("vendor_id"), F.lower("name").alias("vendor")), "vendor_id")
+    rows = t("sources").join(t("products").select(F.col("id").alias("product_id"), F.upper("name").alias("product"), "vendor_id"), "product_id").join(t("vendors").select(F.col("id").alias("vendor_id"), F.lower("name").alias("vendor")), "vendor_id")
     return rows.select("vendor", "product", F.col("name").alias("source_name"), F.expr("CASE WHEN n % 2 = 0 THEN base_url WHEN n % 5 = 0 THEN '' ELSE base_url || '/new' END").alias("base_url"), (F.col("n") + 2).cast("int").alias("row_no"))
 
 
-query("csv_import", "SELECT CAST(n + 2 AS INT) AS row_no, CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE n % 3 = 0 AND product_id IN (SELECT id FROM {products})")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).select("row_no", "result"))
-query("import_totals", "SELECT result, count(*) AS n FROM (SELECT CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE n % 3 = 0 AND product_id IN (SELECT id FROM {products})) x GROUP BY result")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).groupBy("result").agg(F.count(F.lit(1)).alias("n")))
+query("csv_import", "SELECT CAST(n + 2 AS INT) AS row_no, CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE product_id IN (SELECT id FROM {products})")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).select("row_no", "result"))
+query("import_totals", "SELECT result, count(*) AS n FROM (SELECT CASE WHEN n % 2 = 0 THEN 'skipped' WHEN n % 5 = 0 THEN 'error' ELSE 'created' END AS result FROM {sources} WHERE product_id IN (SELECT id FROM {products})) x GROUP BY result")(lambda t: R.plan_import(_import_rows(t), t("sources"), t("products"), t("vendors")).groupBy("result").agg(F.count(F.lit(1)).alias("n")))
 query("dir_size", "SELECT article_id, sum(file_size_bytes) AS bytes FROM {images} GROUP BY article_id")(lambda t: t("images").groupBy("article_id").agg(F.sum("file_size_bytes").alias("bytes")))
 
 

@@ -58,7 +58,7 @@ query("baseline_join", _BASE)(lambda t: H.baseline_run(t("articles"), t("runs"))
 query("vendor_in_subquery", "SELECT s.id FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE p.vendor_id = 'v18'")(lambda t: K.list_sources(t("sources"), t("products"), vendor_id="v18").select("id"))
 query("relink_scalar_subquery", "SELECT a.id, x.linked FROM {articles} a LEFT JOIN (SELECT source_id, url, id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY source_id, url ORDER BY sort_order, id) AS k FROM {toc} WHERE url IS NOT NULL) q WHERE k = 1) x ON a.source_id = x.source_id AND a.source_url = x.url")(lambda t: H.relink(t("articles"), t("toc")).select("id", "linked"))
 query("asof_next_version", "SELECT x.id, x.article_id, x.extracted_at, (SELECT min(y.id) FROM {versions} y WHERE y.article_id = x.article_id AND y.extracted_at = m.t) AS next_id FROM {versions} x LEFT JOIN (SELECT a.id, min(b.extracted_at) AS t FROM {versions} a JOIN {versions} b ON a.article_id = b.article_id AND b.extracted_at > a.extracted_at GROUP BY a.id) m ON x.id = m.id")(lambda t: H.next_version(t("versions")))
-query("asof_run_backfill", "SELECT a.id, a.source_id, x.run_id FROM {articles} a LEFT JOIN (SELECT id, run_id FROM (SELECT a.id, r.id AS run_id, row_number() OVER (PARTITION BY a.id ORDER BY r.started_at DESC, r.id DESC) AS k FROM {articles} a JOIN {runs} r ON a.source_id = r.source_id AND r.started_at <= a.created_at) q WHERE k = 1) x ON a.id = x.id")(lambda t: H.run_as_of(t("articles"), t("runs")))
+query("asof_run_backfill", f"SELECT a.id, a.source_id, coalesce(x.run_id, b.run_id) AS run_id FROM {{articles}} a LEFT JOIN (SELECT id, run_id FROM (SELECT a.id, r.id AS run_id, row_number() OVER (PARTITION BY a.id ORDER BY r.started_at DESC, r.id DESC) AS k FROM {{articles}} a JOIN {{runs}} r ON a.source_id = r.source_id AND r.started_at <= a.created_at - INTERVAL 9400 DAY) q WHERE k = 1) x ON a.id = x.id LEFT JOIN ({_BASE}) b ON a.source_id = b.source_id")(lambda t: H.run_as_of(t("articles").withColumn("created_at", F.expr("created_at - INTERVAL 9400 DAY")), t("runs")))
 query("toc_article_map", "SELECT t.id, x.article_id FROM {toc} t LEFT JOIN (SELECT toc_entry_id, id AS article_id FROM (SELECT *, row_number() OVER (PARTITION BY toc_entry_id ORDER BY created_at DESC, id DESC) AS k FROM {articles} WHERE toc_entry_id IS NOT NULL) q WHERE k = 1) x ON t.id = x.toc_entry_id")(lambda t: H.toc_article_map(t("toc"), t("articles")).select("id", "article_id"))
 query("url_to_entry", "SELECT a.id, t.id AS toc_id FROM {articles} a JOIN {toc} t ON a.source_url = t.url")(lambda t: t("articles").join(t("toc").select(F.col("id").alias("toc_id"), F.col("url").alias("source_url")), "source_url").select("id", "toc_id"))
 query("url_to_entry_unmatched", "SELECT id FROM {articles} WHERE source_url NOT IN (SELECT url FROM {toc} WHERE url IS NOT NULL)")(lambda t: t("articles").join(t("toc").select(F.col("url").alias("source_url")), "source_url", "left_anti").select("id"))
@@ -80,7 +80,6 @@ query("job_run_rollup", "SELECT b.id, b.job_id, CASE WHEN c.done + c.failed + c.
 query("run_progress", "SELECT id, n_new + n_updated + n_unchanged + n_resumed AS processed, CASE WHEN n_total > 0 THEN least(100, CAST(floor(100.0 * (n_new + n_updated + n_unchanged + n_resumed) / n_total + 0.5) AS BIGINT)) END AS percent FROM {runs}")(lambda t: J.run_progress(t("runs")))
 query("run_counters", "SELECT status, sum(n_new) AS n_new, sum(n_updated) AS n_updated, sum(n_unchanged) AS n_unchanged FROM {runs} GROUP BY status")(lambda t: t("runs").groupBy("status").agg(*[F.sum(c).alias(c) for c in ("n_new", "n_updated", "n_unchanged")]))
 query("failure_rate_guard", "SELECT source_id, count(*) AS attempted, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) >= 10 AND count(*) FILTER (WHERE status = 'failed') / count(*) > 0.3 AS abort FROM {runs} GROUP BY source_id")(lambda t: t("runs").groupBy("source_id").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("abort", J.failure_rate_guard(F.col("attempted"), F.col("failed"))))
-query("blocked_run_fail", "SELECT id, CASE WHEN n_new + n_updated + n_unchanged + n_resumed = 0 THEN 'failed' ELSE status END AS status FROM {runs}")(lambda t: t("runs").select("id", F.when(F.col("n_new") + F.col("n_updated") + F.col("n_unchanged") + F.col("n_resumed") == 0, "failed").otherwise(F.col("status")).alias("status")))
 _DASH = f"SELECT s.id, s.status, s.last_extracted_at, coalesce(a.n, 0) AS article_count, l.status AS last_run_status, coalesce(l.n_new, 0) AS last_run_new, coalesce(s.last_extracted_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY, false) AS is_stale, date_diff('second', s.last_extracted_at, TIMESTAMP '{NOW}') AS age_seconds FROM {{sources}} s JOIN {{products}} p ON s.product_id = p.id JOIN {{vendors}} v ON p.vendor_id = v.id LEFT JOIN (SELECT source_id, count(*) AS n FROM {{articles}} WHERE removed_at IS NULL GROUP BY 1) a ON a.source_id = s.id LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN status = 'pending' THEN 1 ELSE 0 END, started_at DESC, id) AS k FROM {{runs}}) q WHERE k = 1) l ON l.source_id = s.id"
 query("dashboard", _DASH)(lambda t: _dash(t).select("id", "status", "last_extracted_at", "article_count", "last_run_status", "last_run_new", "is_stale", "age_seconds"))
 query("dashboard_summary", f"WITH d AS ({_DASH}) SELECT count(*) AS total, count(*) FILTER (WHERE last_extracted_at IS NULL) AS never, count(*) FILTER (WHERE is_stale) AS stale, count(*) FILTER (WHERE status = 'failed') AS failing, count(*) FILTER (WHERE status = 'extracting') AS running FROM d")(lambda t: H.dashboard_summary(_dash(t)))
@@ -102,11 +101,14 @@ query("version_boundary", "SELECT id, coalesce(lag(version) OVER (PARTITION BY s
 query("changelog_by_day", "SELECT CAST(extracted_at AS DATE) AS day, count(*) AS events, max(extracted_at) AS newest FROM {versions} GROUP BY 1")(lambda t: t("versions").groupBy(F.to_date("extracted_at").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.max("extracted_at").alias("newest")))
 query("segment_page_range", "SELECT id, sort_order AS start_page, CASE WHEN nxt IS NULL THEN 99 ELSE greatest(sort_order, nxt - 1) END AS end_page FROM (SELECT id, sort_order, lead(sort_order) OVER (PARTITION BY source_id ORDER BY sort_order, id) AS nxt FROM {toc}) x")(lambda t: t("toc").withColumn("nxt", F.lead("sort_order").over(Window.partitionBy("source_id").orderBy("sort_order", "id"))).select("id", F.col("sort_order").alias("start_page"), F.when(F.col("nxt").isNull(), 99).otherwise(F.greatest("sort_order", F.col("nxt") - 1)).alias("end_page")))
 query("page_ownership", "SELECT r.id, max(c) = 1 AS alone FROM (SELECT id, source_id, started_at, n_new FROM {runs}) r JOIN (SELECT source_id, n_new, count(*) AS c FROM {runs} GROUP BY 1, 2) o ON r.source_id = o.source_id AND r.n_new = o.n_new GROUP BY r.id")(lambda t: t("runs").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("source_id", "n_new"))).select("id", (F.col("c") == 1).alias("alone")))
-query("vlm_budget")(lambda t: TC.budget_take(t("runs"), "source_id", "id", "n_new", 60))
+query("vlm_budget", "WITH RECURSIVE o AS (SELECT source_id, id, n_new AS c, row_number() OVER (PARTITION BY source_id ORDER BY id) AS k FROM {runs}), w AS (SELECT source_id, id, k, c <= 60 AS taken, CASE WHEN c <= 60 THEN 60 - c ELSE 60 END AS rest FROM o WHERE k = 1 UNION ALL SELECT o.source_id, o.id, o.k, o.c <= w.rest, CASE WHEN o.c <= w.rest THEN w.rest - o.c ELSE w.rest END FROM w JOIN o ON o.source_id = w.source_id AND o.k = w.k + 1) SELECT source_id, id, taken FROM w")(lambda t: TC.budget_take(t("runs"), "source_id", "id", "n_new", 60))
 query("greedy_split_count", "SELECT id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY n) - 1) / 10) AS INT) AS group_no FROM {articles}")(lambda t: TC.greedy_split(t("articles").select("id", "source_id", "n", "content_size_bytes", "estimated_tokens"), "articles", 10, order="n").select("id", "group_no"))
 query("greedy_split_size", "WITH RECURSIVE o AS (SELECT id, source_id, content_size_bytes AS m, row_number() OVER (PARTITION BY source_id ORDER BY n) AS k FROM {articles}), w AS (SELECT id, source_id, k, 0 AS group_no, CAST(m AS DOUBLE) AS filled FROM o WHERE k = 1 UNION ALL SELECT o.id, o.source_id, o.k, CASE WHEN w.filled + o.m > 6000 THEN w.group_no + 1 ELSE w.group_no END, CASE WHEN w.filled + o.m > 6000 THEN o.m ELSE w.filled + o.m END FROM w JOIN o ON o.source_id = w.source_id AND o.k = w.k + 1) SELECT id, group_no FROM w")(lambda t: TC.greedy_split(t("articles").select("id", "source_id", "n", "content_size_bytes", "estimated_tokens"), "size", 6000, order="n").select("id", "group_no"))
-query("greedy_split_chapters")(lambda t: TC.greedy_split(t("articles").select("id", "source_id", "n", "content_size_bytes", "estimated_tokens", (F.col("n") % 3).cast("string").alias("chapter")), "tokens", 900, chapter="chapter", order="n").select("id", "group_no"))
-query("toc_resolve_parents")(lambda t: TC.resolve_parents(t("toc").select("source_id", "id", "n", "url", "level", F.lit(None).cast("string").alias("parent_url")), order="n").select("id", "parent_pos"))
+# A chapter that fits joins the open file; one that alone exceeds the limit is split by itself and closes its last file; any other starts one.
+_FITS = "(NOT w.split AND w.filled + o.t <= 900)"
+_CHAPTERS = f"WITH RECURSIVE a AS (SELECT id, source_id, CAST(estimated_tokens AS DOUBLE) AS m, floor(n / 150) % 3 AS c, row_number() OVER (PARTITION BY source_id ORDER BY n) AS k FROM {{articles}}), b AS (SELECT *, CASE WHEN k = 1 OR c <> lag(c) OVER (PARTITION BY source_id ORDER BY k) THEN 1 ELSE 0 END AS f FROM a), r AS (SELECT *, sum(f) OVER (PARTITION BY source_id ORDER BY k) AS run FROM b), o AS (SELECT *, sum(m) OVER (PARTITION BY source_id, run) AS t FROM r), w AS (SELECT source_id, id, k, 0 AS g, t > 900 AS split, CASE WHEN t > 900 THEN m ELSE t END AS filled FROM o WHERE k = 1 UNION ALL SELECT o.source_id, o.id, o.k, w.g + CASE WHEN o.f = 1 THEN CASE WHEN {_FITS} THEN 0 ELSE 1 END WHEN w.split AND w.filled + o.m > 900 THEN 1 ELSE 0 END, CASE WHEN o.f = 1 THEN o.t > 900 AND NOT {_FITS} ELSE w.split END, CASE WHEN o.f = 1 THEN CASE WHEN {_FITS} THEN w.filled + o.t WHEN o.t > 900 THEN o.m ELSE o.t END WHEN w.split THEN CASE WHEN w.filled + o.m > 900 THEN o.m ELSE w.filled + o.m END ELSE w.filled END FROM w JOIN o ON o.source_id = w.source_id AND o.k = w.k + 1) SELECT id, g AS group_no FROM w"
+query("greedy_split_chapters", _CHAPTERS)(lambda t: TC.greedy_split(t("articles").select("id", "source_id", "n", "content_size_bytes", "estimated_tokens", (F.floor(F.col("n") / 150) % 3).cast("string").alias("chapter")), "tokens", 900, chapter="chapter", order="n").select("id", "group_no"))
+query("toc_resolve_parents", "WITH o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n) - 1 AS pos, (n * 7) % 4 AS lv FROM (SELECT *, floor(n / 50) AS q FROM {toc}) y), x AS (SELECT a.id, max(b.pos) AS p FROM o a JOIN o b ON a.source_id = b.source_id AND b.pos < a.pos AND b.lv < a.lv GROUP BY a.id) SELECT o.id, CASE WHEN u.lv = o.lv - 1 THEN u.pos END AS parent_pos FROM o LEFT JOIN x ON o.id = x.id LEFT JOIN o u ON u.source_id = o.source_id AND u.pos = x.p".replace("(n * 7) % 4", "(q * 7 + q % 3) % 4"))(lambda t: TC.resolve_parents(t("toc").select("source_id", "id", "n", "url", F.expr("cast((floor(n / 50) * 7 + floor(n / 50) % 3) % 4 as int)").alias("level"), F.lit(None).cast("string").alias("parent_url")), order="n").select("id", "parent_pos"))
 
 # Trees.
 _UP = "WITH RECURSIVE up AS (SELECT id, id AS ancestor, parent_id AS nxt, 0 AS distance FROM {toc} UNION ALL SELECT up.id, t.id, t.parent_id, up.distance + 1 FROM up JOIN {toc} t ON up.nxt = t.id)"
