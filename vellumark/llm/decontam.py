@@ -162,35 +162,59 @@ class Index:
 
     def find(self, text: str | None, least: float = LEAST) -> list[tuple]:
         """(item_id, score, question_overlap, answer_overlap, start_word) of each verified item."""
-        words = normal(text)
+        return [f[1:] for f in self.find_all([text], least)]
+
+    def find_all(self, some: list[str | None], least: float = LEAST) -> list[tuple]:
+        """(which text, item_id, score, question_overlap, answer_overlap, start_word) of each verified item of the texts; their passages are searched together."""
+        out: list[tuple] = []
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+        for r, text in enumerate(some):
+            words = normal(text)
+            if words and self.n:
+                held.append((r, words))
+                n += len(words)
+            if n >= AT_ONCE or (held and r + 1 == len(some)):
+                out += self._find(held, least)
+                held, n = [], 0
+        return out
+
+    def _find(self, held: list[tuple[int, list[str]]], least: float) -> list[tuple]:
         get = self.ids.get
-        ids = np.array([get(w, -1) for w in words], "i8")
-        at = np.flatnonzero(ids >= 0)
-        if not len(at) or not self.n:
+        # A number for each passage: those of a text follow each other, with one to spare.
+        first = np.concatenate([[0], np.cumsum([len(w) // SEGMENT + 2 for _, w in held])])
+        hits: list[tuple[np.ndarray, ...]] = []
+        for (_, words), base in zip(held, first, strict=False):
+            ids = np.fromiter((get(w, -1) for w in words), "i8", len(words))
+            at = np.flatnonzero(ids >= 0)
+            # A word lies in the passage that starts at its SEGMENT, and in the one before.
+            window, terms = base + at // SEGMENT, ids[at]
+            hits.append((window, np.maximum(window - 1, base), terms))
+        own, before, terms = (np.concatenate(x) for x in zip(*hits, strict=True))
+        # Words that repeat count each time here, so no passage that could reach the threshold is lost.
+        best = self.best[terms]
+        bound = np.bincount(own, best, first[-1]) + np.bincount(before, best * (before != own), first[-1])
+        keep = bound >= least - 1e-9
+        pairs = np.concatenate([own[keep[own]] * len(self.ids) + terms[keep[own]], before[keep[before]] * len(self.ids) + terms[keep[before]]])
+        if not len(pairs):
             return []
-        hits: list[tuple] = []
-        for k in range(0, len(words), AT_ONCE):
-            lo, hi = np.searchsorted(at, [k, k + AT_ONCE + SEGMENT])
-            pos = at[lo:hi]
-            # A word lies in the window that starts at its SEGMENT, and in the one before.
-            w = pos // SEGMENT
-            pairs = np.concatenate([w * len(self.ids) + ids[pos], np.maximum(w - 1, k // SEGMENT) * len(self.ids) + ids[pos]])
-            pairs = np.unique(pairs)
-            hits += zip(*self.search(pairs // len(self.ids), pairs % len(self.ids), least), strict=True)
-        best: dict[int, list] = {}
-        for window, segment, score in hits:
-            best.setdefault(int(self.item_of[segment]), []).append((int(window), float(score)))
-        found = []
-        for k, where in best.items():
-            question, answer = question_and_answer(self.items[k][1])
+        pairs = np.unique(pairs)
+        found: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for window, segment, score in zip(*self.search(pairs // len(self.ids), pairs % len(self.ids), least), strict=True):
+            k = int(np.searchsorted(first, window, side="right")) - 1
+            found.setdefault((k, int(self.item_of[segment])), []).append((int(window - first[k]), float(score)))
+        out = []
+        for (k, item), where in found.items():
+            row, words = held[k]
+            question, answer = question_and_answer(self.items[item][1])
             near, until = [], 0
             for w in sorted({w for w, _ in where}):
                 near += words[max(w * SEGMENT, until) : (w + 2) * SEGMENT]
                 until = (w + 2) * SEGMENT
             q, a = overlap(question, 5, near), overlap(answer, 2, near)
             if q >= QUESTION and a >= ANSWER:
-                found.append((self.items[k][0], max(s for _, s in where), q, a, min(w for w, _ in where) * SEGMENT))
-        return sorted(found)
+                out.append((row, self.items[item][0], max(s for _, s in where), q, a, min(w for w, _ in where) * SEGMENT))
+        return sorted(out)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +245,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col:
             index = shared.value
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
-                out = [(doc_ids[k + j], *f) for k, some in texts(batch) for j, t in enumerate(some) for f in index.find(t, least)]
+                out = [(doc_ids[k + j], *f) for k, some in texts(batch, 1, 200) for j, *f in index.find_all(some, least)]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "start_word"])
