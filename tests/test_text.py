@@ -92,6 +92,24 @@ def test_three_tiers():
     assert [(e.title, e.level, e.is_article, e.parent_url) for e in got] == [("One", 0, False, None), ("S", 1, False, "http://h/c1"), ("T", 2, True, "http://h/s1"), ("early", 2, True, "http://h/s1")]
 
 
+def test_help_system_data_files():
+    """Titles by place, sections without a page, nodes without an entry, and the tree in the page where there are no files."""
+    from vellumark.operators.profiles import BY_NAME
+
+    files = {
+        "http://h/help/Data/HelpSystem.xml": '<WebHelpSystem Toc="Data/Tocs/Main.js" />',
+        "http://h/help/Data/Tocs/Main.js": "define({numchunks:2,prefix:'Main_Chunk',tree:{n:[{i:0,c:0,f:'_self',n:[{i:1,c:0},{i:9,c:1,n:[{i:2,c:1}]}]},{i:3,c:1,n:[{i:4,c:0}]}]}});",
+        "http://h/help/Data/Tocs/Main_Chunk0.js": "define({'/Content/a.htm':{i:[0],t:['It\\'s A'],b:['']},'/Content/b.htm':{i:[1,4],t:['B','B \\u0061gain'],b:['','']}});",
+        "http://h/help/Data/Tocs/Main_Chunk1.js": "define({'/Content/c.htm':{i:[2],t:['C']},'___':{i:[3],t:['Book']}});",
+    }
+    want = [("It's A", "http://h/help/Content/a.htm", 0, False, None), ("B", "http://h/help/Content/b.htm", 1, True, "http://h/help/Content/a.htm"), ("C", "http://h/help/Content/c.htm", 1, True, "http://h/help/Content/a.htm"), ("Book", None, 0, False, None), ("B again", "http://h/help/Content/b.htm", 1, True, None)]
+    for name, root in (("flare_html5", "http://h/help/Content/deep/x.htm"), ("flare_webhelp", "http://h/help/default.htm")):
+        assert [(e.title, e.url, e.level, e.is_article, e.parent_url) for e in BY_NAME[name].build(root, files.get)] == want
+    page = {"http://h/help/default.htm": "<ul class=tree><li class=tree-node-collapsed><a href='default.htm#Sol/one.htm?TocPath=x'>One</a><ul></ul></li></ul>"}
+    assert [(e.url, e.is_article) for e in BY_NAME["flare_webhelp"].build("http://h/help/default.htm", page.get)] == [("http://h/help/Sol/one.htm", False)]
+    assert tocparse.js_object("x = {a: {b: [1, 'two', {}]}, \"c\": -1}; more") == {"a": {"b": [1, "two", {}]}, "c": "-1"} and tocparse.js_object("{a: [") == {} and tocparse.js_object(None) == {}
+
+
 def test_pdf():
     md = "lost\n# One\na\n## Two!\n| x | y |\n| --- | --- |\n| 1 | 2 |\n# Three\nc"
     cut = pdf.split(md, outline=[(1, "one", 0), (2, "two", 1), (1, "nothing", 2), (1, "Three", 4)])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from urllib.parse import urldefrag, urljoin, urlparse
 
+from vellumark.functions.bodies import js_unescape
 from vellumark.functions.dom import Element, first, parse, select
 
 Fetch = Callable[[str], str | None]
@@ -127,6 +128,69 @@ def json_text(text: str | None) -> object:
         return None
 
 
+_JS = re.compile(r"""\s*(?:(?P<mark>[{}\[\]:,])|'(?P<one>(?:[^'\\]|\\.)*)'|"(?P<two>(?:[^"\\]|\\.)*)"|(?P<bare>[\w$.+-]+))""", re.S)
+
+
+def js_object(text: str | None) -> dict:
+    """The first object literal of a script: bare or quoted keys, strings of either quote, numbers, lists. Empty if there is none, or it doesn't end."""
+    made: list = []
+    key, at, text = None, (text or "").find("{"), text or ""
+    while at >= 0 and (m := _JS.match(text, at)):
+        at = m.end()
+        mark, bare = m["mark"], m["bare"]
+        if mark and mark in "}]":
+            if len(made) == 1:
+                return made[0]
+            made.pop()
+        elif mark == ",":
+            key = None
+        elif mark != ":":
+            new = {"{": dict, "[": list}[mark]() if mark else int(bare) if bare and bare.isdigit() else bare if bare else js_unescape(m["one"] if m["one"] is not None else m["two"])
+            if made and isinstance(made[-1], dict):
+                if key is None:
+                    key = str(new)
+                    continue
+                made[-1][key], key = new, None
+            elif made:
+                made[-1].append(new)
+            if mark:
+                made.append(new)
+    return {}
+
+
+def help_system(fetch: Fetch, root_url: str) -> list[Entry]:
+    """The table of contents in a help system's data files: a system file names the tree, whose nodes point to entries of numbered files.
+
+    The system's folder is what stands before ``/Content/``, the page's folder, or the one above. A node without an entry adds no level; an entry whose
+    link is only underscores is a section without a page.
+    """
+    before = re.match(r"(?i)(.*?/)content/", root_url)
+    homes = [h for h in (before and before[1], urljoin(root_url, "./"), urljoin(root_url, "../")) if h]
+    home = next((h for h in homes if fetch(urljoin(h, "Data/HelpSystem.xml"))), None)
+    named = re.search(r'\bToc="([^"]+)"', fetch(urljoin(home, "Data/HelpSystem.xml")) or "") if home else None
+    if not named:
+        return []
+    where = urljoin(home, named[1])
+    system = js_object(fetch(where))
+    known: dict[tuple[int, int], tuple[str, str]] = {}
+    for file in range(int(system.get("numchunks", 1))) if "prefix" in system else ():
+        for href, entry in js_object(fetch(urljoin(where, f"{system['prefix']}{file}.js"))).items():
+            titles = entry.get("t") or [""]
+            known |= {(file, i): (href, titles[n] if n < len(titles) else titles[0]) for n, i in enumerate(entry.get("i", []))}
+    out: list[Entry] = []
+    todo = [(node, 0, None) for node in reversed((system.get("tree") or {}).get("n", []))]
+    while todo:
+        node, level, above = todo.pop()
+        kids, found = node.get("n") or [], known.get((node.get("c", 0), node.get("i")))
+        if found:
+            href, title = found
+            url = urljoin(home, href.lstrip("/")) if href.strip("_") else None
+            out.append(Entry(title, url, level, bool(url) and not kids, above))
+            level, above = level + 1, url
+        todo += [(k, level, above) for k in reversed(kids)]
+    return out
+
+
 def stacked(nodes: list[tuple[str, str | None, int]], root_url: str) -> list[Entry]:
     """(title, href, level) in order: the parent is the nearest earlier node of a lower level."""
     out: list[Entry] = []

@@ -36,6 +36,21 @@ def _bar(selector: str) -> Build:
     return lambda url, fetch: T.sidebar(fetch(url), url, selector)
 
 
+def _flare(selector: str) -> Build:
+    """The data files of a help system, or else the tree in the page, whose links may stand behind a ``#``."""
+
+    def build(url: str, fetch: T.Fetch) -> list[T.Entry]:
+        found = T.help_system(fetch, url)
+        if not found:
+            found = T.sidebar(fetch(url), url, selector)
+            plain = {e.url: urljoin(urljoin(url, "."), e.url.split("#", 1)[1].split("?", 1)[0]) if e.url and "#" in e.url else e.url for e in found}
+            for e in found:
+                e.url, e.parent_url = plain[e.url], plain.get(e.parent_url, e.parent_url)
+        return found
+
+    return build
+
+
 def _json(name: str, children: str, titles: tuple[str, ...], items: str | None, strip_query: bool) -> Build:
     return lambda url, fetch: T.json_tree(T.json_text(fetch(urljoin(url, name))), urljoin(url, name), children, titles, "href", items, {urlparse(url).netloc}, strip_query)
 
@@ -104,8 +119,8 @@ PROFILES = [
     Profile("docusaurus", [["theme-doc-sidebar-menu"], ["theme-doc-sidebar-item-"]], include=[".theme-doc-markdown"], build=_bar(".theme-doc-sidebar-menu")),
     Profile("mkdocs", [["md-nav__list"], ["md-content"]], include=["article.md-content__inner"], exclude=[".md-feedback", ".md-source-file", ".md-content__button"], build=_bar(".md-nav--primary .md-nav__list")),
     Profile("gitbook", [["data-gb-table-of-contents"]], "rendered", build=_crawl("[data-gb-table-of-contents] a", "[data-gb-table-of-contents] li li a", None)),
-    Profile("flare_webhelp", [MADCAP, ['<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar("ul.tree")),
-    Profile("flare_html5", [MADCAP, ["sidenav"], ['-<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_bar(".sidenav")),
+    Profile("flare_webhelp", [MADCAP, ['<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_flare("ul.tree")),
+    Profile("flare_html5", [MADCAP, ["sidenav"], ['-<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_flare(".sidenav")),
     Profile("intercom", [["collection-link"]], "rendered", build=_hub(("a.collection-link", "h2"), ("a[data-testid='article-link']", "span"))),
     Profile("freshdesk", [["cdn.freshdesk.com"]], "rendered", exclude=[".article-votes", ".vote-options", ".related-articles"], build=_hub(("a[href*='/support/solutions/']", None), ("a[href*='/support/solutions/folders/']", None), ("a[href*='/support/solutions/articles/']", None))),
     Profile("confluence", [["low:com-atlassian-confluence", "low:/wiki/spaces/"]], include=[".wiki-content"], build=_api("pages.json")),
