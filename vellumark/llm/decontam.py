@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,43 +123,43 @@ class Index:
         """(window, segment, score) of all scores of at least ``least``; windows and terms: distinct pairs, ordered by window."""
         hits: list[tuple[np.ndarray, ...]] = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
         least -= 1e-9
-        # Windows whose terms can't reach the threshold wherever they stand are done.
-        names, at = np.unique(windows, return_inverse=True)
-        keep = (np.bincount(at, self.best[terms], len(names)) >= least)[at]
-        windows, terms = windows[keep], terms[keep]
+        if len(windows):
+            # Windows whose terms can't reach the threshold wherever they stand are done.
+            first = np.flatnonzero(np.diff(windows, prepend=windows[0] - 1))
+            count = np.diff(np.append(first, len(windows)))
+            keep = np.repeat(np.add.reduceat(self.best[terms], first) >= least, count)
+            windows, terms = windows[keep], terms[keep]
         if len(windows):
             order = np.lexsort((self.best[terms], windows))
             windows, terms = windows[order], terms[order]
-            names, first, count = np.unique(windows, return_index=True, return_counts=True)
+            first = np.flatnonzero(np.diff(windows, prepend=windows[0] - 1))
+            count = np.diff(np.append(first, len(windows)))
             sums = np.cumsum(self.best[terms])
             sums -= np.repeat(sums[first] - self.best[terms[first]], count)
             # From the pivot on: one of these terms must be in a segment that reaches the threshold.
-            own = sums >= least
-            sizes = np.add.reduceat(np.where(own, self.block_first[terms + 1] - self.block_first[terms], 0), first)
-            for part in self._parts(sizes):
-                lo, hi = first[part][0], (first[part] + count[part])[-1]
-                who, where = self._expand(self.block_first[terms[lo:hi][own[lo:hi]]], self.block_first[terms[lo:hi][own[lo:hi]] + 1])
-                met = np.unique(np.repeat(np.arange(len(first[part])), count[part])[own[lo:hi]][who] * self.blocks + self.key[where] % self.blocks)
-                w, block = np.divmod(met, self.blocks)
-                start, size = first[part][w], count[part][w]
-                for some in self._parts(size):
-                    hits.append(self._score(names[part][w[some]], block[some], start[some], size[some], terms, least))
+            pivot = sums >= least
+            lo, hi = self.block_first[terms], self.block_first[terms + 1]
+            for part in self._parts(np.maximum(np.add.reduceat(hi - lo, first), self.blocks)):
+                some = slice(first[part][0], (first[part] + count[part])[-1])
+                hits.append(self._score(windows[first[part]], np.repeat(np.arange(len(first[part])), count[part]), lo[some], hi[some], pivot[some], least))
         return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
 
-    def _score(self, window: np.ndarray, block: np.ndarray, start: np.ndarray, size: np.ndarray, terms: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
-        """Scores of at least ``least`` in (window, block) pairs whose windows have the terms from ``start`` on: by block maxima first, then by segment."""
-        pair, at = self._expand(start, start + size)
-        key = terms[at] * self.blocks + block[pair]
-        entry = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        there = self.key[entry] == key
-        pair, entry = pair[there], entry[there]
-        live = np.bincount(pair, self.block_max[entry], len(window)) >= least
-        pair, entry = pair[live[pair]], entry[live[pair]]
+    def _score(self, names: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, pivot: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+        """Scores of at least ``least`` of some windows, whose terms have the block entries from ``lo`` to ``hi``: by pivots and block maxima first, then by segment."""
+        own, entry = self._expand(lo, hi)
+        pair, n = at[own] * self.blocks + self.key[entry] % self.blocks, len(names) * self.blocks
+        live = np.bincount(pair, self.block_max[entry], n) >= least
+        met = np.zeros(n, bool)
+        met[pair[pivot[own]]] = True
+        live &= met
+        keep = live[pair]
+        pair, entry = pair[keep], entry[keep]
         own, where = self._expand(self.begin[entry], self.begin[entry + 1])
         found, inverse = np.unique(pair[own] * BLOCK + self.segment[where] % BLOCK, return_inverse=True)
         score = np.bincount(inverse, self.part[where], len(found))
         found, score = found[score >= least], score[score >= least]
-        return window[found // BLOCK], block[found // BLOCK] * BLOCK + found % BLOCK, score
+        window, rest = np.divmod(found, self.blocks * BLOCK)
+        return names[window], rest, score
 
     def find(self, text: str | None, least: float = LEAST) -> list[tuple]:
         """(item_id, score, question_overlap, answer_overlap, start_word) of each verified item."""
@@ -185,7 +186,7 @@ class Index:
         first = np.concatenate([[0], np.cumsum([len(w) // SEGMENT + 2 for _, w in held])])
         hits: list[tuple[np.ndarray, ...]] = []
         for (_, words), base in zip(held, first, strict=False):
-            ids = np.fromiter((get(w, -1) for w in words), "i8", len(words))
+            ids = np.fromiter(map(get, words, repeat(-1)), "i8", len(words))
             at = np.flatnonzero(ids >= 0)
             # A word lies in the passage that starts at its SEGMENT, and in the one before.
             window, terms = base + at // SEGMENT, ids[at]
