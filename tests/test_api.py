@@ -65,6 +65,86 @@ def test_export_plan(engine):
     assert engine.export_plan("s3", topic="zzzz").count() == 0
 
 
+def test_runs_and_jobs(engine):
+    active = {r.source_id for r in engine.table("runs").where("status in ('pending', 'running')").collect()}
+    free = sorted({r.id for r in engine.table("sources").collect()} - active)[:2]
+    assert engine.trigger([*free, *sorted(active)[:1]], NOW) == 2 and engine.trigger(free, NOW) == 0
+    with pytest.raises(LookupError):
+        engine.trigger(["nowhere"], NOW)
+    job = engine.create("jobs", name="Nightly", enabled=True, frequency="daily", time_of_day="02:30", timezone="UTC")
+    engine.assign(job, free)
+    assert {r.job_id for r in engine.table("sources").where(F.col("id").isin(free)).collect()} == {job}
+    with pytest.raises(LookupError):
+        engine.assign(job, ["nowhere"])
+    assert engine.run_job(job, NOW) == 0
+    runs = engine.table("runs")
+    engine.store("runs").replace(runs.withColumn("status", F.when(F.col("source_id").isin(free), "completed").otherwise(F.col("status"))))
+    assert engine.run_job(job, "1998-08-03 00:00:00") == 2 and engine.table("job_runs").where(F.col("job_id") == job).count() == 2
+    engine.tick("1998-08-03 00:00:00")
+    assert engine.table("runs").where("status = 'running' and heartbeat_at is null").count() == 0
+    assert engine.table("jobs").where("enabled and next_run_at <= timestamp_ntz '1998-08-03 00:00:00'").count() == 0
+    assert engine.toc("s3").count() > 0 and ("mkdocs", "MkDocs") in engine.profile_options() and len(engine.profile_options()) == 29
+
+
+def test_import_and_versions(engine, tmp_path):
+    f = tmp_path / "i.csv"
+    f.write_text("vendor,product,source_name,base_url\nNewco,Tool,One,https://n/7.7/1\nNEWCO,tool,Two,https://n/7.7/2\nNewco,Tool,Two again,https://n/7.7/2\n,Tool,Bad,https://n/3\n")
+    assert [r.result for r in engine.import_csv(str(f)).orderBy("row_no").collect()] == ["created", "created", "skipped", "error"]
+    vendor = engine.table("vendors").where("name = 'Newco'").collect()
+    product = engine.table("products").where("name = 'Tool'").collect()
+    assert len(vendor) == len(product) == 1 and product[0].vendor_id == vendor[0].id
+    assert engine.table("sources").where(F.col("product_id") == product[0].id).count() == 2
+    assert {r.result for r in engine.import_csv(str(f)).collect()} == {"skipped", "error"} and engine.table("sources").where(F.col("product_id") == product[0].id).count() == 2
+    engine.store("products").replace(engine.table("products").withColumn("previous_version", F.lit(None).cast("string")))
+    with pytest.raises(Conflict):
+        engine.bump_version(product[0].id, "8.0", NOW)
+    engine.enable_versioning(product[0].id, "7.7")
+    assert {r.url_template for r in engine.table("sources").where(F.col("product_id") == product[0].id).collect()} == {"https://n/{version}/1", "https://n/{version}/2"}
+    for version in ("7.7", " "):
+        with pytest.raises(Conflict):
+            engine.bump_version(product[0].id, version, NOW)
+    assert engine.bump_version(product[0].id, "8.0", NOW) == 2
+    now = engine.get("products", product[0].id)
+    assert (now.version, now.previous_version) == ("8.0", "7.7") and {r.base_url for r in engine.table("sources").where(F.col("product_id") == now.id).collect()} == {"https://n/8.0/1", "https://n/8.0/2"}
+
+
+def test_exports(engine, tmp_path):
+    import zipfile
+
+    ident = engine.export("s4", '{"split_by": "articles", "limit": 2}', NOW)
+    path = engine.run_export(ident, str(tmp_path), NOW)
+    row = engine.get("export_jobs", ident)
+    assert row.status == "completed" and row.export_id == ident and f'"file_count": {len(zipfile.ZipFile(path).namelist())}' in row.result
+    for again in (engine.run_export, lambda i, *_: engine.cancel_export(i)):
+        with pytest.raises(Conflict):
+            again(ident, str(tmp_path), NOW)
+    other = engine.export("s4", "{}", NOW)
+    engine.cancel_export(other)
+    assert engine.get("export_jobs", other).status == "cancelled"
+    engine.delete("export_jobs", other)
+    with pytest.raises(LookupError):
+        engine.get("export_jobs", other)
+
+
+def test_raw_get_and_batches():
+    from vellumark.sources import batch
+
+    answers, waits = iter([(503, ""), OSError("reset"), (200, "body")]), []
+
+    def get(url):
+        a = next(answers)
+        if isinstance(a, OSError):
+            raise a
+        return a
+
+    assert batch.raw_get(get, "u", waits.append) == "body" and waits == [4.0, 8.0] and batch.raw_get(lambda u: (404, "x"), "u", waits.append) is None
+    with pytest.raises(OSError, match="429"):
+        batch.raw_get(lambda u: (429, ""), "u", waits.append)
+    assert waits[2:] == [4.0, 8.0, 16.0, 32.0, 64.0]
+    pages = {None: ([{"id": 1}], "b"), "b": ([{"id": 2}], "c"), "c": ([{"id": 3}], "b")}
+    assert [r["id"] for r in batch.cursor_pages(pages.get)] == [1, 2, 3] and [r["id"] for r in batch.cursor_pages(pages.get, 2)] == [1, 2]
+
+
 def test_bodies(spark):
     assert B.js_unescape(r"aA\n\'b") == "aA\n'b"
     assert str(B.last_updated("<time datetime='2024-01-02T03:04:05Z'>")) == "2024-01-02 03:04:05" and B.last_updated("<time datetime=''>") is None and B.last_updated("<time datetime='soon'>") is None

@@ -7,11 +7,13 @@ Writes give a whole new table (``Store``); reads are lazy DataFrames. ``patch``
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumark.operators import catalog, history, jobs, merge, search
+from vellumark.functions import columns
+from vellumark.operators import actions, catalog, history, jobs, merge, profiles, search
 from vellumark.operators import toc as trees
 from vellumark.sources import readers, sinks
 
@@ -100,10 +102,102 @@ class Engine:
     def topic(self, source_id: str, q: str) -> DataFrame:
         return search.topic_search(search.index_of(self.table("articles").where(F.col("source_id") == source_id), q), q)
 
+    def toc(self, source_id: str) -> DataFrame:
+        return self.table("toc").where(F.col("source_id") == source_id).orderBy(*catalog.up("sort_order", "id"))
+
+    def profile_options(self) -> list[tuple[str, str]]:
+        """(name, label) of the platforms that can be chosen, after ``auto``."""
+        names = [p.name for p in profiles.PROFILES]
+        labels = self.spark.createDataFrame([(n,) for n in names], "name string").select("name", columns.humanise_label(F.col("name")).alias("label")).collect()
+        return [("auto", "Auto-detect"), *((r["name"], r["label"]) for r in labels)]
+
+    def _add(self, table: str, rows: DataFrame) -> int:
+        """Append rows, whatever columns of the table they lack; how many."""
+        have = self.table(table)
+        kept = [c for c in rows.columns if c in have.columns]
+        new = rows.select(*[F.col(c).cast(have.schema[c].dataType).alias(c) for c in kept]).join(have.select("id"), "id", "left_anti").persist()
+        n = new.count()
+        if n:
+            self.store(table).replace(have.unionByName(new, allowMissingColumns=True))
+        new.unpersist()
+        return n
+
+    def _put(self, table: str, rows: DataFrame) -> None:
+        """Replace the columns of ``rows`` in the rows of its ids."""
+        have = self.table(table)
+        names = [c for c in rows.columns if c in have.columns and c != "id"]
+        fresh = rows.select("id", F.lit(True).alias("__hit"), *[F.col(c).cast(have.schema[c].dataType).alias(f"__{c}") for c in names])
+        out = have.join(fresh, "id", "left")
+        self.store(table).replace(out.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in have.columns]))
+
     # Runs and jobs.
-    def trigger(self, source_ids: list[str]) -> DataFrame:
-        """Sources that may start a run now."""
-        return jobs.enqueue_coalesce(self.spark.createDataFrame([(s,) for s in source_ids], "source_id string"), self.table("runs"))
+    def trigger(self, source_ids: list[str], now: str, trigger: str = "manual") -> int:
+        """Start runs of the sources that have none; how many."""
+        wanted = self.spark.createDataFrame([(s,) for s in source_ids], "source_id string")
+        if missing := catalog.missing_ids(self.table("sources"), wanted.withColumnRenamed("source_id", "id")).take(1):
+            raise LookupError(missing[0]["id"])
+        return self._add("runs", actions.new_runs(wanted, self.table("runs"), now, trigger))
+
+    def assign(self, job_id: str | None, source_ids: list[str]) -> None:
+        ids = self.spark.createDataFrame([(s,) for s in source_ids], "id string")
+        if job_id is not None:
+            self.get("jobs", job_id)
+        if missing := catalog.missing_ids(self.table("sources"), ids).take(1):
+            raise LookupError(missing[0]["id"])
+        self.store("sources").replace(actions.assign(self.table("sources"), job_id, ids))
+
+    def run_job(self, job_id: str, now: str) -> int:
+        """Start the runs of a job's sources under a new job run; how many."""
+        self.get("jobs", job_id)
+        own = self.table("sources").where(F.col("job_id") == job_id).select(F.col("id").alias("source_id")).withColumn("job_run_id", F.left(F.sha2(F.lit(f"{job_id} {now}"), 256), F.lit(32)))
+        runs = actions.new_runs(own, self.table("runs"), now, "manual").persist()
+        total, n = own.count(), self._add("runs", runs)
+        if total:
+            self._add("job_runs", own.limit(1).select(F.col("job_run_id").alias("id"), F.lit(job_id).alias("job_id"), F.lit("running" if n else "completed").alias("status"), F.lit(total).alias("sources_total"), catalog.moment(now).alias("created_at")))
+        runs.unpersist()
+        return n
+
+    def tick(self, now: str) -> None:
+        """One turn of the scheduler over the stored tables."""
+        out = actions.tick(*[self.table(t) for t in ("jobs", "job_runs", "runs", "sources")], now)
+        held = {k: df.persist() for k, df in out.items()}
+        for df in held.values():
+            df.count()  # all four are of one state
+        self._put("runs", held["runs"].select("id", "status"))
+        self._put("job_runs", held["job_runs"].select("id", "status"))
+        starts = held["starts"].withColumn("started_at", catalog.moment(now))
+        self._add("runs", starts.withColumn("attempts", F.lit(0)))
+        self._add("job_runs", starts.groupBy(F.col("job_run_id").alias("id"), "job_id").agg(F.count(F.lit(1)).alias("sources_total")).withColumns({"status": F.lit("running"), "created_at": catalog.moment(now)}))
+        self._put("jobs", held["jobs"].select("id", "next_run_at"))
+        for df in held.values():
+            df.unpersist()
+
+    # Versions of products.
+    def enable_versioning(self, product_id: str, version: str) -> None:
+        self.get("products", product_id)
+        if not version.strip():
+            raise Conflict("blank version")
+        out = actions.versioned(self.table("sources"), self.table("products"), self.table("articles"), product_id, version)
+        for t in ("articles", "sources", "products"):
+            self._whole(t, out[t])
+
+    def bump_version(self, product_id: str, version: str, now: str) -> int:
+        """The product's templated sources at another version, and runs of those that are free; how many."""
+        try:
+            out = actions.bumped(self.table("sources"), self.table("products"), self.table("runs"), product_id, version, now)
+        except ValueError as e:
+            raise Conflict(str(e)) from e
+        n = self._add("runs", out["runs"])
+        self._put("sources", out["sources"])
+        self._whole("products", out["products"])
+        return n
+
+    def _whole(self, table: str, rows: DataFrame) -> None:
+        """A whole table with new columns, or a few columns of some rows."""
+        if set(self.table(table).columns) <= set(rows.columns):
+            self.store(table).replace(rows)
+        else:
+            self._put(table, rows)
 
     def control(self, run_id: str, action: str) -> None:
         run = self.table("runs").where(F.col("id") == run_id).select("*", jobs.run_control(F.col("status"), action).alias("__c"))
@@ -128,8 +222,49 @@ class Engine:
         return n
 
     # Import and export.
-    def import_csv(self, path: str) -> DataFrame:
-        return readers.plan_import(readers.read_import_csv(self.spark, path), self.table("sources"), self.table("products"), self.table("vendors"))
+    def import_csv(self, path: str, only_plan: bool = False) -> DataFrame:
+        """The outcome of each row; what is created is stored unless only the plan is asked for."""
+        plan = readers.plan_import(readers.read_import_csv(self.spark, path), self.table("sources"), self.table("products"), self.table("vendors")).persist()
+        if not only_plan:
+            new = {k: df.persist() for k, df in actions.imported_rows(plan, self.table("vendors"), self.table("products")).items()}
+            for t in ("vendors", "products", "sources"):
+                new[t].count()
+            for t in ("vendors", "products", "sources"):
+                self._add(t, new[t])
+                new[t].unpersist()
+        return plan
+
+    def export(self, source_id: str, request: str, now: str) -> str:
+        """Queue an export; its id."""
+        self.get("sources", source_id)
+        before = self.table("export_jobs")
+        after = actions.new_export(before, source_id, request, now)
+        ident = after.join(before.select("id"), "id", "left_anti").first()["id"]
+        self._add("export_jobs", after.where(F.col("id") == ident))
+        return ident
+
+    def run_export(self, ident: str, folder: str, now: str) -> str:
+        """Write a queued export's files and zip into ``folder`` by its request's split; the zip's path."""
+        job = self.get("export_jobs", ident)
+        if job["status"] != "pending":
+            raise Conflict(f"the export is {job['status']}")
+        request = json.loads(job["request"] or "{}")
+        plan = self.export_plan(job["source_id"], request.get("split_by"), request.get("limit"), request.get("topic"), chapters=bool(request.get("chapters")))
+        names = self.table("sources").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+        plan = plan.join(names, "source_id")
+        plan = plan.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("last_updated_at",) if c not in plan.columns})
+        files = sinks.manifest(plan)
+        docs = sinks.documents(plan, now)
+        sinks.write_documents(docs, f"{folder}/{ident}")
+        path = sinks.zip_export(docs, files, f"{folder}/{ident}.zip")
+        total = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b")).first()
+        self.patch("export_jobs", ident, status="completed", export_id=ident, result=json.dumps({"file_count": total["n"], "total_size_bytes": total["b"]}))
+        return path
+
+    def cancel_export(self, ident: str) -> None:
+        if self.get("export_jobs", ident)["status"] not in ("pending", "running"):
+            raise Conflict("the export is over")
+        self.patch("export_jobs", ident, status="cancelled")
 
     def export_plan(self, source_id: str, split_by: str | None = None, limit: float | None = None, topic: str | None = None, toc_ids: list[str] | None = None, chapters: bool = False) -> DataFrame:
         """Articles with their order and file; by topic, by chapters, or all."""

@@ -101,6 +101,8 @@ def versioned(sources: DataFrame, products: DataFrame, articles: DataFrame, prod
 
 def bumped(sources: DataFrame, products: DataFrame, runs: DataFrame, product_id: str, version: str, now: str) -> dict[str, DataFrame]:
     """A product at another version: its row, its templated sources' URLs, and runs of those that aren't active. Raises ``ValueError`` for a blank or the same version, or without a template."""
+    if "url_template" not in sources.columns:
+        raise ValueError("no templates")
     same = products.where((F.col("id") == product_id) & F.col("version").eqNullSafe(F.lit(version)))
     templated = sources.where((F.col("product_id") == product_id) & F.col("url_template").isNotNull())
     if not version.strip() or same.take(1) or not templated.take(1):
