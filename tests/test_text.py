@@ -92,6 +92,38 @@ def test_three_tiers():
     assert [(e.title, e.level, e.is_article, e.parent_url) for e in got] == [("One", 0, False, None), ("S", 1, False, "http://h/c1"), ("T", 2, True, "http://h/s1"), ("early", 2, True, "http://h/s1")]
 
 
+def test_help_center_api():
+    """Categories, nested sections and articles over several pages of the API, in curated order; one category by its address."""
+    import json
+
+    api = "http://h/api/v2/help_center/en-us"
+    page = lambda name, rows, more=None: json.dumps({name: rows, "next_page": more})
+    files = {
+        f"{api}/categories.json?per_page=100&page=1": page("categories", [{"id": 2, "name": "Two", "position": 2}], "more"),
+        f"{api}/categories.json?per_page=100&page=2": page("categories", [{"id": 1, "name": " One ", "position": 1}]),
+        f"{api}/categories/1/sections.json?per_page=100&page=1": page("sections", [{"id": 11, "name": "Sub", "parent_section_id": 10}, {"id": 10, "name": "Sec", "parent_section_id": None}]),
+        f"{api}/categories/1/articles.json?per_page=100&page=1": page("articles", [{"id": 7, "title": "Deep", "html_url": "u7", "section_id": 11}, {"id": 6, "title": "B", "html_url": "u6", "section_id": 10}, {"id": 5, "title": "A", "html_url": "u5", "section_id": 10}, {"id": 8, "title": "Loose", "html_url": "u8"}, {"id": 9, "title": "no page"}]),
+    }
+    want = [("One", None, 0), ("Sec", None, 1), ("A", "u5", 2), ("B", "u6", 2), ("Sub", None, 2), ("Deep", "u7", 3), ("Loose", "u8", 1)]
+    got = tocparse.help_center(files.get, "http://h/hc/en-us")
+    assert [(e.title, e.url, e.level) for e in got] == [*want, ("Two", None, 0)] and got[2].content_url == f"{api}/articles/5.json" and got[2].is_article and not got[1].is_article
+    assert [(e.title, e.url, e.level) for e in tocparse.help_center(files.get, "http://h/hc/en-us/categories/1-One")] == [(t, u, v - 1) for t, u, v in want[1:]]
+    assert tocparse.help_center(files.get, "http://h/other") == [] and tocparse.help_center({}.get, "http://h/hc/de") == []
+
+
+def test_wiki_space_api():
+    """The page tree over several pages of the API, cycles cut; without the API the links of the overview, a page once."""
+    import json
+
+    row = lambda i, title, up=None, at=0: {"id": i, "title": title, "ancestors": [{"id": 0}, {"id": up}] if up else [], "extensions": {"position": at}, "_links": {"webui": f"/spaces/K/pages/{i}/{title}"}}
+    address = lambda n: f"http://h/wiki/rest/api/content?spaceKey=K&type=page&expand=ancestors,extensions.position&limit=100&start={n}"
+    files = {address(0): json.dumps({"results": [row(3, "C", 1, 2), row(2, "B", 1, 1)], "_links": {"next": "x"}}), address(100): json.dumps({"results": [row(1, "A"), row(4, "D", 9), row(5, "E", 5)]})}
+    got = tocparse.wiki_space(files.get, "http://h/wiki/spaces/K/overview")
+    assert [(e.title, e.level, e.parent_url) for e in got] == [("A", 0, None), ("B", 1, "http://h/wiki/spaces/K/pages/1/A"), ("C", 1, "http://h/wiki/spaces/K/pages/1/A"), ("D", 0, None)]
+    links = {"http://h/wiki/spaces/K": "<a href=/wiki/spaces/K/pages/7>Short</a><a href='/wiki/spaces/K/pages/7/Long?x=1'>Long</a><a href=/else>no</a>"}
+    assert [(e.title, e.url) for e in tocparse.wiki_space(links.get, "http://h/wiki/spaces/K")] == [("Long", "http://h/wiki/spaces/K/pages/7/Long")]
+
+
 def test_help_system_data_files():
     """Titles by place, sections without a page, nodes without an entry, and the tree in the page where there are no files."""
     from vellumark.operators.profiles import BY_NAME

@@ -257,31 +257,102 @@ def anchored(html: str | None, root_url: str, selector: str, heads: tuple[str, .
     return out
 
 
-def api_tree(rows: list[dict], root_url: str, ident: str = "id", parent: str = "parent", order: tuple[str, ...] = ("position", "title")) -> list[Entry]:
-    """Flat rows with parent ids: depth first, siblings by position (missing: 0) and title."""
+def preorder(rows: list[dict], key: Callable[[dict], tuple]) -> Iterable[tuple[dict, int, dict | None, bool]]:
+    """(row, level, parent's row, whether it has children) depth first; siblings by ``key``. Rows (id, parent) without a known parent are roots; cycles are cut."""
     kids: dict = {}
-    known = {r[ident] for r in rows}
+    known = {r["id"] for r in rows}
     for r in rows:
-        kids.setdefault(r.get(parent) if r.get(parent) in known else None, []).append(r)
-    out: list[Entry] = []
-    stack = [(r, 0, None) for r in _sorted(kids.get(None, []), order)[::-1]]
+        kids.setdefault(r.get("parent") if r.get("parent") in known else None, []).append(r)
+    todo = [(r, 0, None) for r in sorted(kids.get(None, []), key=key, reverse=True)]
     done = set()
-    while stack:
-        r, level, up = stack.pop()
-        if r[ident] in done:
-            continue
-        done.add(r[ident])
-        below = _sorted(kids.get(r[ident], []), order)
-        url = urljoin(root_url, r["url"]) if r.get("url") else None
-        out.append(Entry(r.get("title") or "", url, level, bool(url) and not below, up))
-        stack += [(c, level + 1, url) for c in below[::-1]]
+    while todo:
+        row, level, above = todo.pop()
+        if row["id"] not in done:
+            done.add(row["id"])
+            below = sorted(kids.get(row["id"], []), key=key, reverse=True)
+            yield row, level, above, bool(below)
+            todo += [(k, level + 1, row) for k in below]
+
+
+def paged(fetch: Fetch, address: Callable[[int], str], name: str, more: Callable[[dict], object]) -> list[dict] | None:
+    """Rows ``name`` of all pages of an API, by number from 0; None if the first page isn't there."""
+    out: list[dict] = []
+    n = 0
+    while isinstance(data := json_text(fetch(address(n))), dict):
+        rows = [r for r in data.get(name) or [] if isinstance(r, dict)]
+        out += rows
+        n += 1
+        if not rows or not more(data):
+            return out
+    return out if n else None
+
+
+def help_center(fetch: Fetch, root_url: str) -> list[Entry]:
+    """Categories, sections in sections, and articles of a help center's API: of one category if the address names it, else of all.
+
+    Only articles have pages. A section's articles come before its sections; articles of a category without a section come last.
+    """
+    m = re.search(r"(?i)^(https?://[^/]+)/hc/([a-z]{2}(?:-[a-z]{2,4})?)(?:/|$)", root_url)
+    if not m:
+        return []
+    api, one = f"{m[1]}/api/v2/help_center/{m[2]}", re.search(r"/categories/(\d+)", root_url)
+    get = lambda path, name: paged(fetch, lambda n: f"{api}/{path}.json?per_page=100&page={n + 1}", name, lambda d: d.get("next_page")) or []
+    categories = [{"id": int(one[1])}] if one else [c for c in get("categories", "categories") if c.get("id") is not None]
+    rows = []
+    for c in categories:
+        top = ("category", c["id"])
+        if not one:
+            rows.append({"id": top, "rank": 0, "title": c.get("name"), **_place(c)})
+        for s in get(f"categories/{c['id']}/sections", "sections"):
+            up = s.get("parent_section_id")
+            rows.append({"id": ("section", s.get("id")), "parent": top if up is None else ("section", up), "rank": 1, "title": s.get("name"), **_place(s)})
+        for a in get(f"categories/{c['id']}/articles", "articles"):
+            if a.get("html_url") and a.get("id") is not None:
+                loose = a.get("section_id") is None
+                rows.append({"id": ("article", a["id"]), "parent": top if loose else ("section", a["section_id"]), "rank": 2 if loose else 0, "title": a.get("title") or a["html_url"], "url": a["html_url"], "body": f"{api}/articles/{a['id']}.json", **_place(a)})
+    order = lambda r: (r["rank"], r["position"], (r["title"] or ""))
+    return [Entry((r["title"] or "").strip(), r.get("url"), level, "url" in r, None, None, r.get("body")) for r, level, _, _ in preorder(rows, order)]
+
+
+def _place(row: dict) -> dict:
+    return {"position": row["position"] if isinstance(row.get("position"), int) else 0}
+
+
+def wiki_space(fetch: Fetch, root_url: str) -> list[Entry]:
+    """All pages of a wiki's space from its API, under their nearest ancestor; without the API the page links of the captured overview, flat, an entry a page."""
+    base, space = re.match(r"(https?://[^/]+(?:/[^?#]*?)?/wiki)", root_url), re.search(r"/spaces/([^/?#]+)", root_url)
+    found = None
+    if base and space:
+        address = lambda n: f"{base[1]}/rest/api/content?spaceKey={space[1]}&type=page&expand=ancestors,extensions.position&limit=100&start={100 * n}"
+        found = paged(fetch, address, "results", lambda d: (d.get("_links") or {}).get("next"))
+    rows = []
+    for p in found or []:
+        link, title = (p.get("_links") or {}).get("webui") or "", (p.get("title") or "").strip()
+        if p.get("id") is not None and link and title:
+            above = p.get("ancestors") or [{}]
+            rows.append({"id": str(p["id"]), "parent": str(above[-1].get("id")), "title": title, "url": base[1] + link if link.startswith("/") else link, **_place(p.get("extensions") or {})})
+    if rows:
+        return [Entry(r["title"], r["url"], level, True, above["url"] if above else None) for r, level, above, _ in preorder(rows, lambda r: (r["position"], r["title"]))]
+    flat: dict[str, Entry] = {}
+    for e in select(parse(fetch(root_url)), "a"):
+        url, title = urldefrag(urljoin(root_url, e.attrs.get("href", "")))[0].split("?", 1)[0], _title(e)
+        page = re.search(r"/wiki/spaces/.*/pages/(\d+)", url)
+        if page and title:
+            known = flat.setdefault(page[1], Entry(title, url, 0, True))
+            if len(url) > len(known.url):
+                known.title, known.url = title, url
+    return list(flat.values())
+
+
+def api_tree(rows: list[dict], root_url: str, order: tuple[str, ...] = ("position", "title")) -> list[Entry]:
+    """Flat rows (id, parent, title, url) of an API: depth first, siblings by position (missing: 0) and title."""
+    out: list[Entry] = []
+    address = lambda r: urljoin(root_url, r["url"]) if r and r.get("url") else None
+    for r, level, above, below in preorder(rows, lambda r: (r.get(order[0]) or 0, r.get(order[1]) or "")):
+        out.append(Entry(r.get("title") or "", address(r), level, bool(address(r)) and not below, address(above)))
     return out
 
 
-def _sorted(rows: list[dict], order: tuple[str, ...]) -> list[dict]:
-    return sorted(rows, key=lambda r: (r.get(order[0]) or 0, r.get(order[1]) or ""))
-
-
 def crawl_tree(seeds: list[tuple[str, str]], children: Callable[[str], list[tuple[str, str]]], most: int | None) -> list[Entry]:
     """Breadth first from (title, url) seeds to find each page's children, then depth first in order; each URL once, cycles cut. At most ``most`` pages are expanded (None: all)."""
     kids: dict[str, list[tuple[str, str]]] = {}

@@ -55,14 +55,6 @@ def _json(name: str, children: str, titles: tuple[str, ...], items: str | None,
     return lambda url, fetch: T.json_tree(T.json_text(fetch(urljoin(url, name))), urljoin(url, name), children, titles, "href", items, {urlparse(url).netloc}, strip_query)
 
 
-def _api(name: str) -> Build:
-    def build(url: str, fetch: T.Fetch) -> list[T.Entry]:
-        rows = T.json_text(fetch(urljoin(url, name)))
-        return T.api_tree([r for r in rows if isinstance(r, dict) and "id" in r], url) if isinstance(rows, list) else []
-
-    return build
-
-
 def _nodes(selector: str, level: str, base: int = 0) -> Build:
     """Tree items with their level in an attribute or class, by a level stack."""
 
@@ -123,7 +115,7 @@ PROFILES = [
     Profile("flare_html5", [MADCAP, ["sidenav"], ['-<iframe id="topic"']], include=["[role=main]"], exclude=[".GoToTop", ".feedback-button", ".nocontent"], build=_flare(".sidenav")),
     Profile("intercom", [["collection-link"]], "rendered", build=_hub(("a.collection-link", "h2"), ("a[data-testid='article-link']", "span"))),
     Profile("freshdesk", [["cdn.freshdesk.com"]], "rendered", exclude=[".article-votes", ".vote-options", ".related-articles"], build=_hub(("a[href*='/support/solutions/']", None), ("a[href*='/support/solutions/folders/']", None), ("a[href*='/support/solutions/articles/']", None))),
-    Profile("confluence", [["low:com-atlassian-confluence", "low:/wiki/spaces/"]], include=[".wiki-content"], build=_api("pages.json")),
+    Profile("confluence", [["low:com-atlassian-confluence", "low:/wiki/spaces/"]], include=[".wiki-content"], build=lambda url, fetch: T.wiki_space(fetch, url)),
     Profile("salesforce", [["slds-"], ["articleView"]], "browser", [".slds-text-longform"], build=_nodes("[role=treeitem]", "aria-level", 1)),
     Profile("warmup_listgroup", [["host$:dell.com"], ["path:/support/manuals/"]], "browser", ["#divTopicContent"], build=_bar("#toc-main-parent-ul")),
     Profile("category_accordion", [["host:keepit.com"], ["category-section", "category-sidebar"]], include=["article.article", ".m.embed"], build=_accordion),
@@ -132,7 +124,7 @@ PROFILES = [
     Profile("json_toc", [["awsdocs-", "toc-contents.json"]], include=["#main-col-body"], exclude=["#awsdocs-page-tools", ".awsdocs-page-tools", ".feedback"], build=_json("toc-contents.json", "contents", ("title",), "contents", False)),
     Profile("docfx", [['low:content="docfx', 'low:data-bi-name&low:name="ms.', "low:data-bi-name&low:learn.microsoft"]], include=[".content"], exclude=[".page-metadata", ".feedback-verbatim", ".ms-feedback"], build=_json("toc.json", "children", ("toc_title", "name"), "items", True)),
     Profile("zoomin", [["zDocsWebClient", "zoominsoftware"]], build=_json("toc.json", "childEntries", ("title",), None, False)),
-    Profile("zendesk", [["url~/hc/[a-zA-Z]{2}(-[a-zA-Z]{2,4})?(/|$)", "low:/api/v2/help_center/", "low:zendesk"]], build=_api("articles.json")),
+    Profile("zendesk", [["url~/hc/[a-zA-Z]{2}(-[a-zA-Z]{2,4})?(/|$)", "low:/api/v2/help_center/", "low:zendesk"]], build=lambda url, fetch: T.help_center(fetch, url)),
     Profile("help_tree", [["help-tree-node", "js-sidebar", "SYNO_WEB"]], "rendered", ["#kb_help_body"], [".feedBackForm", ".section-selector-container"], _nodes("[class*='tree_layer_']", "tree_layer_", 1)),
     Profile("helpjuice", [["data-helpjuice-"]], include=["article.article"], build=_json("toc.json", "children", ("name", "title"), None, False)),
     Profile("dita_api", [["host$:ibm.com&path:/docs/", "low:ibmdocs"]], include=["article"], exclude=[".familylinks", ".parentlink", ".breadcrumb"], build=_json("toc.json", "topics", ("label", "title"), "topics", False)),
