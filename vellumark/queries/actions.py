@@ -83,7 +83,7 @@ def _rebuilt(t):
 
 query("chunk_reorder", "SELECT a.id, a.title, CAST(100000000 - a.n AS BIGINT) AS ord FROM {articles} a")(lambda t: A.in_order(t("articles").select("id", "title"), t("articles").select("id", (F.lit(100_000_000) - F.col("n")).cast("long").alias("ord"))))
 query("segment_images", "SELECT DISTINCT d.doc_id, CAST(0 AS INT) AS seg, i.f AS filename FROM {documents} d JOIN (SELECT doc_id, left(text, 4) AS f FROM {documents} UNION ALL SELECT doc_id, 'zz~' AS f FROM {documents}) i ON d.doc_id = i.doc_id WHERE contains(d.text, i.f)")(lambda t: A.segment_images(t("documents").select("doc_id", F.lit(0).alias("seg"), F.col("text").alias("body")), t("documents").select("doc_id", F.left("text", F.lit(4)).alias("filename")).unionAll(t("documents").select("doc_id", F.lit("zz~").alias("filename")))))
-query("progress_after", "SELECT source_id, source_url AS value FROM {articles} WHERE source_id NOT IN (SELECT source_id FROM {runs} WHERE status IN ('completed', 'cancelled'))")(lambda t: A.progress_after(t("articles").select("source_id", F.lit("content_done").alias("kind"), F.col("source_url").alias("value")), t("runs")).select("source_id", "value"))
+query("progress_after", "SELECT id AS source_id, base_url AS value FROM {sources} WHERE id NOT IN (SELECT source_id FROM {runs} WHERE status IN ('completed', 'cancelled'))")(lambda t: A.progress_after(t("sources").select(F.col("id").alias("source_id"), F.lit("content_done").alias("kind"), F.col("base_url").alias("value")), t("runs")).select("source_id", "value"))
 
 
 class _Fixture:
