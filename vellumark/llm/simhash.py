@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.llm.components import connected_components
-from vellumark.llm.paragraphs import similar
+from vellumark.llm.paragraphs import portions, similar, word_bounds, word_hashes
 from vellumark.llm.runs import sorted_runs
 from vellumark.llm.scratch import give_back, id_and_text, packed, table, turn_to_other_work
 from vellumark.llm.tokens import texts
@@ -166,29 +166,35 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """SimHash of ``WORDS`` 64-bit words; each takes another mix of the shingles' hashes."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.zeros(WORDS, "u8")
-    if not words:
-        return out
-    h, joined = xxhash.xxh64_intdigest, memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    first = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    last = ends[shingle - 1 :].tolist() if len(words) >= shingle else [int(ends[-1])]
+def shingle_hashes(column: pa.Array, shingle: int = 5) -> list[np.ndarray]:
+    """Of each text (none is null) the hashes of its shingles, repeats included: of ``shingle`` words, or of all if there are fewer; one of its own if there is none."""
+    low, text, starts, ends = word_bounds(column)
+    h = word_hashes(low, starts, ends)
+    begin = np.searchsorted(text, np.arange(len(column) + 1))
+    size = np.diff(begin)
+    left = begin[text + 1] - np.arange(len(h))
+    roll = np.zeros(len(h), "u8")
+    for d in range(shingle):
+        shifted = np.zeros(len(h), "u8")
+        shifted[: max(0, len(h) - d)] = h[d:]
+        roll = (roll ^ (roll >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.where(left > d, shifted, np.uint64(0)) + np.uint64(d)
+    roll = (roll ^ (roll >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    roll ^= roll >> np.uint64(32)
+    return [roll[a : a + max(1, n - shingle + 1)] if n else np.zeros(1, "u8") for a, n in zip(begin[:-1].tolist(), size.tolist(), strict=True)]
+
+
+def wide_fingerprint(every: np.ndarray) -> np.ndarray:
+    """SimHash of ``WORDS`` 64-bit words from a text's shingle hashes; each takes another mix of them."""
     ones = np.zeros((WORDS, 64), "i8")
-    for k in range(0, n, SLICE):
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(first[k : k + SLICE], last[k : k + SLICE], strict=True)], "<u8")
+    for k in range(0, len(every), SLICE):
+        hashes = every[k : k + SLICE]
         for w in range(WORDS):
             mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * w * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
             ones[w] += np.unpackbits(mixed.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(ones * 2 > len(every), axis=1, bitorder="little").view("<u8").ravel()
 
 
 #: Of the wide fingerprint: words of 64 bits, bits of a block, blocks, and the share of bits that near copies may differ in.
@@ -231,15 +237,6 @@ BANDS, ROWS, LEAST_JACCARD = 24, 5, 0.8
 _SEEDS = np.random.default_rng(12).integers(1, 2**63, BANDS * ROWS, dtype="u8") | np.uint64(1)
 
 
-def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Distinct hashes of the shingles, sorted; those of a text without words have one of their own."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))], "u8"))
-
-
 def set_bands(hashes: np.ndarray) -> np.ndarray:
     """Keys of the MinHash bands of a set."""
     least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
@@ -261,13 +258,14 @@ def _sets(shingle: int, bands: bool):
 
         turn_to_other_work()
         for batch in batches:
-            for k, some in texts(batch, 1, 200):
-                sets = [shingle_set(t, shingle) for t in some]
+            for lo, hi in portions(batch.column(1)):
+                hashes = shingle_hashes(batch.column(1).slice(lo, hi - lo), shingle)
+                sets = [np.unique(x) for x in hashes]
                 c = pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], "u8").view("i8"))
                 if bands:
-                    fps = np.array([wide_fingerprint(t, shingle) for t in some], "u8").reshape(-1, WORDS).view("i8")
+                    fps = np.array([wide_fingerprint(x) for x in hashes], "u8").reshape(-1, WORDS).view("i8")
                     words = [pa.array(np.ascontiguousarray(fps[:, w])) for w in range(WORDS)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), c, *words, pa.array([set_bands(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "h", "c", *_WIDE, "bands"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), c, *words, pa.array([set_bands(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "h", "c", *_WIDE, "bands"])
                 else:
                     yield pa.RecordBatch.from_arrays([c, pa.array([x.tobytes() for x in sets], pa.binary())], ["c", "shingles"])
         give_back()
@@ -289,7 +287,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, h, g, component_id``: a row for each row with an id; ``h``: hash of its text, ``g``: a number of its group."""
-    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     schema = "doc_id long, h long, c long, " + ", ".join(f"{w} long" for w in _WIDE) + ", bands array<long>"
     prints = table(rows.mapInArrow(_sets(shingle, True), schema), "prints")
     once = prints.groupBy("c").agg(F.min("doc_id").alias("low"), F.min(F.struct(*_WIDE, "bands")).alias("p"))
