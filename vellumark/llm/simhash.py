@@ -30,7 +30,7 @@ from vellumark.llm.tokens import texts
 #: Shingles hashed at once; fingerprints of one key that one chunk takes.
 SLICE, GROUP = 200_000, 2048
 #: Chance partners that cost less to compare than more blocks' keys to deal out.
-CHANCE = 1
+CHANCE = 16
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
