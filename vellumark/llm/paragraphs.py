@@ -75,6 +75,14 @@ def word_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return low, np.searchsorted(offsets, starts, side="right") - 1, starts, ends
 
 
+def portions(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of the rows of a text column that make two megabytes together; a longer text is one by itself."""
+    offsets = np.frombuffer(column.buffers()[1], "i8" if pa.types.is_large_string(column.type) else "i4")[column.offset : column.offset + len(column) + 1].astype("i8")
+    group = (offsets[1:] - offsets[0]) // (2 * BYTES)
+    for lo in np.flatnonzero(np.diff(group, prepend=-1)).tolist():
+        yield lo, int(np.searchsorted(group, group[lo], side="right"))
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words: polynomials of their bytes from running sums, mixed."""
     out, at = np.empty(len(starts), "u8"), 0
@@ -130,11 +138,8 @@ def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn_to_other_work()
     for batch in batches:
-        docs, sizes = batch.column(0).to_numpy(), np.diff(np.frombuffer(batch.column(1).buffers()[1], "i8" if pa.types.is_large_string(batch.column(1).type) else "i4")[batch.column(1).offset :][: batch.num_rows + 1].astype("i8"))
-        # A few megabytes of text at a time.
-        group = np.cumsum(sizes) // (8 * BYTES)
-        for lo in np.flatnonzero(np.diff(group, prepend=-1)).tolist():
-            hi = int(np.searchsorted(group, group[lo], side="right"))
+        docs = batch.column(0).to_numpy()
+        for lo, hi in portions(batch.column(1)):
             low, text, starts, ends = word_bounds(batch.column(1).slice(lo, hi - lo))
             h = word_hashes(low, starts, ends)
             del low, starts, ends
@@ -340,8 +345,8 @@ def matched_pairs(found: DataFrame) -> DataFrame:
     return table(pairs.select(F.monotonically_increasing_id().alias("pair"), "doc", "first", "seeds"), "pairs")
 
 
-#: Documents whose words a later round needs, up to which their ids are broadcast (some megabytes); beyond, they are joined.
-FEW = 100_000
+#: Rows of a few numbers each, up to which a counted table is broadcast (some tens of megabytes); beyond, it is joined.
+FEW = 500_000
 
 
 def _slices(pairs: DataFrame, words: DataFrame, margin: int) -> DataFrame:
@@ -362,6 +367,16 @@ def _spans(rows: DataFrame, least_words: int, repeated: bool) -> DataFrame:
     pairs, margin, parts = matched_pairs(found), MARGIN, []
     words = found.where("kind = 2").select("doc", "words")
     words = words.dropDuplicates(["doc"]) if repeated else words
+
+    def of(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """The documents of the pairs, marked to be broadcast if they are few."""
+        needed = table(pairs.select("doc").unionAll(pairs.select("first")).distinct(), "needed")
+        few = needed.count() <= FEW
+        return F.broadcast(needed) if few else needed, few
+
+    needed, few = of(pairs)
+    if few:
+        words = words.join(needed, "doc", "left_semi")
     while True:
         spans = table(_slices(pairs, words, margin).mapInArrow(_align(least_words), SPANS), "spans")
         parts.append(spans.where("n > 0"))
@@ -370,8 +385,7 @@ def _spans(rows: DataFrame, least_words: int, repeated: bool) -> DataFrame:
             break
         # Where a match goes on beyond the slices, longer ones in the next round, which reads the words of those documents only.
         pairs, margin = table(pairs.join(more, "pair"), "pairs"), margin * 16
-        needed = table(pairs.select("doc").unionAll(pairs.select("first")).distinct(), "needed")
-        words = table(words.join(F.broadcast(needed) if needed.count() <= FEW else needed, "doc", "left_semi"), "words")
+        words = table(words.join(of(pairs)[0], "doc", "left_semi"), "words")
     drop(found)
     every = parts[0]
     for part in parts[1:]:
@@ -452,7 +466,9 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     if others is not None:
         found = others.select(F.col("doc").alias("other"), F.col("doc_id").alias("doc"), "h")
         keyed = keyed.withColumn("h", F.xxhash64("row.text")).join(found, ["doc", "h"], "left").select(F.coalesce("other", "doc").alias("doc"), "row")
-    joined = keyed.join(lists, "doc", "left").select(F.col("row.*"), F.col("spans").alias("spans of the text"))
+    # Lists are short; a few documents with spans are sent to all texts instead of shuffling those.
+    few = lists.count() <= FEW and (lists.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 4 * FEW
+    joined = keyed.join(F.broadcast(lists) if few else lists, "doc", "left").select(F.col("row.*"), F.col("spans").alias("spans of the text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn_to_other_work()
