@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vellumark.llm.scratch import drop, table
 
 #: Edges that one union-find takes before it emits its stars.
-EDGES_AT_ONCE = 500_000
+EDGES_AT_ONCE = 200_000
 
 
 class UnionFind:

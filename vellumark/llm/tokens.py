@@ -19,7 +19,7 @@ _ODD = re.compile("[\x1c-\x1f\x85᠎]")
 #: The split pattern of byte-level tokenizers (a fixed value of the vocabulary files).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts that a worker remembers, and the longest that it does.
-REMEMBER, LONGEST = 650_000, 48
+REMEMBER, LONGEST = 500_000, 48
 #: Punctuation that the pattern takes by itself after a word; an apostrophe may start a contraction.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The array type of unsigned 32-bit numbers.
