@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellumark.llm.rules import SQL as RULES_SQL
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +80,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.rules import judge
+
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -89,7 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraphs": op8_paragraphs,
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
+    "op12_rules": op12_rules,
 }
 
-#: None of these is SQL that DuckDB could run in time on whole tables; tests/llm holds each against a brute-force version.
-ORACLE: dict[str, str] = {}
+#: The others are no SQL that DuckDB could run in time on whole tables; tests/llm holds each against a brute-force version.
+ORACLE: dict[str, str] = {"op12_rules": RULES_SQL}
