@@ -86,6 +86,12 @@ def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.repair import damage, digest, repair
+
+    return digest(repair(*damage(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
     "op12_rules": op12_rules,
+    "op13_repair": op13_repair,
 }
 
 #: The others are no SQL that DuckDB could run in time on whole tables; tests/llm holds each against a brute-force version.
