@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumark.llm.rules import SQL as RULES_SQL
+from vellumark.llm.trie import SQL as TRIE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumark.llm.trie import prefix_trie, rebuild, turn_arrays
+
+    return prefix_trie(rebuild(turn_arrays(_read(spark, sf_dir, "conversations"))))
+
+
 def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumark.llm.rules import judge
 
@@ -103,9 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraphs": op8_paragraphs,
     "op9_decontamination": op9_decontamination,
     "op10_html": op10_html,
+    "op11_trie": op11_trie,
     "op12_rules": op12_rules,
     "op13_repair": op13_repair,
 }
 
 #: The others are no SQL that DuckDB could run in time on whole tables; tests/llm holds each against a brute-force version.
-ORACLE: dict[str, str] = {"op12_rules": RULES_SQL}
+ORACLE: dict[str, str] = {"op11_trie": TRIE_SQL, "op12_rules": RULES_SQL}
