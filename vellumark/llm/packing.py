@@ -1,11 +1,12 @@
 """Best-fit packing of documents into token sequences by hierarchical residual packing.
 
-Every partition packs its own pieces best-fit decreasing and emits bins that are nearly full: too full for the smallest piece of all.
-The underfull ones travel on as items, members inside, to a round over fewer partitions, and so
-on up the tree until one partition is left or, where there are too many bins for that, a round changes nothing. A bin's members are at
-most ``capacity`` many, and a partition of a later round holds at most ``ROUND_ROWS`` bins, so no
+Pieces are dealt evenly, so that each partition has the sizes of all. Every partition packs its own pieces best-fit decreasing and emits bins that are full but for
+``SLACK``. Underfull bins go up the tree opened: their pieces are the items of a round over fewer partitions (as closed items they would keep partners apart: three pieces of 324
+tokens in a bin of 1024 each leave a 700 alone). Rounds go on until one partition is left or, where there are too many pieces for that, a round fills hardly any bin. A bin's members are at
+most ``capacity`` many, and a partition of a later round holds at most ``ROUND_ROWS`` pieces, so no
 task grows with the corpus.
 
+Which of equal sizes share a bin is any way round. Texts of any length are encoded whole, in slices.
 A document of more than ``capacity`` tokens is cut into full pieces; its first piece takes the
 remainder. Null texts count as empty (their end id is still packed); repeated rows and shared ids are
 packed once for each row; an empty table gives no rows; extra columns are not read.
@@ -29,8 +30,10 @@ from vellumark.llm.tokens import encoder, texts
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
 BINS = f"sequence_id long, fill int, done boolean, members array<{_MEMBER}>"
-#: Items that one best-fit call takes; bins of a later round in one partition; partitions merged into one.
+#: Pieces that one best-fit call takes; pieces of a later round in one partition; partitions merged into one.
 AT_ONCE, ROUND_ROWS, FAN_IN = 100_000, 200_000, 8
+#: Part of a bin that may stay empty when it leaves early.
+SLACK = 0.005
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -93,31 +96,27 @@ def _bins(level: int, bins: list[tuple[int, list[tuple]]], first: int, task: int
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fill), pa.array(fill >= full), members], ["sequence_id", "fill", "done", "members"])
 
 
-def _pack(level: int, capacity: int, slack: int):
-    """Best-fit over a partition, ``AT_ONCE`` items at a time; underfull bins stay to meet the next items."""
+def _pack(level: int, capacity: int):
+    """Best-fit over a partition, ``AT_ONCE`` pieces at a time; those of underfull bins stay to meet the next ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, full, n = TaskContext.get().partitionId(), capacity - slack, 0
-        held: list[tuple[int, list[tuple]]] = []
+        task, full, n = TaskContext.get().partitionId(), math.ceil(capacity * (1 - SLACK)), 0
+        held: list[tuple] = []
 
         def fit(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n
-            bins = [(sum(held[i][0] for i in b), [m for i in b for m in held[i][1]]) for b in best_fit([s for s, _ in held], capacity)]
-            out = bins if last else [b for b in bins if b[0] >= full]
-            held = [] if last else [b for b in bins if b[0] < full]
+            bins = [[held[i] for i in b] for b in best_fit([p[3] for p in held], capacity)]
+            filled = [(sum(p[3] for p in b), b) for b in bins]
+            out = filled if last else [b for b in filled if b[0] >= full]
+            held = [] if last else [p for fill, b in filled if fill < full for p in b]
             for k in range(0, len(out), 5000):
                 yield _bins(level, out[k : k + 5000], n, task, full)
                 n += len(out[k : k + 5000])
 
         fresh = 0
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            if level:
-                items = [(f, [tuple(m.values()) for m in members]) for f, members in zip(*cols, strict=True)]
-            else:
-                items = [(r[3], [r]) for r in zip(*cols, strict=True)]
-            held += items
-            fresh += len(items)
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            fresh += batch.num_rows
             if fresh >= AT_ONCE:
                 yield from fit(False)
                 fresh = 0
@@ -130,19 +129,19 @@ def _pack(level: int, capacity: int, slack: int):
 
 def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Rows of ``PIECES`` to the same rows with ``sequence_id`` and ``offset``."""
-    # A bin with less room than the smallest piece needs is as good as full, whatever comes.
-    slack = min(capacity, (pieces.agg(F.min("length")).first()[0] or 1)) - 1
-    bins = table(pieces.mapInArrow(_pack(0, capacity, slack), BINS), "bins")
-    parts, level, rounds = bins.rdd.getNumPartitions(), 0, []
-    left = bins.where("not done").count()
+    names = [n for n, _ in _FIELDS]
+    parts, level, rounds = pieces.rdd.getNumPartitions(), 0, []
+    bins = table(pieces.select(names).repartition(parts).mapInArrow(_pack(0, capacity), BINS), "bins")
+    left = _open_pieces(bins)
     while left and not (level and parts == 1):
         rounds.append(bins.where("done"))
         before, level = (left, parts), level + 1
         parts = max(math.ceil(left / ROUND_ROWS), 1 if parts <= FAN_IN else math.ceil(parts / FAN_IN))
-        bins = table(bins.where("not done").select("fill", "members").repartition(parts).mapInArrow(_pack(level, capacity, slack), BINS), "bins")
-        left = bins.where("not done").count()
+        opened = bins.where("not done").select(F.inline("members"))
+        bins = table(opened.repartition(parts).mapInArrow(_pack(level, capacity), BINS), "bins")
+        left = _open_pieces(bins)
         # Once partitions are as few as their size allows, rounds go on while they fill bins.
-        if before == (left, parts):
+        if before[1] == parts and left > 0.99 * before[0]:
             break
     rounds.append(bins)
     out = rounds[0]
@@ -152,6 +151,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return out.select("sequence_id", F.inline(F.arrays_zip("members", at.alias("offset")))).select(F.col("members.*"), "sequence_id", F.col("offset"))
 
 
+def _open_pieces(bins: DataFrame) -> int:
+    return bins.where("not done").agg(F.sum(F.size("members"))).first()[0] or 0
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     pieces = id_and_text(docs, id_col, text_col).mapInArrow(_pieces(tokenizer, end_id, capacity), PIECES)
