@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 #: URLs of a batch; statuses that are tried again, how often, and the first pause in seconds.
 BATCH = 100
 AGAIN, RETRIES, PAUSE = (429, 502, 503, 504), 5, 4.0
+#: Seconds without a page after which a batch counts as over.
+PATIENCE = 600.0
 
 
-def raw_get(get: Callable[[str], tuple[int, str]], url: str, sleep: Callable[[float], None] = time.sleep) -> str | None:
+def raw_get(get: Callable[[str], tuple[int, str]], url: str, sleep: Callable[[float], None] = time.sleep, pause: float = PAUSE) -> str | None:
     """The body of ``get(url)`` (status, body); transport errors and passing statuses are tried again after pauses that double. None for other statuses."""
-    pause, trouble = PAUSE, None
+    trouble = None
     for attempt in range(RETRIES + 1):
         if attempt:
             sleep(pause)
@@ -36,13 +38,15 @@ def raw_get(get: Callable[[str], tuple[int, str]], url: str, sleep: Callable[[fl
     raise trouble
 
 
-def fetch_batch(connector, urls: list[str]) -> list[dict]:
-    """Pages of one batch: polled from a cursor until it is over; then empty pages and URLs that got none are tried alone, once."""
-    job, pages, over = connector.submit(urls), [], False
-    while not over:
+def fetch_batch(connector, urls: list[str], patience: float = PATIENCE, clock: Callable[[], float] = time.monotonic) -> list[dict]:
+    """Pages of one batch: polled from a cursor until it is over or nothing has come for ``patience`` seconds; then empty pages and URLs that got none are tried alone, once."""
+    job, pages, over, last = connector.submit(urls), [], False, clock()
+    while not over and clock() - last < patience:
         more, over = connector.poll(job, len(pages))
         pages += more
-        if not more and not over:
+        if more:
+            last = clock()
+        elif not over:
             time.sleep(getattr(connector, "pause", 2.0))
     got: dict[str, dict] = {}
     for p in pages:
