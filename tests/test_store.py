@@ -13,28 +13,6 @@ from vellumark.sources import readers, sinks
 from vellumark.streaming import ingest
 
 
-@pytest.mark.parametrize(
-    ("entries", "want"),
-    [
-        ([(0, "a", None), (1, "b", "a"), (0, "c", None), (1, "d", "b")], [None, 0, None, 1]),
-        ([(0, "a", None), (1, None, None), (2, "c", None), (1, "d", None), (2, "e", None)], [None, 0, 1, 0, 3]),
-        ([(0, "a", None), (2, "b", None)], [None, None]),
-        ([(0, "a", None), (1, "a", None), (1, "x", "a")], [None, 0, 1]),
-    ],
-)
-def test_parents(entries, want):
-    assert TC.parents(*map(list, zip(*entries, strict=True))) == want
-
-
-def test_splits():
-    assert TC.greedy([1] * 25, 10) == [0] * 10 + [1] * 10 + [2] * 5
-    assert TC.greedy([500, 500, 3000, 500, 500], 2000) == [0, 0, 1, 2, 2]
-    assert TC.greedy([30] * 8, 100) == [0, 0, 0, 1, 1, 1, 2, 2]
-    assert TC.greedy_chapters([500] * 3, ["1", "2", "2"], 1200) == [0, 1, 1] and TC.greedy([500] * 3, 1200) == [0, 0, 1]
-    assert TC.greedy_chapters([500] * 3, ["1"] * 3, 1000) == [0, 0, 1]
-    assert TC.greedy_chapters([500, 500, 500, 100], ["1", "1", "1", "2"], 1000) == [0, 0, 1, 2]
-
-
 PAGES = "run_id string, source_id string, url string, topic_key string, markdown string, title string, toc_entry_id string, sort_order int, change_status string"
 STORE = "id string, source_id string, created_run_id string, toc_entry_id string, title string, source_url string, topic_key string, content_markdown string, content_hash string, estimated_tokens long, content_size_bytes int, sort_order int, created_at timestamp_ntz, extracted_at timestamp_ntz"
 VERSIONS = "id string, article_id string, extraction_run_id string, content_markdown string, content_hash string, diff_text string, extracted_at timestamp_ntz, source_id string"

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumark.operators import trees
+from vellumark.operators.ordered import Ordered
 from vellumark.plans.checkpoints import cut
 
 
@@ -17,33 +19,48 @@ def dedupe(toc: DataFrame, key: str = "source_id", order: str = "pos") -> DataFr
     return kept.withColumn("sort_order", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
 
 
-def parents(levels: list[int], urls: list[str | None], parent_urls: list[str | None]) -> list[int | None]:
-    """Position of each entry's parent: the latest earlier entry with the parent's URL, else the open entry one level up."""
-    out: list[int | None] = []
-    by_url: dict[str, int] = {}
-    open_at: dict[int, int] = {}
-    for k, (level, url, above) in enumerate(zip(levels, urls, parent_urls, strict=True)):
-        up = by_url.get(above) if above else None
-        if up is None and level > 0:
-            up = open_at.get(level - 1)
-        out.append(up)
-        open_at = {lv: at for lv, at in open_at.items() if lv < level} | {level: k}
-        if url:
-            by_url[url] = k
-    return out
+#: Levels looked at in one pass.
+LEVELS = 32
 
 
 def resolve_parents(toc: DataFrame, key: str = "source_id", order: str = "sort_order") -> DataFrame:
-    """Adds ``parent_pos``. A source's table is a list that one task walks; sources are spread over tasks."""
+    """Adds ``parent_pos``, the place in the source's order (from 0) of the latest earlier entry with the parent's URL, else of the open entry one level up.
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        none = lambda s: [None if pd.isna(v) else v for v in s]
-        group["parent_pos"] = pd.array(parents(group["level"].tolist(), none(group["url"]), none(group["parent_url"])), dtype="Int64")
-        return group
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in toc.schema) + ", parent_pos long"
-    return toc.groupBy(key).applyInPandas(walk, schema)
+    The entry one level up is open if it is the nearest one before with a smaller level at all. For each level a running place of what is below it is kept, in passes of ``LEVELS`` levels
+    over rows that are spread over tasks; there are as many levels as the deepest tree has. A source of any size is no task of its own.
+    """
+    places = Ordered(toc, key, [order]).sums({"__pos": F.lit(1)}, strict=True).settled()
+    narrow = places.rows().select(key, F.col("__pos").alias("pos"), "level", "url", F.when(F.col("parent_url") != "", F.col("parent_url")).alias("parent_url"))
+
+    # The nearest smaller level, as (place, level), by levels that occur.
+    levels = sorted(r["level"] for r in narrow.select("level").distinct().collect() if r["level"] is not None)
+    here = F.struct("pos", "level")
+    found = None
+    for k in range(0, len(levels), LEVELS):
+        some = levels[k : k + LEVELS]
+        below = narrow.where(F.col("level") <= some[-1]).select(key, "pos", "level")
+        o = Ordered(below, key, ["pos"]).most({f"below_{j}": F.when(F.col("level") < v, here) for j, v in enumerate(some)}, strict=True)
+        nearest = F.coalesce(*[F.when(F.col("level") == v, F.col(f"below_{j}")) for j, v in enumerate(some)])
+        up = o.rows().where(F.col("level") >= some[0]).select(key, "pos", nearest.alias("near"))
+        up = up.where(F.col("near.level").isNotNull()).select(key, "pos", "near")
+        found = up if found is None else found.unionByName(up)
+
+    # The latest earlier entry of the same URL: entries and those that look for one, by URL and place.
+    named = narrow.where("url is not null and url != ''").select(key, F.col("url").alias("u"), "pos", F.lit(1).alias("kind"))
+    asked = narrow.where("parent_url is not null").select(key, F.col("parent_url").alias("u"), "pos", F.lit(0).alias("kind"))
+    both = named.unionByName(asked).select(key, "pos", "kind", F.struct(key, "u").alias("name"))
+    by_url = Ordered(both, "name", ["pos", "kind"]).before({"by_url": F.when(F.col("kind") == 1, F.col("pos"))}).rows().where("kind = 0 and by_url is not null").select(key, "pos", "by_url")
+
+    out = places.rows().withColumnRenamed(key, "__key")
+    if found is not None:
+        near = found.select(F.col(key).alias("__k1"), F.col("pos").alias("__p1"), "near")
+        out = out.join(near, F.col("__key").eqNullSafe(F.col("__k1")) & (F.col("__pos") == F.col("__p1")), "left").drop("__k1", "__p1")
+    else:
+        out = out.withColumn("near", F.lit(None).cast("struct<pos:bigint,level:int>"))
+    by_url = by_url.select(F.col(key).alias("__k2"), F.col("pos").alias("__p2"), "by_url")
+    out = out.join(by_url, F.col("__key").eqNullSafe(F.col("__k2")) & (F.col("__pos") == F.col("__p2")), "left").drop("__k2", "__p2").withColumnRenamed("__key", key)
+    open_entry = F.when((F.col("level") > 0) & (F.col("near.level") == F.col("level") - 1), F.col("near.pos"))
+    return out.select(*toc.columns, F.coalesce("by_url", open_entry).alias("parent_pos"))
 
 
 def ancestors(toc: DataFrame) -> DataFrame:
@@ -81,8 +98,8 @@ def roots(toc: DataFrame) -> DataFrame:
 
 
 def descendants(toc: DataFrame, ids: DataFrame) -> DataFrame:
-    """Ids reachable from ``ids`` (column id), those included."""
-    return ancestors(toc).join(ids.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
+    """Ids reachable from ``ids`` (column id), those included: ranges of interval labels."""
+    return trees.below(cut(trees.label(toc)), ids).select("id")
 
 
 def filter_tree(toc: DataFrame, q: str) -> DataFrame:
@@ -90,14 +107,12 @@ def filter_tree(toc: DataFrame, q: str) -> DataFrame:
     if not q.strip():
         return toc.where(F.lit(False)).select("id", F.lit(False).alias("expanded"))
     hits = toc.where(F.contains(F.lower(F.col("title")), F.lit(q.lower()))).select("id")
-    kept = ancestors(toc).join(hits, "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
-    opened = toc.join(kept, "id", "left_semi").select(F.col("parent_id").alias("id")).where("id is not null").distinct().withColumn("expanded", F.lit(True))
-    return kept.join(opened, "id", "left").select("id", F.coalesce("expanded", F.lit(False)).alias("expanded"))
+    return trees.holding(cut(trees.label(toc)), hits)
 
 
 def visible(toc: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Entries without a collapsed strict ancestor."""
-    hidden = ancestors(toc).where("distance > 0").join(collapsed.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
+    hidden = trees.below(cut(trees.label(toc)), collapsed, strict=True).select("id")
     return toc.join(hidden, "id", "left_anti")
 
 
@@ -120,66 +135,66 @@ def version_boundary(rows: DataFrame, partition: str, order: list) -> DataFrame:
     return rows.withColumn("boundary", F.coalesce(F.lag("version").over(w) != F.col("version"), F.lit(False)))
 
 
-def greedy(sizes: list[float], limit: float) -> list[int]:
-    """Group numbers of a sequential split: an item that would exceed the limit starts a group."""
-    out, group, filled, n = [], 0, 0.0, 0
-    for s in sizes:
-        if n and filled + s > limit:
-            group, filled, n = group + 1, 0.0, 0
-        out.append(group)
-        filled, n = filled + s, n + 1
-    return out
-
-
-def greedy_chapters(sizes: list[float], chapters: list, limit: float) -> list[int]:
-    """Whole chapters to a group while they fit; one that alone exceeds the limit is split by itself, and closes its last group."""
-    runs: list[list[int]] = []
-    for k, c in enumerate(chapters):
-        if runs and chapters[runs[-1][0]] == c:
-            runs[-1].append(k)
-        else:
-            runs.append([k])
-    out, group, filled = [0] * len(sizes), -1, None
-    for run in runs:
-        total = sum(sizes[k] for k in run)
-        if filled is not None and filled + total <= limit:
-            filled += total
-        elif total > limit:
-            inner = greedy([sizes[k] for k in run], limit)
-            for k, g in zip(run, inner, strict=True):
-                out[k] = group + 1 + g
-            group, filled = group + 1 + inner[-1], None
-            continue
-        else:
-            group, filled = group + 1, total
-        for k in run:
-            out[k] = group
-    return out
+LIMITS = {"articles": 50, "size": 10 << 20, "tokens": 100_000}
 
 
-LIMITS = {"articles": 50, "size": 10 << 20, "tokens": 100_000}
+def _starts(units: DataFrame, limit: float) -> DataFrame:
+    """(seg, unit) of units that open a group, of ``seg, unit, m``: each segment's units in order, a group as long as its sum stays within the limit.
+
+    Each unit points to the one that would open the next group if it opened one: the first behind it whose running sum is over its own by more than the limit. In one order of all sums, units
+    and what they look for stand beside each other. From the first unit of a segment the pointers are followed by doubling their reach.
+    """
+    sums = Ordered(units, "seg", ["unit"]).sums({"until": F.col("m")}).rows()
+    data = sums.select("seg", F.col("until").cast("double").alias("v"), F.lit(0).alias("kind"), "unit")
+    asks = sums.select("seg", (F.col("until") - F.col("m") + F.lit(float(limit))).alias("v"), F.lit(1).alias("kind"), "unit")
+    # A sum that equals what is looked for still fits, and stands before it. A unit that is too large alone is passed by: the next group opens behind it at the earliest.
+    o = Ordered(data.unionByName(asks), "seg", ["v", "kind", "unit"]).after({"found": F.when(F.col("kind") == 0, F.col("unit"))})
+    follow = Ordered(units.select("seg", "unit"), "seg", ["unit"]).after({"follow": F.col("unit")}).rows().select("seg", "unit", "follow")
+    found = o.rows().where("kind = 1").select("seg", "unit", "found")
+    jump = found.where("found is not null").join(follow.where("follow is not null"), ["seg", "unit"]).select("seg", "unit", F.greatest("found", "follow").alias("to"))
+    jump = cut(jump)
+    starts = cut(units.groupBy("seg").agg(F.min("unit").alias("unit")))
+    while not jump.isEmpty():
+        starts = cut(starts.unionByName(starts.join(jump, ["seg", "unit"]).select("seg", F.col("to").alias("unit"))))
+        ahead = jump.select("seg", F.col("unit").alias("to"), F.col("to").alias("next"))
+        jump = cut(jump.join(ahead, ["seg", "to"]).select("seg", "unit", F.col("next").alias("to")))
+    return starts
 
 
 def greedy_split(articles: DataFrame, split_by: str | None, limit: float | None = None, chapter: str | None = None, key: str = "source_id", order: str = "ord") -> DataFrame:
     """Adds ``group_no``: articles of each source in order, in files within a limit. An article is never cut.
 
-    The split is sequential, so one task walks a source's numbers (no texts); sources are spread over tasks.
+    ``chapter``: whole chapters (runs of equal neighbours) to a group while they fit; one that alone exceeds the limit is split by itself, and closes its last group. No task has a source of its own.
     """
     if split_by not in LIMITS:
         return articles.withColumn("group_no", F.lit(0))
     most = limit or LIMITS[split_by]
     measure = {"articles": F.lit(1), "size": F.col("content_size_bytes"), "tokens": F.col("estimated_tokens")}[split_by]
-    narrow = articles.select(key, order, measure.cast("double").alias("m"), (F.col(chapter) if chapter else F.lit(None).cast("string")).alias("c"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        sizes = group["m"].tolist()
-        chapters = [None if pd.isna(c) else c for c in group["c"]]
-        return pd.DataFrame({key: group[key], order: group[order], "group_no": greedy_chapters(sizes, chapters, most) if chapter else greedy(sizes, most)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in articles.schema}
-    numbers = narrow.groupBy(key).applyInPandas(walk, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, group_no int")
-    return articles.join(numbers, [key, order])
+    narrow = articles.select(key, order, F.coalesce(measure.cast("long"), F.lit(0).cast("long")).alias("__m"), *([F.struct(F.col(chapter)).alias("__c")] if chapter else []))
+    rows = Ordered(narrow, key, [order]).sums({"__row": F.lit(1)}, strict=True).settled()
+    if chapter is None and split_by == "articles":
+        numbers = rows.rows().select(key, order, F.floor(F.col("__row") / max(1, int(most))).cast("int").alias("group_no"))
+        return _numbered(articles, numbers, key, order)
+    if chapter is None:
+        opened = _starts(rows.rows().select(F.struct(key).alias("seg"), F.col("__row").alias("unit"), F.col("__m").alias("m")), most).select(F.col(f"seg.{key}").alias("__k"), F.col("unit").alias("__u"))
+    else:
+        # Chapters, and those larger than the limit as segments of their own with rows as units; between them chapters are units.
+        runs = rows.before({"__last": F.col("__c")}).sums({"__run": F.when((F.col("__row") > 0) & ~F.col("__last").eqNullSafe(F.col("__c")), 1).otherwise(0)}).settled()
+        chapters = runs.rows().groupBy(key, "__run").agg(F.sum("__m").alias("total"), F.min("__row").alias("unit"))
+        large = (F.col("total") > most).cast("int")
+        parts = Ordered(chapters.withColumn("large", large), key, ["__run"]).before({"before": F.col("large")}).sums({"part": F.when((F.col("large") == 1) | (F.coalesce("before", F.lit(0)) == 1), 1).otherwise(0)}).settled()
+        small = parts.rows().where("large = 0").select(F.struct(key, "part").alias("seg"), "unit", F.col("total").alias("m"))
+        cut_up = parts.rows().where("large = 1").select(F.col(key).alias("__k"), F.col("__run").alias("__r"), "part")
+        inner = runs.rows().join(cut_up, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__run") == F.col("__r"))).select(F.struct(key, "part").alias("seg"), F.col("__row").alias("unit"), F.col("__m").alias("m"))
+        opened = _starts(cut(small.unionByName(inner)), most).select(F.col(f"seg.{key}").alias("__k"), F.col("unit").alias("__u"))
+    marked = rows.rows().join(opened.withColumn("__opens", F.lit(1)), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__u")), "left").select(key, order, "__row", "__opens")
+    numbers = Ordered(marked, key, ["__row"]).sums({"__g": F.col("__opens")}).rows().select(key, order, (F.col("__g") - 1).cast("int").alias("group_no"))
+    return _numbered(articles, numbers, key, order)
+
+
+def _numbered(articles: DataFrame, numbers: DataFrame, key: str, order: str) -> DataFrame:
+    numbers = numbers.select(F.col(key).alias("__k"), F.col(order).alias("__o"), "group_no")
+    return articles.join(numbers, F.col(key).eqNullSafe(F.col("__k")) & F.col(order).eqNullSafe(F.col("__o"))).drop("__k", "__o")
 
 
 def budget_take(rows: DataFrame, key: str, order: str, cost: str, budget: int) -> DataFrame:

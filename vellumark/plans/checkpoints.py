@@ -23,14 +23,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, and read from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder."""
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """``df`` written as a Parquet table of the shared folder, and read from there: computed once, where a checkpoint would compute it twice."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
