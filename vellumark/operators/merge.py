@@ -7,12 +7,8 @@ runs again makes the same rows.
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from vellumark.functions import columns as C
 from vellumark.functions.sanitize import sanitize
@@ -60,11 +56,6 @@ def new_versions(decided: DataFrame, now: str) -> DataFrame:
     return d.withColumn("t", turn).select(_ident("article_id", "run_id", "old_hash", "t").alias("id"), "article_id", F.col("run_id").alias("extraction_run_id"), F.col("old_markdown").alias("content_markdown"), F.col("old_hash").alias("content_hash"), diff.alias("diff_text"), moment(now).alias("extracted_at"))
 
 
-@F.pandas_udf(StringType())
-def _absolute(base: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", r or "") for b, r in zip(base, ref, strict=True)], dtype="object")
-
-
 def article_images(decided: DataFrame) -> DataFrame:
     """Images of the pages (column ``html``) that wrote an article last: http(s) ones that aren't furniture, each once; they replace the article's rows."""
     from vellumark.operators.jobs import image_filter
@@ -73,7 +64,7 @@ def article_images(decided: DataFrame) -> DataFrame:
     tags = wrote.select("article_id", "p.url", F.posexplode(F.regexp_extract_all("p.html", F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))).alias("sort_order", "tag"))
     attribute = lambda a: F.regexp_extract("tag", rf"(?is)\s{a}\s*=\s*[\"']?([^\"'\s>]*)", 1)
     alt = F.concat(*[F.regexp_extract("tag", rf"(?is)\salt\s*=\s*{q}([^{q}]*){q}", 1) for q in "\"'"])
-    rows = tags.withColumn("src", attribute("src")).where("src != ''").select("article_id", _absolute("url", "src").alias("original_url"), alt.alias("alt_text"), "sort_order")
+    rows = tags.withColumn("src", attribute("src")).where("src != ''").select("article_id", C.resolve_url(F.col("url"), F.col("src")).alias("original_url"), alt.alias("alt_text"), "sort_order")
     return image_filter(rows.withColumn("id", _ident("article_id", "original_url"))).select("id", "article_id", "original_url", "alt_text", "sort_order")
 
 

@@ -18,7 +18,7 @@ _ACTIVE = "SELECT source_id FROM {runs} WHERE status IN ('pending', 'running')"
 query("trigger_runs", f"SELECT DISTINCT id AS source_id, 'pending' AS status, 'manual' AS triggered_by FROM {{sources}} WHERE id NOT IN ({_ACTIVE})")(lambda t: A.new_runs(t("sources").select(F.col("id").alias("source_id")), t("runs"), NOW).select("source_id", "status", "triggered_by"))
 query("claim_queue", "WITH first AS (SELECT id FROM {runs} WHERE status = 'pending' ORDER BY started_at, id LIMIT 1) SELECT r.id, CASE WHEN f.id IS NULL THEN status ELSE 'running' END AS status, CAST(attempts + CASE WHEN f.id IS NULL THEN 0 ELSE 1 END AS INT) AS attempts FROM {runs} r LEFT JOIN first f ON r.id = f.id")(lambda t: A.claim(t("runs"), NOW, "started_at").select("id", "status", "attempts"))
 _MESSAGE = "CASE WHEN triggered_by = 'manual' THEN 'blocked by the site' WHEN attempts > 2 THEN 'other' END"
-query("blocked_run_fail", f"SELECT id, CASE WHEN n_new + n_updated + n_unchanged + n_resumed = 0 AND {_MESSAGE} = 'blocked by the site' THEN 'failed' ELSE status END AS status FROM {{runs}}")(lambda t: A.blocked_runs(t("runs").withColumn("error_message", F.expr(_MESSAGE)), "blocked by the site").select("id", "status"))
+query("blocked_run_fail", f"SELECT id, CASE WHEN status = 'completed' AND n_new + n_updated + n_unchanged + n_resumed = 0 AND {_MESSAGE} = 'blocked by the site' THEN 'failed' ELSE status END AS status FROM {{runs}}")(lambda t: A.blocked_runs(t("runs").withColumn("error_message", F.expr(_MESSAGE)), "blocked by the site").select("id", "status"))
 _SETTLED = f"SELECT *, CASE WHEN status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND) THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS settled FROM {{runs}}"
 query("scheduler_tick_starts", f"SELECT s.id AS source_id, s.job_id FROM {{sources}} s JOIN {{jobs}} j ON s.job_id = j.id WHERE j.enabled AND j.next_run_at <= TIMESTAMP '{NOW}' AND s.id NOT IN (SELECT source_id FROM ({_SETTLED}) x WHERE settled IN ('pending', 'running'))")(lambda t: _tick(t)["starts"].select("source_id", "job_id"))
 query("scheduler_tick_job_runs", f"SELECT b.id, CASE WHEN c.over < c.n THEN CASE WHEN c.pending < c.n THEN 'running' ELSE b.status END WHEN c.done = c.n THEN 'completed' WHEN c.failed = c.n THEN 'failed' WHEN c.cancelled = c.n THEN 'cancelled' ELSE 'partial' END AS status FROM {{job_runs}} b JOIN (SELECT job_run_id, count(*) AS n, count(*) FILTER (WHERE settled IN ('completed', 'failed', 'cancelled')) AS over, count(*) FILTER (WHERE settled = 'completed') AS done, count(*) FILTER (WHERE settled = 'failed') AS failed, count(*) FILTER (WHERE settled = 'cancelled') AS cancelled, count(*) FILTER (WHERE settled = 'pending') AS pending FROM ({_SETTLED}) x WHERE job_run_id IS NOT NULL GROUP BY 1) c ON b.id = c.job_run_id")(lambda t: _tick(t)["job_runs"].select("id", "status"))
@@ -28,6 +28,19 @@ def _tick(t):
     return A.tick(t("jobs"), t("job_runs"), t("runs"), t("sources"), NOW)
 
 
+_DUE = f"FROM {{jobs}} j JOIN {{sources}} s ON s.job_id = j.id WHERE j.enabled AND j.next_run_at <= TIMESTAMP '{NOW}'"
+_FREE = f"count(*) FILTER (WHERE s.id NOT IN (SELECT source_id FROM ({_SETTLED}) x WHERE settled IN ('pending', 'running')))"
+query("scheduler_tick_new_job_runs", f"SELECT job_id, CAST(n AS INT) AS sources_total, CASE WHEN n > 0 THEN 'pending' ELSE 'completed' END AS status, CASE WHEN n = 0 THEN TIMESTAMP '{NOW}' END AS completed_at FROM (SELECT j.id AS job_id, {_FREE} AS n {_DUE} GROUP BY j.id) q")(lambda t: _tick(t)["new_job_runs"].select("job_id", "sources_total", "status", "completed_at"))
+query("scheduler_tick_busy_jobs", f"SELECT DISTINCT j.id AS job_id, 0 AS sources_total, 'completed' AS status {_DUE} AND s.id IN (SELECT source_id FROM {{runs}} WHERE status = 'pending')")(lambda t: _busy(t))
+query("scheduler_tick_last_runs", f"SELECT id, CASE WHEN id IN (SELECT job_id FROM {{sources}} WHERE job_id IS NOT NULL) THEN TIMESTAMP '{NOW}' END AS last_run_at FROM {{jobs}} WHERE enabled AND next_run_at <= TIMESTAMP '{NOW}'")(lambda t: _tick(t)["jobs"].select("id", "last_run_at"))
+
+
+def _busy(t):
+    """A tick when jobs have only sources with a pending run: their runs are completed at once."""
+    busy = t("sources").join(t("runs").where("status = 'pending'").select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
+    return A.tick(t("jobs"), t("job_runs"), t("runs"), busy, NOW)["new_job_runs"].select("job_id", "sources_total", "status")
+
+
 # Jobs, imports and versions.
 query("assign_job", "SELECT id, CASE WHEN id IN ('s1', 's2', 's7') THEN 'j4' ELSE job_id END AS job_id FROM {sources}")(lambda t: A.assign(t("sources"), "j4", t("sources").where("id in ('s1', 's2', 's7')").select("id")).select("id", "job_id"))
 _ROWS = "SELECT s.n, s.name AS source_name, CASE WHEN s.n % 7 = 0 THEN 'new ' || lower(v.name) ELSE lower(v.name) END AS vendor, upper(p.name) AS product, CASE WHEN s.n % 2 = 0 THEN s.base_url WHEN s.n % 5 = 0 THEN '' ELSE s.base_url || '/new' END AS base_url FROM {sources} s JOIN {products} p ON s.product_id = p.id JOIN {vendors} v ON p.vendor_id = v.id"
@@ -103,11 +116,35 @@ query("batch_scrape", "SELECT DISTINCT source_id, source_url AS url, '# ' || sou
 
 # Exports.
 query("export_create", "SELECT id, status, attempts FROM {export_jobs} UNION ALL SELECT 'made', 'pending', 0")(lambda t: A.new_export(t("export_jobs"), "s3", "{}", NOW).select(F.when(F.length("id") == 32, "made").otherwise(F.col("id")).alias("id"), "status", "attempts"))
-query("export_cancel", "SELECT id, CASE WHEN id = (SELECT min(id) FROM {export_jobs} WHERE status = 'running') THEN 'cancelled' ELSE status END AS status FROM {export_jobs}")(lambda t: A.cancel_export(t("export_jobs"), t("export_jobs").where("status = 'running'").agg(F.min("id")).first()[0]).select("id", "status"))
-query("orphan_exports", "SELECT DISTINCT export_id FROM {export_jobs} WHERE export_id IS NOT NULL AND id NOT IN (SELECT id FROM {export_jobs} WHERE status = 'completed' AND attempts < 2)")(lambda t: _orphans(t))
+_NEXT_EXPORT = "(SELECT min(id) FROM {{export_jobs}} WHERE status = 'pending')"
+query("export_cancel", f"SELECT id, CASE WHEN id = {_NEXT_EXPORT} THEN 'cancelled' ELSE status END AS status FROM {{export_jobs}}".replace("{{", "{").replace("}}", "}"))(lambda t: _cancelled(t))
+query("export_queue", "SELECT e.id, e.status, s.name AS source, p.name AS product, v.name AS vendor, coalesce(json_extract_string(e.request, '$.format'), 'markdown') AS format FROM {export_jobs} e JOIN {sources} s ON e.source_id = s.id JOIN {products} p ON s.product_id = p.id JOIN {vendors} v ON p.vendor_id = v.id WHERE e.status = 'failed' ORDER BY e.created_at DESC, e.id LIMIT 100")(
+    lambda t: A.export_queue(t("export_jobs"), t("sources"), t("products"), t("vendors"), "failed").select("id", "status", "source", "product", "vendor", "format")
+)
+query("export_list", "SELECT export_id, e.source_id, s.name AS source_name, coalesce(json_extract_string(request, '$.format'), 'markdown') AS format, created_at, created_at + INTERVAL 7 DAY AS expires_at, coalesce(CAST(json_extract_string(result, '$.file_count') AS BIGINT), 0) AS file_count, coalesce(CAST(json_extract_string(result, '$.total_size_bytes') AS BIGINT), 0) AS total_size_bytes FROM {export_jobs} e JOIN {sources} s ON e.source_id = s.id WHERE e.status = 'completed' AND export_id IS NOT NULL ORDER BY created_at DESC, e.id LIMIT 20")(
+    lambda t: A.listed_exports(t("export_jobs"), t("sources"), None, 7)
+)
+query("export_delete", "SELECT id FROM {export_jobs} WHERE export_id IS NULL OR export_id <> (SELECT max(export_id) FROM {export_jobs})")(lambda t: A.delete_export(t("export_jobs"), t("export_jobs").agg(F.max("export_id")).first()[0]).select("id"))
+
+
+def _cancelled(t):
+    """A cancel of a pending export and one of a running export, which has no effect."""
+    jobs = t("export_jobs")
+    for status in ("pending", "running"):
+        ident = t("export_jobs").where(F.col("status") == status).agg(F.min("id")).first()[0]
+        jobs = A.cancel_export(jobs, ident)
+    return jobs.select("id", "status")
+
+
+_UUID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
+query("orphan_exports", f"SELECT {_UUID} AS name FROM (SELECT md5(export_id) AS h, CAST(substr(id, 2) AS BIGINT) AS n, created_at AS modified FROM {{export_jobs}} WHERE export_id IS NOT NULL) f WHERE n % 5 <> 0 AND n % 3 <> 0 AND modified < TIMESTAMP '1996-01-01 00:00:00'")(lambda t: _orphans(t))
 
 
 def _orphans(t):
-    from vellumark.operators.jobs import orphans
+    """Folders of exports by UUIDs, every fifth named otherwise; every third has its row still."""
+    from vellumark.operators.jobs import orphan_folders
 
-    return orphans(t("export_jobs").where("export_id is not null").select("export_id").distinct(), t("export_jobs").where("status = 'completed' and attempts < 2 and export_id is not null").select("export_id"), "export_id")
+    n, h = F.substring("id", 2, 20).cast("long"), F.md5("export_id")
+    parts = [F.substring(h, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    folders = t("export_jobs").where("export_id is not null").select(F.when(n % 5 == 0, F.concat(F.lit("tmp-"), n.cast("string"))).otherwise(F.concat_ws("-", *parts)).alias("name"), F.col("created_at").alias("modified"), n.alias("n"))
+    return orphan_folders(folders.select("name", "modified"), folders.where("n % 3 = 0").select("name"), "1996-01-01 00:00:00").select("name")

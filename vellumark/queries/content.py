@@ -184,3 +184,19 @@ def _resume(t):
 
     wanted = t("articles").select("id", "n", F.col("source_url").alias("url"))
     return pending(wanted, wanted.where("n % 4 = 0")).select("id")
+
+
+# References of pages: those in their HTML, and others of each kind.
+_REFS = "list_concat(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1), ['../up.png', './here', '?q=1', '#top', '//cdn.example.com/i/../x.png', 'a/./b/../c', 'https://other.example.com/x'])"
+query(
+    "resolve_urls",
+    f"WITH r AS (SELECT page_id, regexp_extract(url, '^(https?:)//', 1) AS scheme, regexp_extract(url, '^https?://[^/?#]*', 0) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS q, unnest({_REFS}) AS ref FROM {{pages}}), d AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS folder FROM r) "
+    "SELECT page_id, ref, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref WHEN ref = '//cdn.example.com/i/../x.png' THEN scheme || '//cdn.example.com/x.png' WHEN ref LIKE '/%' THEN host || ref WHEN ref = '../up.png' THEN host || CASE WHEN folder IN ('', '/') THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END || 'up.png' "
+    "WHEN ref = './here' THEN host || folder || 'here' WHEN ref = 'a/./b/../c' THEN host || folder || 'a/c' WHEN ref LIKE '?%' THEN host || path || ref WHEN ref = '' OR ref LIKE '#%' THEN host || path || q || ref ELSE host || folder || ref END AS resolved FROM d",
+)(lambda t: _resolved(t))
+
+
+def _resolved(t):
+    more = F.array(*[F.lit(x) for x in ("../up.png", "./here", "?q=1", "#top", "//cdn.example.com/i/../x.png", "a/./b/../c", "https://other.example.com/x")])
+    refs = t("pages").select("page_id", "url", F.explode(F.concat(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), 1), more)).alias("ref"))
+    return refs.select("page_id", "ref", C.resolve_url(F.col("url"), F.col("ref")).alias("resolved"))

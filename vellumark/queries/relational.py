@@ -141,6 +141,6 @@ query("reconcile_removals", f"SELECT a.id, x.linked AS toc_entry_id, CASE WHEN x
 # Queues.
 query("reap_stale", f"SELECT id, source_id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN attempts >= 3 THEN 'worker lost' END AS error_message FROM {{runs}} WHERE status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND)")(lambda t: J.reap_stale(t("runs"), NOW).select("id", "source_id", "status", "error_message"))
 query("enqueue_coalesce", "SELECT DISTINCT id AS source_id FROM {sources} WHERE id NOT IN (SELECT source_id FROM {runs} WHERE status IN ('pending', 'running'))")(lambda t: J.enqueue_coalesce(t("sources").select(F.col("id").alias("source_id")), t("runs")))
-query("fan_out_job", "SELECT j.id, coalesce(a.assigned, 0) AS assigned, coalesce(a.started, 0) AS started, CASE WHEN a.assigned > 0 THEN CASE WHEN a.started > 0 THEN 'running' ELSE 'completed' END END AS status FROM {jobs} j LEFT JOIN (SELECT job_id, count(*) AS assigned, count(*) FILTER (WHERE id NOT IN (SELECT source_id FROM {runs} WHERE status IN ('pending', 'running'))) AS started FROM {sources} WHERE job_id IS NOT NULL GROUP BY job_id) a ON a.job_id = j.id")(lambda t: J.fan_out(t("jobs"), t("sources"), t("runs")))
+query("fan_out_job", "SELECT j.id, coalesce(a.assigned, 0) AS assigned, coalesce(a.started, 0) AS started, CASE WHEN a.assigned > 0 THEN CASE WHEN a.started > 0 THEN 'pending' ELSE 'completed' END END AS status FROM {jobs} j LEFT JOIN (SELECT job_id, count(*) AS assigned, count(*) FILTER (WHERE id NOT IN (SELECT source_id FROM {runs} WHERE status IN ('pending', 'running'))) AS started FROM {sources} WHERE job_id IS NOT NULL GROUP BY job_id) a ON a.job_id = j.id")(lambda t: J.fan_out(t("jobs"), t("sources"), t("runs")))
 query("active_unique_violations", "SELECT source_id, count(*) AS active FROM {runs} WHERE status IN ('pending', 'running') GROUP BY source_id HAVING count(*) > 1")(lambda t: J.duplicate_active(t("runs")))
 query("run_state_machine", "SELECT id, CASE WHEN status = 'running' THEN status WHEN status = 'pending' THEN 'paused' ELSE status END AS next_status, CASE WHEN status = 'running' THEN 'pause' END AS control, CASE WHEN status IN ('running', 'pending') THEN 200 ELSE 409 END AS http FROM {runs}")(lambda t: t("runs").withColumn("c", J.run_control(F.col("status"), "pause")).select("id", F.col("c.status").alias("next_status"), "c.control", "c.http"))

@@ -52,6 +52,27 @@ def render_chunks(planned: DataFrame, size: int = 50) -> DataFrame:
     return planned.withColumn("chunk", F.floor((n - 1) / size))
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def names(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, whether it is a folder) of a folder's entries, sorted."""
+    fs, at = _at(spark, path)
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 class Store:
     """Versioned folders of a table: a rewrite is a new folder, and readers see the last one that is whole."""
 
