@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumark.operators import merge, profiles
 from vellumark.operators import toc as TC
 from vellumark.operators.jobs import run_control
-from vellumark.operators.search import build_index, index_of, topic_search, unified, version_diffs
+from vellumark.operators.search import StoredIndex, build_index, index_of, topic_search, unified, version_diffs
 from vellumark.sources import readers, sinks
 from vellumark.streaming import ingest
 
@@ -210,3 +210,28 @@ def test_heartbeats_time_out(spark, tmp_path):
         q = ingest.heartbeats(beats).writeStream.format("memory").queryName(f"hb{k}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"cp{k}")).start()
         q.awaitTermination()
         assert [(r.run_id, r.last_ms) for r in spark.sql(f"SELECT * FROM hb{k}").collect()] == [("r1", 1_704_067_200_000)]
+
+
+def test_stored_index(spark, tmp_path):
+    """Kept up by content, read by bucket: the same answers and ranks as an index of all texts, from the terms' folders only."""
+    schema = "source_id string, id string, title string, content_markdown string"
+    old = [("s", "1", "Pip", "install with pip"), ("s", "2", "Backups", "backup and restore a backup"), ("s", "3", "Old", "install nothing"), ("q", "4", None, None)]
+    new = [old[0], ("s", "2", "Backups", "restore"), ("t", "5", "More", "pip install pip installs"), old[3]]
+    index = StoredIndex(spark, str(tmp_path / "index"))
+    assert index.search("pip").count() == 0
+    assert index.update(spark.createDataFrame(old, schema)) == 4 and index.update(spark.createDataFrame(old, schema)) == 0
+    assert [r.id for r in index.search("backups").collect()] == ["2"]
+    articles = spark.createDataFrame(new, schema)
+    assert index.update(articles) == 2
+    for q in ("backup", "restore", "pip install", "install", "the", "nothing"):
+        for source in (None, "s"):
+            got = sorted((r.source_id, r.id, round(r["rank"], 9)) for r in index.search(q, source).collect())
+            assert got == sorted((r.source_id, r.id, round(r["rank"], 9)) for r in topic_search(build_index(articles), q, source).collect()), q
+    plan = index.hits("pip")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "[bucket#") or "PartitionFilters: [isnotnull(bucket" in plan
+    read = index.postings().where(F.col("bucket").isin([r.bucket for r in index.hits("pip").select("bucket").distinct().collect()]))
+    assert 0 < read.count() < index.postings().count()
+    before = index.postings().count()
+    index.compact()
+    assert index.postings().count() < before and sorted(r.id for r in index.search("pip install").collect()) == ["1", "5"]
+    assert index.update(spark.createDataFrame(new[:1], schema)) == 0 and [r.id for r in index.search("install").collect()] == ["1"]

@@ -6,11 +6,13 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from vellumark.functions.stem import counts, counts_of, lexemes
+from vellumark.plans.checkpoints import cut
+from vellumark.sources import sinks
 
 INDEX = "source_id string, id string, term string, tf int, n_terms int"
 
@@ -54,6 +56,81 @@ def topic_search(index: DataFrame, q: str, source_id: str | None = None) -> Data
     return hits.groupBy("source_id", "id").agg(F.count(F.lit(1)).alias("n"), (F.sum(weight) / max(1, len(terms))).alias("rank")).where(F.col("n") == len(terms)).select("source_id", "id", "rank")
 
 
+#: Folders of a stored index; a term has one of them.
+BUCKETS = 64
+
+
+class StoredIndex:
+    """An index table in folders by term bucket, kept up article by article.
+
+    ``postings`` (bucket, term, source_id, id, tf, n_terms, stamp) only grow; ``live`` (source_id, id, stamp) says which stamp of an article counts. An update stems the articles whose content
+    hash has changed and adds their postings; what they had before is passed over by searches and goes with ``compact``. A search reads its terms' buckets only, and of ``live`` the rows of
+    what it found.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _names(self, table: str) -> list[str]:
+        return [n for n, _ in sinks.names(self.spark, f"{self.path}/{table}")]
+
+    def _live(self) -> DataFrame:
+        """The newest whole list."""
+        schema = "source_id string, id string, stamp string"
+        known = [n for n in self._names("live") if sinks.exists(self.spark, f"{self.path}/live/{n}/_SUCCESS")]
+        return self.spark.read.schema(schema).parquet(f"{self.path}/live/{max(known)}") if known else self.spark.createDataFrame([], schema)
+
+    def _put_live(self, df: DataFrame) -> None:
+        n = len(self._names("live"))
+        df.write.parquet(f"{self.path}/live/v{n:09d}")
+
+    def postings(self) -> DataFrame:
+        schema = "term string, source_id string, id string, tf int, n_terms int, stamp string, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings") if sinks.exists(self.spark, f"{self.path}/postings") else self.spark.createDataFrame([], schema)
+
+    def _add(self, df: DataFrame, path: str) -> None:
+        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+        df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(path)
+
+    def update(self, articles: DataFrame) -> int:
+        """Brings the index to ``articles`` (source_id, id, title, content_markdown), all there are; how many were stemmed."""
+        stamped = articles.withColumn("stamp", F.sha2(F.concat_ws("\u0001", F.coalesce("title", F.lit("")), F.coalesce("content_markdown", F.lit(""))), 256))
+        live = self._live()
+        new = stamped.join(live.select("source_id", "id", "stamp"), ["source_id", "id", "stamp"], "left_anti")
+        changed = cut(new.select("source_id", "id", "title", "content_markdown", "stamp"))
+        n = changed.count()
+        if n:
+            # Postings first: until the list is written, nobody counts them. A run that crashed between may leave equal ones, which count once.
+            self._add(build_index(changed).join(changed.select("source_id", "id", "stamp"), ["source_id", "id"]), f"{self.path}/postings")
+        if n or live.count() != stamped.count():
+            self._put_live(stamped.select("source_id", "id", "stamp"))
+        return n
+
+    def hits(self, q: str, source_id: str | None = None) -> DataFrame:
+        """Live postings of the query's terms, from their buckets."""
+        terms = sorted(set(lexemes(q)))
+        if not terms:
+            return self.postings().where(F.lit(False))
+        wanted = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(x)), F.lit(BUCKETS)).cast("int").alias(f"b{k}") for k, x in enumerate(terms)]).first()
+        found = self.postings().where(F.col("bucket").isin(sorted(set(wanted))) & F.col("term").isin(terms))
+        if source_id is not None:
+            found = found.where(F.col("source_id") == source_id)
+        return found.dropDuplicates(["source_id", "id", "term", "stamp"]).join(self._live(), ["source_id", "id", "stamp"], "left_semi")
+
+    def search(self, q: str, source_id: str | None = None) -> DataFrame:
+        """As ``topic_search``, with ``rank``."""
+        return topic_search(self.hits(q, source_id), q, source_id)
+
+    def compact(self) -> None:
+        """Rewrites the postings with the live ones only; not beside an update."""
+        fresh = f"{self.path}/compacted"
+        sinks.remove(self.spark, fresh)
+        kept = self.postings().drop("bucket").distinct().join(self._live(), ["source_id", "id", "stamp"], "left_semi")
+        self._add(kept.select("term", "source_id", "id", "tf", "n_terms", "stamp"), fresh)
+        sinks.remove(self.spark, f"{self.path}/postings")
+        sinks.move(self.spark, fresh, f"{self.path}/postings")
+
+
 def unified(old: str | None, new: str | None, a: str, b: str) -> str:
     return "".join(difflib.unified_diff((old or "").splitlines(keepends=True), (new or "").splitlines(keepends=True), fromfile=a, tofile=b))
 

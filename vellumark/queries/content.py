@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -15,10 +18,12 @@ from vellumark.operators import merge as M
 from vellumark.operators import profiles as PR
 from vellumark.operators import search as S
 from vellumark.operators import toc as TC
+from vellumark.plans.checkpoints import new_folder
 from vellumark.plans.domain import NOW
 from vellumark.queries.registry import query
 from vellumark.sources import readers as R
 from vellumark.sources import sinks as X
+from vellumark.sources.commits import Tables, merge_run
 
 V = "'2.' || (doc_id % 3)"
 URL = f"'https://docs.example.com/v/' || {V} || '/' || source || '/' || {V} || '-' || doc_id"
@@ -103,6 +108,16 @@ query("segment_score")(lambda t: t("pages").select("page_id", F.inline(_segments
 
 # Search.
 query("topic_search", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(lambda t: S.topic_search(S.index_of(t("articles"), "The thst"), "The thst").select("source_id", "id"))
+def _stored_search(t):
+    """An index of two thirds of the articles with older texts for some, brought up to all articles; then a search."""
+    articles = t("articles")
+    index = S.StoredIndex(articles.sparkSession, new_folder(articles.sparkSession, "index"))
+    index.update(articles.where("n % 3 > 0").withColumn("content_markdown", F.when(F.col("n") % 4 == 0, F.concat(F.lit("thst "), "content_markdown")).otherwise(F.col("content_markdown"))))
+    index.update(articles)
+    return index.search("The thst").select("source_id", "id")
+
+
+query("topic_search_stored", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(_stored_search)
 query("search_index")(lambda t: S.build_index(t("articles")))
 
 
@@ -129,6 +144,23 @@ query("article_upsert", _OUTCOME)(lambda t: M.decide(_scraped(t), _store(t)).sel
 query("merge_counters", f"SELECT 'r1' AS run_id, count(*) FILTER (WHERE outcome = 'new') AS n_new, count(*) FILTER (WHERE outcome = 'updated') AS n_updated, count(*) FILTER (WHERE outcome = 'unchanged') AS n_unchanged, count(*) FILTER (WHERE outcome = 'empty') AS n_empty, count(*) FILTER (WHERE outcome = 'blocked') AS n_blocked FROM ({_OUTCOME}) x")(lambda t: M.counters(M.decide(_scraped(t), _store(t))))
 query("snapshot_on_change", f"SELECT 'a' || doc_id AS article_id, 'r1' AS extraction_run_id FROM ({_OUTCOME}) x WHERE outcome = 'updated'")(lambda t: M.new_versions(M.decide(_scraped(t), _store(t)), NOW).select("article_id", "extraction_run_id"))
 query("merged_articles", f"SELECT 'https://docs.example.com/' || d.source || '/' || d.doc_id AS source_url, CASE WHEN o.outcome = 'new' THEN 'r1' ELSE 'r0' END AS created_run_id, o.outcome IN ('new', 'updated', 'unchanged') AS met FROM {{documents}} d JOIN ({_OUTCOME}) o ON d.doc_id = o.doc_id WHERE d.doc_id % 3 <> 0 OR o.outcome = 'new'")(lambda t: M.merged_articles(_store(t), M.decide(_scraped(t), _store(t)), NOW).select("source_url", "created_run_id", (F.col("extracted_at") == F.lit(NOW).cast("timestamp_ntz")).alias("met")))
+
+
+def _committed(t):
+    """The merge as one commit, of two chunks, the second of which is sent twice; then what its tables say together."""
+    scraped, store = _scraped(t), _store(t)
+    tables = Tables(store.sparkSession, new_folder(store.sparkSession, "store"))
+    tables.commit(lambda at, new: new.replace("articles", store))
+    for chunk in (0, 1, 1):
+        merge_run(tables, "r1", scraped.where(F.col("doc_id") % 2 == chunk), NOW, f"chunk {chunk}")
+    at = tables.snapshot()
+    held = [at.read(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n") for name in ("articles", "versions", "progress")]
+    outcomes = ["new", "updated", "unchanged", "empty", "blocked"]
+    sums = at.read("counters").agg(*[F.sum(f"n_{o}").alias(o) for o in outcomes]).unpivot([], outcomes, "what", "n")
+    return reduce(DataFrame.unionByName, [*held, sums])
+
+
+query("commit_merge", f"SELECT outcome AS what, count(*) AS n FROM ({_OUTCOME}) x GROUP BY 1 UNION ALL SELECT 'articles', count(*) FILTER (WHERE doc_id % 3 <> 0 OR outcome = 'new') FROM ({_OUTCOME}) y UNION ALL SELECT 'versions', count(*) FILTER (WHERE outcome = 'updated') FROM ({_OUTCOME}) z UNION ALL SELECT 'progress', count(*) FROM ({_OUTCOME}) p")(_committed)
 query("resanitize")(lambda t: M.resanitize(t("articles")).select("id", "content_hash", "estimated_tokens"))
 query("enable_versioning", "SELECT s.id, p.version FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE contains(s.base_url, p.version)")(lambda t: M.enable_versioning(t("sources"), t("products")).select("id", "version"))
 query("bump_version", "SELECT s.id, p.version AS previous_version, '9.9' AS version, left(s.base_url, instr(s.base_url, p.version) - 1) || '9.9' || substr(s.base_url, instr(s.base_url, p.version) + length(p.version)) AS base_url FROM {sources} s JOIN {products} p ON s.product_id = p.id WHERE contains(s.base_url, p.version)")(lambda t: M.bump_version(M.enable_versioning(t("sources"), t("products")), t("products"), "9.9").select("id", "previous_version", "version", "base_url"))

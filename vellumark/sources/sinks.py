@@ -67,6 +67,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, at = _at(spark, path)
+    if not fs.rename(at, _at(spark, to)[1]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def names(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, whether it is a folder) of a folder's entries, sorted."""
     fs, at = _at(spark, path)
