@@ -10,6 +10,7 @@ from vellumark.operators import toc as TC
 from vellumark.operators.jobs import run_control
 from vellumark.operators.search import StoredIndex, build_index, index_of, topic_search, unified, version_diffs
 from vellumark.sources import readers, sinks
+from vellumark.sources.media import zip_bundle
 from vellumark.streaming import ingest
 
 
@@ -162,7 +163,8 @@ def test_export(spark, tmp_path):
     assert body.startswith("# Src Name\n\n> Extracted: 2024-01-03 00:00 UTC\n> Articles: 2\n\n---\n\n## Table of Contents\n\n1. [T 0](#t-0)\n2. [T 1](#t-1)\n\n---\n\n## T 0\n\n**Source:** [http://h/0](http://h/0)\n**Extracted:** 2024-01-02 03:04 UTC\n\nbody\n\n---\n")
     sinks.write_documents(docs, str(tmp_path / "md"))
     assert spark.read.text(str(tmp_path / "md")).count() > 5
-    sinks.zip_export(docs, sinks.manifest(planned), str(tmp_path / "x.zip"))
+    named = docs.join(sinks.manifest(planned).select("source_id", "group_no", "filename"), ["source_id", "group_no"])
+    zip_bundle(named.select(F.col("group_no").alias("number"), F.col("filename").alias("name"), F.encode("body", "utf-8").alias("content")), str(tmp_path / "x.zip"))
     assert zipfile.ZipFile(tmp_path / "x.zip").namelist() == ["Src_Name_part001.md", "Src_Name_part002.md"]
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from vellumark.functions import columns
 from vellumark.operators import actions, catalog, history, jobs, merge, profiles, search
 from vellumark.operators import toc as trees
+from vellumark.sources.media import media_files as images_of
+from vellumark.sources.media import zip_bundle
 from vellumark.sources import readers, sinks
 
 CHILDREN = {"vendors": [("products", "vendor_id")], "products": [("sources", "product_id")], "sources": [("runs", "source_id"), ("toc", "source_id"), ("articles", "source_id"), ("export_jobs", "source_id")], "articles": [("versions", "article_id"), ("images", "article_id")], "jobs": [("job_runs", "job_id")]}
@@ -248,8 +250,8 @@ class Engine:
         self._add("export_jobs", after.where(F.col("id") == ident))
         return ident
 
-    def run_export(self, ident: str, folder: str, now: str) -> str:
-        """Write a queued export's files and zip into ``folder`` by its request's split; the zip's path."""
+    def run_export(self, ident: str, folder: str, now: str, media: str | None = None) -> str:
+        """Write a queued export's files and zip into ``folder`` by its request's split, with the articles' images from ``media``; the zip's path."""
         job = self.get("export_jobs", ident)
         if job["status"] != "pending":
             raise Conflict(f"the export is {job['status']}")
@@ -261,7 +263,13 @@ class Engine:
         files = sinks.manifest(plan)
         docs = sinks.documents(plan, now)
         sinks.write_documents(docs, f"{folder}/{ident}")
-        path = sinks.zip_export(docs, files, f"{folder}/{ident}.zip")
+        path = f"{folder}/{ident}.zip"
+        entries = docs.join(files.select("source_id", "group_no", "filename"), ["source_id", "group_no"]).select(F.col("group_no").alias("number"), F.col("filename").alias("name"), F.encode("body", "utf-8").alias("content"))
+        if media:
+            # Behind the texts, in any order.
+            images = images_of(self.spark, media, plan).withColumn("number", F.lit((1 << 31) - 1))
+            entries = entries.unionByName(images)
+        zip_bundle(entries, path)
         total = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b")).first()
         self.patch("export_jobs", ident, status="completed", export_id=ident, result=json.dumps({"file_count": total["n"], "total_size_bytes": total["b"]}))
         return path

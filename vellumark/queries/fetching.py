@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zipfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.plans.checkpoints import new_folder
 from vellumark.queries.registry import query
-from vellumark.sources import fetch
+from vellumark.sources import fetch, media
 
 URL, SIZE = "https://api.example.com/events?page={page}", 100
 ITEM = "event_id long, event_type string, value double"
@@ -63,3 +65,32 @@ def _site(t):
 
 
 query("raw_pages", "SELECT url, CASE WHEN page_id % 11 <> 0 THEN html END AS body, CAST(NULL AS VARCHAR) AS error FROM {pages}")(_site)
+
+
+# Files beside the tables.
+def _media(t):
+    """Texts as images of 40 articles, stored twice as if a run had been repeated; then the folders of what is there."""
+    docs = t("documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "image/jpeg").when(F.col("doc_id") % 3 == 1, "image/svg+xml")
+    images = docs.select(F.concat(F.lit("a"), (F.col("doc_id") % 40).cast("string")).alias("article_id"), F.concat(F.lit("https://cdn.example.com/"), F.col("doc_id").cast("string")).alias("original_url"), kind.alias("content_type"), F.encode("text", "utf-8").alias("content"))
+    path = new_folder(docs.sparkSession, "media")
+    for _ in range(2):
+        media.store_images(images, path).write.format("noop").mode("overwrite").save()
+    return media.list_folders(docs.sparkSession, path).select("name", "files", "size")
+
+
+query("media_dir_scan", "SELECT 'a' || (doc_id % 40) AS name, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS size FROM {documents} WHERE text IS NOT NULL GROUP BY 1")(_media)
+
+
+def _bundle(t):
+    """Documents in a zip made by tasks, and what its own directory says of each."""
+    docs = t("documents").where("text is not null")
+    path = f"{new_folder(docs.sparkSession, 'bundle')}.zip"
+    media.zip_bundle(docs.select(F.col("doc_id").alias("number"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    fs, at = media.filesystem(path)
+    with fs.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+        rows = [(x.filename, x.file_size, x.CRC) for x in z.infolist()]
+    return docs.sparkSession.createDataFrame(rows, "name string, size long, crc long")
+
+
+query("export_zip", "SELECT 'docs/' || doc_id || '.md' AS name, strlen(text) AS size FROM {documents} WHERE text IS NOT NULL")(lambda t: _bundle(t).select("name", "size"))

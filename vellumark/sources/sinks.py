@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +36,6 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.select("source_id", "group_no", F.col("body").alias("value")).repartition("source_id", "group_no").write.partitionBy("source_id", "group_no").mode("overwrite").text(path)
 
 
-def zip_export(docs: DataFrame, names: DataFrame, path: str) -> str:
-    """One source's files in a zip, written by the driver a file at a time."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in docs.join(names.select("source_id", "group_no", "filename"), ["source_id", "group_no"]).orderBy("group_no").toLocalIterator():
-            z.writestr(r["filename"], r["body"])
-    return str(Path(path))
-
-
 def render_chunks(planned: DataFrame, size: int = 50) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source_id", "group_no").orderBy("ord"))
     return planned.withColumn("chunk", F.floor((n - 1) / size))
