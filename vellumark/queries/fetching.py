@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellumark.plans.checkpoints import new_folder
 from vellumark.queries.registry import query
 from vellumark.sources import fetch, media
+from vellumark.streaming.scheduler import REAPED, reaped
 
 URL, SIZE = "https://api.example.com/events?page={page}", 100
 ITEM = "event_id long, event_type string, value double"
@@ -94,3 +95,24 @@ def _bundle(t):
 
 
 query("export_zip", "SELECT 'docs/' || doc_id || '.md' AS name, strlen(text) AS size FROM {documents} WHERE text IS NOT NULL")(lambda t: _bundle(t).select("name", "size"))
+
+
+# Streams of events.
+LATE = "2002-01-01 00:00:00"
+
+
+def _reaped(t):
+    """Running runs' claims as events, then one event long after; the stream's timers reap what the batch rule would."""
+    runs = t("runs")
+    spark = runs.sparkSession
+    events, out, checkpoint = (new_folder(spark, name) for name in ("events", "reaped", "progress"))
+    claims = runs.where("status = 'running' and heartbeat_at is not null").select(F.col("id").alias("run_id"), F.lit("claimed").alias("kind"), F.col("heartbeat_at").cast("timestamp").alias("ts"), "attempts")
+    late = spark.range(1).select(F.lit("tick").alias("run_id"), F.lit("beat").alias("kind"), F.lit(LATE).cast("timestamp").alias("ts"), F.lit(0).alias("attempts"))
+    for rows in (claims.coalesce(1), late):
+        rows.write.mode("append").parquet(events)
+        stream = spark.readStream.schema(claims.schema).parquet(events)
+        reaped(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(REAPED).parquet(out)
+
+
+query("reap_stale_stream", f"SELECT id, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN attempts >= 3 THEN 'worker lost' END AS error_message FROM {{runs}} WHERE status = 'running' AND heartbeat_at < TIMESTAMP '{LATE}' - INTERVAL 300 SECOND")(lambda t: _reaped(t).select("id", "status", "error_message"))
