@@ -79,3 +79,31 @@ def test_edges(spark):
     assert {(k, t) for k, t, _ in got} >= {(1, ""), (2, ""), (3, "no tags at all"), (0, "no id"), (4, "a < b"), (5, "deep")}
     assert extract_pages(df.where("false")).collect() == []
     assert [r.h for r in df.where("page_id = 4").select(host_of(df.url).alias("h")).collect()] == ["a", "a"]
+
+
+BODY = "<p>" + "The article tells a long story about the house on the hill. " * 6 + "</p>"
+
+
+def one(html, path=None):
+    return Page(html).extract(path)
+
+
+def test_furniture_by_name_goes_inside_articles_too():
+    for name in ("footer", "notice", "recommended", "related", "share", "signup", "subscribe", "widget", "login", "site-footer", "share-buttons"):
+        page = f'<body><article><h1>Head</h1>{BODY}<div class="{name}">furniture here</div>{BODY}</article></body>'
+        assert "furniture" not in one(page) and one(page).startswith("Head"), name
+    kept = f'<body><article><h2 class="related">Related work</h2>{BODY}<p class="notice">Mind the gap.</p><table class="menu"><tr><td>Soup</td></tr></table><div class="entry-footer-notes">x</div></article></body>'
+    assert all(x in one(kept) for x in ("Related work", "Mind the gap.", "Soup", "x"))
+
+
+def test_a_form_around_the_page_is_its_frame():
+    page = f'<body><form id="aspnet"><input type="hidden" value="state"><label>hidden</label><div class="content">{BODY}</div></form></body>'
+    assert one(page).startswith("The article tells") and "hidden" not in one(page)
+    small = f'<body><div class="content">{BODY}<form><p>Send us your name</p><button>go</button></form></div></body>'
+    assert "Send us" not in one(small) and one(small).startswith("The article tells")
+
+
+def test_a_teaser_on_the_hosts_path_is_not_the_article():
+    page = f'<body><div class="main-col"><p>Teaser.</p></div><article>{BODY}</article></body>'
+    assert one(page, "body>div.main-col").startswith("The article tells")
+    assert one(page, "body>article").startswith("The article tells") and "Teaser" not in one(page, "body>article")

@@ -35,14 +35,16 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
-_CONTAINER = frozenset("article body center div main section table tbody td tr".split())
-_OUT = frozenset("script style noscript template iframe object embed svg canvas head title nav footer aside form button select option textarea input label noembed noframes menu dialog audio video map".split())
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+_CONTAINER = frozenset("article body center div form main section table tbody td tr".split())
+#: Part of a page's text that makes a form the page's frame, as some servers write it; part of a page's own article that the host's path has to hold to be taken.
+FRAME, FAIR = 0.5, 0.3
+_OUT = frozenset("script style noscript template iframe object embed svg canvas head title nav footer aside button select option textarea input label noembed noframes menu dialog audio video map".split())
+_OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: Words that class and id names of parts that aren't the article consist of, those that mean it inside an article too, and words that say nothing beside them.
 _OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies cookie cookies consent gdpr notice notices alert foot footer header masthead topbar menu menus nav navbar navigation sidebar rail share sharing social related recommended recommendations promo promos promotion sponsor sponsored subscribe subscription newsletter signup popup modal overlay widget widgets pagination pager toolbar search login skip".split()
 )
-_OUT_INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox adsense breadcrumb breadcrumbs comment comments commentlist respond disqus replies cookie cookies consent gdpr menu menus nav navbar navigation sidebar sharing social promo promos sponsored newsletter popup pagination pager".split())
+_OUT_INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox adsense breadcrumb breadcrumbs comment comments commentlist respond disqus replies cookie cookies consent gdpr foot footer login menu menus nav navbar navigation notice notices sidebar share sharing signup social promo promos promotion promotions recommended recommendations related sponsored subscribe subscription newsletter popup pagination pager widget widgets".split())
 _EMPTY_NAMES = frozenset("site global slot box wrap wrapper container holder block area section bar top bottom left right side primary secondary inner outer list links items group panel unit buttons form thread body main page".split())
 #: Tags that a class or an id can put outside the article.
 _NAMED = frozenset("article center dd details div dl dt figure li ol section span table tbody td tr ul".split()) - {"span", "li", "dt", "dd"}
@@ -55,11 +57,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "up", "path", "out", "good", "inside", "links", "chars", "score", "depth")
+    __slots__ = ("tag", "up", "path", "out", "good", "inside", "links", "chars", "score", "depth", "form")
 
     def __init__(self, tag: str, up: Node | None, attributes: str) -> None:
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         self.out = (up.out if up else False) or tag in _OUT
+        #: The outermost form around it, itself included.
+        self.form = (up.form if up else None) or (self if tag == "form" else None)
         #: Whether it is an article, or a part of one.
         self.inside = bool(up and up.inside) or tag in ("article", "main")
         self.good, self.chars, self.links, self.score = tag in ("article", "main"), 0, 0, 0.0
@@ -72,13 +76,16 @@ class Node:
             named = [_NAME.findall(_CAMEL.sub(" ", c).lower()) for c in [*classes, at.get("id", "")]]
             words = {w for n in named for w in n}
             role = at.get("role", "").lower()
+            if role == "form" and not self.form:
+                self.form = self
             if tag not in ("body", "html"):
                 inside = bool(up and up.inside)
                 bad = _OUT_INSIDE if inside else _OUT_NAMES
                 style = at.get("style", "").replace(" ", "").lower()
                 self.out = self.out or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
                 self.out = self.out or (role in _OUT_ROLES and not (inside and role in ("alert", "complementary", "search", "banner")))
-                if tag in _NAMED and words & bad:
+                # A table inside an article is the article's own, whatever its name.
+                if tag in _NAMED and words & bad and not (inside and tag == "table"):
                     self.out = self.out or any(n and all(w in bad or w in _EMPTY_NAMES or w.isdigit() for w in n) and not bad.isdisjoint(n) for n in named)
             self.inside = self.inside or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
             self.good = self.good or bool(words & _GOOD_NAMES) or at.get("role", "").lower() in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
@@ -99,6 +106,7 @@ class Page:
         self.root = Node("", None, "")
         self.nodes: list[Node] = []
         self.blocks: list[tuple[Node, str]] = []
+        self._links_of: list[int] = []
         self._node, self._run, self._linked = self.root, [], 0
         #: Open elements below the deepest node: tag, and whether it is what puts its text outside the article.
         self._deep: list[tuple[str, bool]] = []
@@ -125,14 +133,27 @@ class Page:
                 while node.tag not in _BLOCK and node.up:
                     node = node.up
                 self.blocks.append((node, text))
-                size = len(text)
-                while node:
-                    node.chars += size
-                    node.links += min(self._linked, size)
-                    node = node.up
+                self._links_of.append(min(self._linked, len(text)))
+                self._count(node, len(text), self._links_of[-1])
             self._run = []
         self._linked = 0
 
+    def _count(self, node: Node | None, size: int, links: int) -> None:
+        while node:
+            node.chars += size
+            node.links += links
+            node = node.up
+
+    def _drop_forms(self) -> None:
+        """Forms go, but for one that holds most of the text: it is the page's frame, and its controls have gone already."""
+        total = sum(len(t) for _, t in self.blocks)
+        bad = [n.form is not None and n.form.chars < FRAME * total for n, _ in self.blocks]
+        if any(bad):
+            for (node, text), links, out in zip(self.blocks, self._links_of, bad, strict=True):
+                if out:
+                    self._count(node, -len(text), -links)
+            self.blocks = [b for b, out in zip(self.blocks, bad, strict=True) if not out]
+
     def _close(self, to: Node) -> None:
         """Leave ``to`` and all inside it."""
         node = self._node
@@ -215,7 +236,7 @@ class Page:
             if attributes.endswith("/") and tag not in _BLOCK and tag != "a":
                 continue
             if node.depth > DEEPEST:
-                self._deep.append((tag, node.out and not self._node.out))
+                self._deep.append((tag, (node.out or tag == "form") and not self._node.out))
                 self._deep_out += self._deep[-1][1]
                 continue
             self._node = node
@@ -223,6 +244,7 @@ class Page:
                 self.nodes.append(node)
         self._text(source[at:])
         self._end_block()
+        self._drop_forms()
 
     def best(self) -> Node | None:
         """An article or main element with half the text, or else the container whose own blocks and, for part, inner containers' blocks hold most unlinked text."""
@@ -247,13 +269,12 @@ class Page:
         return top
 
     def extract(self, path: str | None) -> str:
-        """The text on ``path``, or if there is none, of the page's best container."""
+        """The text on ``path``; of the page's best container if there is none, or if that is an article element of which the path holds no fair part (a teaser)."""
         wanted = {id(n) for n in self.nodes if n.path == path and not n.out} if path else set()
-        text = self._within(wanted)
-        if not text:
-            top = self.best()
-            text = self._within({id(top)}) if top else "\n\n".join(t for _, t in self.blocks)
-        return text
+        text, top = self._within(wanted), self.best()
+        own = self._within({id(top)}) if top else "\n\n".join(t for _, t in self.blocks)
+        teaser = top is not None and top.tag in ("article", "main") and len(text) < FAIR * len(own)
+        return own if teaser or not text else text
 
     def _within(self, wanted: set[int]) -> str:
         if not wanted:
