@@ -56,6 +56,7 @@ def test_control_and_resanitize(engine):
     before = engine.table("versions").count()
     n = engine.resanitize(free, NOW)
     assert n > 0 and engine.table("versions").count() == before + n and engine.resanitize(free, NOW) == 0
+    assert engine.table("versions").where("diff_text like '--- pre-sanitize%+++ sanitized%'").count() == n
 
 
 def test_export_plan(engine):

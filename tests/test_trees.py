@@ -119,7 +119,9 @@ def groups_of(spark, tables, limit, chapters=False):
     return {s: [got[s, k] for k in range(len(entries))] for s, entries in tables.items()}
 
 
-def test_splits(wide):
+@pytest.mark.parametrize("short", [0, 2000])
+def test_splits(wide, monkeypatch, short):
+    monkeypatch.setattr(TC, "SHORT", short)
     one = lambda sizes, c=None: [(m, (c or ["1"] * len(sizes))[k]) for k, m in enumerate(sizes)]
     tables = {"a": one([500, 500, 3000, 500, 500]), "b": one([30] * 8), "c": one([3000]), "d": one([0, 0, 2000, 0, 0, 1, 2000, 0])}
     assert groups_of(wide, tables, 2000) == {s: plain_groups([m for m, _ in e], 2000) for s, e in tables.items()}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from vellumark.functions import columns
 from vellumark.operators import actions, catalog, history, jobs, merge, profiles, search
 from vellumark.operators import toc as trees
+from vellumark.sources import readers, sinks
 from vellumark.sources.media import media_files as images_of
 from vellumark.sources.media import zip_bundle
-from vellumark.sources import readers, sinks
 
 CHILDREN = {"vendors": [("products", "vendor_id")], "products": [("sources", "product_id")], "sources": [("runs", "source_id"), ("toc", "source_id"), ("articles", "source_id"), ("export_jobs", "source_id")], "articles": [("versions", "article_id"), ("images", "article_id")], "jobs": [("job_runs", "job_id")]}
 LINKS = {"jobs": [("sources", "job_id")], "runs": [("articles", "created_run_id"), ("versions", "extraction_run_id")], "toc": [("articles", "toc_entry_id")]}
@@ -214,12 +214,12 @@ class Engine:
         self.patch("runs", run_id, status=row["__c"]["status"])
 
     def resanitize(self, source_id: str, now: str) -> int:
-        """Clean the stored articles of a source; the bodies they had become versions."""
+        """Clean the stored articles of a source; the bodies they had become versions, with what the cleaning changed."""
         if self.table("runs").where((F.col("source_id") == source_id) & F.col("status").isin(*catalog.ACTIVE)).take(1):
             raise Conflict("a run is active")
         articles, versions = self.table("articles"), self.table("versions")
         new = merge.resanitize(articles.where(F.col("source_id") == source_id)).persist()
-        old = new.select(F.left(F.sha2(F.concat_ws("\u0001", "id", F.lit(now)), 256), F.lit(32)).alias("id"), F.col("id").alias("article_id"), F.col("old_markdown").alias("content_markdown"), catalog.moment(now).alias("extracted_at"))
+        old = new.select(F.left(F.sha2(F.concat_ws("\u0001", "id", F.lit(now)), 256), F.lit(32)).alias("id"), F.col("id").alias("article_id"), F.col("old_markdown").alias("content_markdown"), columns.content_hash("old_markdown").alias("content_hash"), search.unified_diff("old_markdown", "content_markdown", F.lit("pre-sanitize"), F.lit("sanitized")).alias("diff_text"), catalog.moment(now).alias("extracted_at"))
         self.store("versions").replace(versions.unionByName(old, allowMissingColumns=True).select(*versions.columns))
         fresh = new.select("id", *[F.col(c).alias(f"__{c}") for c in ("content_markdown", "content_hash", "estimated_tokens", "content_size_bytes") if c in articles.columns])
         out = articles.join(fresh, "id", "left")
@@ -288,6 +288,9 @@ class Engine:
         names = [(n,) for n, is_folder in sinks.names(self.spark, folder) if is_folder]
         return actions.listed_exports(self.table("export_jobs"), self.table("sources"), self.spark.createDataFrame(names, "export_id string"), days)
 
+    def realms(self) -> DataFrame:
+        return catalog.list_realms(self.table("auth_realms"))
+
     def download(self, folder: str, export_id: str, file: str | None = None) -> str:
         """The path of an export's zip, or of one of its files; ``LookupError`` where there is none, ``PermissionError`` for a name that leads out of the export."""
         if any(part in ("", ".", "..") for name in (export_id, file or "x") for part in name.replace("\\", "/").split("/")):

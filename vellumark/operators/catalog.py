@@ -48,6 +48,11 @@ def list_products(products: DataFrame, vendor_id: str | None = None) -> DataFram
     return products if vendor_id is None else products.where(F.col("vendor_id") == vendor_id)
 
 
+def list_realms(realms: DataFrame) -> DataFrame:
+    """All sign-in realms by name."""
+    return realms.orderBy("name", "id")
+
+
 def list_sources(sources: DataFrame, products: DataFrame, product_id: str | None = None, vendor_id: str | None = None) -> DataFrame:
     out = sources if product_id is None else sources.where(F.col("product_id") == product_id)
     if vendor_id is None:

@@ -161,6 +161,27 @@ def _starts(units: DataFrame, limit: float) -> DataFrame:
     return starts
 
 
+#: Articles of a source up to which, in all sources, a fold over each source's numbers splits them.
+SHORT = 2000
+
+
+def _folded(narrow: DataFrame, limit: float, key: str, order: str) -> DataFrame:
+    """The split of sources of at most ``SHORT`` articles, as a fold over an array of each one's numbers."""
+    xs = narrow.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__m").alias("m")))).alias("__x"))
+
+    def state(group, filled, out):
+        return F.struct(group.alias("group"), filled.alias("filled"), out.alias("out"))
+
+    def step(s, x):
+        opens = (F.size(s["out"]) == 0) | (s["filled"] + x["m"] > limit)
+        group = F.when(opens, s["group"] + 1).otherwise(s["group"])
+        return state(group, F.when(opens, x["m"]).otherwise(s["filled"] + x["m"]), F.concat(s["out"], F.array(group)))
+
+    start = state(F.lit(-1), F.lit(0).cast("long"), F.array().cast("array<int>"))
+    groups = F.aggregate("__x", start, step, lambda s: s["out"])
+    return xs.select(key, F.inline(F.arrays_zip(F.col("__x.o").alias("o"), groups.alias("g")))).select(key, F.col("o").alias(order), F.col("g").alias("group_no"))
+
+
 def greedy_split(articles: DataFrame, split_by: str | None, limit: float | None = None, chapter: str | None = None, key: str = "source_id", order: str = "ord") -> DataFrame:
     """Adds ``group_no``: articles of each source in order, in files within a limit. An article is never cut.
 
@@ -171,6 +192,8 @@ def greedy_split(articles: DataFrame, split_by: str | None, limit: float | None
     most = limit or LIMITS[split_by]
     measure = {"articles": F.lit(1), "size": F.col("content_size_bytes"), "tokens": F.col("estimated_tokens")}[split_by]
     narrow = articles.select(key, order, F.coalesce(measure.cast("long"), F.lit(0).cast("long")).alias("__m"), *([F.struct(F.col(chapter)).alias("__c")] if chapter else []))
+    if chapter is None and (narrow.groupBy(key).count().agg(F.max("count")).first()[0] or 0) <= SHORT:
+        return _numbered(articles, _folded(narrow, most, key, order), key, order)
     rows = Ordered(narrow, key, [order]).sums({"__row": F.lit(1)}, strict=True).settled()
     if chapter is None and split_by == "articles":
         numbers = rows.rows().select(key, order, F.floor(F.col("__row") / max(1, int(most))).cast("int").alias("group_no"))

@@ -14,6 +14,7 @@ NOW = "1998-08-02 00:00:00"
 
 TABLES = {
     "vendors": "SELECT 'v' || n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'https://' || lower(n_name) || '.example.com' END AS website FROM {nation}",
+    "auth_realms": "SELECT 'm' || r_regionkey AS id, r_name AS name, 'https://login.' || lower(replace(r_name, ' ', '-')) || '.example.com' AS login_url FROM {region}",
     "products": "SELECT 'p' || s_suppkey AS id, 'v' || s_nationkey AS vendor_id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '' || (s_suppkey % 7 + 1) || '.' || (s_suppkey % 3) END AS version FROM {supplier}",
     "jobs": "SELECT 'j' || r_regionkey AS id, r_name AS name, r_regionkey <> 3 AS enabled, CASE r_regionkey WHEN 0 THEN 'hourly' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' ELSE 'monthly' END AS frequency, CASE WHEN r_regionkey = 0 THEN '00:15' ELSE '02:30' END AS time_of_day, CASE WHEN r_regionkey = 2 THEN 4 END AS day_of_week, CASE WHEN r_regionkey = 4 THEN 15 END AS day_of_month, CASE WHEN r_regionkey = 1 THEN 'America/New_York' ELSE 'UTC' END AS timezone, CASE r_regionkey WHEN 4 THEN NULL WHEN 2 THEN TIMESTAMP '1999-01-01 00:00:00' ELSE TIMESTAMP '1998-08-01 12:00:00' END AS next_run_at FROM {region}",
     "job_runs": "SELECT 'b' || s_suppkey AS id, 'j' || (s_suppkey % 5) AS job_id, CASE s_suppkey % 4 WHEN 0 THEN 'pending' ELSE 'running' END AS status, 1 + s_suppkey % 9 AS sources_total, TIMESTAMP '1998-01-01 00:00:00' AS created_at FROM {supplier}",

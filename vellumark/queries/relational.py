@@ -31,6 +31,7 @@ query("active_run_guard", "SELECT id FROM {sources} WHERE id IN (SELECT source_i
 query("due_jobs", f"SELECT id, name FROM {{jobs}} WHERE enabled AND next_run_at <= TIMESTAMP '{NOW}'")(lambda t: K.due_jobs(t("jobs"), NOW).select("id", "name"))
 query("stale_runs", f"SELECT id, attempts FROM {{runs}} WHERE status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < TIMESTAMP '{NOW}' - INTERVAL 300 SECOND)")(lambda t: K.stale(t("runs"), NOW).select("id", "attempts"))
 query("expired_exports", f"SELECT id, status FROM {{export_jobs}} WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY AND status IN ('completed', 'failed', 'cancelled')")(lambda t: K.expired_exports(t("export_jobs"), NOW, 90).select("id", "status"))
+query("list_realms", "SELECT id, name, login_url FROM {auth_realms} ORDER BY name, id")(lambda t: K.list_realms(t("auth_realms")))
 query("completed_exports", "SELECT id, export_id, created_at, created_at + INTERVAL 7 DAY AS expires_at FROM {export_jobs} WHERE status = 'completed' AND export_id IS NOT NULL ORDER BY created_at DESC, id LIMIT 20")(lambda t: K.completed_exports(t("export_jobs"), None, 7).select("id", "export_id", "created_at", "expires_at"))
 query("not_null_projections", "SELECT id, diff_text IS NOT NULL AS has_diff, coalesce(strlen(content_markdown), 0) AS size_bytes FROM {versions}")(lambda t: t("versions").select("id", F.col("diff_text").isNotNull().alias("has_diff"), F.coalesce(F.octet_length("content_markdown"), F.lit(0)).alias("size_bytes")))
 query("json_defaults", "SELECT id, coalesce(json_extract_string(request, '$.format'), 'markdown') AS format, coalesce(CAST(json_extract_string(result, '$.file_count') AS BIGINT), 0) AS file_count FROM {export_jobs}")(lambda t: t("export_jobs").select("id", K.json_default("request", "$.format", "markdown").alias("format"), K.json_default("result", "$.file_count", "0").cast("long").alias("file_count")))
