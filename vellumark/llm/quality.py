@@ -13,6 +13,7 @@ id the lowest holds. With no labels at all every score is 0.5. Repeated rows are
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,9 +90,9 @@ def terms(text: str | None) -> np.ndarray:
     return np.concatenate([shape, content, binned.ravel()]).astype("f4")
 
 
-def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF; each kind of terms has unit length, then its weight."""
-    x = np.log1p(counts)
+def _weigh(counts: np.ndarray, idf: np.ndarray, spare: bool = False) -> np.ndarray:
+    """TF-IDF; each kind of terms has unit length, then its weight. ``spare`` counts are overwritten."""
+    x = np.log1p(counts, out=counts if spare else None)
     x *= idf
     for part, weight in ((slice(0, BINS), 1.0), (slice(BINS, 2 * BINS), 0.3), (slice(2 * BINS, None), 0.7)):
         length = np.linalg.norm(x[:, part], axis=1, keepdims=True)
@@ -103,10 +104,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype("f4")
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> dict:
-    """Latent basis by randomised SVD (fixed seed), and the labelled vectors in it."""
+def fit(counts: np.ndarray, labels: np.ndarray, latent: int = LATENT, spare: bool = False) -> dict:
+    """Latent basis by randomised SVD (fixed seed), and the labelled vectors in it. ``spare`` counts are overwritten."""
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype("f4") + 0.1
-    x = _weigh(counts, idf)
+    x = _weigh(counts, idf, spare)
     basis = np.linalg.qr(x.T @ (x @ np.random.default_rng(0).standard_normal((x.shape[1], latent + 16)).astype("f4")))[0]
     for _ in range(3):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
@@ -140,15 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         turn_to_other_work()
         for batch in batches:
             for k, some in texts(batch, 0, 64):
-                counts = [terms(t).astype("<f4").tobytes() for t in some]
+                counts = [zlib.compress(terms(t).astype("<f4").tobytes(), 1) for t in some]  # mostly zeros
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, 64), batch.column(2).slice(k, 64), pa.array(counts, pa.binary())], ["doc_id", "y", "counts"])
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
-        counts = np.stack([np.frombuffer(c, "<f4") for c in group["counts"]])
-        labels = group["y"].to_numpy()
-        group.drop(columns="counts", inplace=True)
-        made = pickle.dumps(fit(counts, labels))
+        counts = np.stack([np.frombuffer(zlib.decompress(c), "<f4") for c in group["counts"]])
+        made = pickle.dumps(fit(counts, group["y"].to_numpy(), spare=True))
         del counts
         give_back()
         return pd.DataFrame({"model": [made]})
