@@ -5,8 +5,9 @@ divided by the segment's score for itself, so a full copy scores 1 and one thres
 keeps each term's best score of all and in each block. Every passage of every training text (windows of twice ``SEGMENT`` words, half overlapping, so that
 each run of a segment's length lies in one) is a query, and all segments at or over the threshold are retrieved. As in WAND, a passage's terms are put in the
 order of their best scores; the term at which the sum of those so far reaches the threshold is the pivot, and a segment without a term from the pivot on can't reach it.
-So only those terms' blocks are met; the sum of all terms' block maxima then bounds a block's scores, and only blocks whose bound reaches the threshold are scored. Many
-passages go through each step together, in parts of at most ``PARTS`` entries.
+The sum of all terms' block maxima bounds a block's scores, and of the blocks with a term from the pivot on only those whose bound reaches the threshold are scored. Many
+passages go through each step together, in parts of at most ``PARTS`` entries, with arrays instead of a cursor a passage: entries of all of a passage's terms are expanded before pivots and bounds leave blocks
+out, so that what is saved is scoring, not the look at a block's bound.
 
 A find counts if the item's question and its answer (its last sentence, or its last third) both overlap with the passages that found it.
 

@@ -1,6 +1,6 @@
 """A hierarchical navigable small-world graph over unit vectors, in numpy.
 
-Points and queries go through it a block at a time: each step expands the best open candidates of every query of the block at once.
+Candidates that tie are any way round; links found through either are verified by cosine. Points and queries go through it a block at a time: each step expands the best open candidates of every query of the block at once.
 """
 
 from __future__ import annotations

@@ -2,11 +2,12 @@
 
 First pass: every page is parsed, its containers are scored by the text of their blocks and by link density, and the page votes for the
 path of its best one (tags and classes from the root, numbers made alike). Votes are summed by host and path in Spark, and each host's
-path with the most votes wins. Second pass: the page's containers on its host's winning path give the text; a page without one uses its own best.
+path with the most votes wins. Second pass: the page's containers on its host's winning path give the text; a page without one, or whose article element has far more, uses its own best.
+Paths of equal votes: the least path.
 
 Text leaves out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers and hidden parts: by tag and role, and
-containers (never headings or paragraphs) whose class or id is, as a whole, a name of such a part. Inside an article, its own header and names that articles use too
-(notice, search, related work) stay. Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null html is empty and
+containers (never headings or paragraphs) whose class or id is, as a whole, a name of such a part. Inside an article, its own header, headings, paragraphs and tables of any name
+stay. A form goes unless it holds half of the page's text, as the frame that some servers put around a page does. Character references are decoded, white space in a block becomes one space, blocks are joined by a blank line. Null html is empty and
 gives an empty text; a null or odd url belongs to the host ''. Pages are read whole; repeated rows give a row each; an empty table gives no rows; extra columns are not read.
 """
 

@@ -9,6 +9,9 @@ many documents as there are batches, and its occurrences form a tree whose root
 ``GAP`` words are bridged, and bridged spans need an exact Jaccard coefficient of ``LEAST_JACCARD`` of their aligned shingles, else they fall apart at
 gaps. Spans of ``LEAST_WORDS`` words then count. ``passage_components`` clusters documents by the removals that connect them.
 
+Limits: a seed is compared with one earlier occurrence only, so a passage whose seeds all stand in earlier texts that share nothing more is lost, and which occurrence that is follows the
+batches, so other layouts of the table can give slightly other spans (README has figures).
+
 No pairs of occurrences are emitted, only each one with an earlier one. Words are runs of bytes other than ASCII white space, compared with A-Z in lower case.
 Null and empty texts hold nothing; texts are read whole; a passage repeated within one document only is left alone. Rows that share id and text are
 one document; other texts of an id are documents of their own, later than all ids. Rows without an id take no part. An empty table gives no rows; extra

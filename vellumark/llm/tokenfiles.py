@@ -9,7 +9,7 @@
 * ``shards/``: one row a shard: ``n_docs``, ``n_tokens``, ``first_token`` (ids in all shards before).
 
 Null texts count as empty; every document ends with ``end_id``, so none is without a token. Rows that
-share a ``doc_id`` stay separate documents, next to each other; a null ``doc_id`` sorts first. An empty
+share a ``doc_id`` stay separate documents, next to each other in any order (their ``start`` may change from run to run); texts of any length are encoded whole, in slices; a null ``doc_id`` sorts first. An empty
 table gives empty files. Other columns of the input are not read.
 """
 
