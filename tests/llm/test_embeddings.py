@@ -96,3 +96,34 @@ def test_audit_leaves_out_the_query_itself():
     x = unit(clustered(np.random.default_rng(4), 400)).astype("f4")
     own = np.arange(400) * 400 + np.arange(400)
     assert embeddings._recall(x, x, own, np.arange(400), np.float32(0.9), True) == 0.0
+
+
+def test_vectors_go_to_few_cells_and_each_link_counts_in_one(monkeypatch):
+    """Cells instead of all pairs of shards: few places a vector, nearly all links share a cell, none counts twice, wide ones included."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x[2000:2600] = x[rng.integers(0, 100, 600)] + rng.standard_normal((600, 64)) * 0.12
+    x[2600:2800] = x[7] + rng.standard_normal((200, 64)) * 0.2
+    x = unit(x)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    pivots = embeddings._apart(x[200:224], 0.9)
+    a = np.arange(0, 3000, 6)
+    rows = [{"a": k, "need": int(embeddings._needed(x[[i]], x[[j]], pivots)[0]), "n": 1} for k, i in enumerate(a) for j in np.flatnonzero(near[i])]
+    margin = embeddings._margin(rows, x[a], pivots, 0.9)
+
+    class Shared:
+        value = {64: pivots}
+
+    row, cell = embeddings._cells(Shared, {64: margin}, 64, x)
+    assert len(pivots) == 24 and len(row) < 5 * len(x)
+    cells = np.full((len(x), 24), -1)
+    for i, c in zip(row, cell, strict=True):
+        cells[i, c] = c
+    for wide in (384, 48):
+        monkeypatch.setattr(embeddings, "WIDE", wide)
+        total = np.zeros(len(x), "i8")
+        for c in range(24):
+            own = np.flatnonzero(cells[:, c] == c)
+            total[own] += embeddings.compare(x[own], None, np.ones(len(own), "i8"), 0.9, [Graph(x[own].astype("f4"), own)], cells[own], c)[0]
+        assert (total <= near.sum(axis=1)).all() and total.sum() >= 0.98 * near.sum()

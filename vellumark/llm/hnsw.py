@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Links of a point above the lowest layer (twice as many in it), beam while building, points inserted together, candidates expanded at a time.
-LINKS, BUILD_BEAM, TOGETHER, EXPAND = 16, 64, 512, 4
+#: Links of a point above the lowest layer (twice as many in it), candidates of a point while building, points inserted together, rows at a time, candidates expanded at a time.
+LINKS, BUILD_BEAM, TOGETHER, SLICE, EXPAND = 12, 40, 8192, 128, 4
 
 
 def _levels(ids: np.ndarray) -> np.ndarray:
@@ -20,22 +20,37 @@ def _levels(ids: np.ndarray) -> np.ndarray:
     return np.minimum((-np.log(u) / np.log(LINKS)).astype("i8"), 6)
 
 
-def _diverse(x: np.ndarray, of: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
-    """Of each row's candidates (best first, -1: none) those nearer to the point than to one already kept; then the best of the rest."""
+def _diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
+    """Of each row's candidates (best first, -1: none) those nearer to the point than to one already kept; then the best of the rest. Their places, -1: none."""
     n, w = cand.shape
     vec = x[np.maximum(cand, 0)]
     between = np.matmul(vec, vec.transpose(0, 2, 1))
-    ok, worst = np.zeros((n, w), bool), np.full((n, w), -2.0, "f4")
+    ok, worst, kept = np.zeros((n, w), bool), np.full((n, w), -2.0, "f4"), np.zeros(n, "i8")
     for k in range(w):
-        good = (cand[:, k] >= 0) & (sims[:, k] > worst[:, k]) & (ok.sum(axis=1) < keep)
+        good = (cand[:, k] >= 0) & (sims[:, k] > worst[:, k]) & (kept < keep)
         ok[:, k] = good
-        worst = np.where(good[:, None], np.maximum(worst, between[:, k]), worst)
+        kept += good
+        np.maximum(worst, np.where(good[:, None], between[:, k], np.float32(-2.0)), out=worst)
     rank = np.where(ok, 0, np.where(cand >= 0, 1, 2)) * w + np.arange(w)
     order = np.argsort(rank, axis=1)[:, :keep]
-    out = np.take_along_axis(cand, order, 1)
+    out = np.where(np.take_along_axis(cand, order, 1) >= 0, order, -1)
     return np.pad(out, ((0, 0), (0, keep - out.shape[1])), constant_values=-1)
 
 
+def _best(sims: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of each row's ``keep`` largest, in any order; which of equal ones is left open."""
+    if sims.shape[1] <= keep:
+        return np.broadcast_to(np.arange(sims.shape[1]), sims.shape), sims
+    least = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
+    row, col = np.nonzero(sims >= least[:, None])
+    # Larger ones first, so that ties with the least are what is left out.
+    order = np.lexsort((sims[row, col] == least[row], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(sims)))[row]
+    col = col[place < keep].reshape(len(sims), keep)
+    return col, np.take_along_axis(sims, col, 1)
+
+
 class Layer:
     """Neighbours by position; only the layer's own points have any."""
 
@@ -43,8 +58,11 @@ class Layer:
         self.links = links
         self.near = np.full((n, links), -1, "i4")
 
-    def search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` best found from ``entry`` (rows of positions, -1: none): positions and cosines, best first."""
+    def search(self, x: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, floor: float = -np.inf, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` best found from ``entry`` (rows of positions, -1: none): positions and cosines, best first.
+
+        Points with a cosine under ``floor`` are found but not expanded, nor are those of ``start``, whose neighbours are in ``entry``.
+        """
         b = len(q)
         seen = np.zeros((b, len(x) + 1), bool)  # the last column stands for none
         seen[:, -1] = True
@@ -56,10 +74,14 @@ class Layer:
             new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
             new = np.where(seen[rows[:, None], new], -1, new)
             seen[rows[:, None], new] = True
-            s = np.einsum("bd,bkd->bk", q[rows], x[np.maximum(new, 0)])
+            new = new[:, (new >= 0).any(axis=0)]
+            s = np.matmul(x[np.maximum(new, 0)], q[rows][:, :, None])[:, :, 0]
             s[new < 0] = -np.inf
             all_ids, all_sims = np.concatenate([ids[rows], new], axis=1), np.concatenate([sims[rows], s], axis=1)
-            all_done = np.concatenate([done[rows], new < 0], axis=1)
+            shut = (new < 0) | (s < floor)
+            if start is not None:
+                shut |= new == start[rows][:, None]
+            all_done = np.concatenate([done[rows], shut], axis=1)
             top = np.argsort(-all_sims, axis=1)[:, :beam]
             ids[rows], sims[rows], done[rows] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
             rows = rows[~done[rows].all(axis=1)]
@@ -70,48 +92,59 @@ class Layer:
                 new = np.where(to[:, :, None] >= 0, self.near[np.maximum(to, 0)], -1).reshape(len(rows), -1)
         return ids, sims
 
-    def insert(self, x: np.ndarray, points: np.ndarray, entry_of) -> None:
-        """Link ``points`` to what is there and to each other, a growing block at a time."""
+    def insert(self, x: np.ndarray, points: np.ndarray) -> None:
+        """Link ``points`` to what is there and to each other, in blocks, each three times what is there; a point's candidates are the nearest of all before it."""
+        self.sims = np.full(self.near.shape, -np.inf, "f4")
         at, size = 0, 1
         while at < len(points):
             block = points[at : at + size]
-            q, here = x[block], np.arange(len(block))
-            own = q @ q.T
-            own[here[:, None] <= here] = -np.inf  # with those before it in the block
-            ids, sims = np.broadcast_to(block, own.shape), own
-            if at:
-                beam = min(BUILD_BEAM, at)
-                found = self.search(x, q, np.concatenate([entry_of(q), np.full((len(block), 1), points[0])], axis=1), beam)
-                ids, sims = np.concatenate([found[0], ids], axis=1), np.concatenate([found[1], sims], axis=1)
-            top = np.argsort(-sims, axis=1)[:, :BUILD_BEAM]
-            ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
-            ids = np.where(np.isfinite(sims), ids, -1)
-            self.near[block] = _diverse(x, block, ids, sims, self.links)
+            for k in range(0, len(block), SLICE):
+                part = block[k : k + SLICE]
+                before = points[: at + k + len(part)]
+                sims = x[part] @ x[before].T
+                here = np.arange(len(part))
+                sims[:, at + k :][here[:, None] <= here] = -np.inf  # those before it only
+                top, sims = _best(sims, BUILD_BEAM)
+                order = np.argsort(-sims, axis=1)
+                top, sims = np.take_along_axis(top, order, 1), np.take_along_axis(sims, order, 1)
+                self._put(x, part, np.where(np.isfinite(sims), before[top], -1), sims)
             self._back(x, block)
             at += len(block)
-            size = min(TOGETHER, at)
+            size = min(TOGETHER, 3 * at)
+        del self.sims
+
+    def _put(self, x: np.ndarray, of: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> None:
+        """Set the links of points from candidates, best first."""
+        place = _diverse(x, cand, sims, self.links)
+        none = place < 0
+        self.near[of] = np.where(none, -1, np.take_along_axis(cand, np.maximum(place, 0), 1))
+        self.sims[of] = np.where(none, -np.inf, np.take_along_axis(sims, np.maximum(place, 0), 1))
 
     def _back(self, x: np.ndarray, block: np.ndarray) -> None:
-        to, new = self.near[block].ravel(), np.repeat(block, self.links)
-        to, new = to[to >= 0], new[to >= 0]
+        """Links of a block's points the other way round; of a node's new ones the best ``BUILD_BEAM`` stand beside those that it has."""
+        to, new, s = self.near[block].ravel(), np.repeat(block, self.links), self.sims[block].ravel()
+        to, new, s = to[to >= 0], new[to >= 0], s[to >= 0]
         if not len(to):
             return
-        order = np.argsort(to, kind="stable")
-        to, new = to[order], new[order]
+        order = np.lexsort((-s, to))
+        to, new, s = to[order], new[order], s[order]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)
-        width = int(count.max())
-        extra = np.full((len(nodes), width), -1, "i4")
-        extra[np.repeat(np.arange(len(nodes)), count), np.arange(len(to)) - np.repeat(first, count)] = new
-        for k in range(0, len(nodes), TOGETHER):
-            n = nodes[k : k + TOGETHER]
-            cand = np.concatenate([self.near[n], extra[k : k + TOGETHER]], axis=1)
-            sims = np.where(cand >= 0, np.einsum("bd,bkd->bk", x[n], x[np.maximum(cand, 0)]), -np.inf)
-            top = np.argsort(-sims, axis=1)[:, : 3 * self.links]
-            cand, sims = np.take_along_axis(cand, top, 1), np.take_along_axis(sims, top, 1)
+        place = np.arange(len(to)) - np.repeat(first, count)
+        row, some = np.repeat(np.arange(len(nodes)), count), place < BUILD_BEAM
+        width = min(int(count.max()), BUILD_BEAM)
+        extra, extra_s = np.full((len(nodes), width), -1, "i4"), np.full((len(nodes), width), -np.inf, "f4")
+        extra[row[some], place[some]], extra_s[row[some], place[some]] = new[some], s[some]
+        for k in range(0, len(nodes), SLICE):
+            n = nodes[k : k + SLICE]
+            cand = np.concatenate([self.near[n], extra[k : k + SLICE]], axis=1)
+            sims = np.concatenate([self.sims[n], extra_s[k : k + SLICE]], axis=1)
+            top = np.argsort(-sims, axis=1)[:, : max(BUILD_BEAM, self.links)]
             fits = (cand >= 0).sum(axis=1) <= self.links
-            self.near[n[fits]] = cand[fits][:, : self.links]
+            cand, sims = np.take_along_axis(cand, top, 1), np.take_along_axis(sims, top, 1)
+            wide = min(self.links, cand.shape[1])
+            self.near[n[fits], :wide], self.sims[n[fits], :wide] = cand[fits][:, :wide], sims[fits][:, :wide]
             if not fits.all():
-                self.near[n[~fits]] = _diverse(x, n[~fits], cand[~fits], sims[~fits], self.links)
+                self._put(x, n[~fits], cand[~fits], sims[~fits])
 
 
 class Graph:
@@ -126,34 +159,20 @@ class Graph:
             points = np.flatnonzero(levels >= level)
             points = np.concatenate([self.top, points[points != self.top[0]]])
             layer = Layer(len(x), LINKS if level else 2 * LINKS)
-            layer.insert(x, points, self._entry)
+            layer.insert(x, points)
             self.layers.append(layer)
 
-    def _entry(self, q: np.ndarray) -> np.ndarray:
-        entry = np.broadcast_to(self.top, (len(q), 1)).astype("i4")
-        for layer in self.layers:
-            entry = layer.search(self.x, q, entry, 4)[0]
-        return entry
-
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.broadcast_to(self.top, (len(q), 1)).astype("i4")
         for layer in self.layers[:-1]:
             entry = layer.search(self.x, q, entry, 4)[0]
         return self.layers[-1].search(self.x, q, entry, min(beam, len(self.x)))
 
-    def around(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Like ``search`` for vectors of the graph itself: each starts at its own node."""
-        return self.layers[-1].search(self.x, self.x[points], points[:, None].astype("i4"), min(beam, len(self.x)))
-
-    def to_bytes(self) -> list[bytes]:
-        return [layer.near.tobytes() for layer in self.layers]
-
-    @classmethod
-    def from_bytes(cls, x: np.ndarray, top: int, layers: list[bytes]) -> Graph:
-        g = cls.__new__(cls)
-        g.x, g.top, g.layers = x, np.array([top]), []
-        for k, raw in enumerate(layers):
-            layer = Layer(0, 2 * LINKS if k == len(layers) - 1 else LINKS)
-            layer.near = np.frombuffer(raw, "i4").reshape(len(x), layer.links)
-            g.layers.append(layer)
-        return g
+    def around(self, points: np.ndarray, beam: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``search`` for vectors of the graph itself: each starts at its own node, and nodes with a cosine under ``floor`` lead no further.
+
+        A candidate that wasn't linked is nearer to a link than to the point, so what is nearer than ``floor`` is reached over nodes that are.
+        """
+        lowest = self.layers[-1]
+        entry = np.concatenate([points[:, None].astype("i4"), lowest.near[points]], axis=1)
+        return lowest.search(self.x, self.x[points], entry, min(beam, len(self.x)), floor, points)
