@@ -1,13 +1,14 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from vellumark.llm import packing, tokenfiles
+from vellumark.llm import packing, tokenfiles, tokens
 from vellumark.llm.queries import tokenizer_path
 from vellumark.llm.tokens import encoder
 
@@ -34,6 +35,40 @@ def test_any_text(text):
     assert ours(text) == plain(text)
 
 
+#: White space of two and three bytes, letters and signs of two, marks of three, single and repeated line breaks, contractions, brackets.
+PIECES_OF_TEXT = ["a", "Bc", "é", "É", "×", "÷", "ж", "Σ", "中", "“", "”", "'s", "'", ".", ", ", "(", "9", "٣", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", "\u180e", "\u2003", "\u2028", "\u3000", "\u0301", "😀", "<|endoftext|>"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES_OF_TEXT), max_size=12).map("".join) | st.none(), max_size=8), st.integers(8, 40))
+def test_columns_of_texts(texts, at_once):
+    """Many texts at once, sliced columns, and texts longer than what is cut at once."""
+    enc, got = encoder(tokenizer_path()), []
+    enc.known, enc.ids = enc.known[:0], enc.ids[:0]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "AT_ONCE", at_once)
+        m.setattr(tokens, "REMEMBER", 20)
+        for k, ids, at in enc.column(pa.array(["x y", *texts, "z"]).slice(1, len(texts)), np.array([7], "<u4").tobytes()):
+            assert k == len(got)
+            got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert len(enc.known) <= 20
+    assert got == [plain(t) + [7] for t in texts]
+
+
+def test_what_a_worker_holds_and_encodes():
+    """Remembered parts are Arrow buffers of a bounded size, the latest first; words of a column are encoded once, whatever punctuation follows."""
+    enc = tokens.Encoder(tokenizer_path())
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in ("an", "el", "ir", "om", "us") * 4 for c in "npqrstvwxz" for d in ("ab", "ec", "id", "of", "ug")]
+    text = " ".join(f"{w}{t}" for w in words for t in ("", ".", ",", ");"))
+    seen = []
+    part = enc._part
+    enc._part = lambda p: seen.append(p) or part(p)
+    for _, ids, _ in enc.column(pa.array([text, text])):
+        assert ids.tolist() == plain(text) * 2
+    assert len(seen) == len(set(seen)) <= len(set(words)) + 10
+    assert enc.known.nbytes + enc.ids.nbytes < 40 * len(enc.known)
+
+
 def test_documents(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert ours(r.text) == plain(r.text)

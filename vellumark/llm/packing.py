@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.llm.scratch import give_back, id_and_text, table
-from vellumark.llm.tokens import encoder, texts
+from vellumark.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _MEMBER = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>"
@@ -70,12 +70,11 @@ def _pieces(path: str, end_id: int, capacity: int):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, rows = batch.column(0).to_pylist(), []
-            for k, some in texts(batch):
-                for j, text in enumerate(some):
-                    ids = memoryview(enc.encode(text or "") + end)
-                    rows += [(doc_ids[k + j], p, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for p, (a, n) in enumerate(cut(len(ids) // 4, capacity))]
+            for k, flat, at in enc.column(batch.column(1), end):
+                for doc_id, a, b in zip(doc_ids[k : k + len(at) - 1], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    rows += [(doc_id, p, s, n, zlib.crc32(flat[a + s : a + s + n])) for p, (s, n) in enumerate(cut(b - a, capacity))]
             yield _columns(rows, [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        give_back()
+            give_back()
 
     return run
 
