@@ -24,42 +24,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumark.llm.scratch import id_and_text, new_path
-from vellumark.llm.tokens import encoder, texts
+from vellumark.llm.scratch import give_back, id_and_text, new_path
+from vellumark.llm.tokens import encoder
 
 TOKENS = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 SHARDS = "shard int, n_docs long, n_tokens long, first_token long"
-#: Bytes of a row group and of a page, and of ids that a worker holds before it hands them on.
-ROW_GROUP, PAGE, HOLD = 64 << 20, 256 << 10, 4 << 20
+#: Bytes of a row group and of a page.
+ROW_GROUP, PAGE = 64 << 20, 256 << 10
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         shard, start = TaskContext.get().partitionId(), 0
-
-        def out(ids: list, rows: list[bytes]) -> pa.RecordBatch:
-            nonlocal start
-            sizes = np.array([len(r) // 4 + 1 for r in rows], "i8")
-            ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(end.join([*rows, b""]), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), flat)
-            made = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(rows), shard, "i4")), pa.array(start + ends - sizes), pa.array(sizes), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
-            start += int(ends[-1])
-            return made
-
         for batch in batches:
-            doc_ids, kept, rows, held = batch.column(0).to_pylist(), [], [], 0
-            for k, some in texts(batch):
-                for j, text in enumerate(some):
-                    rows.append(enc.encode(text or ""))
-                    kept.append(doc_ids[k + j])
-                    held += len(rows[-1]) + 4
-                    if held >= HOLD:
-                        yield out(kept, rows)
-                        kept, rows, held = [], [], 0
-            if rows:
-                yield out(kept, rows)
+            for k, ids, at in enc.column(batch.column(1), end):
+                n, sizes = len(at) - 1, np.diff(at)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype("i4")), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, n), pa.array(np.full(n, shard, "i4")), pa.array(start + at[:-1]), pa.array(sizes), lists], ["doc_id", "shard", "local_start", "n_tokens", "ids"])
+                start += int(at[-1])
+            give_back()
 
     return run
 
