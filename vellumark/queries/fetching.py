@@ -56,13 +56,14 @@ query("api_pages_stream", _ITEMS)(_stream)
 
 
 def _site(t):
-    pages = t("pages")
+    """Pages of a site, asked for twice. A page's number, as a fragment, is part of its recorded address: pages that share a URL have bodies of their own."""
+    pages = t("pages").withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
     busy = F.when(F.col("page_id") % 4 == 0, F.array(F.lit(503), F.lit(429))).otherwise(F.array().cast("array<int>"))
     last = F.when(F.col("page_id") % 11 == 0, 404).otherwise(200)
     answers = pages.select("url", "html", F.posexplode(F.concat(busy, F.array(last))).alias("attempt", "status"))
     path = new_folder(pages.sparkSession, "site")
     fetch.record(answers.select("url", "attempt", "status", F.when(F.col("status") < 400, F.col("html")).alias("body")), path)
-    return fetch.raw_pages(pages.unionAll(pages), 8, recorded=path, pause="0")
+    return fetch.raw_pages(pages.unionAll(pages), 8, recorded=path, pause="0").withColumn("url", F.regexp_replace("url", "#[0-9]+$", ""))
 
 
 query("raw_pages", "SELECT url, CASE WHEN page_id % 11 <> 0 THEN html END AS body, CAST(NULL AS VARCHAR) AS error FROM {pages}")(_site)
