@@ -1,6 +1,7 @@
 """Queries on tables that the given small ones don't hold: shared URLs, cut words, empty texts, many files."""
 
 import duckdb
+import pytest
 
 from tests.test_queries import plain
 from vellumark.queries import ORACLE, QUERIES
@@ -35,3 +36,10 @@ def events(spark, n):
 def test_pages_that_share_a_url_have_their_own_bodies(spark, tmp_path):
     rows = [(k, f"https://x/{k // 2}", f"<p>{k}</p>") for k in range(24)]
     assert len(held(spark, tmp_path, "raw_pages", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))) == 24
+
+
+@pytest.mark.parametrize("name", ["topic_search", "topic_search_stored"])
+def test_titles_cut_inside_a_word_are_not_found_by_its_half(spark, tmp_path, name):
+    """The title is the first 24 characters; a word that ends there counts, half a word doesn't, and neither does half a word with an ending that stems to it."""
+    texts = ["Ndesen is ersttiou, thstering", "Ndesen is ersttiou, thst", "Ndesen is ersttiou, thst.", "Ndesen is erstiou, thstshat", "Thst ndesen is ersttiou, thstering", "Ndesen is ersttiou, Thst9", "Ndesen is ersttiou, ünd. Und thst."]
+    assert [x for _, x in held(spark, tmp_path, name, documents=documents(spark, texts), events=events(spark, 9))] == ["a1", "a2", "a4", "a6"]

@@ -107,10 +107,16 @@ query("pdf_split")(lambda t: t("pages").select("page_id", F.inline(_segments(_ma
 query("segment_score")(lambda t: t("pages").select("page_id", F.inline(_segments(_markdown("html")))).select("page_id", "title", F.array_join("flags", ",").alias("flags")))
 
 # Search.
-query("topic_search", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(lambda t: S.topic_search(S.index_of(t("articles"), "The thst"), "The thst").select("source_id", "id"))
+def _whole_titles(t):
+    """Articles whose titles, the first 24 characters of their texts, don't end inside a word: half a word is a lexeme that the text doesn't hold."""
+    cut_up = F.substring("content_markdown", 25, 1).rlike(r"[\p{L}\p{N}]")
+    return t("articles").withColumn("title", F.when(cut_up, F.regexp_replace("title", r"[\p{L}\p{N}]+$", "")).otherwise(F.col("title")))
+
+
+query("topic_search", "SELECT 's' || (doc_id % 50 + 1) AS source_id, 'a' || doc_id AS id FROM {documents} d JOIN {events} e ON d.doc_id = e.event_id WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])thst($|[^\\pL\\pN])')")(lambda t: S.topic_search(S.index_of(_whole_titles(t), "The thst"), "The thst").select("source_id", "id"))
 def _stored_search(t):
     """An index of two thirds of the articles with older texts for some, brought up to all articles; then a search."""
-    articles = t("articles")
+    articles = _whole_titles(t)
     index = S.StoredIndex(articles.sparkSession, new_folder(articles.sparkSession, "index"))
     index.update(articles.where("n % 3 > 0").withColumn("content_markdown", F.when(F.col("n") % 4 == 0, F.concat(F.lit("thst "), "content_markdown")).otherwise(F.col("content_markdown"))))
     index.update(articles)
