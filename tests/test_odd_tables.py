@@ -43,3 +43,10 @@ def test_titles_cut_inside_a_word_are_not_found_by_its_half(spark, tmp_path, nam
     """The title is the first 24 characters; a word that ends there counts, half a word doesn't, and neither does half a word with an ending that stems to it."""
     texts = ["Ndesen is ersttiou, thstering", "Ndesen is ersttiou, thst", "Ndesen is ersttiou, thst.", "Ndesen is erstiou, thstshat", "Thst ndesen is ersttiou, thstering", "Ndesen is ersttiou, Thst9", "Ndesen is ersttiou, ünd. Und thst."]
     assert [x for _, x in held(spark, tmp_path, name, documents=documents(spark, texts), events=events(spark, 9))] == ["a1", "a2", "a4", "a6"]
+
+
+@pytest.mark.parametrize("name", ["article_upsert", "merge_counters", "snapshot_on_change", "merged_articles", "commit_merge"])
+def test_documents_without_text_are_pages_of_their_own(spark, tmp_path, name):
+    """Empty and blank documents, missing texts, and texts whose end is page furniture meet each outcome."""
+    df = documents(spark, ["", " \n\t", "Text.", "Text.\n\nCopyright (c) 2019 Example", "# Title\n\nText."] * 43)
+    held(spark, tmp_path, name, documents=df.selectExpr("doc_id", "if(doc_id % 13 = 4, null, text) as text", "lang", "source", "n_chars"))

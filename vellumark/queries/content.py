@@ -128,10 +128,14 @@ query("search_index")(lambda t: S.build_index(t("articles")))
 
 
 # The merge.
+# A page has a heading with its number, so it isn't blank where the document is, and a change in it that no cleaning of the text's end takes away.
+_PAGE = "concat('# ', doc_id, '\\n\\n', coalesce(text, ''))"
+
+
 def _scraped(t):
     return t("documents").select(
         F.lit("r1").alias("run_id"), F.expr("'s' || (doc_id % 50 + 1)").alias("source_id"), F.expr("'https://docs.example.com/' || source || '/' || doc_id").alias("url"), F.lit(None).cast("string").alias("topic_key"),
-        F.expr("CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'Access denied' WHEN 2 THEN text || ' more' ELSE text END").alias("markdown"), F.left("text", F.lit(24)).alias("title"), F.expr("'t' || doc_id").alias("toc_entry_id"),
+        F.expr("CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'Access denied' WHEN 2 THEN concat('# ', doc_id, ' more\\n\\n', coalesce(text, '')) ELSE " + _PAGE + " END").alias("markdown"), F.left("text", F.lit(24)).alias("title"), F.expr("'t' || doc_id").alias("toc_entry_id"),
         F.col("doc_id").cast("int").alias("sort_order"), F.expr("CASE doc_id % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'changed' END").alias("change_status"), "doc_id",
     )
 
@@ -140,8 +144,8 @@ def _store(t):
     """What an earlier run stored: two thirds of the documents."""
     return t("documents").where("doc_id % 3 != 0").select(
         F.expr("'a' || doc_id").alias("id"), F.expr("'s' || (doc_id % 50 + 1)").alias("source_id"), F.lit("r0").alias("created_run_id"), F.expr("'t' || doc_id").alias("toc_entry_id"), F.left("text", F.lit(24)).alias("title"),
-        F.expr("'https://docs.example.com/' || source || '/' || doc_id").alias("source_url"), F.expr("'https://docs.example.com/' || source || '/' || doc_id").alias("topic_key"), sanitize("text").alias("content_markdown"), C.content_hash(sanitize("text")).alias("content_hash"),
-        C.estimated_tokens("text").alias("estimated_tokens"), C.size_bytes("text").alias("content_size_bytes"), F.col("doc_id").cast("int").alias("sort_order"), F.lit("1998-01-01").cast("timestamp_ntz").alias("created_at"), F.lit("1998-01-01").cast("timestamp_ntz").alias("extracted_at"),
+        F.expr("'https://docs.example.com/' || source || '/' || doc_id").alias("source_url"), F.expr("'https://docs.example.com/' || source || '/' || doc_id").alias("topic_key"), sanitize(F.expr(_PAGE)).alias("content_markdown"), C.content_hash(sanitize(F.expr(_PAGE))).alias("content_hash"),
+        C.estimated_tokens(F.expr(_PAGE)).alias("estimated_tokens"), C.size_bytes(F.expr(_PAGE)).alias("content_size_bytes"), F.col("doc_id").cast("int").alias("sort_order"), F.lit("1998-01-01").cast("timestamp_ntz").alias("created_at"), F.lit("1998-01-01").cast("timestamp_ntz").alias("extracted_at"),
     )
 
 
