@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_queries import plain
 from vellumark.queries import ORACLE, QUERIES
+from vellumark.sources import sinks
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +52,8 @@ def test_documents_without_text_are_pages_of_their_own(spark, tmp_path, name):
     """Empty and blank documents, missing texts, and texts whose end is page furniture meet each outcome."""
     df = documents(spark, ["", " \n\t", "Text.", "Text.\n\nCopyright (c) 2019 Example", "# Title\n\nText."] * 43)
     held(spark, tmp_path, name, documents=df.selectExpr("doc_id", "if(doc_id % 13 = 4, null, text) as text", "lang", "source", "n_chars"))
+
+
+def test_a_thousand_files_of_a_source_have_names_of_their_own(spark):
+    names = [r.f for r in spark.range(1100).select(sinks.file_name(F.lit("Source s1"), F.col("id").cast("int"), F.lit(1100)).alias("f")).collect()]
+    assert len(set(names)) == 1100 and {"Source_s1_part100.md", "Source_s1_part1000.md"} <= set(names)
