@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import plain
 from vellumark.queries import ORACLE, QUERIES
-from vellumark.sources import sinks
+from vellumark.sources import media, sinks
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +57,20 @@ def test_documents_without_text_are_pages_of_their_own(spark, tmp_path, name):
 def test_a_thousand_files_of_a_source_have_names_of_their_own(spark):
     names = [r.f for r in spark.range(1100).select(sinks.file_name(F.lit("Source s1"), F.col("id").cast("int"), F.lit(1100)).alias("f")).collect()]
     assert len(set(names)) == 1100 and {"Source_s1_part100.md", "Source_s1_part1000.md"} <= set(names)
+
+
+def test_folders_with_empty_files(spark, tmp_path):
+    got = held(spark, tmp_path, "media_dir_scan", documents=documents(spark, ["", "a", "ñ"] + [""] * 38 + ["bc"]))
+    assert ("a1", 2, 3) in got and ("a7", 1, 0) in got and len(got) == 40
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver keeps no list of files: none of Spark's file sources, which do, is in the plan."""
+    for name, n in (("a/1.png", 1), ("a/b/c/2.png", 2), ("a/.part", 4), ("a/_x/3.png", 8), ("d/0.png", 0), ("e/f/0.png", 0), ("here.png", 16), (".g/4.png", 32)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * n)
+    rows = lambda df: sorted((r.name, r.files, r["size"]) for r in df.collect())
+    assert rows(media.list_folders(spark, str(tmp_path))) == [("a", 2, 3)]
+    every = media.list_folders(spark, f"file:{tmp_path}", empty=True)
+    assert rows(every) == [("a", 2, 3), ("d", 1, 0), ("e", 1, 0)]
+    assert "binaryFile" not in every._jdf.queryExecution().executedPlan().toString()

@@ -71,14 +71,14 @@ query("raw_pages", "SELECT url, CASE WHEN page_id % 11 <> 0 THEN html END AS bod
 
 # Files beside the tables.
 def _media(t):
-    """Texts as images of 40 articles, stored twice as if a run had been repeated; then the folders of what is there."""
+    """Texts as images of 40 articles, stored twice as if a run had been repeated; then the folders of what is there, empty files included."""
     docs = t("documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "image/jpeg").when(F.col("doc_id") % 3 == 1, "image/svg+xml")
     images = docs.select(F.concat(F.lit("a"), (F.col("doc_id") % 40).cast("string")).alias("article_id"), F.concat(F.lit("https://cdn.example.com/"), F.col("doc_id").cast("string")).alias("original_url"), kind.alias("content_type"), F.encode("text", "utf-8").alias("content"))
     path = new_folder(docs.sparkSession, "media")
     for _ in range(2):
         media.store_images(images, path).write.format("noop").mode("overwrite").save()
-    return media.list_folders(docs.sparkSession, path).select("name", "files", "size")
+    return media.list_folders(docs.sparkSession, path, empty=True).select("name", "files", "size")
 
 
 query("media_dir_scan", "SELECT 'a' || (doc_id % 40) AS name, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS size FROM {documents} WHERE text IS NOT NULL GROUP BY 1")(_media)

@@ -31,9 +31,44 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def list_folders(spark: SparkSession, path: str) -> DataFrame:
-    """``name, files, size, modified`` of the folders with files in them."""
-    return list_files(spark, path).where("folder is not null").groupBy(F.col("folder").alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.max("modified").cast("timestamp_ntz").alias("modified"))
+#: Tasks that list folders.
+LISTERS = 64
+
+
+def _visible(fs: pafs.FileSystem, at: str) -> list[pafs.FileInfo]:
+    """A folder's entries but for hidden ones, as Spark's file sources see them."""
+    return [f for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if not f.base_name.startswith((".", "_"))]
+
+
+def list_folders(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """``name, files, size, modified`` of the folders right below ``path`` with files at any depth; ``empty``: files without content count too.
+
+    Tasks list the folders, one listing at a time, and give a row a folder; the driver sees no file.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            fs, root = filesystem(path)
+            yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in _visible(fs, root) if f.type == pafs.FileType.Directory], pa.string())], ["name"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                files = size = modified = 0
+                left = [f"{root}/{name}"]
+                while left:
+                    for f in _visible(fs, left.pop()):
+                        if f.type == pafs.FileType.Directory:
+                            left.append(f.path)
+                        elif f.size or empty:
+                            files, size, modified = files + 1, size + f.size, max(modified, f.mtime_ns or 0)
+                if files:
+                    columns = zip((name, files, size, modified // 1000), (pa.string(), pa.int64(), pa.int64(), pa.timestamp("us", "UTC")), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], ["name", "files", "size", "modified"])
+
+    folders = spark.range(1, numPartitions=1).mapInArrow(names, "name string").repartition(LISTERS)
+    return folders.mapInArrow(run, "name string, files long, size long, modified timestamp").withColumn("modified", F.col("modified").cast("timestamp_ntz"))
 
 
 #: Extensions by what a content type holds, the first that fits; others are PNG.
@@ -65,9 +100,12 @@ def store_images(images: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(path)
+        made: set[str] = set()
         for batch in batches:
             for article, name, content in zip(*(batch.column(k).to_pylist() for k in ("article_id", "filename", "content")), strict=True):
-                fs.create_dir(f"{root}/{article}", recursive=True)
+                if article not in made:
+                    fs.create_dir(f"{root}/{article}", recursive=True)
+                    made.add(article)
                 _write_whole(fs, f"{root}/{article}/{name}", content)
             sizes = pa.array([len(c) for c in batch.column("content").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("article_id"), batch.column("original_url"), batch.column("filename"), sizes], ["article_id", "original_url", "filename", "file_size_bytes"])
