@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import plain
 from vellumark.queries import ORACLE, QUERIES
-from vellumark.sources import media, sinks
+from vellumark.sources import fetch, media, sinks
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,22 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
     every = media.list_folders(spark, f"file:{tmp_path}", empty=True)
     assert rows(every) == [("a", 2, 3), ("d", 1, 0), ("e", 1, 0)]
     assert "binaryFile" not in every._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_recordings_are_read_in_small_parts(spark, tmp_path, monkeypatch):
+    """More exchanges, more buckets; pages in turn share few of them, whatever their number."""
+    monkeypatch.setattr(fetch, "FULL", 1)
+    url = "https://x/items?page={}"
+    rows = spark.range(1, 1001).select(F.concat(F.lit(url.format("")), "id").alias("url"), F.lit(0).alias("attempt"), F.lit(200).alias("status"), F.col("id").cast("string").alias("body"))
+    fetch.record(rows, str(tmp_path / "rec"))
+    transport = fetch.RecordedTransport({"recorded": str(tmp_path / "rec")})
+    assert [transport.get(url.format(k)) for k in range(500, 600)] == [(200, str(k)) for k in range(500, 600)]
+    assert transport.digits == 3 and len(transport.buckets) == 1
+    assert all(transport.get(url.format(k)) == (200, str(k)) for k in range(1, 1001)) and transport.get(url.format(1001)) == (404, "") and transport.get("x")[0] == 404
+
+
+@pytest.mark.parametrize("a, b", [(0, 36_000_000), (1_234_567, 36_000_001), (5, 123), (0, 512_101)])
+def test_ranges_of_pages_stay_few(a, b):
+    ranges = fetch._Pages({"url": "https://x/{page}", "size": "100", "chunk": "5"}).ranges(a, b)
+    assert ranges[0].a == a and ranges[-1].b == b and all(x.b == y.a and x.b % 100 == 0 for x, y in zip(ranges, ranges[1:], strict=False))
+    assert len(ranges) <= 1025 and (len(ranges) > 500 or b < 500_000)

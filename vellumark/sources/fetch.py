@@ -21,10 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from vellumark.sources.batch import PAUSE, raw_get
+from vellumark.sources.media import filesystem
 
 AGENT = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36"
-#: Hexadecimal digits of a recorded folder's bucket.
-BUCKET = 2
+#: Hexadecimal digits of a recorded folder's bucket, at least; exchanges of a bucket, at most on average; the name of the file that says how many digits there are.
+BUCKET, FULL, DIGITS = 2, 256, "_digits"
+#: Addresses that differ in so many last characters only share a bucket, so a task that reads pages in turn reads few.
+TAIL = 2
+#: Partitions of a paged API, at most; more pages make them longer.
+PARTITIONS = 1024
 
 
 class HttpTransport:
@@ -46,8 +51,8 @@ class RecordedTransport:
     """Answers from what ``record`` wrote: the n-th GET of an address gets its n-th exchange, later ones the last; 404 for an unknown one."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        path = options["recorded"]
-        self.fs, self.path = pafs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+        self.fs, self.path = filesystem(options["recorded"])
+        self.digits = 0
         self.buckets: dict[str, dict[str, list[tuple[int, str]]]] = {}
         self.calls: dict[str, int] = {}
 
@@ -65,7 +70,14 @@ class RecordedTransport:
         return self.buckets[name]
 
     def get(self, url: str) -> tuple[int, str]:
-        answers = self._bucket(hashlib.md5(url.encode()).hexdigest()[:BUCKET]).get(url)
+        if not self.digits:
+            told = f"{self.path}/{DIGITS}"
+            if self.fs.get_file_info(told).type == pafs.FileType.File:
+                with self.fs.open_input_stream(told) as f:
+                    self.digits = int(f.read())
+            else:
+                self.digits = BUCKET
+        answers = self._bucket(hashlib.md5(url[:-TAIL].encode()).hexdigest()[: self.digits]).get(url)
         if not answers:
             return 404, ""
         n = self.calls[url] = self.calls.get(url, -1) + 1
@@ -73,9 +85,16 @@ class RecordedTransport:
 
 
 def record(exchanges: DataFrame, path: str) -> None:
-    """Writes ``url, attempt, status, body`` as the folder that ``RecordedTransport`` reads."""
-    rows = exchanges.select("url", F.col("attempt").cast("int"), F.col("status").cast("int"), "body", F.left(F.md5("url"), F.lit(BUCKET)).alias("bucket"))
+    """Writes ``url, attempt, status, body`` as the folder that ``RecordedTransport`` reads, with more buckets for more exchanges."""
+    digits, n = BUCKET, exchanges.count()
+    while n > FULL * 16**digits:
+        digits += 1
+    head = F.left("url", F.greatest(F.length("url") - TAIL, F.lit(0)))
+    rows = exchanges.select("url", F.col("attempt").cast("int"), F.col("status").cast("int"), "body", F.left(F.md5(head), F.lit(digits)).alias("bucket"))
     rows.repartition("bucket").write.partitionBy("bucket").json(path)
+    fs, at = filesystem(path)
+    with fs.open_output_stream(f"{at}/{DIGITS}") as f:
+        f.write(str(digits).encode())
 
 
 def transport(options: dict[str, str]):
@@ -163,8 +182,9 @@ class _Pages:
         return high * self.size + len(self.items(high))
 
     def ranges(self, a: int, b: int) -> list[PageRange]:
-        """Items from a to b (not included), cut at pages."""
-        step = self.size * self.chunk
+        """Items from a to b (not included), cut at pages; a range has ``chunk`` of them, or more where there would be over ``PARTITIONS``."""
+        pages = -(-b // self.size) - a // self.size
+        step = self.size * self.chunk * max(1, -(-pages // (self.chunk * PARTITIONS)))
         cuts = [a, *range((a // step + 1) * step, b, step), b]
         return [PageRange(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if x < y]
 
@@ -224,7 +244,7 @@ class _StreamReader(DataSourceStreamReader):
 class ApiPages(DataSource):
     """``format("api_pages")``: ``page, pos, item`` (JSON) of a paged API. A partition is a range of pages; planning finds the last page with a logarithmic number of GETs.
 
-    Options: ``url`` with ``{page}`` or ``{start}``, ``items``, ``size``, ``first`` (number of the first page), ``most`` (pages), ``chunk``, ``pause`` (seconds
+    Options: ``url`` with ``{page}`` or ``{start}``, ``items``, ``size``, ``first`` (number of the first page), ``most`` (pages), ``chunk`` (pages of a partition, at least), ``pause`` (seconds
     before the first retry), and the transport's.
     """
 
