@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import plain
+from vellumark.functions.stem import counts, counts_of
 from vellumark.queries import ORACLE, QUERIES
 from vellumark.sources import fetch, media, sinks
 
@@ -93,3 +94,11 @@ def test_ranges_of_pages_stay_few(a, b):
     ranges = fetch._Pages({"url": "https://x/{page}", "size": "100", "chunk": "5"}).ranges(a, b)
     assert ranges[0].a == a and ranges[-1].b == b and all(x.b == y.a and x.b % 100 == 0 for x, y in zip(ranges, ranges[1:], strict=False))
     assert len(ranges) <= 1025 and (len(ranges) > 500 or b < 500_000)
+
+
+def test_two_letters_that_are_left_stay():
+    """Words are looked up by their first two letters, which stemming keeps."""
+    text = "ays aying eyed oys ay days"
+    terms, total = counts(text)
+    assert counts_of(text, sorted(terms)) == (terms, total) and terms == {"ay": 3, "ey": 1, "oy": 1, "dai": 1}
+    assert counts_of(text, ["ay"])[0] == {"ay": 3}
